@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import packing, token_files, workspace
+from tidemark.llm import language, packing, token_files, toxicity, workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +18,26 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, path))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~language.held_out()))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.filter(~language.held_out()), labels.filter(~language.held_out()))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_docs(spark, sf_dir))
     return pieces.withColumn("ids_crc32", token_files.ids_crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op6_language, op9_toxicity, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
