@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, token_files, toxicity, workspace
+from tidemark.llm import language, packing, substring_dedup, token_files, toxicity, workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,6 +43,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", token_files.ids_crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op6_language, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op6_language, op8_substring_dedup, op9_toxicity, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
