@@ -128,3 +128,11 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int | np.ndarray, se
     total = np.zeros(len(hashes) + 1, U64)
     np.cumsum(hashes * up[:-1], out=total[1:], dtype=U64)
     return mix((total[at + size] - total[at]) * down[at], 7 if second else 3)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash, never 0, of the bytes of each span of ``data``."""
+    up, down = _BYTES.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * up[:-1], out=total[1:], dtype=U64)
+    return mix((total[ends] - total[starts]) * down[starts]) | U64(1)

@@ -125,9 +125,12 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id
         enc, task = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         packer = Packer(task << 32, size, open_windows, top_up)
         for batch in batches:
-            for a, b, _, _ in chunks(batch, most=1 << 20):
-                for doc, ids in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), enc.encode(batch.column("text").slice(a, b - a).to_pylist())):
-                    packer.add(doc, 0, np.append(ids, np.uint32(end_id)), len(ids) + 1)
+            for a, b, data, offsets in chunks(batch, most=1 << 20):
+                flat, n = enc.encode_chunk_with_end(data, offsets, end_id)
+                at = 0
+                for doc, length in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), n.tolist()):
+                    packer.add(doc, 0, flat[at : at + length], length)
+                    at += length
                 yield packer.take(task)
         packer.leave_open()
         yield packer.take(task)

@@ -45,15 +45,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         enc, part, before = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b, _, _ in chunks(batch, most=1 << 20):
-                ids = enc.encode(batch.column("text").slice(a, b - a).to_pylist())
-                n = np.array([len(x) + 1 for x in ids], np.int64)
+            for a, b, data, offsets in chunks(batch, most=1 << 20):
+                flat, n = enc.encode_chunk_with_end(data, offsets, end_id)
                 ends = np.cumsum(n)
-                flat = np.full(int(ends[-1]), end_id, np.int32)
-                keep = np.ones(len(flat), bool)
-                keep[ends - 1] = False
-                flat[keep] = np.concatenate(ids) if len(ids) else []
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(before + ends - n), pa.array(n), lists], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
                 before += int(ends[-1])
 
@@ -69,11 +64,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def starts(files: DataFrame) -> DataFrame:
     """``files`` with ``start``: the ids of all documents before, in ascending ``doc_id`` order.
 
-    Only one row per part is summed in order; the parts' table is as long as the list of parts.
+    Only one row per part is summed in order and broadcast: as many rows as the directory has parts.
     """
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return files.join(before, "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
+    return files.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
 
 
 def ids_crc32(column: str | Column) -> Column:
