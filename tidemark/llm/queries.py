@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, substring_dedup, token_files, toxicity, workspace
+from tidemark.llm import fingerprints, language, licenses, packing, substring_dedup, token_files, toxicity, workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, path))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(_docs(spark, sf_dir)).drop("bits")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_docs(spark, sf_dir).select("doc_id", "text")))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
     model = language.fit(docs.filter(~language.held_out()))
@@ -43,6 +51,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", token_files.ids_crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op6_language, op8_substring_dedup, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_licenses, op6_language, op8_substring_dedup, op9_toxicity, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
