@@ -33,8 +33,12 @@ def _ranges(docs: DataFrame, rows_per_range: int, most: int) -> DataFrame:
     k = max(1, min(most, n // rows_per_range))
     cuts = docs.select(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 else []
     splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="__id", outputCol="range", handleInvalid="keep")
-    out = cut.transform(docs.withColumn("__id", F.col("doc_id").cast("double"))).drop("__id")
+    out = docs.withColumn("__id", F.col("doc_id").cast("double"))
+    if len(splits) > 2:
+        out = Bucketizer(splits=splits, inputCol="__id", outputCol="range", handleInvalid="keep").transform(out)
+    else:
+        out = out.withColumn("range", F.lit(0))
+    out = out.drop("__id")
     return out.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range")).cast("int"))
 
 
@@ -63,15 +67,15 @@ def with_next(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 10
 
 
 def terms(text: Column) -> Column:
-    """Neighbouring word pairs; the last word stands alone; none for a text without words."""
-    words = F.filter(F.split(text, r"[ \t\n\u000B\f\r]+"), lambda w: w != "")
+    """Neighbouring word pairs; the last word stands alone; one empty word, of weight 0, for a text without words."""
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"[ \t\n\x0B\f\r]+")
     return F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
 
 
 def fingerprint(rows: DataFrame, keys: list[str], text: str, out: str) -> DataFrame:
     """``rows`` grouped by ``keys`` with the fingerprint ``out`` (long) of ``text`` and its weight ``out_weight``."""
     pair = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("t"))
-    a, b = F.col("t").getField("0"), F.col("t").getField("1")
+    a, b = F.col("t").getField("a"), F.col("t").getField("b")
     weight = F.coalesce(F.least(F.octet_length(a) + F.coalesce(F.octet_length(b), F.lit(0)), F.lit(24)), F.lit(0)).cast("long")
     votes = pair.select(*keys, weight.alias("w"), F.xxhash64(a, b).alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANE)) * F.col("w")).alias(f"s{k}") for k in range(BITS // 2)]
