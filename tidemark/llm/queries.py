@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, licenses, packing, substring_dedup, token_files, toxicity, workspace
+from tidemark.llm import decontaminate, fingerprints, language, licenses, packing, secrets, substring_dedup, token_files, toxicity, workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
     model = language.fit(docs.filter(~language.held_out()))
@@ -33,6 +37,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir).select("doc_id", "text", "source")).drop("text_hash", "number")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -51,6 +59,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", token_files.ids_crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_licenses, op6_language, op8_substring_dedup, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_licenses, op4_decontamination, op6_language, op7_secrets, op8_substring_dedup, op9_toxicity, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
