@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprints, language, licenses, packing, secrets, substring_dedup, token_files, toxicity, workspace
+from tidemark.llm import decontaminate, fingerprints, language, licenses, ngram_join, packing, secrets, substring_dedup, token_files, toxicity, workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_docs(spark, sf_dir))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
     model = language.fit(docs.filter(~language.held_out()))
@@ -59,6 +63,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", token_files.ids_crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_licenses, op4_decontamination, op6_language, op7_secrets, op8_substring_dedup, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_licenses, op4_decontamination, op5_ngram_join, op6_language, op7_secrets, op8_substring_dedup, op9_toxicity, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
