@@ -254,13 +254,14 @@ def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: i
     sent = workspace.written(sent.select("h1", F.col("gid").alias("to")), "queries")
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
     rooted = sets.join(labels, F.col("comp") == F.col("node")).select("h1", "gid", "root", "tokens")
-    asked = rooted.select("h1", "root", "tokens").join(sent, "h1").select(bucket("to"), F.col("to").alias("gid"), "root", "tokens")
+    # Own names: a cogroup tells its sides apart by their columns, and both come from the same sets.
+    asked = rooted.select("h1", F.col("root").alias("q_root"), F.col("tokens").alias("q_tokens")).join(sent, "h1").select(bucket("to"), F.col("to").alias("q_gid"), "q_root", "q_tokens")
     opened = rooted.join(sent.select(F.col("to").alias("gid")).distinct(), "gid", "left_semi").select(bucket("gid"), "gid", "root", "tokens")
 
     def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        q_gid, q_root = left.column("gid").to_numpy(), left.column("root").to_numpy()
+        q_gid, q_root = left.column("q_gid").to_numpy(), left.column("q_root").to_numpy()
         g_gid, g_root = right.column("gid").to_numpy(), right.column("root").to_numpy()
-        (q, q_at), (g, g_at) = (_tokens(t.column("tokens")) if len(t) else (np.zeros(0, np.uint64), np.zeros(1, np.int64)) for t in (left, right))
+        (q, q_at), (g, g_at) = (_tokens(t.column(c)) if len(t) else (np.zeros(0, np.uint64), np.zeros(1, np.int64)) for t, c in ((left, "q_tokens"), (right, "tokens")))
         out: set[tuple[int, int]] = set()
         by = np.argsort(g_gid, kind="stable")
         for gid in np.unique(q_gid):
