@@ -132,9 +132,9 @@ def link_sets(tokens: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """``(sets, components)``: per row of ``docs`` ``doc_id, n_shingles, candidate, h1, h2``; per set of the candidates ``h1, h2, root``."""
+    """``(rows, sets)``: per row of ``docs`` ``doc_id, text_hash, n_shingles, candidate, h1, h2``; per set of the candidates ``h1, h2, root``."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     bitmap = sketch.repeated(texts, lambda data, offsets: shingles(data, offsets, size)[0], sketch.bits_for(texts))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,10 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
                         mask[i] = False
                 m = np.where(mask, 0, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]).astype(np.int32)), pa.array(np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)), mask=pa.array(mask))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(candidate), pa.array(h1), pa.array(h2), lists], names=["doc_id", "n_shingles", "candidate", "h1", "h2", "tokens"])
+                kept_columns = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(n), pa.array(candidate), pa.array(h1), pa.array(h2), lists], names=["doc_id", "text_hash", "n_shingles", "candidate", "h1", "h2", "tokens"])
 
-    rows = workspace.written(texts.mapInArrow(first_pass, "doc_id long, n_shingles long, candidate boolean, h1 long, h2 long, tokens array<long>"), "sets")
+    rows = workspace.written(texts.mapInArrow(first_pass, "doc_id long, text_hash long, n_shingles long, candidate boolean, h1 long, h2 long, tokens array<long>"), "sets")
     found = rows.filter("tokens is not null").select("h1", "h2", "tokens")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,17 +321,33 @@ def connected(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _members(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that link with nothing, and rows of components with their ``root``."""
+    rows, sets = links(docs, size, percent)
+    member = rows.filter("candidate").join(sets, ["h1", "h2"]).select("doc_id", "text_hash", "n_shingles", "root")
+    return rows.filter("not candidate"), workspace.written(member, "members")
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``, the smallest ``doc_id`` reachable by links."""
-    rows, sets = links(docs, size, percent)
-    alone = rows.filter("not candidate").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    member = rows.filter("candidate").join(sets, ["h1", "h2"]).select("doc_id", "n_shingles", "root")
-    member = workspace.written(member, "members")
+    alone, member = _members(docs, size, percent)
+    alone = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     names = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return alone.unionByName(member.join(names, "root").select("doc_id", "n_shingles", "component_id"))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names their component; one row of repeated ``doc_id``, all with null."""
-    gone = components(docs, size, percent).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one row of each component: the smallest ``doc_id``, among equal ones the smallest text hash.
+
+    Rows that link with nothing all stay.  Only rows of a component that holds several rows are
+    compared again: they are dealt by ``doc_id`` and text, of repeated rows one stays.
+    """
+    _, member = _members(docs, size, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    stays = member.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    crowd = member.select("root", row.alias("row")).distinct().join(stays, "root")
+    crowd = workspace.written(crowd.groupBy("row").agg(F.max(F.col("row") == F.col("first")).alias("__stays")).select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"), "__stays"), "crowd")
+    met = docs.join(crowd, docs["doc_id"].eqNullSafe(crowd["__id"]) & (F.xxhash64(docs["text"]) == crowd["__hash"]), "left")
+    single = met.filter("__stays is null").select(*docs.columns)
+    many = met.filter("__stays").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return single.unionByName(many)
