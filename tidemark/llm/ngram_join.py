@@ -135,12 +135,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
     """``(rows, sets)``: per row of ``docs`` ``doc_id, text_hash, n_shingles, candidate, h1, h2``; per set of the candidates ``h1, h2, root``."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    bitmap = sketch.repeated(texts, lambda data, offsets: shingles(data, offsets, size)[0], sketch.bits_for(texts))
+    bitmap = sketch.repeated(texts, lambda data, offsets: shingles(data, offsets, size)[0], sketch.bits_for(texts, most_bits=28))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for a, b, data, offsets in chunks(batch):
+            for a, b, data, offsets in chunks(batch, most=1 << 20):
                 flat, n = shingles(data, offsets, size)
                 at = np.concatenate([[0], np.cumsum(n)])
                 hit = np.concatenate([[0], np.cumsum(sketch.may_repeat(bitmap.value, flat))])
@@ -151,7 +151,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
                 for i in np.flatnonzero(candidate).tolist():
                     pair = (int(h1[i]), int(h2[i]))
                     if pair not in seen:
-                        if len(seen) >= 500_000:
+                        if len(seen) >= 200_000:
                             seen.clear()
                         seen.add(pair)
                         kept.append(flat[at[i] : at[i + 1]])

@@ -3,7 +3,7 @@
 Each task turns its hashes into cells and sends its distinct cells as byte deltas, dealt by slices of the
 sketch; a slice's lists are merged into a bitmap of the cells seen at least twice.  The estimate never
 falls below the true count, so no repeated hash is lost.  The merged bitmap is broadcast; its size is
-``2**bits`` bits and never above ``2**MOST_BITS`` (128 MB), whatever the corpus.  With more hashes
+``2**bits`` bits and never above ``2**MOST_BITS`` (128 MB; a caller may set less), whatever the corpus.  With more hashes
 than cells more of them are estimated repeated, and the exact pass that follows does more work.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import chunks
 
-MOST_BITS, FLUSH = 30, 4_000_000
+MOST_BITS, FLUSH = 30, 2_000_000
 
 
 def pack_deltas(sorted_values: np.ndarray) -> bytes:
@@ -36,10 +36,10 @@ def unpack_deltas(data: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=np.int64)[x != 255]
 
 
-def bits_for(texts: DataFrame, bytes_per_hash: float = 6.0) -> int:
+def bits_for(texts: DataFrame, bytes_per_hash: float = 6.0, most_bits: int = MOST_BITS) -> int:
     """Bits of a sketch with about eight cells a hash, from the bytes of all texts."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(8 * total / bytes_per_hash, 1))), 16, MOST_BITS))
+    return int(np.clip(np.ceil(np.log2(max(8 * total / bytes_per_hash, 1))), 16, most_bits))
 
 
 def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int, slices: int | None = None):
@@ -70,7 +70,7 @@ def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.nda
             })
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch):
+            for _, _, data, offsets in chunks(batch, most=1 << 20):
                 held.append((hashes(data, offsets) >> np.uint64(64 - bits)).astype(np.uint32))
                 if sum(map(len, held)) >= FLUSH:
                     yield flush()
