@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidemark.functions.numeric import clamp, clamp_levered, finite
-from tidemark.operators.rolling import compounded, log_return, series, simple_return, so_far
+from tidemark.operators.rolling import log_return, series, simple_return, so_far
 
 U = "universe"
 
@@ -36,6 +36,18 @@ def ema_values(x: pd.Series, n: int) -> pd.Series:
     return x.ewm(span=n, adjust=False, ignore_na=True).mean()
 
 
+def mad_values(x: pd.Series, n: int, least: int = 5) -> np.ndarray:
+    """As ``rolling.mad_sigma`` for a whole series at once: frames of the last ``n`` rows, missing values left out."""
+    padded = np.concatenate([np.full(n - 1, np.nan), x.to_numpy(float)])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, n)
+    known = (~np.isnan(frames)).sum(1)
+    out = np.full(len(x), np.nan)
+    at = np.flatnonzero(known >= least)
+    middle = np.nanmedian(frames[at], axis=1, keepdims=True)
+    out[at] = 1.4826 * np.nanmedian(np.abs(frames[at] - middle), axis=1)
+    return np.where(out > 0, out, np.nan)
+
+
 def with_ema(df: DataFrame, spec: dict[str, tuple[str, int]], by: tuple[str, ...] = (U,)) -> DataFrame:
     """``spec``: {new column: (column, span)}; all in one pass."""
     return per_series(df, lambda p: {c: ema_values(p[x].astype(float), n) for c, (x, n) in spec.items()}, dict.fromkeys(spec, "double"), by)
@@ -98,8 +110,8 @@ def cycle(pivot_rows: DataFrame, by: tuple[str, ...] = (U,), low: int = 10, high
 
 
 def synthetic_levered(panel: DataFrame, base: str = "QQQ", leverage: float = 3.0) -> DataFrame:
-    """``idx, d, levered``: first price of the base, compounded by clamped levered returns."""
+    """``idx, d, close, levered, log_levered``: first price of the base, compounded by clamped levered returns."""
     w = series(U)
     r = panel.filter(F.col("symbol") == base).withColumn("lr", clamp_levered(simple_return("close", w) * leverage))
-    first: Column = F.first("close").over(so_far(w))
-    return r.select(U, "idx", "d", "close", (first * compounded("lr", w)).alias("levered"))
+    total = F.ln(F.first("close").over(so_far(w))) + F.sum(F.ln(1 + F.coalesce("lr", F.lit(0.0)))).over(so_far(w))
+    return r.withColumn("log_levered", total).select(U, "idx", "d", "close", F.exp("log_levered").alias("levered"), "log_levered")

@@ -100,11 +100,15 @@ def z_momentum(x: C, w: WindowSpec, r: C, k: int = 10, v: int = 20, saturation:
 
 
 def mad_sigma(x: C, w: WindowSpec, n: int, least: int = 5) -> Column:
-    """1.4826 times the median absolute deviation from the frame's median; NULL below ``least`` values or at 0."""
-    held = F.sort_array(F.collect_list(col(x)).over(frame(w, n)))
+    """1.4826 times the median absolute deviation from the frame's median; NULL below ``least`` values or at 0.
+
+    The frame's values and their median go through one-element arrays, so each is worked out once a row.
+    """
     middle = lambda a: (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, F.floor(F.size(a) / 2 + 1).cast("int"))) / 2
-    away = F.sort_array(F.transform(held, lambda v: F.abs(v - middle(held))))
-    return F.when(F.size(held) >= least, F.nullif(1.4826 * middle(away), F.lit(0.0)))
+    held = F.array(F.sort_array(F.collect_list(col(x)).over(frame(w, n))))
+    pair = F.transform(held, lambda a: F.struct(a.alias("a"), F.when(F.size(a) >= least, middle(a)).alias("m")))
+    away = F.transform(pair, lambda p: F.sort_array(F.transform(p["a"], lambda v: F.abs(v - p["m"]))))
+    return F.get(F.transform(away, lambda a: F.when(F.size(a) >= least, F.nullif(1.4826 * middle(a), F.lit(0.0)))), F.lit(0))
 
 
 def hit_rate(pred: C, r: C, w: WindowSpec, n: int) -> Column:

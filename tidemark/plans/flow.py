@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import BASE, CLUSTER, SIGNALS, Flow
-from tidemark.functions.numeric import clamp01, mean_of, normalize_range, sigmoid, weighted_mean_of
+from tidemark.functions.numeric import clamp01, finite, mean_of, normalize_range, sigmoid, weighted_mean_of
 from tidemark.operators import eigen
-from tidemark.operators.folds import bear_damp, per_series, with_ema
+from tidemark.operators.folds import bear_damp, ema_values, mad_values, per_series
 from tidemark.operators.islands import executed, with_streak
-from tidemark.operators.rolling import mad_sigma, series, simple_return, so_far, z_momentum, zscore_sample
+from tidemark.operators.rolling import series, simple_return, so_far, z_momentum, zscore_sample
 from tidemark.plans import records as R
 from tidemark.plans.records import name
 
@@ -102,22 +102,30 @@ def _or(value: Column, missing: bool) -> Column:
 
 
 def with_stability_trend(cols: DataFrame, p: Flow) -> DataFrame:
-    """``s_slope`` (fast less slow mean of the stability) and ``s_z``, its size in robust deviations."""
-    w = series(U)
-    d = with_ema(cols, {"__fast": ("stability", p.stab.fast), "__slow": ("stability", p.stab.slow)}).withColumn("s_slope", F.col("__fast") - F.col("__slow"))
-    return d.withColumn("s_z", F.try_divide("s_slope", mad_sigma("s_slope", w, p.stab.z_win))).drop("__fast", "__slow")
+    """``s_slope`` (fast less slow mean of the stability) and ``s_z``, its size in robust deviations: one pass a series."""
+
+    def fold(pdf: pd.DataFrame) -> dict:
+        slope = ema_values(pdf["stability"], p.stab.fast) - ema_values(pdf["stability"], p.stab.slow)
+        return {"s_slope": slope, "s_z": slope / mad_values(slope, p.stab.z_win)}
+
+    return _nulls(per_series(cols, fold, {"s_slope": "double", "s_z": "double"}), "s_slope", "s_z")
 
 
 def with_ratio_timing(cols: DataFrame, p: Flow) -> DataFrame:
-    """EXP: the smoothed ratio of diffusion to drift, its fast less slow mean ``st`` and its deviation."""
+    """EXP: the smoothed ratio of diffusion to drift, its fast less slow mean ``st``, the step and its deviation."""
 
-    def half(pdf: pd.DataFrame) -> dict:
-        return {"ratio": pdf["__raw"].ewm(alpha=0.5, adjust=False, ignore_na=True).mean()}
+    def fold(pdf: pd.DataFrame) -> dict:
+        raw = pdf["diffusion"] / (pdf["v_pc1"].fillna(0).abs() + 1e-6)
+        ratio = raw.ewm(alpha=0.5, adjust=False, ignore_na=True).mean()
+        st = ema_values(ratio.fillna(0), 3) - ema_values(ratio.fillna(0), 10)
+        return {"ratio": ratio, "st": st, "d_st": st.diff(), "st_before": st.shift(), "st_sigma": mad_values(st, 63)}
 
-    d = cols.withColumn("__raw", F.col("diffusion") / (F.abs(F.coalesce("v_pc1", F.lit(0.0))) + 1e-6))
-    d = with_ema(per_series(d, half, {"ratio": "double"}), {"__e3": ("ratio", 3), "__e10": ("ratio", 10)}).withColumn("st", F.col("__e3") - F.col("__e10"))
-    w = series(U)
-    return d.withColumns({"d_st": F.col("st") - F.lag("st").over(w), "st_before": F.lag("st").over(w), "st_sigma": mad_sigma("st", w, 63)}).drop("__raw", "__e3", "__e10")
+    out = dict.fromkeys(("ratio", "st", "d_st", "st_before", "st_sigma"), "double")
+    return _nulls(per_series(cols, fold, out), *out)
+
+
+def _nulls(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: finite(c) for c in names})
 
 
 def conditions(cols: DataFrame, on: float, off: float, p: Flow = Flow()) -> DataFrame:

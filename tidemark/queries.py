@@ -374,9 +374,9 @@ def b15_cycle(spark, sf_dir):
     return folds.cycle(folds.pivots(base(spark, sf_dir), "close"))
 
 
-@query(_with(_TO_Q, f"SELECT idx, {_r('ln(first_value(close) OVER w * exp(sum(ln(1 + coalesce(least(greatest(3 * sr, -0.99), 5), 0))) OVER w))', 'log_levered')} FROM q WINDOW w AS (ORDER BY idx ROWS UNBOUNDED PRECEDING)"))
+@query(_with(_TO_Q, f"SELECT idx, {_r('ln(first_value(close) OVER w) + sum(ln(1 + CASE WHEN sr IS NULL THEN 0 ELSE least(greatest(3 * sr, -0.99), 5) END)) OVER w', 'log_levered')} FROM q WINDOW w AS (ORDER BY idx ROWS UNBOUNDED PRECEDING)"))
 def w38_levered(spark, sf_dir):
-    return folds.synthetic_levered(align.align(bars(spark, sf_dir))).select("idx", F.ln("levered").alias("log_levered"))
+    return folds.synthetic_levered(align.align(bars(spark, sf_dir))).select("idx", "log_levered")
 
 
 @query(_with(_TO_Q, f"SELECT idx, {_r('ln(lead(open) OVER (ORDER BY idx))', 'next_open')}, {_r('ln(lead(close) OVER (ORDER BY idx))', 'next_close')} FROM q"))
