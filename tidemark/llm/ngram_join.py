@@ -227,14 +227,16 @@ def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: i
     """Links ``a, b`` between components that the matrix leads to; with ``every`` all of them."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, at = _tokens(batch.column("tokens"))
-            n = np.diff(at)
-            length = n - _need(n, percent) + 1 + n // 16
-            picked = [order.sort(flat[a:b])[:k] for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), np.minimum(length, n).tolist())]
-            length = np.array([len(x) for x in picked], np.int64)
-            rep = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), length))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64) if picked else np.zeros(0, np.int64)), rep("h1"), rep("gid"), rep("comp"), pa.array(np.repeat(n, length))], names=["token", "h1", "gid", "comp", "n"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):  # a prefix token is five numbers, so few rows at a time
+                batch = whole.slice(k, 1000)
+                flat, at = _tokens(batch.column("tokens"))
+                n = np.diff(at)
+                length = n - _need(n, percent) + 1 + n // 16
+                picked = [order.sort(flat[a:b])[:m] for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), np.minimum(length, n).tolist())]
+                length = np.array([len(x) for x in picked], np.int64)
+                rep = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), length))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64) if picked else np.zeros(0, np.int64)), rep("h1"), rep("gid"), rep("comp"), pa.array(np.repeat(n, length))], names=["token", "h1", "gid", "comp", "n"])
 
     sizes = sets.select("comp").join(labels, F.col("comp") == F.col("node")).groupBy("root").agg(F.count("*").alias("m"))
     weighed = labels.join(sizes, "root").select("node", F.struct("m", "root").alias("rank"))
