@@ -7,7 +7,7 @@ All steps are window functions over one row a day, except the correlation matric
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import BASE, NEWGATE, SIGNALS, Newgate
@@ -20,17 +20,20 @@ from tidemark.plans import records as R
 from tidemark.plans.records import name
 
 U = "universe"
-W = series(U)
+
+
+def _w() -> WindowSpec:
+    return series(U)
 
 
 def flow_columns(panel: DataFrame, n: int = 63) -> DataFrame:
     """Flow, its running sum ``x``, gradient ``g``, one-sided sizes ``d_up, d_down`` and balance ``j``."""
     wide = R.with_returns(R.wide_aligned(panel))
-    d = wide.withColumns({f"z_{name(s)}": zscore(f"r_{name(s)}", W) for s in SIGNALS})
+    d = wide.withColumns({f"z_{name(s)}": zscore(f"r_{name(s)}", _w()) for s in SIGNALS})
     up, down = mean_of("z_IWM", "z_SPY", "z_BTC_USD"), mean_of("z_TLT", "z_GLD")
     d = d.withColumn("flow", F.when(up.isNotNull() | down.isNotNull(), F.coalesce(up, F.lit(0.0)) - F.coalesce(down, F.lit(0.0))))
-    d = d.withColumns({"x": F.when(F.col("flow").isNotNull(), F.sum("flow").over(so_far(W))), "g": F.coalesce(F.col("flow") - F.lag("flow").over(W), F.lit(0.0))})
-    size = lambda c: F.sqrt(F.avg(F.pow(F.greatest(c, F.lit(0.0)), 2)).over(frame(W, n)))
+    d = d.withColumns({"x": F.when(F.col("flow").isNotNull(), F.sum("flow").over(so_far(_w()))), "g": F.coalesce(F.col("flow") - F.lag("flow").over(_w()), F.lit(0.0))})
+    size = lambda c: F.sqrt(F.avg(F.pow(F.greatest(c, F.lit(0.0)), 2)).over(frame(_w(), n)))
     d = d.withColumns({"d_up": size(F.col("g")), "d_down": size(-F.col("g"))})
     d = with_slope(d, "x", (U,), n, 20, "mu")
     side = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
@@ -48,19 +51,19 @@ def absorption_ratio(panel: DataFrame, n: int = 63) -> DataFrame:
 def stress(d: DataFrame, p: Newgate) -> DataFrame:
     """z-scores of the stress measures, their mix ``s`` and the weight of the trend state."""
     total = F.col("d_up") + F.col("d_down")
-    d = d.withColumns({"chi": total / (F.col("mu_up") + F.col("mu_down") + 1e-8), "eta": F.abs(F.col("d_up") - F.col("d_down")) / (total + 1e-8), "dr": F.abs(F.col("r") - F.lag("r").over(W)), "tilt": (F.col("d_down") - F.col("d_up")) / (total + 1e-8)})
-    d = d.withColumns({f"z_{c}": zscore(c, W) for c in ("chi", "eta", "r", "dr", "tilt", "j")} | {"__size": F.abs("g")})
+    d = d.withColumns({"chi": total / (F.col("mu_up") + F.col("mu_down") + 1e-8), "eta": F.abs(F.col("d_up") - F.col("d_down")) / (total + 1e-8), "dr": F.abs(F.col("r") - F.lag("r").over(_w())), "tilt": (F.col("d_down") - F.col("d_up")) / (total + 1e-8)})
+    d = d.withColumns({f"z_{c}": zscore(c, _w()) for c in ("chi", "eta", "r", "dr", "tilt", "j")} | {"__size": F.abs("g")})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     d = d.withColumn("s", p.a_chi * zero("z_chi") + p.b_eta * zero("z_eta") + p.c_r * zero("z_r") + p.d_dr * zero("z_dr"))
-    shock = F.when((zscore("__size", W) > p.shock_z) & (F.col("g") < 0), 1 / 3).otherwise(1.0)
+    shock = F.when((zscore("__size", _w()) > p.shock_z) & (F.col("g") < 0), 1 / 3).otherwise(1.0)
     return d.withColumns({"w_trend": clamp(sigmoid(F.col("s") - p.theta, p.kappa), p.w_min, p.w_max), "shock": shock}).drop("__size")
 
 
 def trend(d: DataFrame, base: str = f"c_{BASE}") -> DataFrame:
     """``ta_score``: long mean and slope rank, strength ramp, calm rank; the mean of what is known."""
-    d = with_rsi(d, base, (U,)).withColumns({"sma50": mean(base, W, 50), "__rv": std(f"r_{BASE}", W, 20), "__up": F.when(F.col(base) > mean(base, W, 200), 1.0).otherwise(0.0)})
+    d = with_rsi(d, base, (U,)).withColumns({"sma50": mean(base, _w(), 50), "__rv": std(f"r_{BASE}", _w(), 20), "__up": F.when(F.col(base) > mean(base, _w(), 200), 1.0).otherwise(0.0)})
     d = with_slope(d, "sma50", (U,), 20, 10, "__slope")
-    d = d.withColumns({"slope_rank": percentile_rank("__slope", W), "vol_rank": percentile_rank("__rv", W)})
+    d = d.withColumns({"slope_rank": percentile_rank("__slope", _w()), "vol_rank": percentile_rank("__rv", _w())})
     score = mean_of(0.6 * F.col("__up") + 0.4 * F.coalesce("slope_rank", F.lit(0.0)), clamp01((F.col("rsi") - 30) / 40), 1 - F.col("vol_rank"))
     return d.withColumn("ta_score", score).drop("__rv", "__up", "__slope")
 
@@ -70,19 +73,19 @@ def _position(state: Column) -> Column:
 
 
 def pnl(exposure: str | Column, ret: str) -> Column:
-    return F.lag(exposure, 1, 0.0).over(W) * F.col(ret)
+    return F.lag(exposure, 1, 0.0).over(_w()) * F.col(ret)
 
 
 def mixed(d: DataFrame, p: Newgate) -> DataFrame:
     """Both latched states, their positions and the mix; quality measures of both."""
-    d = d.withColumns({"ta_state": latch("ta_score", 0.60, 0.40, W), "flow_state": latch("z_j", p.on_thr, p.off_thr, W), "ret": simple_return(f"c_{BASE}", W, 1, 0.0)})
+    d = d.withColumns({"ta_state": latch("ta_score", 0.60, 0.40, _w()), "flow_state": latch("z_j", p.on_thr, p.off_thr, _w()), "ret": simple_return(f"c_{BASE}", _w(), 1, 0.0)})
     d = d.withColumns({"pos_ta": _position(F.col("ta_state")), "pos_flow": _position(F.col("flow_state"))})
-    d = d.withColumns({"pos_mix": clamp01(F.col("w_trend") * F.col("pos_ta") + (1 - F.col("w_trend")) * F.col("pos_flow")), "__pt": pnl("pos_ta", "ret"), "__pf": pnl("pos_flow", "ret"), "__j1": F.lag("j").over(W)})
-    f = frame(W, 63)
+    d = d.withColumns({"pos_mix": clamp01(F.col("w_trend") * F.col("pos_ta") + (1 - F.col("w_trend")) * F.col("pos_flow")), "__pt": pnl("pos_ta", "ret"), "__pf": pnl("pos_flow", "ret"), "__j1": F.lag("j").over(_w())})
+    f = frame(_w(), 63)
     known = F.count(F.when(F.col("__j1").isNotNull() & F.col("ret").isNotNull(), 1)).over(f)
-    d = d.withColumns({"tqi": information_ratio("__pt", W), "ffqi": information_ratio("__pf", W), "fqi": F.when(known >= 30, correlation("__j1", "ret", f))})
+    d = d.withColumns({"tqi": information_ratio("__pt", _w()), "ffqi": information_ratio("__pf", _w()), "fqi": F.when(known >= 30, correlation("__j1", "ret", f))})
     d = d.withColumn("spread", F.coalesce("tqi", F.lit(0.0)) - F.coalesce("ffqi", F.lit(0.0)))
-    return d.withColumn("dt", F.col("spread") - F.coalesce(F.lag("spread", 10).over(W), F.lit(0.0))).drop("__pt", "__pf", "__j1")
+    return d.withColumn("dt", F.col("spread") - F.coalesce(F.lag("spread", 10).over(_w()), F.lit(0.0))).drop("__pt", "__pf", "__j1")
 
 
 def gates(d: DataFrame, p: Newgate) -> DataFrame:
@@ -113,7 +116,7 @@ def decided(d: DataFrame, p: Newgate) -> DataFrame:
     d = d.withColumn("position", clamp01(F.col("pos_mix") * F.least(*caps)))
     v = F.col("position")
     d = d.withColumn("state", F.when(v >= high, 1).when(v <= low * 0.5, -1).otherwise(0))
-    return d.withColumns({"executed": executed("state", W), "w_flow": 1 - F.col("w_trend")})
+    return d.withColumns({"executed": executed("state", _w()), "w_flow": 1 - F.col("w_trend")})
 
 
 def newgate(panel: DataFrame, preset: str | Newgate = "aggressive_plus", extra: DataFrame | None = None) -> DataFrame:
