@@ -1,14 +1,15 @@
 """Exact Jaccard join of documents on word 5-shingles by a token-group matrix, and its components.
 
 1. A count-min sketch of all shingles marks those that may occur in two documents.  A document links with
-   another only if at least ``least`` percent of its shingles do, so all others are done: this is the
-   matrix with one group, everything else.
-2. Documents with the same shingle set are one set from here on (a task sends a set once).  Sets are put
-   into groups by their first shingle in one global order (frequent shingles last), which similar sets
-   share as likely as they are similar.  Groups above a size are split into blocks.  Each group is
-   opened by one task that links its sets exactly.
+   another only if at least ``least`` percent of its shingles do, so all others are done.  Documents with the
+   same shingle set are one set from here on, and a second sketch, over the sets, takes out the shingles
+   that no other set has: they count for a set's size but match nothing.  Sets left with too few shared
+   shingles are done too: this is the matrix with one group, everything else.
+2. Sets are put into groups by their first shared shingle in one global order (frequent shingles last), which
+   similar sets share as likely as they are similar.  Groups above a size are split into blocks.  Each
+   group is opened by one task that links its sets exactly.
 3. The token-group matrix holds, for every group, the union of its sets' shingle prefixes.  A prefix is so
-   long that two linked sets share at least ``1 + n // 16`` of its shingles; a set's overlap with a group's
+   long that two linked sets share at least ``1 + need // 16`` of its shingles; a set's overlap with a group's
    union bounds its overlap with each member.  Only groups that reach the bound are opened: the set is
    sent there, its overlap with the whole union is checked, then its overlap with each member.
 4. The matrix is used twice: first each set goes to the group it overlaps most, which joins most of a
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import sketch, workspace
 from tidemark.llm.hashing import LOWER, SPACED, Words, chunks, mix, window_hashes
 
-_SETS = "h1 long, h2 long, gid long, comp long, tokens array<long>"
+_SETS = "h1 long, h2 long, gid long, comp long, n long, tokens array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +98,15 @@ class Order:
         return tokens[np.argsort(r, kind="stable")]
 
 
-def link_sets(tokens: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+def link_sets(tokens: np.ndarray, at: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     """Exact components of the sets of one group: for each set the index of one set of its component.
 
+    ``size`` counts all tokens of a set, also those that are not in ``tokens`` since no other set has them.
     A set is compared only with sets not reached yet, whose tokens are scanned together.
     """
     m = len(at) - 1
     root = np.full(m, -1)
-    size = np.diff(at)
+    held = np.diff(at)
     _, token = np.unique(tokens, return_inverse=True)
     mark = np.zeros(token.max() + 1 if len(token) else 1, bool)
     left = np.argsort(size, kind="stable")
@@ -117,7 +119,7 @@ def link_sets(tokens: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
             x = queue.pop()
             if flat is None:
                 flat = np.concatenate([token[at[i] : at[i + 1]] for i in left])
-                edges = np.concatenate([[0], np.cumsum(size[left])])
+                edges = np.concatenate([[0], np.cumsum(held[left])])
             mine = token[at[x] : at[x + 1]]
             mark[mine] = True
             total = np.concatenate([[0], np.cumsum(mark[flat])])
@@ -135,7 +137,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
     """``(rows, sets)``: per row of ``docs`` ``doc_id, text_hash, n_shingles, candidate, h1, h2``; per set of the candidates ``h1, h2, root``."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    bitmap = sketch.repeated(texts, lambda data, offsets: shingles(data, offsets, size)[0], sketch.bits_for(texts, most_bits=28))
+    bitmap = sketch.repeated(texts.select("text"), sketch.of_texts(lambda data, offsets: shingles(data, offsets, size)[0]), sketch.bits_for(texts, most_bits=28))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -162,7 +164,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
                 yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(n), pa.array(candidate), pa.array(h1), pa.array(h2), lists], names=["doc_id", "text_hash", "n_shingles", "candidate", "h1", "h2", "tokens"])
 
     rows = workspace.written(texts.mapInArrow(first_pass, "doc_id long, text_hash long, n_shingles long, candidate boolean, h1 long, h2 long, tokens array<long>"), "sets")
-    found = rows.filter("tokens is not null").select("h1", "h2", "tokens")
+    found = _shared(workspace.written(rows.filter("tokens is not null").select("h1", "h2", "tokens").dropDuplicates(["h1", "h2"]), "distinct"), percent)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -188,32 +190,29 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
             flat, at = _tokens(batch.column("tokens"))
             r = order.ranks(flat)
             lead = np.array([int(flat[a:b][r[a:b].argmin()]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead.view(np.int64)), pa.array(np.diff(at))], names=["h1", "h2", "tokens", "lead", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead.view(np.int64))], names=["h1", "h2", "n", "tokens", "lead"])
 
-    led = found.mapInArrow(grouped, "h1 long, h2 long, tokens array<long>, lead long, n long")
+    led = found.mapInArrow(grouped, "h1 long, h2 long, n long, tokens array<long>, lead long")
     # Groups above the size: at most (all tokens / group_tokens) of them.
-    large = {r["lead"]: -(-r["n"] // group_tokens) for r in led.groupBy("lead").agg(F.sum("n").alias("n")).filter(F.col("n") > group_tokens).collect()}
+    large = {r["lead"]: -(-r["n"] // group_tokens) for r in led.groupBy("lead").agg(F.sum(F.size("tokens")).alias("n")).filter(F.col("n") > group_tokens).collect()}
     blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in large.items() for x in kv)), F.col("lead")), F.lit(1).cast("long")) if large else F.lit(1).cast("long")
-    total = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    total = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
     buckets = max(16, int(total // group_tokens) * 2)
     placed = led.withColumn("gid", F.xxhash64("lead", F.pmod("h1", blocks))).withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int"))
 
     def open_groups(key: tuple, table: pa.Table) -> pa.Table:
-        h1, h2, gid = (table.column(c).to_numpy() for c in ("h1", "h2", "gid"))
+        h1, h2, gid, full = (table.column(c).to_numpy() for c in ("h1", "h2", "gid", "n"))
         flat, at = _tokens(table.column("tokens"))
-        order_ = np.lexsort((h2, h1, gid))
-        keep = np.ones(len(order_), bool)
-        keep[1:] = (h1[order_][1:] != h1[order_][:-1]) | (h2[order_][1:] != h2[order_][:-1])
-        rows_ = order_[keep]
+        rows_ = np.lexsort((h2, h1, gid))
         comp = h1[rows_].copy()
         edges = np.flatnonzero(np.append(True, gid[rows_][1:] != gid[rows_][:-1]))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(rows_)]):
             if b - a > 1:
                 mine = rows_[a:b]
                 n = at[mine + 1] - at[mine]
-                root = link_sets(np.concatenate([flat[at[i] : at[i + 1]] for i in mine]), np.concatenate([[0], np.cumsum(n)]), percent)
+                root = link_sets(np.concatenate([flat[at[i] : at[i + 1]] for i in mine]), np.concatenate([[0], np.cumsum(n)]), full[mine], percent)
                 comp[a:b] = h1[mine][root]
-        return pa.table({"h1": h1[rows_], "h2": h2[rows_], "gid": gid[rows_], "comp": comp, "tokens": table.column("tokens").combine_chunks().take(pa.array(rows_))})
+        return pa.table({"h1": h1[rows_], "h2": h2[rows_], "gid": gid[rows_], "comp": comp, "n": full[rows_], "tokens": table.column("tokens").combine_chunks().take(pa.array(rows_))})
 
     sets = workspace.written(placed.groupBy("bucket").applyInArrow(open_groups, _SETS), "groups")
     labels = sets.select(F.col("comp").alias("node"), F.col("comp").alias("root")).distinct()
@@ -223,6 +222,26 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
     return rows.drop("tokens"), sets.join(labels, sets["comp"] == labels["node"]).select("h1", "h2", "root")
 
 
+def _shared(found: DataFrame, percent: int) -> DataFrame:
+    """``h1, h2, n, tokens``: the tokens that may be in another set too, for sets that have enough of them."""
+    bitmap = sketch.repeated(found.select("tokens"), lambda batch: iter([mix(_tokens(batch.column("tokens"))[0], 23)]), 28)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                flat, at = _tokens(batch.column("tokens"))
+                hit = sketch.may_repeat(bitmap.value, mix(flat, 23))
+                n = np.diff(at)
+                m = np.diff(np.concatenate([[0], np.cumsum(hit)])[at])
+                enough = (100 * m >= percent * n) & (n > 0)
+                hit &= np.repeat(enough, n)
+                some = batch.filter(pa.array(enough))
+                yield pa.RecordBatch.from_arrays([some.column("h1"), some.column("h2"), pa.array(n[enough]), _lists(flat[hit], m[enough])], names=["h1", "h2", "n", "tokens"])
+
+    return workspace.written(found.mapInArrow(keep, "h1 long, h2 long, n long, tokens array<long>"), "shared")
+
+
 def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: int, buckets: int, every: bool) -> DataFrame:
     """Links ``a, b`` between components that the matrix leads to; with ``every`` all of them."""
 
@@ -231,9 +250,9 @@ def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: i
             for k in range(0, whole.num_rows, 1000):  # a prefix token is five numbers, so few rows at a time
                 batch = whole.slice(k, 1000)
                 flat, at = _tokens(batch.column("tokens"))
-                n = np.diff(at)
-                length = n - _need(n, percent) + 1 + n // 16
-                picked = [order.sort(flat[a:b])[:m] for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), np.minimum(length, n).tolist())]
+                n, held_n = batch.column("n").to_numpy(), np.diff(at)
+                length = held_n - _need(n, percent) + 1 + n // 16
+                picked = [order.sort(flat[a:b])[:m] for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), np.minimum(length, held_n).tolist())]
                 length = np.array([len(x) for x in picked], np.int64)
                 rep = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), length))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64) if picked else np.zeros(0, np.int64)), rep("h1"), rep("gid"), rep("comp"), pa.array(np.repeat(n, length))], names=["token", "h1", "gid", "comp", "n"])
@@ -256,14 +275,15 @@ def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: i
         sent = hits.groupBy("h1").agg(F.max(F.struct("hits", "gid")).alias("g")).select("h1", "g.gid")
     sent = workspace.written(sent.select("h1", F.col("gid").alias("to")), "queries")
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
-    rooted = sets.join(labels, F.col("comp") == F.col("node")).select("h1", "gid", "root", "tokens")
+    rooted = sets.join(labels, F.col("comp") == F.col("node")).select("h1", "gid", "root", "n", "tokens")
     # Own names: a cogroup tells its sides apart by their columns, and both come from the same sets.
-    asked = rooted.select("h1", F.col("root").alias("q_root"), F.col("tokens").alias("q_tokens")).join(sent, "h1").select(bucket("to"), F.col("to").alias("q_gid"), "q_root", "q_tokens")
-    opened = rooted.join(sent.select(F.col("to").alias("gid")).distinct(), "gid", "left_semi").select(bucket("gid"), "gid", "root", "tokens")
+    asked = rooted.select("h1", F.col("root").alias("q_root"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")).join(sent, "h1").select(bucket("to"), F.col("to").alias("q_gid"), "q_root", "q_n", "q_tokens")
+    opened = rooted.join(sent.select(F.col("to").alias("gid")).distinct(), "gid", "left_semi").select(bucket("gid"), "gid", "root", "n", "tokens")
 
     def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         q_gid, q_root = left.column("q_gid").to_numpy(), left.column("q_root").to_numpy()
         g_gid, g_root = right.column("gid").to_numpy(), right.column("root").to_numpy()
+        q_size, g_size = left.column("q_n").to_numpy(), right.column("n").to_numpy()
         (q, q_at), (g, g_at) = (_tokens(t.column(c)) if len(t) else (np.zeros(0, np.uint64), np.zeros(1, np.int64)) for t, c in ((left, "q_tokens"), (right, "tokens")))
         out: set[tuple[int, int]] = set()
         by = np.argsort(g_gid, kind="stable")
@@ -271,18 +291,18 @@ def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: i
             mine = by[np.searchsorted(g_gid[by], gid) : np.searchsorted(g_gid[by], gid, side="right")]
             if not len(mine):
                 continue
-            size = g_at[mine + 1] - g_at[mine]
-            flat, owner = np.concatenate([g[g_at[i] : g_at[i + 1]] for i in mine]), np.repeat(np.arange(len(mine)), size)
+            size = g_size[mine]
+            flat, owner = np.concatenate([g[g_at[i] : g_at[i + 1]] for i in mine]), np.repeat(np.arange(len(mine)), g_at[mine + 1] - g_at[mine])
             place = np.argsort(flat, kind="stable")
             flat, owner = flat[place], owner[place]
             for i in np.flatnonzero(q_gid == gid):
                 x = q[q_at[i] : q_at[i + 1]]
                 lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, side="right")
                 n = hi - lo
-                if 100 * (n > 0).sum() < percent * len(x):  # the bound by the group's whole union
+                if 100 * (n > 0).sum() < percent * q_size[i]:  # the bound by the group's whole union
                     continue
                 both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(mine))
-                for root in np.unique(g_root[mine[100 * both >= percent * (len(x) + size - both)]]):
+                for root in np.unique(g_root[mine[100 * both >= percent * (q_size[i] + size - both)]]):
                     if root != q_root[i]:
                         out.add((min(int(root), int(q_root[i])), max(int(root), int(q_root[i]))))
         pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
@@ -326,7 +346,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def _members(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows that link with nothing, and rows of components with their ``root``."""
     rows, sets = links(docs, size, percent)
-    member = rows.filter("candidate").join(sets, ["h1", "h2"]).select("doc_id", "text_hash", "n_shingles", "root")
+    member = rows.filter("candidate").join(sets, ["h1", "h2"], "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "h1").alias("root"))
     return rows.filter("not candidate"), workspace.written(member, "members")
 
 

@@ -42,12 +42,19 @@ def bits_for(texts: DataFrame, bytes_per_hash: float = 6.0, most_bits: int = MOS
     return int(np.clip(np.ceil(np.log2(max(8 * total / bytes_per_hash, 1))), 16, most_bits))
 
 
-def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int, slices: int | None = None):
-    """A broadcast bitmap of ``2**bits`` cells: set where at least two of the hashes fall.
+def of_texts(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    """For ``repeated``: the hashes of a ``text`` column; ``hashes(bytes, offsets)`` gives those of a chunk of texts."""
 
-    ``hashes(bytes, offsets)`` gives the hashes of a chunk of texts.
-    """
-    spark = texts.sparkSession
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in chunks(batch, most=1 << 20):
+            yield hashes(data, offsets)
+
+    return run
+
+
+def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, slices: int | None = None):
+    """A broadcast bitmap of ``2**bits`` cells: set where at least two of the hashes of ``rows`` fall."""
+    spark = rows.sparkSession
     slices = 1 << int(np.ceil(np.log2(max(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), 16))))
     slices = min(slices, 1 << 12, 1 << (bits - 3))
     width = (1 << bits) // slices
@@ -70,8 +77,8 @@ def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.nda
             })
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch, most=1 << 20):
-                held.append((hashes(data, offsets) >> np.uint64(64 - bits)).astype(np.uint32))
+            for found in hashes(batch):
+                held.append((found >> np.uint64(64 - bits)).astype(np.uint32))
                 if sum(map(len, held)) >= FLUSH:
                     yield flush()
         if held:
@@ -87,7 +94,7 @@ def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.nda
                 twice[unpack_deltas(b.as_py())] = True
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
-    parts = texts.select("text").mapInArrow(fill, "slice int, once binary, twice binary").groupBy("slice").applyInArrow(merge, "slice int, bitmap binary")
+    parts = rows.mapInArrow(fill, "slice int, once binary, twice binary").groupBy("slice").applyInArrow(merge, "slice int, bitmap binary")
     found = np.zeros((slices, width // 8), np.uint8)
     for row in parts.toLocalIterator():  # one slice at a time; 2**bits bits in all
         found[row["slice"]] = np.frombuffer(row["bitmap"], np.uint8)

@@ -48,7 +48,7 @@ def dedup(docs: DataFrame, window: int = 35, bucket_windows: int = 500_000, part
         h = w.hashes(data)
         return window_hashes(h, w.windows(h, window)[0], window)
 
-    bitmap = sketch.repeated(texts, hashes, bits)
+    bitmap = sketch.repeated(texts.select("text"), sketch.of_texts(hashes), bits)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
