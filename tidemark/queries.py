@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.config import EXECUTIONS, NEWGATE, SIGNALS, Execution, Flow
 from tidemark.functions import numeric as N
 from tidemark.functions import text as TX
-from tidemark.operators import align, eigen, folds, islands
+from tidemark.operators import align, eigen, filters, folds, islands
 from tidemark.operators import rolling as W
 from tidemark.plans import backtest as B
-from tidemark.plans import engines, flow, flux5, newgate, report, search
+from tidemark.plans import engines, flow, flux5, narrative, newgate, report, search
 from tidemark.plans import records as R
 from tidemark.sources import ingest, panel, sinks
 from tidemark.streaming import quotes as stream
@@ -719,3 +719,65 @@ def t01_event_windows(spark, sf_dir):
 def t02_latch_by_user(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select("user_id", "event_id", islands.latch("value", 60, 10, w).alias("state"))
+
+
+# ---------------------------------------------------------------- guards, filters, texts
+@query(_with((_panel_sql(),), f"SELECT symbol, d, {_r('close / first_value(close) OVER (PARTITION BY symbol ORDER BY d)', 'norm')} FROM panel"))
+def p15_normalized(spark, sf_dir):
+    return filters.normalized(bars(spark, sf_dir)).select("symbol", "d", "norm")
+
+
+@query(_with((*_TO_Q, "b AS (SELECT quantile_cont(r, 0.05) AS lo, quantile_cont(r, 0.95) AS hi, quantile_cont(r, 0.25) AS a, quantile_cont(r, 0.5) AS m, quantile_cont(r, 0.75) AS z FROM q)"), f"SELECT idx, {_r('CASE WHEN r IS NOT NULL THEN least(greatest(r, lo), hi) END', 'r')}, {_r('(r - m) / (z - a)', 'scaled')} FROM q, b"))
+def p17_winsorized(spark, sf_dir):
+    q = base(spark, sf_dir).select(U, "idx", "r", F.col("r").alias("scaled"))
+    return filters.quartile_scaled(filters.winsorized(q, "r", 0.05), "scaled").select("idx", "r", "scaled")
+
+
+@query(_with((*_TO_Q, "v AS (SELECT row_number() OVER (ORDER BY idx DESC) AS n, r FROM q WHERE idx % 2 = 0)"), f"SELECT idx, {_r('v.r', 'r')} FROM (SELECT idx, row_number() OVER (ORDER BY idx DESC) AS n FROM q) d LEFT JOIN v USING (n)"))
+def p10_right_aligned(spark, sf_dir):
+    q = base(spark, sf_dir)
+    return filters.right_aligned(q.select(U, "idx"), q.filter("idx % 2 = 0").select(U, "idx", "r"), "r").select("idx", "r")
+
+
+@query(_with((_panel_sql(),), "SELECT min(d) AS first_d, max(d) AS last_d, min(d) <= DATE '1996-01-01' AND max(d) >= DATE '2001-01-01' AS covers, date_diff('day', max(d), DATE '2001-01-01') > 3 AS stale FROM panel"))
+def p20_coverage(spark, sf_dir):
+    return filters.coverage(bars(spark, sf_dir), F.lit("1996-01-01").cast("date"), F.lit("2001-01-01").cast("date"))
+
+
+@query(_with((*_TO_Q, _LATCH), "SELECT d, state FROM la WHERE (SELECT count(*) FROM la WHERE state IS NULL) = 0"))
+def p09_complete_lookup(spark, sf_dir):
+    la = latched(spark, sf_dir)
+    return filters.complete_lookup(la.select(U, "d"), filters.first_states(la)).select("d", "state")
+
+
+_DI = "e AS (SELECT idx, greatest(s, 0) AS u, greatest(-s, 0) AS v, abs(s) AS m FROM sp WHERE idx = 1 UNION ALL SELECT sp.idx, 2::DOUBLE / 15 * greatest(s, 0) + 13::DOUBLE / 15 * u, 2::DOUBLE / 15 * greatest(-s, 0) + 13::DOUBLE / 15 * v, 2::DOUBLE / 15 * abs(s) + 13::DOUBLE / 15 * m FROM e JOIN sp ON sp.idx = e.idx + 1)"
+
+
+@query(_with((*_TO_Q, "sp AS MATERIALIZED (SELECT idx, close - lag(close) OVER (ORDER BY idx) AS s FROM q)", _DI), f"SELECT idx, {_r('100 * u / m', 'di_plus')}, {_r('100 * v / m', 'di_minus')} FROM e UNION ALL SELECT 0, NULL, NULL", True))
+def r32_directional_index(spark, sf_dir):
+    return filters.directional_index(base(spark, sf_dir)).select("idx", "di_plus", "di_minus")
+
+
+@query(_with((*_TO_Q, _LATCH, _SEG, "runs AS (SELECT segment, any_value(state) AS state, min(d) AS d, arg_min(close, idx) AS p0, arg_max(close, idx) AS p1 FROM sg GROUP BY segment)", "nx AS (SELECT segment, state, d, p0, lag(state) OVER o AS ps, coalesce(lead(p0) OVER o, p1) AS pe FROM runs WINDOW o AS (ORDER BY segment))"),
+             "SELECT row_number() OVER (ORDER BY segment DESC) AS number, concat_ws(chr(9), strftime(d, '%m/%d'), CASE WHEN ps > 0 THEN 'Risk-On' WHEN ps < 0 THEN 'Risk-Off' ELSE 'Neutral' END || ' > ' || CASE WHEN state > 0 THEN 'Risk-On' WHEN state < 0 THEN 'Risk-Off' ELSE 'Neutral' END, printf('%.2f%%', (pe / p0 - 1) * 100), CASE WHEN CASE WHEN state > 0 THEN pe > p0 WHEN state < 0 THEN pe < p0 ELSE pe >= p0 END THEN 'hit' ELSE 'miss' END) AS line FROM nx WHERE ps IS NOT NULL ORDER BY segment DESC LIMIT 10"))
+def q10_transition_lines(spark, sf_dir):
+    return narrative.transition_lines(islands.transitions(latched(spark, sf_dir), "state", "close"))
+
+
+@query()
+def m09_narrative(spark, sf_dir):
+    p = NEWGATE["base"]
+    done = newgate.newgate(bars(spark, sf_dir), p)
+    moved = done.groupBy(U).agg(F.max_by(F.col("position"), "idx").alias("position"), F.max_by("state", "idx").alias("state"))
+    last = newgate.diagnostics(done, p).select(U, "d", "gate", "ew_hits", "dr_hits", "cr_hits").join(moved, U).withColumn("delta", F.lit(0.0))
+    return narrative.narrative(last).join(narrative.gate_summary(last).select(U, "risk", F.col("text").alias("gates")), U)
+
+
+@query()
+def r17_guarded(spark, sf_dir):
+    return narrative.guarded(flow.flow(bars(spark, sf_dir))).select("idx", "state", "guarded")
+
+
+@query()
+def r16_plain_flow(spark, sf_dir):
+    return flow.plain_state(flow.columns(bars(spark, sf_dir)), 0.10, -0.08).select("idx", "score", "j", "state")
