@@ -6,8 +6,9 @@
    that no other set has: they count for a set's size but match nothing.  Sets left with too few shared
    shingles are done too: this is the matrix with one group, everything else.
 2. Sets are put into groups by their first shared shingle in one global order (frequent shingles last), which
-   similar sets share as likely as they are similar.  Groups above a size are split into blocks.  Each
-   group is opened by one task that links its sets exactly.
+   similar sets share as likely as they are similar; a set that its frequent shingles alone could link goes
+   by the least of those, so that a crowd is a few groups.  Groups above a size are split into blocks.
+   Each group is opened by one task that links its sets exactly.
 3. The token-group matrix holds, for every group, the union of its sets' shingle prefixes.  A prefix is so
    long that two linked sets share at least ``1 + need // 16`` of its shingles; a set's overlap with a group's
    union bounds its overlap with each member.  Only groups that reach the bound are opened: the set is
@@ -133,7 +134,7 @@ def link_sets(tokens: np.ndarray, at: np.ndarray, size: np.ndarray, percent: int
     return root
 
 
-def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """``(rows, sets)``: per row of ``docs`` ``doc_id, text_hash, n_shingles, candidate, h1, h2``; per set of the candidates ``h1, h2, root``."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -189,7 +190,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
         for batch in batches:
             flat, at = _tokens(batch.column("tokens"))
             r = order.ranks(flat)
-            lead = np.array([int(flat[a:b][r[a:b].argmin()]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
+            need = _need(batch.column("n").to_numpy(), percent)
+            lead = np.empty(len(need), np.uint64)
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                frequent = np.flatnonzero(r[a:b] >= 0)
+                # Frequent tokens alone may link this set: crowds then meet under a frequent token, not each under a rare one.
+                lead[i] = flat[a + (frequent[0] if len(frequent) >= need[i] else r[a:b].argmin())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead.view(np.int64))], names=["h1", "h2", "n", "tokens", "lead"])
 
     led = found.mapInArrow(grouped, "h1 long, h2 long, n long, tokens array<long>, lead long")
