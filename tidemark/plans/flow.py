@@ -19,6 +19,7 @@ from tidemark.operators.islands import executed, with_streak
 from tidemark.operators.rolling import series, simple_return, so_far, z_momentum, zscore_sample
 from tidemark.plans import records as R
 from tidemark.plans.records import name
+from tidemark.sources import shared
 
 U = "universe"
 RISK = tuple(s for s in SIGNALS if CLUSTER[s] == "risk")
@@ -209,11 +210,14 @@ def states(flagged: DataFrame, p: Flow = Flow()) -> DataFrame:
 
 
 def flow(panel: DataFrame, window: int = 30, p: Flow = Flow(), at: tuple[float, float] | None = None) -> DataFrame:
-    """The engine end to end.  ``at`` freezes the thresholds; without it they are fitted on this panel."""
-    cols = columns(panel, window)
+    """The engine end to end.  ``at`` freezes the thresholds; without it they are fitted on this panel.
+
+    The daily columns are written once: the fit and the decision both read them.
+    """
+    cols = shared.settled(columns(panel, window), "flow")
     on, off = at or thresholds(cols, p)
-    keep = [c for c in conditions(cols, on, off, p).columns if not c.startswith("__")]
-    return states(conditions(cols, on, off, p).select(*keep), p)
+    flagged = conditions(cols, on, off, p)
+    return states(flagged.select(*(c for c in flagged.columns if not c.startswith("__"))), p)
 
 
 def plain_state(cols: DataFrame, on: float, off: float) -> DataFrame:

@@ -54,7 +54,8 @@ def search_flux5(inputs: DataFrame, candidates: DataFrame, e: Execution, base: s
 def search_flow(cols: DataFrame, quantiles: list[tuple[float, float]], p: Flow, e: Execution, splits: list[tuple[str, str]] | None = None) -> DataFrame:
     """Statistics of the flow engine for pairs of threshold quantiles, on the whole history or by date split.
 
-    The flags of a candidate are columns; candidates are united and decided in parallel.
+    The flags of a candidate are columns; candidates are united and decided in parallel.  Only closes are
+    known here, so ``e`` trades at the close.
     """
     found = []
     for i, (q_on, q_off) in enumerate(quantiles):

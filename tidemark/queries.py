@@ -19,7 +19,7 @@ from tidemark.operators import rolling as W
 from tidemark.plans import backtest as B
 from tidemark.plans import engines, flow, flux5, narrative, newgate, report, search
 from tidemark.plans import records as R
-from tidemark.sources import ingest, panel, sinks
+from tidemark.sources import ingest, panel, shared, sinks
 from tidemark.streaming import quotes as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,11 @@ def bars(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
     return panel.from_line_items(spark, sf_dir, bucket)
 
 
+def settled_bars(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
+    """Bars for an engine that uses them several times: made from the trades once."""
+    return shared.settled(bars(spark, sf_dir, bucket), "bars")
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base symbol on the shared calendar: ``idx, d, open, close, r, sr``."""
     w = W.series(U)
@@ -553,12 +558,12 @@ def r18_fusion(spark, sf_dir):
 
 @query()
 def r02_enhanced(spark, sf_dir):
-    return engines.enhanced(R.full_records(bars(spark, sf_dir))).select("idx", "d", "blend", "guard", "state", "fragile")
+    return engines.enhanced(R.full_records(settled_bars(spark, sf_dir))).select("idx", "d", "blend", "guard", "state", "fragile")
 
 
 def _flow(variant: str):
     def run(spark, sf_dir):
-        out = flow.flow(bars(spark, sf_dir), 30, Flow(variant))
+        out = flow.flow(settled_bars(spark, sf_dir), 30, Flow(variant))
         return out.select("idx", "d", "j", "diffusion", "guard", "score", "state", "executed", "fragile")
 
     return run
@@ -573,26 +578,26 @@ for _v in ("classic", "exp", "stab"):
 @query()
 def r18_fll_fusion(spark, sf_dir):
     """Classic and the stability-aware flow engine, mixed."""
-    f = flow.flow(bars(spark, sf_dir)).select(U, "idx", "d", F.col("state").alias("state_f"), "ret", "mm", "pair_corr", "safe_negative")
+    f = flow.flow(settled_bars(spark, sf_dir)).select(U, "idx", "d", F.col("state").alias("state_f"), "ret", "mm", "pair_corr", "safe_negative")
     two = engines.classic(f).withColumnRenamed("state", "state_c").drop("score")
     return engines.fusion(two).select("idx", "d", "w_c", "w_f", "state", "executed", "score")
 
 
 @query()
 def r19_newgate(spark, sf_dir):
-    return newgate.newgate(bars(spark, sf_dir)).select("idx", "d", "position", "w_trend", "ta_state", "flow_state", "ew_hits", "dr_hits", "cr_hits", "cr_held", "state", "executed")
+    return newgate.newgate(settled_bars(spark, sf_dir)).select("idx", "d", "position", "w_trend", "ta_state", "flow_state", "ew_hits", "dr_hits", "cr_hits", "cr_held", "state", "executed")
 
 
 @query()
 def r29_newgate_diagnostics(spark, sf_dir):
     p = NEWGATE["base"]
-    done = newgate.newgate(bars(spark, sf_dir), p)
+    done = newgate.newgate(settled_bars(spark, sf_dir), p)
     return newgate.diagnostics(done, p).join(newgate.concordance(done), U)
 
 
 @query()
 def r30_flux5(spark, sf_dir):
-    p = bars(spark, sf_dir)
+    p = settled_bars(spark, sf_dir)
     return flux5.flux5(flow.columns(p), R.correlations(p, 30, SIGNALS)).select("idx", "d", "flux_score", "kappa", "state", "executed")
 
 
@@ -604,7 +609,7 @@ def n01_absorption(spark, sf_dir):
 @query()
 def b11_grid(spark, sf_dir):
     """864 candidates of ClassicFlux5, best first equity."""
-    p = bars(spark, sf_dir, "week")
+    p = settled_bars(spark, sf_dir, "week")
     rows = flux5.inputs(flow.columns(p, 20), R.correlations(p, 20, SIGNALS))
     g = search.grid(spark, j_on=[0.05, 0.08, 0.10, 0.12], j_off=[-0.12, -0.08, -0.05], kappa_on=[0.5, 0.6, 0.7], pcon_on=[0.5, 0.55, 0.6], v_on=[0.0, 0.05], lock_days=[3, 5], drift_days=[3, 5])
     return search.search_flux5(rows, g, EXECUTIONS["flux5"]).drop("churn")
@@ -612,8 +617,8 @@ def b11_grid(spark, sf_dir):
 
 @query()
 def b12_flow_search(spark, sf_dir):
-    cols = flow.columns(bars(spark, sf_dir, "week"), 20)
-    return search.objective(search.search_flow(cols, [(a, b) for a in (0.65, 0.715) for b in (0.2, 0.244)], Flow("exp"), EXECUTIONS["app"]))
+    cols = shared.settled(flow.columns(settled_bars(spark, sf_dir, "week"), 20), "flow")
+    return search.objective(search.search_flow(cols, [(a, b) for a in (0.65, 0.715) for b in (0.2, 0.244)], Flow("exp"), EXECUTIONS["close"]))
 
 
 _PROB = "pb AS (SELECT idx, 1 / (1 + exp(-r * 20)) AS p, lead(close, 5) OVER (ORDER BY idx) / close - 1 AS future FROM q WHERE r IS NOT NULL)"
@@ -767,7 +772,7 @@ def q10_transition_lines(spark, sf_dir):
 @query()
 def m09_narrative(spark, sf_dir):
     p = NEWGATE["base"]
-    done = newgate.newgate(bars(spark, sf_dir), p)
+    done = newgate.newgate(settled_bars(spark, sf_dir), p)
     moved = done.groupBy(U).agg(F.max_by(F.col("position"), "idx").alias("position"), F.max_by("state", "idx").alias("state"))
     last = newgate.diagnostics(done, p).select(U, "d", "gate", "ew_hits", "dr_hits", "cr_hits").join(moved, U).withColumn("delta", F.lit(0.0))
     return narrative.narrative(last).join(narrative.gate_summary(last).select(U, "risk", F.col("text").alias("gates")), U)
@@ -775,9 +780,9 @@ def m09_narrative(spark, sf_dir):
 
 @query()
 def r17_guarded(spark, sf_dir):
-    return narrative.guarded(flow.flow(bars(spark, sf_dir))).select("idx", "state", "guarded")
+    return narrative.guarded(flow.flow(settled_bars(spark, sf_dir))).select("idx", "state", "guarded")
 
 
 @query()
 def r16_plain_flow(spark, sf_dir):
-    return flow.plain_state(flow.columns(bars(spark, sf_dir)), 0.10, -0.08).select("idx", "score", "j", "state")
+    return flow.plain_state(flow.columns(settled_bars(spark, sf_dir)), 0.10, -0.08).select("idx", "score", "j", "state")
