@@ -33,9 +33,12 @@ def classic(records: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 def fitted(records: DataFrame, low: float = 0.3, high: float = 0.7) -> Thresholds:
     """Thresholds at quantiles of the pair correlation and score: one aggregate row for the whole history.
 
-    This looks at all days, so it is a fit of its own and never part of an engine.
+    This looks at all days, so it is a fit of its own and never part of an engine.  Without records the
+    thresholds are the fixed ones.
     """
     q = classic(records).agg(F.percentile("pair_corr", [low, high]).alias("c"), F.percentile("score", [low, high]).alias("s")).first()
+    if q["c"] is None:
+        return Thresholds()
     return Thresholds(q["c"][1], q["c"][0], q["s"][1], q["s"][0], (q["c"][0] + q["c"][1]) / 2)
 
 
