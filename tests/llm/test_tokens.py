@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -10,30 +11,30 @@ from hypothesis import strategies as st
 
 from tidemark.llm import packing, token_files, tokens
 
-SCHEMA_NAMES = ["doc_id", "start", "n_tokens", "ids_crc32"]
-
 
 @pytest.fixture(scope="module")
 def encode():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(tokens.default_path())
-    return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    return lambda text: [*library().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
+@lru_cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
+
+
 @given(st.lists(st.text(max_size=60), min_size=1, max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_encoder_equals_library(texts):
-    from tokenizers import Tokenizer
-
     raw = [t.encode("utf-8", "ignore") for t in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     flat, n = tokens.encoder(tokens.default_path()).encode_chunk(data, offsets)
-    want = [Tokenizer.from_file(tokens.default_path()).encode(r.decode(), add_special_tokens=False).ids for r in raw] if len(texts) < 2 else [tokens.encoder(tokens.default_path()).full.encode(r.decode(), add_special_tokens=False).ids for r in raw]
+    want = [library().encode(r.decode(), add_special_tokens=False).ids for r in raw]
     assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
