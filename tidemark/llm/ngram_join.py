@@ -195,7 +195,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 frequent = np.flatnonzero(r[a:b] >= 0)
                 # Frequent tokens alone may link this set: crowds then meet under a frequent token, not each under a rare one.
-                lead[i] = flat[a + (frequent[0] if len(frequent) >= need[i] else r[a:b].argmin())]
+                lead[i] = flat[a + (frequent[0] if 2 * len(frequent) >= need[i] else r[a:b].argmin())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead.view(np.int64))], names=["h1", "h2", "n", "tokens", "lead"])
 
     led = found.mapInArrow(grouped, "h1 long, h2 long, n long, tokens array<long>, lead long")
