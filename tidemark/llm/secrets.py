@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 # Words whose values are candidates, words that speak for and against a secret, dictionary words.
 NAMES = "password|passwd|pwd|secret|token|api_key|apikey|access_key|auth"
 CANDIDATE = rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{{0,200}}[0-9])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}|(?<=(?i:{NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"',;]{{6,}}+"
+# Every candidate holds one of these; they are cheap, so most texts never meet the candidate pattern.
+RUN, NAMED = r"[A-Za-z0-9_+/-]{16}", rf"[=:](?<=(?i:{NAMES})\s{{0,2}}[=:])"
 FOR = r"(?i)(password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|aws)\W*$"
 AGAINST = r"(?i)(sha\d*|md5|commit|uuid|checksum|digest|hash|revision|card|phone|serial|order|isbn|example|version)\W*$"
 PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|rk_live_|AIza|glpat-|npm_|eyJ)"
@@ -33,10 +35,15 @@ DICTIONARY = "example sample test dummy placeholder your here change replace ins
 FEATURES = ("length", "transitions", "digits", "capitals", "hexes", "distinct", "dictionary", "path", "spoken_for", "spoken_against", "prefix", "only_digits", "assigned")
 
 
+def has_candidate(text: Column) -> Column:
+    """Whether a candidate is in the text; false for null."""
+    return F.coalesce((text.rlike(RUN) | text.rlike(NAMED)) & text.rlike(CANDIDATE), F.lit(False))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, source, number, start, token, before`` of every candidate; ``start`` counts code points."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.filter(F.col("text").rlike(CANDIDATE)).select(
+    rows = docs.filter(has_candidate(F.col("text"))).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), path.alias("source"),
         F.split("text", CANDIDATE, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("tokens"),
     )
@@ -111,7 +118,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     Only documents with a candidate meet the findings; all others pass without a shuffle.
     """
     bad = scan(docs, model, threshold).filter("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("number").alias("__numbers"))
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    has = has_candidate(F.col("text"))
     some = docs.filter(has)
     met = some.join(bad, some["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(some["text"]) == bad["__hash"]), "left")
     tokens, pieces = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
