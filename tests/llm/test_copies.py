@@ -164,3 +164,12 @@ def test_benchmark_join_without_broadcast(spark, prose, broadcast_rows):
     d = spark.createDataFrame([(i, prose(30) + " " + item) for i in range(5)], "doc_id long, text string")
     b = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert decontaminate.leaks(d, b, broadcast_rows=broadcast_rows).count() == 5
+
+
+def test_benchmark_items_cut_by_a_document(spark, prose):
+    """Items cut at the start or end of a document, and documents shorter than the item."""
+    item = prose(50).split()
+    docs = [(1, prose(30) + " " + " ".join(item[:48])), (2, " ".join(item[2:]) + " " + prose(30)), (3, " ".join(item[1:])), (4, " ".join(item[:-1])), (5, prose(30) + " " + " ".join(item[:40])), (6, " ".join(item[1:25] + ["new", "words"] + item[25:49]) + " " + prose(20)), (7, " ".join(item[:30]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.start, r.size, r.similarity) for r in decontaminate.leaks(d, b).collect()}
+    assert got == {1: (28, 50, 44 / 48), 2: (0, 50, 44 / 48), 3: (0, 49, 45 / 46), 4: (0, 49, 45 / 46), 6: (0, 50, 40 / 52)}

@@ -2,10 +2,12 @@
 
 1. Anchors: every run of five words of every document is looked up among the items' runs; a document and
    an item go on if at least ``least`` of the item's runs are found, which a similarity of ``least`` needs.
-   Each hit proposes the start of an item-sized window.
-2. Each proposed window of exactly the item's length gets a SimHash fingerprint of its words.
+   Each hit proposes the item-sized window whose last run it is, if enough hits are in it: the first of the
+   best windows ends with a hit, or begins the document, so it is among them, also where the document
+   cuts the item. A document shorter than the item is one window.
+2. Each proposed window gets a SimHash fingerprint of its words.
 3. Multi-index Hamming: 64 bits are cut into ``radius + 1`` blocks, so any two fingerprints within the
-   radius agree on one block; windows meet items of the same length that share a block, and those
+   radius agree on one block; windows meet items of the length they were proposed for that share a block, and those
    within the radius stay.
 4. The exact weighted similarity of the five-word runs verifies: the sum of the lesser counts over the sum
    of the greater counts, at least ``least``.
@@ -17,7 +19,7 @@ Defined cases: words are runs of letters and digits in lower case, so punctuatio
 null and empty documents match nothing; null and empty items match nothing; an item with fewer than five
 words is one run; repeated items each report; repeated rows report once for each ``doc_id``; null ``doc_id``
 is a document of its own; an item that occurs several times in a document reports its best, then first,
-start; other columns are ignored.
+start over all windows; ``size`` counts the window's words; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,15 +90,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: in
     if hits is None:
         return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).selectExpr("doc_id", "item_id", "0 as start", "0 as size", "0 as distance", "0D as similarity")
     runs_of = F.greatest(F.col("size") - RUN + 1, F.lit(1))
-    near = hits.groupBy("doc_id", "text_hash", "item", "size").agg(F.count_distinct("item_at").alias("n"), F.collect_set(F.greatest(F.col("at") - F.col("item_at"), F.lit(0))).alias("starts"))
-    near = workspace.written(near.filter(F.col("n") >= F.ceil(runs_of * least)).select("doc_id", "text_hash", F.col("size"), "starts"), "anchors")
+    need = F.ceil(runs_of * least).cast("int")
+    near = hits.groupBy("doc_id", "text_hash", "item", "size").agg(F.count_distinct("item_at").alias("n"), F.array_sort(F.collect_set("at")).alias("at"))
+    ends = F.filter("at", lambda x, i: F.get("at", i - need + 1) >= x - runs_of + 1)  # enough hits in the window that ends with this one
+    starts = F.array_distinct(F.transform(ends, lambda x: F.greatest(x - runs_of + 1, F.lit(0))))
+    near = near.filter(F.col("n") >= need).select("doc_id", "text_hash", "size", starts.alias("starts")).filter(F.size("starts") > 0)
+    near = workspace.written(near, "anchors")
     few = near.count() <= broadcast_rows // 10
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     starts = near.select("doc_id", "text_hash", "size", F.explode("starts").alias("start")).distinct()
     starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("windows"))
     owned = texts.join(F.broadcast(starts) if few else starts, same(texts, starts)).select(texts["doc_id"], texts["text_hash"], "text", "windows")
     owned = owned.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
-    windows = owned.select("doc_id", "x.start", "x.size", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words")).filter(F.size("words") == F.col("size"))
+    windows = owned.select("doc_id", "x.start", "x.size", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
     windows = workspace.written(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
     marked = _simhash(windows, ["window", "size"], "words", "w_bits").select("window", "size", "w_bits", F.explode(_blocks("w_bits", radius)).alias("b"))
     known = _simhash(items, ["item", "size"], "words", "i_bits").select("item", "size", "i_bits", F.explode(_blocks("i_bits", radius)).alias("b"))
@@ -105,11 +111,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: in
     pairs = pairs.select("window", "item", "distance").distinct()
     both = pairs.join(windows, "window").join(items.select("item", "item_id", "run", F.col("words").alias("item_words")), "item")
     a, b = _counted(F.col("words"), F.col("run")), _counted(F.col("item_words"), F.col("run"))
-    both = both.select("doc_id", "item", "item_id", "start", "size", "distance", a.alias("a"), b.alias("b"))
+    both = both.select("doc_id", "item", "item_id", "start", F.size("words").alias("size"), "distance", a.alias("a"), b.alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     scored = both.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).filter(F.col("similarity") >= least)
-    best = scored.groupBy("doc_id", "item", "item_id", "size").agg(F.min(F.struct(-F.col("similarity"), "start", "distance")).alias("m"))
-    return best.select("doc_id", "item_id", "m.start", "size", "m.distance", (-F.col("m.col1")).alias("similarity"))
+    best = scored.groupBy("doc_id", "item", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", "size", "distance")).alias("m"))
+    return best.select("doc_id", "item_id", "m.start", "m.size", "m.distance", (-F.col("m.col1")).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
