@@ -1,6 +1,7 @@
 """op5, op8, op2 and op4 against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -173,3 +174,35 @@ def test_benchmark_items_cut_by_a_document(spark, prose):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = {r.doc_id: (r.start, r.size, r.similarity) for r in decontaminate.leaks(d, b).collect()}
     assert got == {1: (28, 50, 44 / 48), 2: (0, 50, 44 / 48), 3: (0, 49, 45 / 46), 4: (0, 49, 45 / 46), 6: (0, 50, 40 / 52)}
+
+
+def test_benchmark_variants_equal_brute_force(spark, prose):
+    """Items with changed words at the end or within, at similarities around the least one."""
+    rng = random.Random(21)
+    items = [prose(n).split() for n in (3, 5, 6, 9, 16, 20, 25, 30, 38, 45, 52, 55, 60, 90) for _ in range(3)]
+    docs = []
+    for w in items:
+        for k in range(1, 10):
+            inner, places = list(w), range(len(w) - k, len(w)) if k < 7 else [rng.randrange(len(w))]
+            for at in places:
+                if at >= 0:
+                    inner[at] = "internationalised" + str(rng.randrange(99))
+            docs.append([*prose(8).split(), *inner, *prose(rng.randrange(0, 9)).split()])
+
+    def bag(w, run):
+        return Counter(tuple(w[i : i + run]) for i in range(max(len(w) - run + 1, 1)))
+
+    want = {}
+    for d, w in enumerate(docs):
+        for i, item in enumerate(items):
+            run, b = min(5, len(item)), bag(item, min(5, len(item)))
+            if len({*bag(w, run)} & {*b}) * 4 < 3 * len(b):
+                continue
+            for start in range(max(len(w) - len(item), 0) + 1):
+                a = bag(w[start : start + len(item)], run)
+                likeness = sum((a & b).values()) / sum((a | b).values())
+                if likeness >= 0.75 and likeness > want.get((d, i), (0, 0))[1]:
+                    want[(d, i)] = (start, likeness)
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(t)], f"{name} long, text string") for t, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.leaks(*tables).collect()}
+    assert got == want and sum(x < 0.85 for _, x in want.values()) > 20

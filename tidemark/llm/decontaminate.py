@@ -5,10 +5,11 @@
    Each hit proposes the item-sized window whose last run it is, if enough hits are in it: the first of the
    best windows ends with a hit, or begins the document, so it is among them, also where the document
    cuts the item. A document shorter than the item is one window.
-2. Each proposed window gets a SimHash fingerprint of its words.
+2. Each proposed window gets a fingerprint of its five-word runs, 64 parities, in which it differs from an item
+   in no more bits than in runs. So ``least`` and the item's length give a radius that loses nothing.
 3. Multi-index Hamming: 64 bits are cut into ``radius + 1`` blocks, so any two fingerprints within the
-   radius agree on one block; windows meet items of the length they were proposed for that share a block, and those
-   within the radius stay.
+   radius agree on one block; windows meet items of the length they were proposed for that share a block,
+   and those within the radius stay. Items so long that blocks tell nothing meet their own windows.
 4. The exact weighted similarity of the five-word runs verifies: the sum of the lesser counts over the sum
    of the greater counts, at least ``least``.
 
@@ -24,6 +25,8 @@ start over all windows; ``size`` counts the window's words; other columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from tidemark.llm.fingerprints import BITS
 from tidemark.llm.licenses import words
 
 RUN = 5
+#: A radius of so many bits or more would cut the fingerprints into blocks that most windows share.
+TABLES = 16
 
 
 def _runs(w: Column, size: int) -> Column:
@@ -51,24 +56,24 @@ def _counted(w: Column, size: Column) -> Column:
     return F.transform(runs, lambda x, i: F.struct(x.alias("h"), (i - F.array_position(runs, x)).alias("k")))
 
 
-def _simhash(rows: DataFrame, keys: list[str], w: str, out: str) -> DataFrame:
-    """SimHash over single words, weighted by length; grouped by ``keys``."""
-    votes = rows.select(*keys, F.explode(w).alias("t")).select(*keys, F.least(F.octet_length("t"), F.lit(16)).cast("long").alias("w"), F.xxhash64("t").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(0x0000000100000001)) * F.col("w")).alias(f"s{k}") for k in range(BITS // 2)]
-    summed = votes.groupBy(*keys).agg(F.sum("w").alias("total"), *sums)
-    bits = F.lit(0).cast("long")
-    for k in range(BITS // 2):
-        for n, place in ((F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), k), (F.shiftrightunsigned(f"s{k}", 32), k + 32)):
-            bits = bits.bitwiseOR(F.when(2 * n > F.col("total"), F.shiftleft(F.lit(1).cast("long"), place)).otherwise(F.lit(0).cast("long")))
-    return summed.select(*keys, bits.alias(out))
+def _sketch(counted: Column) -> Column:
+    """64 cells, each the parity of the runs that hash to it: sketches differ in at most as many bits as the multisets in runs."""
+    cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x["h"], x["k"]), F.lit(BITS)).cast("int"))
+    return F.aggregate(counted, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(cell(x)))
 
 
 def _blocks(fp: str, radius: int) -> Column:
     edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("table"), F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("block")) for i in range(radius + 1)))
+    return F.array(*(F.struct(F.lit(i).alias("table"), F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if edges[i + 1] - edges[i] < BITS else -1)).alias("block")) for i in range(radius + 1)))
+
+
+def _entries(fp: str) -> Column:
+    """The tables of ``fp`` for the column ``radius``; beyond ``TABLES`` blocks that tell nothing, the item itself is the block."""
+    by_item = F.array(F.struct(F.lit(-1).alias("table"), F.col("only").alias("block")))
+    return reduce(lambda c, r: c.when(F.col("radius") == r, _blocks(fp, r)), range(TABLES), F.when(F.col("radius") >= TABLES, by_item))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: int = 12, broadcast_rows: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``doc_id, item_id, start, size, distance, similarity`` of every item found in a document."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     items = items.withColumns({"item": F.monotonically_increasing_id(), "size": F.size("words")}).withColumn("run", F.least(F.col("size"), F.lit(RUN)))
@@ -90,24 +95,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: in
     if hits is None:
         return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).selectExpr("doc_id", "item_id", "0 as start", "0 as size", "0 as distance", "0D as similarity")
     runs_of = F.greatest(F.col("size") - RUN + 1, F.lit(1))
+    radius = F.floor(2 * runs_of * ((1 - least) / (1 + least)) + 1e-6).cast("int")  # runs that differ in windows alike enough
+    only = F.when(radius >= TABLES, F.col("item"))
     need = F.ceil(runs_of * least).cast("int")
     near = hits.groupBy("doc_id", "text_hash", "item", "size").agg(F.count_distinct("item_at").alias("n"), F.array_sort(F.collect_set("at")).alias("at"))
     ends = F.filter("at", lambda x, i: F.get("at", i - need + 1) >= x - runs_of + 1)  # enough hits in the window that ends with this one
     starts = F.array_distinct(F.transform(ends, lambda x: F.greatest(x - runs_of + 1, F.lit(0))))
-    near = near.filter(F.col("n") >= need).select("doc_id", "text_hash", "size", starts.alias("starts")).filter(F.size("starts") > 0)
+    near = near.filter(F.col("n") >= need).select("doc_id", "text_hash", "size", only.alias("only"), starts.alias("starts")).filter(F.size("starts") > 0)
     near = workspace.written(near, "anchors")
     few = near.count() <= broadcast_rows // 10
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    starts = near.select("doc_id", "text_hash", "size", F.explode("starts").alias("start")).distinct()
-    starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("windows"))
+    starts = near.select("doc_id", "text_hash", "size", "only", F.explode("starts").alias("start")).distinct()
+    starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "only")).alias("windows"))
     owned = texts.join(F.broadcast(starts) if few else starts, same(texts, starts)).select(texts["doc_id"], texts["text_hash"], "text", "windows")
     owned = owned.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
-    windows = owned.select("doc_id", "x.start", "x.size", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
+    windows = owned.select("doc_id", "x.start", "x.size", "x.only", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
     windows = workspace.written(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
-    marked = _simhash(windows, ["window", "size"], "words", "w_bits").select("window", "size", "w_bits", F.explode(_blocks("w_bits", radius)).alias("b"))
-    known = _simhash(items, ["item", "size"], "words", "i_bits").select("item", "size", "i_bits", F.explode(_blocks("i_bits", radius)).alias("b"))
-    pairs = marked.select("window", "size", "w_bits", "b.table", "b.block").join(known.select("item", "size", "i_bits", "b.table", "b.block"), ["size", "table", "block"])
-    pairs = pairs.withColumn("distance", F.bit_count(F.col("w_bits").bitwiseXOR(F.col("i_bits")))).filter(F.col("distance") <= radius)
+    run = F.least(F.col("size"), F.lit(RUN))
+    keyed = lambda df, key, out: df.select(key, "size", radius.alias("radius"), only_of[key].alias("only"), _sketch(_counted(F.col("words"), run)).alias(out)).select(key, "size", "radius", out, F.explode(_entries(out)).alias("b"))
+    only_of = {"window": F.col("only"), "item": only}
+    marked, known = keyed(windows, "window", "w_bits"), keyed(items, "item", "i_bits").drop("radius")
+    known = known.select("item", "size", "i_bits", "b.table", "b.block")
+    pairs = marked.select("window", "size", "radius", "w_bits", "b.table", "b.block").join(F.broadcast(known) if small else known, ["size", "table", "block"])
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("w_bits").bitwiseXOR(F.col("i_bits")))).filter(F.col("distance") <= F.col("radius"))
     pairs = pairs.select("window", "item", "distance").distinct()
     both = pairs.join(windows, "window").join(items.select("item", "item_id", "run", F.col("words").alias("item_words")), "item")
     a, b = _counted(F.col("words"), F.col("run")), _counted(F.col("item_words"), F.col("run"))
