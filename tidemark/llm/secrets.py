@@ -1,6 +1,6 @@
 """Secret scan with DataFrame and ML functions only: candidates by pattern, false positives out by a random forest.
 
-A candidate is a long run of key characters with a digit, or the value behind a word such as ``password``.
+A candidate is a long run of key characters with a digit or a known prefix, or the value behind a word such as ``password``.
 Its features are its length, the changes between character classes, the shares of digits, capitals
 and hexadecimal digits, the share covered by dictionary words, whether the path (the ``source`` column,
 where there is one) looks like tests or examples, and the words before it.  The forest is trained from
@@ -23,13 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Words whose values are candidates, words that speak for and against a secret, dictionary words.
-NAMES = "password|passwd|pwd|secret|token|api_key|apikey|access_key|auth"
-CANDIDATE = rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{{0,200}}[0-9])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}|(?<=(?i:{NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"',;]{{6,}}+"
+NAMES = r"password|passwd|pwd|secret|token|auth|(?:api|access|secret|private|signing|encryption)[_-]?key"
+PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|rk_live_|AIza|glpat-|npm_|eyJ"
+# A name, perhaps quoted or in brackets, and its sign; look-behinds need a bound, 100 blanks on either side.
+SIGN = rf"(?i:{NAMES})[\"']?\]?\s{{0,100}}[=:]"
+# The short look-behinds spare most words the long one.
+CANDIDATE = rf"(?<![A-Za-z0-9_+/-])(?={PREFIXES}|[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}|(?<=[=:\s\"'])(?<![^=:\s]\s)(?<![^=:\s][\"'])(?<![^=:\s]\s[\"'])(?<={SIGN}\s{{0,100}}[\"']?)[^\s\"',;]{{6,}}+"
 # Every candidate holds one of these; they are cheap, so most texts never meet the candidate pattern.
-RUN, NAMED = r"[A-Za-z0-9_+/-]{16}", rf"[=:](?<=(?i:{NAMES})\s{{0,2}}[=:])"
-FOR = r"(?i)(password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|aws)\W*$"
+RUN, NAMED = r"[A-Za-z0-9_+/-]{16}", rf"[=:](?<={SIGN})"
+FOR = r"(?i)(password|passwd|pwd|secret|token|(api|access|secret|private|signing|encryption).?key|auth|bearer|credential|aws)\W*$"
 AGAINST = r"(?i)(sha\d*|md5|commit|uuid|checksum|digest|hash|revision|card|phone|serial|order|isbn|example|version)\W*$"
-PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|rk_live_|AIza|glpat-|npm_|eyJ)"
+PREFIX = rf"^({PREFIXES})"
 PATHS = r"(?i)(test|example|sample|fixture|mock|docs?/|readme)"
 DICTIONARY = "example sample test dummy placeholder your here change replace insert password secret token value string name user admin default config setting data file path class function return import public private static const object array number null true false foo bar baz hello world lorem ipsum the and for with from this that have".split()
 FEATURES = ("length", "transitions", "digits", "capitals", "hexes", "distinct", "dictionary", "path", "spoken_for", "spoken_against", "prefix", "only_digits", "assigned")
@@ -52,7 +56,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "text_hash").orderBy("number")
     step = F.char_length("piece") + F.coalesce(F.char_length(F.lag("token").over(order)), F.lit(0))
     rows = rows.withColumn("step", step.cast("long")).withColumn("start", F.sum("step").over(order))
-    return rows.select("doc_id", "text_hash", "source", "number", "start", "token", F.right("piece", F.lit(40)).alias("before"))
+    return rows.select("doc_id", "text_hash", "source", "number", "start", "token", F.right(F.regexp_replace(F.right("piece", F.lit(300)), r"\s+", " "), F.lit(40)).alias("before"))
 
 
 def _share(token: Column, pattern: str) -> Column:
