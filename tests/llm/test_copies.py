@@ -145,6 +145,21 @@ def test_radius_search_misses_none(spark):
     assert got == {k: d for k, d in want.items() if d <= 3}
 
 
+def test_query_looks_up_near_copies_elsewhere(spark, corpus, tmp_path):
+    from tidemark.llm import queries
+
+    _, df = corpus
+    df = df.unionByName(df.filter("doc_id = 50").withColumn("doc_id", F.lit(7000)))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_fingerprints(spark, str(tmp_path)).collect()
+    bits = [(r.doc_id, int(r.fingerprint, 16)) for r in got]
+    assert len(got) == df.count()
+    for r in got:
+        asked = r.doc_id is not None and r.doc_id % 50 == 0
+        assert r.n_near == (sum(bin(int(r.fingerprint, 16) ^ b).count("1") <= 3 for _, b in bits) - 1 if asked else None)
+    assert {r.doc_id for r in got if r.n_near} >= {50, 7000}
+
+
 def test_benchmark_passages(spark, prose):
     items = [(1, prose(30)), (2, prose(12)), (3, "three plain words"), (4, None), (5, ""), (6, prose(40))]
     w6 = items[5][1].split()

@@ -136,3 +136,13 @@ def within(fingerprints: DataFrame, queries: DataFrame, radius: int = 3, blocks:
     pairs = tables(queries, "query").join(tables(fingerprints, "found"), ["table", "block"])
     pairs = pairs.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("found"))))
     return pairs.filter(F.col("distance") <= radius).select("query", "found", "distance").distinct()
+
+
+def with_near(rows: DataFrame, every: int = 50, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """``rows(doc_id, bits)`` with ``n_near``: how many other rows are within ``radius`` bits of one whose id ``every`` divides; null for the others."""
+    known = rows.groupBy("bits").agg(F.count("*").alias("copies"))
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    pairs = within(known, rows.filter(asks).select("bits"), radius, blocks)
+    near = pairs.join(known, pairs["found"] == known["bits"]).groupBy("query").agg((F.sum("copies") - 1).alias("n_near"))
+    met = rows.join(near, asks & (rows["bits"] == near["query"]), "left")
+    return met.drop("query")

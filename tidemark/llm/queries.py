@@ -19,7 +19,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_pairs(_docs(spark, sf_dir)).drop("bits")
+    pairs = workspace.written(fingerprints.edited_pairs(_docs(spark, sf_dir)), "fingerprints")
+    return fingerprints.with_near(pairs).drop("bits")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
