@@ -107,3 +107,19 @@ def test_toxicity_on_held_out_texts(spark, prose):
     assert sum(p == t for p, t in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got) and len(got) == 903
     assert all(r.score == 0 or r.score < 1e-9 for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect())
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_training_holds_no_whole_matrix():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n = 3000
+    found = pa.table({"lang": ["a", "b"] * (n // 2), "bucket": pa.array([np.arange(k % 9, 12_000, 400, dtype=np.int16) for k in range(n)], pa.list_(pa.int16())), "share": pa.array([rng.random(len(range(k % 9, 12_000, 400))).astype(np.float32) for k in range(n)], pa.list_(pa.float32()))})
+    tracemalloc.start()
+    language._train(found, ("a", "b"), 2, 1.0, 1e-4, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6

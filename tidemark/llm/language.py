@@ -177,89 +177,6 @@ def _train(found: pa.Table, languages: tuple[str, ...], steps: int, rate: float,
     return Model(languages, code, (w * scale[:, None]).T.astype(np.float64).copy(), bias, margin)
 
 
-def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the language, score, ambiguous) of each document of a chunk."""
-        z = np.tile(self.bias, (len(offsets) - 1, 1))
-        for k, (bucket, at) in enumerate(_grams(data, offsets)):
-            n = np.maximum(np.diff(at), 1)
-            for b, w in enumerate(self.weights[:, k * BUCKETS : (k + 1) * BUCKETS]):
-                z[:, b] += _sums(w[bucket], at) / n
-        loss = np.logaddexp(0, -z[:, None, :] * self.code[None]).sum(2)
-        best = loss.argmin(1)
-        p = np.exp(loss.min(1, keepdims=True) - loss)
-        score = p.max(1) / p.sum(1)
-        near = np.sort(loss, 1)
-        return best, score, (near[:, 1] - near[:, 0] < self.margin) if loss.shape[1] > 1 else np.zeros(len(best), bool)
-
-
-def codewords(n: int) -> np.ndarray:
-    """A code of +1 and -1 for ``n`` classes: every split for few classes, else the best of 200 random codes."""
-    if n <= 5:
-        rows = np.arange(2 ** max(n - 1, 0) - 1) if n > 1 else np.zeros(1, int)
-        bits = [[1] * len(rows)] + [list((rows >> k & 1) * 2 - 1) for k in range(n - 1)]
-        return np.array(bits[:n], float)
-    rng, best, far = np.random.default_rng(7), None, -1
-    for _ in range(200):
-        c = rng.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
-        d = (c.shape[1] - c @ c.T) / 2 + np.eye(n) * c.shape[1]
-        if d.min() > far and (abs(c.sum(0)) < n).all():
-            best, far = c, d.min()
-    return best
-
-
-def fit(labelled: DataFrame, max_train: int = 4000, steps: int = 150, rate: float = 1.0, decay: float = 1e-4, margin: float = 1.0) -> Model | None:
-    """Fit on ``labelled(doc_id, text, lang)``; null where no row has a language and a letter."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
-    if not counts:
-        return None
-    languages = tuple(sorted(counts))
-    most = max(max_train // len(languages), 1)
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, most / counts[lang])))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.filter(draw < share[F.col("lang")])
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in chunks(batch):
-                cols: list[list] = [[], []]
-                grams = list(_grams(data, offsets))
-                for i in range(b - a):
-                    parts = [np.unique(g[at[i] : at[i + 1]], return_counts=True) for g, at in grams]
-                    cols[0].append(np.concatenate([u + k * BUCKETS for k, (u, _) in enumerate(parts)]).astype(np.int16))
-                    cols[1].append(np.concatenate([c / c.sum() for _, c in parts]).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array(cols[0], pa.list_(pa.int16())), pa.array(cols[1], pa.list_(pa.float32()))], names=["lang", "bucket", "share"])
-
-    found = sample.mapInArrow(features, "lang string, bucket array<smallint>, share array<float>").toArrow()
-    return _train(found, languages, steps, rate, decay, margin)
-
-
-def _train(found: pa.Table, languages: tuple[str, ...], steps: int, rate: float, decay: float, margin: float) -> Model:
-    """Logistic regression of all bits at once; every language weighs the same."""
-    lang = np.array([languages.index(x) for x in found.column("lang").to_pylist()], int)
-    n, d = len(lang), BUCKETS * len(ORDERS)
-    x, i = np.zeros((n, d), np.float32), 0
-    for batch in found.to_batches():
-        at = batch.column("bucket").offsets.to_numpy()
-        bucket, part = (batch.column(c).flatten().to_numpy() for c in ("bucket", "share"))
-        for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist()):
-            x[i, bucket[a:b]] = part[a:b]
-            i += 1
-    scale = 1 / np.sqrt(x.mean(0) + 1e-4)
-    x *= scale
-    code = codewords(len(languages))
-    y = code[lang]
-    share = np.bincount(lang, minlength=len(languages))
-    weigh = (1 / np.maximum(share, 1)[lang])[:, None] / max((share > 0).sum(), 1)
-    w, bias, speed = np.zeros((d, code.shape[1]), np.float32), np.zeros(code.shape[1]), 0
-    for _ in range(steps):
-        g = -y * weigh / (1 + np.exp(np.clip(y * (x @ w + bias), -60, 60)))
-        speed = 0.9 * speed + x.T @ g.astype(np.float32) + decay * w
-        w -= rate * speed
-        bias -= rate * 0.1 * g.sum(0)
-    return Model(languages, code, (w * scale[:, None]).T.astype(np.float64).copy(), bias, margin)
-
-
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` but clashing ones, with ``lang_pred, score, ambiguous``."""
     if model is None:
