@@ -25,3 +25,10 @@ def test_equals_sql(spark, key):
     for t in ("lineitem", "part", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     assert plain(queries.QUERIES[key](spark, SF).toPandas()) == plain(con.execute(queries.ORACLE_SQL[key]).fetchdf())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+def test_ticker_lists_equal_sql(spark):
+    test_equals_sql(spark, "s16_ticker_lists")
+    n = queries.QUERIES["s16_ticker_lists"](spark, SF).toPandas()["n"]
+    assert n.nunique() > 5 and n.max() == 15

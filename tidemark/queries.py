@@ -230,6 +230,18 @@ def s16_tickers(spark, sf_dir):
     return d.select("s_suppkey", F.upper("s_name").alias("t0"), F.lit(1).alias("n"))
 
 
+@query("""WITH v AS (SELECT p_partkey, upper(concat_ws(' ', p_name, array_to_string(list_transform(range(p_partkey % 40), lambda i: 's' || CAST((p_partkey + i * i) % 29 AS VARCHAR)), ', '), 'toolongsymbol1,brk.b')) AS v FROM part),
+t AS (SELECT p_partkey, unnest(string_split_regex(v, '[,\\s]+')) AS s, generate_subscripts(string_split_regex(v, '[,\\s]+'), 1) AS i FROM v),
+f AS (SELECT p_partkey, s, min(i) AS i FROM t WHERE regexp_full_match(s, '[A-Z0-9.\\-]{1,10}') GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS n FROM f)
+SELECT p_partkey, string_agg(s, ',' ORDER BY i) AS tickers, CAST(count(*) AS INT) AS n FROM r WHERE n <= 15 GROUP BY 1""")
+def s16_ticker_lists(spark, sf_dir):
+    """The symbols of texts with valid, repeated, too long and more than 15 symbols, between commas and blanks."""
+    made = F.expr("array_join(transform(filter(sequence(0L, 39L), i -> i < p_partkey % 40), i -> 's' || CAST((p_partkey + i * i) % 29 AS STRING)), ', ')")
+    d = ingest.tickers(table(spark, sf_dir, "part").withColumn("value", F.concat_ws(" ", "p_name", made, F.lit("toolongsymbol1,brk.b"))))
+    return d.select("p_partkey", F.array_join("tickers", ",").alias("tickers"), F.size("tickers").alias("n"))
+
+
 # ---------------------------------------------------------------- returns and windows
 @query(_with(_TO_RET, f"SELECT symbol, idx, {_r('r', 'r')}, {_r('close / nth_value(close, 2) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)', 'norm')} FROM ret QUALIFY r IS NOT NULL"))
 def w01_returns(spark, sf_dir):
