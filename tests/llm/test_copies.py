@@ -221,3 +221,11 @@ def test_benchmark_variants_equal_brute_force(spark, prose):
     tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(t)], f"{name} long, text string") for t, name in ((docs, "doc_id"), (items, "item_id"))]
     got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.leaks(*tables).collect()}
     assert got == want and sum(x < 0.85 for _, x in want.values()) > 20
+
+
+def test_clean_rows_without_id_stay(spark, prose):
+    item = prose(20)
+    docs = [(None, "a b " + item), (None, prose(30)), (None, None), (3, prose(20))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.clean(d, b)
+    assert kept.columns == d.columns and sorted(str(r.text) for r in kept.collect()) == sorted(str(t) for _, t in docs[1:])

@@ -75,6 +75,12 @@ def _entries(fp: str) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``doc_id, item_id, start, size, distance, similarity`` of every item found in a document."""
+    best = _found(docs, benchmark, least, broadcast_rows).groupBy("doc_id", "item", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", "size", "distance")).alias("m"))
+    return best.select("doc_id", "item_id", "m.start", "m.size", "m.distance", (-F.col("m.col1")).alias("similarity"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least: float, broadcast_rows: int) -> DataFrame:
+    """All windows at least ``least`` similar to an item, with the ``text_hash`` of their document."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     items = items.withColumns({"item": F.monotonically_increasing_id(), "size": F.size("words")}).withColumn("run", F.least(F.col("size"), F.lit(RUN)))
     items = workspace.written(items, "items")
@@ -93,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_
         met = found.join(F.broadcast(own) if small else own, "hash").drop("hash")
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
-        return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).selectExpr("doc_id", "item_id", "0 as start", "0 as size", "0 as distance", "0D as similarity")
+        return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).selectExpr("doc_id", "0L as text_hash", "0L as item", "item_id", "0 as start", "0 as size", "0 as distance", "0D as similarity")
     runs_of = F.greatest(F.col("size") - RUN + 1, F.lit(1))
     radius = F.floor(2 * runs_of * ((1 - least) / (1 + least)) + 1e-6).cast("int")  # runs that differ in windows alike enough
     only = F.when(radius >= TABLES, F.col("item"))
@@ -109,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_
     starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "only")).alias("windows"))
     owned = texts.join(F.broadcast(starts) if few else starts, same(texts, starts)).select(texts["doc_id"], texts["text_hash"], "text", "windows")
     owned = owned.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
-    windows = owned.select("doc_id", "x.start", "x.size", "x.only", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
+    windows = owned.select("doc_id", "text_hash", "x.start", "x.size", "x.only", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
     windows = workspace.written(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
     run = F.least(F.col("size"), F.lit(RUN))
     keyed = lambda df, key, out: df.select(key, "size", radius.alias("radius"), only_of[key].alias("only"), _sketch(_counted(F.col("words"), run)).alias(out)).select(key, "size", "radius", out, F.explode(_entries(out)).alias("b"))
@@ -121,14 +127,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_
     pairs = pairs.select("window", "item", "distance").distinct()
     both = pairs.join(windows, "window").join(items.select("item", "item_id", "run", F.col("words").alias("item_words")), "item")
     a, b = _counted(F.col("words"), F.col("run")), _counted(F.col("item_words"), F.col("run"))
-    both = both.select("doc_id", "item", "item_id", "start", F.size("words").alias("size"), "distance", a.alias("a"), b.alias("b"))
+    both = both.select("doc_id", "text_hash", "item", "item_id", "start", F.size("words").alias("size"), "distance", a.alias("a"), b.alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
-    scored = both.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).filter(F.col("similarity") >= least)
-    best = scored.groupBy("doc_id", "item", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", "size", "distance")).alias("m"))
-    return best.select("doc_id", "item_id", "m.start", "m.size", "m.distance", (-F.col("m.col1")).alias("similarity"))
+    return both.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).filter(F.col("similarity") >= least)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents in which an item is found; null ``doc_id`` compares equal."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the documents in which an item is found: all rows of their ``doc_id``, or of their text where it is null."""
+    own = lambda h: F.when(F.col("doc_id").isNull(), h)
+    bad = _found(docs, benchmark, least, broadcast_rows).select(F.col("doc_id").alias("__bad"), own(F.col("text_hash")).alias("__text")).distinct()
+    keyed = docs.withColumn("__own", own(F.xxhash64("text")))
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__bad"]) & keyed["__own"].eqNullSafe(bad["__text"]), "left_anti").drop("__own")
