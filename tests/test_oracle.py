@@ -32,3 +32,13 @@ def test_ticker_lists_equal_sql(spark):
     test_equals_sql(spark, "s16_ticker_lists")
     n = queries.QUERIES["s16_ticker_lists"](spark, SF).toPandas()["n"]
     assert n.nunique() > 5 and n.max() == 15
+
+
+def test_top_drivers_of_every_day_equal_sql(spark):
+    """On tables with a whole calendar; on the smallest ones no day is complete."""
+    sf = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = queries.QUERIES["m01_top_drivers_by_day"](spark, sf).toPandas()
+    assert got["idx"].nunique() > 1000 and plain(got) == plain(con.execute(queries.ORACLE_SQL["m01_top_drivers_by_day"]).fetchdf())

@@ -238,3 +238,10 @@ def test_stream_upsert_and_latch(spark, tmp_path):
 
 def test_signals_are_five():
     assert len(SIGNALS) == 5
+
+
+def test_csv_has_a_folder_for_each_universe(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    sinks.write_csv(spark.createDataFrame([(u, f"2020-01-{d:02d}") for d in (3, 1, 2) for u in "ab"], "universe string, date string").repartition(5), path)
+    files = {p.parent.name: p.read_text().split() for p in (tmp_path / "csv").glob("universe=*/*.csv")}
+    assert files == {f"universe={u}": ["date", "2020-01-01", "2020-01-02", "2020-01-03"] for u in "ab"}

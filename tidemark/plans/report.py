@@ -108,10 +108,10 @@ def posterior(scored: DataFrame, a: float = 1.0, b: float = 0.0, by: tuple[str,
     return d.withColumn("p_up", platt("p_raw", F.lit(a), F.lit(b))).drop("logit")
 
 
-def top_drivers(scored: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` features with the largest effect, ties by name."""
-    w = Window.orderBy(F.desc(F.abs("llr")), "feature")  # nine rows
-    return scored.select("feature", "x", "llr", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k)
+def top_drivers(scored: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` features with the largest effect of each record, whose keys are ``by``; ties by name."""
+    w = Window.partitionBy(*by).orderBy(F.desc(F.abs("llr")), "feature")  # nine rows a record
+    return scored.select(*by, "feature", "x", "llr", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k)
 
 
 def interval(p: Column, mean_effect: Column) -> tuple[Column, Column]:

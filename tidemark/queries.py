@@ -694,6 +694,12 @@ def m01_top_drivers(spark, sf_dir):
     return report.top_drivers(report.drivers(rows.filter("idx = 1000").select("feature", "x"), report.fit_bayes(rows)))
 
 
+@query(_with((*_TO_RET, _TN, _NB, _LLR), f"SELECT idx, feature, {_rounds('x', 'llr')}, CAST(row_number() OVER (PARTITION BY idx ORDER BY abs(llr) DESC, feature) AS INT) AS rank FROM sc QUALIFY rank <= 5"))
+def m01_top_drivers_by_day(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    return report.top_drivers(report.drivers(rows.select("idx", "feature", "x"), report.fit_bayes(rows)), by=("idx",))
+
+
 @query("SELECT p_brand AS sector, round(p_size / 100.0, 6) + 0 AS change, CAST(row_number() OVER (ORDER BY p_size DESC, p_brand) AS INT) AS rank FROM (SELECT p_brand, max(p_size) AS p_size FROM part GROUP BY 1)")
 def m07_sectors(spark, sf_dir):
     rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("sector")).agg(F.max("p_size").alias("s"))

@@ -41,7 +41,10 @@ def backtest_csv(tested: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str, order: str = "date") -> None:
     """One file a universe of daily rows, in order; a series is bounded by its calendar."""
-    rows.orderBy(order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    if "universe" in rows.columns:
+        rows.repartition("universe").sortWithinPartitions("universe", order).write.mode("overwrite").partitionBy("universe").csv(path, header=True)
+    else:
+        rows.orderBy(order).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def report_lines(**sections: DataFrame) -> DataFrame:
