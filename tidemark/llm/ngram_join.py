@@ -76,9 +76,8 @@ def _need(n, percent: int):
 class Order:
     """The global order of tokens: light ones by hash, then heavy ones by count and hash."""
 
-    def __init__(self, heavy: list[tuple[int, int]]):
-        h = np.array([x for x, _ in heavy], np.int64).view(np.uint64)
-        n = np.array([c for _, c in heavy], np.int64)
+    def __init__(self, heavy: np.ndarray, n: np.ndarray):
+        h = heavy.view(np.uint64)
         rank = np.empty(len(h), np.int64)
         rank[np.lexsort((h, n))] = np.arange(len(h))
         by = np.argsort(h)
@@ -146,7 +145,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
             for a, b, data, offsets in chunks(batch, most=1 << 20):
                 flat, n = shingles(data, offsets, size)
                 at = np.concatenate([[0], np.cumsum(n)])
-                hit = np.concatenate([[0], np.cumsum(sketch.may_repeat(bitmap.value, flat))])
+                hit = np.concatenate([[0], np.cumsum(bitmap.value.may_repeat(flat))])
                 candidate = (n > 0) & (100 * (hit[at[1:]] - hit[at[:-1]]) >= percent * n)
                 x, y = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat, s), dtype=np.uint64)]) for s in (21, 22))
                 h1, h2 = mix(x[at[1:]] - x[at[:-1]]).view(np.int64), mix(y[at[1:]] - y[at[:-1]]).view(np.int64)
@@ -165,7 +164,20 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
                 yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(n), pa.array(candidate), pa.array(h1), pa.array(h2), lists], names=["doc_id", "text_hash", "n_shingles", "candidate", "h1", "h2", "tokens"])
 
     rows = workspace.written(texts.mapInArrow(first_pass, "doc_id long, text_hash long, n_shingles long, candidate boolean, h1 long, h2 long, tokens array<long>"), "sets")
-    found = _shared(workspace.written(rows.filter("tokens is not null").select("h1", "h2", "tokens").dropDuplicates(["h1", "h2"]), "distinct"), percent)
+    bitmap.destroy()
+    with workspace.Scratch(spark) as scratch:
+        sets, order, buckets = _grouped(rows, scratch, percent, group_tokens)
+    labels = sets.select(F.col("comp").alias("node"), F.col("comp").alias("root")).distinct()
+    for every in (False, True):
+        with workspace.Scratch(spark) as scratch:
+            edges = scratch.written(_open_by_matrix(sets, labels, order, percent, buckets, every, scratch), "links")
+            labels = _merge(labels, edges)
+    return rows.drop("tokens"), sets.join(labels, sets["comp"] == labels["node"]).select("h1", "h2", "root")
+
+
+def _grouped(rows: DataFrame, scratch: workspace.Scratch, percent: int, group_tokens: int) -> tuple[DataFrame, Order, int]:
+    """The sets of all candidates in their groups, each group linked; the token order; the number of buckets."""
+    found = _shared(scratch.written(rows.filter("tokens is not null").select("h1", "h2", "tokens").dropDuplicates(["h1", "h2"]), "distinct"), scratch, percent)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -184,7 +196,8 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
 
     # Only the order depends on this list, never a result; it is bounded so that it can be sent to every task.
     heavy = found.select("tokens").mapInArrow(frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 64")
-    order = Order([(r["token"], r["n"]) for r in heavy.orderBy(F.desc("n"), "token").limit(100_000).collect()])
+    most = heavy.orderBy(F.desc("n"), "token").limit(100_000).toArrow()
+    order = Order(most.column("token").to_numpy(), most.column("n").to_numpy())
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,12 +212,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead.view(np.int64))], names=["h1", "h2", "n", "tokens", "lead"])
 
     led = found.mapInArrow(grouped, "h1 long, h2 long, n long, tokens array<long>, lead long")
-    # Groups above the size: at most (all tokens / group_tokens) of them.
-    large = {r["lead"]: -(-r["n"] // group_tokens) for r in led.groupBy("lead").agg(F.sum(F.size("tokens")).alias("n")).filter(F.col("n") > group_tokens).collect()}
-    blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in large.items() for x in kv)), F.col("lead")), F.lit(1).cast("long")) if large else F.lit(1).cast("long")
+    # Groups above the size, settled so that the join knows how few they are: at most (all tokens / group_tokens).
+    large = scratch.written(led.groupBy("lead").agg(F.sum(F.size("tokens")).alias("held")).filter(F.col("held") > group_tokens).select("lead", F.expr(f"held div {group_tokens} + 1").alias("blocks")), "large")
     total = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
     buckets = max(16, int(total // group_tokens) * 2)
-    placed = led.withColumn("gid", F.xxhash64("lead", F.pmod("h1", blocks))).withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int"))
+    placed = led.join(large, "lead", "left").withColumn("gid", F.xxhash64("lead", F.pmod("h1", F.coalesce("blocks", F.lit(1).cast("long"))))).drop("blocks")
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int"))
 
     def open_groups(key: tuple, table: pa.Table) -> pa.Table:
         h1, h2, gid, full = (table.column(c).to_numpy() for c in ("h1", "h2", "gid", "n"))
@@ -220,15 +233,10 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
                 comp[a:b] = h1[mine][root]
         return pa.table({"h1": h1[rows_], "h2": h2[rows_], "gid": gid[rows_], "comp": comp, "n": full[rows_], "tokens": table.column("tokens").combine_chunks().take(pa.array(rows_))})
 
-    sets = workspace.written(placed.groupBy("bucket").applyInArrow(open_groups, _SETS), "groups")
-    labels = sets.select(F.col("comp").alias("node"), F.col("comp").alias("root")).distinct()
-    for every in (False, True):
-        edges = workspace.written(_open_by_matrix(sets, labels, order, percent, buckets, every), "links")
-        labels = workspace.written(_merge(labels, edges), "labels")
-    return rows.drop("tokens"), sets.join(labels, sets["comp"] == labels["node"]).select("h1", "h2", "root")
+    return workspace.written(placed.groupBy("bucket").applyInArrow(open_groups, _SETS), "groups"), order, buckets
 
 
-def _shared(found: DataFrame, percent: int) -> DataFrame:
+def _shared(found: DataFrame, scratch: workspace.Scratch, percent: int) -> DataFrame:
     """``h1, h2, n, tokens``: the tokens that may be in another set too, for sets that have enough of them."""
     bitmap = sketch.repeated(found.select("tokens"), lambda batch: iter([mix(_tokens(batch.column("tokens"))[0], 23)]), 28)
 
@@ -237,7 +245,7 @@ def _shared(found: DataFrame, percent: int) -> DataFrame:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
                 flat, at = _tokens(batch.column("tokens"))
-                hit = sketch.may_repeat(bitmap.value, mix(flat, 23))
+                hit = bitmap.value.may_repeat(mix(flat, 23))
                 n = np.diff(at)
                 m = np.diff(np.concatenate([[0], np.cumsum(hit)])[at])
                 enough = (100 * m >= percent * n) & (n > 0)
@@ -245,10 +253,12 @@ def _shared(found: DataFrame, percent: int) -> DataFrame:
                 some = batch.filter(pa.array(enough))
                 yield pa.RecordBatch.from_arrays([some.column("h1"), some.column("h2"), pa.array(n[enough]), _lists(flat[hit], m[enough])], names=["h1", "h2", "n", "tokens"])
 
-    return workspace.written(found.mapInArrow(keep, "h1 long, h2 long, n long, tokens array<long>"), "shared")
+    kept = scratch.written(found.mapInArrow(keep, "h1 long, h2 long, n long, tokens array<long>"), "shared")
+    bitmap.destroy()
+    return kept
 
 
-def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: int, buckets: int, every: bool) -> DataFrame:
+def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: int, buckets: int, every: bool, scratch: workspace.Scratch) -> DataFrame:
     """Links ``a, b`` between components that the matrix leads to; with ``every`` all of them."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +277,7 @@ def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: i
     weighed = labels.join(sizes, "root").select("node", F.struct("m", "root").alias("rank"))
     held = sets.mapInArrow(prefixes, "token long, h1 long, gid long, comp long, n long").join(weighed, F.col("comp") == F.col("node")).drop("comp", "node")
     spread = held.groupBy("token").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least.root != most.root").select("token", "most")
-    held = workspace.written(held.join(spread, "token"), "prefixes")
+    held = scratch.written(held.join(spread, "token"), "prefixes")
     matrix = held.groupBy("token", "gid").agg(F.max("rank").alias("g_rank"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count("*").alias("rows"))
     if not every:
         matrix = matrix.groupBy("token").agg(F.max(F.struct("g_rank", "rows", "gid", "n_min", "n_max")).alias("g")).select("token", "g.*")
@@ -279,7 +289,7 @@ def _open_by_matrix(sets: DataFrame, labels: DataFrame, order: Order, percent: i
         sent = hits.filter(F.col("hits") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 16))
     else:
         sent = hits.groupBy("h1").agg(F.max(F.struct("hits", "gid")).alias("g")).select("h1", "g.gid")
-    sent = workspace.written(sent.select("h1", F.col("gid").alias("to")), "queries")
+    sent = scratch.written(sent.select("h1", F.col("gid").alias("to")), "queries")
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
     rooted = sets.join(labels, F.col("comp") == F.col("node")).select("h1", "gid", "root", "n", "tokens")
     # Own names: a cogroup tells its sides apart by their columns, and both come from the same sets.
@@ -321,18 +331,19 @@ def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` after the components ``edges`` join."""
     if edges.isEmpty():
         return labels
-    roots = connected(edges)
-    moved = labels.join(roots.withColumnRenamed("root", "new"), F.col("root") == roots["node"], "left")
-    return moved.select(labels["node"], F.coalesce("new", "root").alias("root"))
+    with workspace.Scratch(labels.sparkSession) as scratch:
+        roots = connected(edges, scratch)
+        moved = labels.join(roots.withColumnRenamed("root", "new"), F.col("root") == roots["node"], "left")
+        return workspace.written(moved.select(labels["node"], F.coalesce("new", "root").alias("root")), "labels")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: workspace.Scratch) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``: the least node of its component.
 
     Alternating large-star and small-star; every round is written, and ends when no edge changes.
     """
     stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    stars, before = workspace.written(stars, "stars"), None
+    stars, before = scratch.written(stars, "stars"), None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -340,7 +351,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        stars = workspace.written(small.filter("u != v").distinct(), "stars")
+        stars = scratch.written(small.filter("u != v").distinct(), "stars")
+        scratch.clear(keep=1)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -374,8 +386,8 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFram
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     stays = member.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("n")).filter("n > 1")
     crowd = member.select("root", row.alias("row")).distinct().join(stays, "root")
-    crowd = workspace.written(crowd.groupBy("row").agg(F.max(F.col("row") == F.col("first")).alias("__stays")).select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"), "__stays"), "crowd")
-    met = docs.join(crowd, docs["doc_id"].eqNullSafe(crowd["__id"]) & (F.xxhash64(docs["text"]) == crowd["__hash"]), "left")
-    single = met.filter("__stays is null").select(*docs.columns)
-    many = met.filter("__stays").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return single.unionByName(many)
+    crowd = crowd.groupBy("row").agg(F.max(F.col("row") == F.col("first")).alias("stays")).select(F.col("row.doc_id").alias("crowd_id"), F.col("row.text_hash").alias("crowd_hash"), "stays")
+    crowd = workspace.written(crowd, "crowd")
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))  # no name of ``docs`` clashes
+    met = whole.join(crowd, F.col("id").eqNullSafe(F.col("crowd_id")) & (F.col("hash") == F.col("crowd_hash")), "left")
+    return met.filter("stays is null").unionByName(met.filter("stays").dropDuplicates(["id", "hash"])).select("doc.*")

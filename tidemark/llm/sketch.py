@@ -2,7 +2,7 @@
 
 Each task turns its hashes into cells and sends its distinct cells as byte deltas, dealt by slices of the
 sketch; a slice's lists are merged into a bitmap of the cells seen at least twice.  The estimate never
-falls below the true count, so no repeated hash is lost.  The merged bitmap is broadcast; its size is
+falls below the true count, so no repeated hash is lost.  The merged bitmap is broadcast compressed; its size is
 ``2**bits`` bits and never above ``2**MOST_BITS`` (128 MB; a caller may set less), whatever the corpus.  With more hashes
 than cells more of them are estimated repeated, and the exact pass that follows does more work.
 """
@@ -10,6 +10,8 @@ than cells more of them are estimated repeated, and the exact pass that follows
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,30 @@ from tidemark.llm.hashing import chunks
 MOST_BITS, FLUSH = 30, 2_000_000
 
 
+@dataclass(frozen=True)
+class Bitmap:
+    """Cells seen at least twice.  Slices travel compressed and are unpacked once in each Python worker."""
+
+    bits: int
+    slices: tuple[bytes, ...]
+
+    @cached_property
+    def cells(self) -> np.ndarray:
+        size = (1 << self.bits) // 8
+        out, each = np.empty(size, np.uint8), size // len(self.slices)
+        for i, x in enumerate(self.slices):
+            out[i * each : (i + 1) * each] = np.frombuffer(pa.decompress(x, each, codec="zstd"), np.uint8)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "slices": self.slices}
+
+    def may_repeat(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes are estimated repeated."""
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.cells[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def pack_deltas(sorted_values: np.ndarray) -> bytes:
     """Distinct ascending integers as bytes: each 255 adds 255, any other byte ends a value."""
     d = np.diff(sorted_values.astype(np.int64), prepend=0)
@@ -53,7 +79,10 @@ def of_texts(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable
 
 
 def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, slices: int | None = None):
-    """A broadcast bitmap of ``2**bits`` cells: set where at least two of the hashes of ``rows`` fall."""
+    """A broadcast ``Bitmap`` of ``2**bits`` cells: set where at least two of the hashes of ``rows`` fall.
+
+    The caller destroys it after the last action that uses it.
+    """
     spark = rows.sparkSession
     slices = 1 << int(np.ceil(np.log2(max(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), 16))))
     slices = min(slices, 1 << 12, 1 << (bits - 3))
@@ -92,17 +121,11 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
                 twice[cells[once[cells]]] = True
                 once[cells] = True
                 twice[unpack_deltas(b.as_py())] = True
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([pa.compress(np.packbits(twice, bitorder="little").tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     parts = rows.mapInArrow(fill, "slice int, once binary, twice binary").groupBy("slice").applyInArrow(merge, "slice int, bitmap binary")
-    found = np.zeros((slices, width // 8), np.uint8)
+    empty = pa.compress(bytes(width // 8), codec="zstd", asbytes=True)
+    found = [empty] * slices
     for row in parts.toLocalIterator():  # one slice at a time; 2**bits bits in all
-        found[row["slice"]] = np.frombuffer(row["bitmap"], np.uint8)
-    return spark.sparkContext.broadcast(found.tobytes())
-
-
-def may_repeat(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
-    """Which of the hashes the bitmap estimates repeated."""
-    cells = np.frombuffer(bitmap, np.uint8)
-    at = hashes >> np.uint64(64 - int(np.log2(len(cells) * 8)))
-    return (cells[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        found[row["slice"]] = bytes(row["bitmap"])
+    return spark.sparkContext.broadcast(Bitmap(bits, tuple(found)))

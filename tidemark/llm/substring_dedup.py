@@ -81,7 +81,7 @@ def dedup(docs: DataFrame, window: int = 35, bucket_windows: int = 500_000, part
                 words = w.hashes(data)
                 i, doc = w.windows(words, window)
                 h = window_hashes(words, i, window)
-                k = np.flatnonzero(sketch.may_repeat(bitmap.value, h))
+                k = np.flatnonzero(bitmap.value.may_repeat(h))
                 if not len(k):
                     continue
                 h2 = (window_hashes(words, i, window, second=True)[k] >> np.uint64(32)).astype(np.uint32)

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (local runs, tests) one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, local runs make and set one, a cluster gets an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        if not current:
-            current = tempfile.mkdtemp(prefix="tidemark-")
-            spark.sparkContext.setCheckpointDir(current)
-        found = current
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -24,14 +24,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the plan is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: the plan is cut and survives lost executors.
+
+    The table stays, since the result of an operator may be read at any later time.
+    """
+    return _written(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables that only the steps of one operator read; all are removed when the block ends.
+
+    What the block returns must not depend on them: it is written by ``written`` or collected.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        return _written(df, self.paths[-1])
+
+    def clear(self, keep: int = 0) -> None:
+        """Remove all tables but the last ``keep``."""
+        gone = self.paths[: len(self.paths) - keep]
+        self.paths = self.paths[len(gone) :]
+        for name in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *_) -> None:
+        self.clear()
 
 
-def input_parts(spark: SparkSession, n_bytes: int, target: int, least: int = 1) -> int:
+def parts_for(n_bytes: int, target: int, least: int = 1) -> int:
     """How many parts of about ``target`` bytes hold ``n_bytes``."""
     return max(least, -(-int(n_bytes) // target))
