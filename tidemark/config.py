@@ -55,7 +55,8 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Execution:
-    """How a state is traded.  ``price`` is open_close (next row), open_open or close_close."""
+    """How a state is traded.  ``price`` is open_close, open_open (to the next row's open), open_before (from the
+    open before) or close_close."""
 
     price: str = "open_close"
     delay: int = 1
@@ -75,6 +76,7 @@ EXECUTIONS = {
     "tomorrow_open": Execution("open_open", neutral_weight=0.33, neutral_leverage=1.0),
     "flux5": Execution("close_close", neutral_weight=1.0, neutral_leverage=1.0),
     "web": Execution("close_close", neutral_weight=0.40, neutral_leverage=1.0),
+    "compare_runner": Execution("open_before"),
     "golden": Execution("close_close", neutral_weight=1.0, neutral_leverage=1.0),
 }
 
@@ -106,18 +108,30 @@ class Newgate:
     classic_off_gate: bool = False
     flow_off_gate: bool = False
     off_cap: float = 0.20
-    stab_off_gate: bool = False
-    stab_off_cap: float = 0.0
-    stab_soft_cap: float | None = None
+    stab_off_cap: float | None = None  # while the flow engine's absorption or flux says off
+    stab_soft_cap: float | None = None  # while its absorption or guard is high
+    stab_mm: tuple[float, float] = (0.88, 0.96)
+    stab_j_off: float = -0.08
+    stab_guard: float = 0.95
     window: int = 63
 
 
-# Presets that have published parameters.
+_CAREFUL = {"tilt": 0.85, "dr": 0.85, "chi": 0.60, "fqi": 0.0, "dt": -0.25}
+_BOLD_EW, _BOLD_DR = {"tilt": 1.05, "dr": 1.05, "chi": 0.75, "fqi": -0.15, "dt": -0.35}, {"tilt": 1.25, "dr": 1.25, "chi": 1.10, "fqi": -0.35}
+
+# The presets; a plus adds the caps of the flow engine's stability overlay.
 NEWGATE = {
     "base": Newgate(),
+    "defensive": Newgate(kappa=2.2, g2=0.33),
+    "defensive_plus": Newgate(kappa=2.2, g2=0.33, stab_off_cap=0.20, stab_soft_cap=0.40),
+    "balanced": Newgate(kappa=2.4, ew=_CAREFUL, g1=0.75, g3=0.66, cr_hold=2),
+    "balanced_plus": Newgate(kappa=2.4, ew=_CAREFUL, g1=0.75, g3=0.66, cr_hold=2, stab_off_cap=0.20, stab_soft_cap=0.40),
+    "aggressive": Newgate(
+        kappa=3.0, w_min=0.05, w_max=0.98, ew=_BOLD_EW, g1=0.95, dr=_BOLD_DR, g2=0.90, cr={"dr": 1.10, "tilt": 0.95, "eta": 0.95, "fqi": -0.10, "zr": 0.60, "rsi": 45.0},
+        g3=0.80, cr_hold=1, shock_z=2.4, band=(0.30, 0.60),
+    ),
     "aggressive_plus": Newgate(
-        kappa=3.0, w_min=0.05, w_max=0.98, ew={"tilt": 1.05, "dr": 1.05, "chi": 0.75, "fqi": -0.15, "dt": -0.35}, g1=1.0,
-        dr={"tilt": 1.25, "dr": 1.25, "chi": 1.10, "fqi": -0.35}, g2=1.0, cr={"dr": 1.10, "tilt": 0.95, "eta": 0.95, "fqi": -0.15, "zr": 0.60, "rsi": 45.0},
+        kappa=3.0, w_min=0.05, w_max=0.98, ew=_BOLD_EW, g1=1.0, dr=_BOLD_DR, g2=1.0, cr={"dr": 1.10, "tilt": 0.95, "eta": 0.95, "fqi": -0.15, "zr": 0.60, "rsi": 45.0},
         g3=0.80, cr_hold=2, shock_z=2.4, band=(0.30, 0.60), on_thr=0.20, off_thr=-0.30,
     ),
 }
@@ -138,6 +152,29 @@ class Stab:
     lag_up: int = 3
     lag_down: int = 4
     up_confirm_off: int = 2
+    lead_on: int = 6
+    down_grace: int = 6
+    hazard: int = 9
+
+
+# A tuned overlay to compare with.
+STAB_ASYMMETRIC = Stab(lag_down=3, up_confirm_off=1, lead_on=7, down_grace=3, hazard=10)
+
+
+@dataclass(frozen=True)
+class Exp:
+    """Ratio gates and timing of the exp variant."""
+
+    lam: float = 0.75
+    r_on: float = 0.76
+    r_off: float = -0.05
+    breadth: float = 0.45
+    win: int = 52
+    on_k: float = 0.81
+    off_k: float = 0.37
+    high_scale: float = 1.25
+    strong_k: float = 1.5
+    both_when_high: bool = False
 
 
 @dataclass(frozen=True)
@@ -156,8 +193,11 @@ class Flow:
     mm_off: float = 0.96
     pcon_on: float = 0.55
     pcon_off: float = 0.40
-    kappa_lambda: float = 0.25
+    kappa_lambda: float = 1.0
+    score_on: float = 0.60
+    score_off: float = 0.40
     stab: Stab = Stab()
+    exp: Exp = Exp()
 
     def with_(self, **changes) -> Flow:
         return replace(self, **changes)

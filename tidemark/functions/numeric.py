@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column
@@ -118,6 +119,16 @@ def hits(*conditions: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(False)).cast("int") for c in conditions])
 
 
+def mulberry32(seed: int) -> Iterator[float]:
+    """The 32-bit generator of that name: numbers from 0 to below 1."""
+    low, state = 0xFFFFFFFF, seed & 0xFFFFFFFF
+    while True:
+        state = state + 0x6D2B79F5 & low
+        x = (state ^ state >> 15) * (state | 1) & low
+        x ^= x + (x ^ x >> 7) * (x | 61) & low
+        yield (x ^ x >> 14) / 2**32
+
+
 def session_of(ts: C, zone: str = "America/New_York") -> Column:
     """``pre`` before 09:30 exchange time, ``post`` from 16:00, else ``regular``."""
     local = F.from_utc_timestamp(col(ts), zone)

@@ -24,6 +24,10 @@ def percent(c: C, digits: int = 2) -> Column:
     return or_missing(F.format_string(f"%.{digits}f%%", col(c) * 100), c)
 
 
+def signed_percent(c: C, digits: int = 2) -> Column:
+    return or_missing(F.format_string(f"%+.{digits}f%%", col(c) * 100), c)
+
+
 def month_day(d: C) -> Column:
     return F.date_format(col(d), "MM/dd")
 

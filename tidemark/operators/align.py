@@ -30,9 +30,15 @@ def calendar(panel: DataFrame, n_symbols: int = len(SYMBOLS)) -> DataFrame:
 
 
 def align(panel: DataFrame, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:
-    """The panel on the shared calendar, with ``idx``; ``open`` falls back to ``close``."""
-    kept = panel.filter(F.col("symbol").isin(*symbols) & F.col("close").isNotNull())
-    return kept.join(calendar(kept, len(symbols)), [U, "d"]).withColumn("open", F.coalesce("open", "close"))
+    """The panel on the shared calendar, with ``idx``; ``open`` falls back to ``close``.
+
+    One aggregation turns the symbols of a day to a row, days are numbered, and the row is opened again: the
+    panel is read once and nothing is joined.
+    """
+    bar = lambda s: F.first(F.when(F.col("symbol") == s, F.struct(F.coalesce("open", "close").alias("open"), "close")), ignorenulls=True)
+    days = panel.filter(F.col("symbol").isin(*symbols) & F.col("close").isNotNull()).groupBy(U, "d").agg(F.array(*(F.struct(F.lit(s).alias("symbol"), bar(s).alias("bar")) for s in symbols)).alias("bars"))
+    full = days.filter(F.forall("bars", lambda b: b["bar"].isNotNull())).withColumn("idx", F.row_number().over(Window.partitionBy(U).orderBy("d")) - 1)
+    return full.select(U, "d", "idx", F.explode("bars").alias("b")).select(U, "d", "b.symbol", "b.bar.open", "b.bar.close", "idx")
 
 
 def opens_on(closes: DataFrame, opens: DataFrame) -> DataFrame:

@@ -48,6 +48,17 @@ def mad_values(x: pd.Series, n: int, least: int = 5) -> np.ndarray:
     return np.where(out > 0, out, np.nan)
 
 
+def upper_mad_values(x: pd.Series, n: int, least: int = 5) -> np.ndarray:
+    """As ``mad_values`` with the upper of the two middle values for a median."""
+    values, out = x.to_numpy(float), np.full(len(x), np.nan)
+    for i in range(len(values)):
+        held = np.sort(values[max(0, i - n + 1) : i + 1])
+        held = held[~np.isnan(held)]
+        if len(held) >= least:
+            out[i] = 1.4826 * np.sort(np.abs(held - held[len(held) // 2]))[len(held) // 2]
+    return np.where(out > 0, out, np.nan)
+
+
 def with_ema(df: DataFrame, spec: dict[str, tuple[str, int]], by: tuple[str, ...] = (U,)) -> DataFrame:
     """``spec``: {new column: (column, span)}; all in one pass."""
     return per_series(df, lambda p: {c: ema_values(p[x].astype(float), n) for c, (x, n) in spec.items()}, dict.fromkeys(spec, "double"), by)
@@ -91,6 +102,24 @@ def countdowns(lead: np.ndarray, fall: np.ndarray, hazard: np.ndarray, n_lead: i
     return {"up_lead": out[:, 0], "grace": out[:, 1], "hazard": out[:, 2]}
 
 
+def opened(lead: np.ndarray, fall: np.ndarray, up_lead: int, grace: int, hazard: int) -> dict[str, np.ndarray]:
+    """1 on the rows of a lead, and on those of a hazard, whose rows begin when the grace of the fall is used up."""
+    left = [0, 0, 0]
+    out = np.zeros((len(lead), 2), np.int32)
+    for i in range(len(lead)):
+        if lead[i]:
+            left[0] = max(left[0], up_lead)
+        if fall[i]:
+            left[1:] = max(left[1], grace), max(left[2], hazard)
+        if left[0]:
+            out[i, 0], left[0] = 1, left[0] - 1
+        if left[1]:
+            left[1] -= 1
+        elif left[2]:
+            out[i, 1], left[2] = 1, left[2] - 1
+    return {"up_lead": out[:, 0], "hazard": out[:, 1]}
+
+
 def pivots(df: DataFrame, x: str, by: tuple[str, ...] = (U,)) -> DataFrame:
     """Strict five-point peaks (1) and troughs (-1) of ``x`` with the gap in rows since the one before of its kind."""
     w = series(*by)

@@ -144,6 +144,12 @@ def rolling_correlation(pair_rows: DataFrame, n: int, by: tuple[str, ...] = (U,
     return pair_rows.withColumns({"corr": correlation("x", "y", f, zero), "__n": both}).filter(F.col("__n") >= (least or n)).drop("__n")
 
 
+def with_next(df: DataFrame, *columns: str, by: tuple[str, ...] = (U,)) -> DataFrame:
+    """``next_*``: the values of the row after."""
+    w = series(*by)
+    return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
+
+
 def compounded(r: C, w: WindowSpec, skip: float = 0.0) -> Column:
     """Product of 1 + r so far; a missing return counts as ``skip``.  Returns stay above -1."""
     return F.exp(F.sum(F.ln(1 + F.coalesce(col(r), F.lit(skip)))).over(so_far(w)))

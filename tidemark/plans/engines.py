@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import SIGNALS, Thresholds
+from tidemark.config import CLUSTER, SIGNALS, Thresholds
 from tidemark.functions.numeric import clamp01, mean_of, normalize_range, softmax2
 from tidemark.operators.islands import executed
-from tidemark.operators.rolling import hit_rate, information, series, simple_return
+from tidemark.operators.rolling import hit_rate, information, series
 from tidemark.plans.records import name
 
 U = "universe"
+RISK = tuple(s for s in SIGNALS if CLUSTER[s] == "risk")
 
 
 def case_state(on: Column, off: Column, later_on: Column | None = None) -> Column:
@@ -43,13 +44,11 @@ def fitted(records: DataFrame, low: float = 0.3, high: float = 0.7) -> Threshold
 
 
 def enhanced(rec: DataFrame) -> DataFrame:
-    """Classic with momentum, breadth and an absorption guard; ``fragile`` marks a state near its limits."""
-    w = series(U)
-    ret = lambda s, k: simple_return(f"c_{name(s)}", w, k)
-    five = [ret(s, 5) for s in SIGNALS]
+    """Classic with momentum, breadth and an absorption guard, on ``frame.daily``; ``fragile`` marks a state near its limits."""
+    five = [F.col(f"ret5_{name(s)}") for s in RISK]
     up = sum((F.when(r > 0, 1.0).otherwise(0.0) for r in five[1:]), F.when(five[0] > 0, 1.0).otherwise(0.0))
     known = sum((r.isNotNull().cast("double") for r in five[1:]), five[0].isNotNull().cast("double"))
-    d = classic(rec).withColumnRenamed("state", "classic_state").withColumns({"combo": mean_of(ret("IWM", 10), ret("BTC-USD", 10)), "breadth": F.try_divide(up, known)})
+    d = classic(rec).withColumnRenamed("state", "classic_state").withColumns({"combo": mean_of(*(f"ret10_{name(s)}" for s in ("IWM", "BTC-USD"))), "breadth": F.try_divide(up, known)})
     c, mm, safe, combo = F.col("pair_corr"), F.col("mm"), F.col("safe_negative"), F.col("combo")
     d = d.withColumns({
         "mom": clamp01((F.coalesce(combo, F.lit(0.0)) + 0.015) / 0.06),

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tidemark.config import BASE, CLUSTER, SIGNALS, Flow
 from tidemark.functions.numeric import clamp01, finite, mean_of, normalize_range, sigmoid, weighted_mean_of
-from tidemark.operators import eigen
-from tidemark.operators.folds import bear_damp, ema_values, mad_values, per_series
+from tidemark.operators.folds import ema_values, mad_values, per_series
 from tidemark.operators.islands import executed, with_streak
-from tidemark.operators.rolling import series, simple_return, so_far, z_momentum, zscore_sample
+from tidemark.operators.rolling import series, so_far, z_momentum
+from tidemark.plans import frame as daily_frame
 from tidemark.plans import records as R
 from tidemark.plans.records import name
 from tidemark.sources import shared
@@ -55,39 +55,24 @@ def pair_flux(corr: DataFrame, momentum: DataFrame) -> DataFrame:
 
 
 def columns(panel: DataFrame, window: int = 30) -> DataFrame:
-    """Every input of the engine, one row a day."""
-    corr = R.correlations(panel, window, SIGNALS)
-    momentum = momenta(panel)
-    rec = R.smoothed(R.daily(corr)).join(R.absorption(corr).select(U, "idx", "mm", "upper"), [U, "idx"])
-    rec = rec.join(pair_flux(corr, momentum).drop("d"), [U, "idx"]).join(eigen.frobenius_change(corr, len(SIGNALS)).drop("d"), [U, "idx"])
-    rec = rec.join(momentum.drop("d", *(f"r_{name(s)}" for s in SIGNALS)), [U, "idx"])
-    panel_idx = R.wide_aligned(panel).select(U, "idx", "d", *(f"c_{name(s)}" for s in ("QQQ", "IWM", "BTC-USD")))
-    long = panel_idx.select(U, "idx", "d", F.inline(F.array(*(F.struct(F.lit(s).alias("symbol"), F.col(f"c_{name(s)}").alias("close")) for s in ("QQQ", "IWM", "BTC-USD")))))
-    rec = rec.join(bear_damp(long).select(U, "idx", "damp"), [U, "idx"])
+    """Every input of the engine, one row a day: the daily frame and expressions of its rows."""
     w = series(U)
-    n = F.count("*").over(Window.partitionBy(U))
-    frame_n = F.least(F.lit(63), F.greatest(F.lit(15), F.floor(n / 4)))
-    d = rec.withColumns({"j": F.tanh(F.coalesce("flux_raw", F.lit(0.0)) / 0.25) * F.col("damp"), "__n": frame_n})
-    # The frame is 15 to 63 rows by the length of the history: short histories take 15.
-    z15, z63 = zscore_sample("frob", w, 15), zscore_sample("frob", w, 63)
-    zs = [_z(s) for s in SIGNALS]
+    d = daily_frame.daily(panel, window)
+    zs, risk = [_z(s) for s in SIGNALS], [_z(s) for s in RISK]
     share = lambda cols, test: F.try_divide(sum((F.coalesce(test(c), F.lit(False)).cast("double") for c in cols), F.lit(0.0)), sum((c.isNotNull().cast("double") for c in cols), F.lit(0.0)))
-    risk = [_z(s) for s in RISK]
+    d = d.withColumn("j", F.tanh(F.coalesce("flux_raw", F.lit(0.0)) / 0.25) * F.col("damp"))
     d = d.withColumns({
-        "frob_z": F.when(F.col("__n") >= 63, z63).otherwise(z15), "flux_slope": F.col("j") - F.lag("j").over(w), "mm_trend": F.col("mm") - F.lag("mm").over(w),
-        "down_all": share(zs, lambda c: c < 0), "combo": mean_of(*risk), "breadth": share(risk, lambda c: c > 0),
-        "bench10": simple_return(f"c_{BASE}", w, 10), "bench20": simple_return(f"c_{BASE}", w, 20), "ret": simple_return(f"c_{BASE}", w),
-        "risk3": mean_of(*(simple_return(f"c_{name(s)}", w, 3) for s in RISK)),
-        "day0": F.coalesce(simple_return(f"c_{BASE}", w) > 0, F.lit(False)) | F.coalesce(simple_return("c_IWM", w) > 0, F.lit(False)),
+        "flux_slope": F.col("j") - F.lag("j").over(w), "mm_trend": F.col("mm") - F.lag("mm").over(w),
+        "down_all": share(zs, lambda c: c < 0), "combo": mean_of(*risk), "breadth": share(risk, lambda c: c > 0), "ret": F.col(f"s_{BASE}"),
+        "risk3": mean_of(*(f"ret3_{name(s)}" for s in RISK)),
+        "day0": F.coalesce(F.col(f"s_{BASE}") > 0, F.lit(False)) | F.coalesce(F.col("s_IWM") > 0, F.lit(False)),
+        "day0_both": F.coalesce(F.col(f"s_{BASE}") > 0, F.lit(False)) & F.coalesce(F.col("s_IWM") > 0, F.lit(False)),
     })
     guard = 0.4 * normalize_range("mm", 0.85, 0.97) + 0.2 * normalize_range("safe_negative", 0.35, 0.60) + 0.2 * normalize_range(F.greatest(F.lit(0.0), -F.col("delta")), 0.015, 0.05) + 0.2 * F.coalesce(sigmoid("frob_z", 0.85), F.lit(1.0))
     d = d.withColumn("guard", guard)
     diff = F.col("j") - 0.5 * F.greatest(F.lit(0.0), F.coalesce("mm_trend", F.lit(0.0))) - 0.15 * F.greatest(F.lit(0.0), -F.coalesce("flux_slope", F.lit(0.0)))
-    d = d.withColumns({"score": weighted_mean_of(((1 + F.col("j")) / 2, 0.5), (clamp01((F.col("combo") + 1) / 2), 0.2), (clamp01("breadth"), 0.2), (clamp01(1 - F.col("guard")), 0.1)), "diffusion": diff, "pc1": eigen.first_component("upper")})
-    z = F.array(*(F.coalesce(c, F.lit(0.0)) for c in zs))
-    dot = F.aggregate(F.zip_with("pc1", z, lambda e, x: e * x), F.lit(0.0), lambda s, x: s + x)
-    size = F.aggregate("pc1", F.lit(0.0), lambda s, x: s + F.abs(x))
-    return d.withColumn("v_pc1", F.tanh(F.try_divide(dot, size) / 0.5)).withColumn("far", F.when(F.col("mm") > 0, F.abs("j") / (F.col("mm") + 1e-9))).drop("__n", "pc1", "upper")
+    score = weighted_mean_of(((1 + F.col("j")) / 2, 0.5), (clamp01((F.col("combo") + 1) / 2), 0.2), (clamp01("breadth"), 0.2), (clamp01(1 - F.col("guard")), 0.1))
+    return d.withColumns({"score": score, "diffusion": diff, "far": F.when(F.col("mm") > 0, F.abs("j") / (F.col("mm") + 1e-9))})
 
 
 def thresholds(cols: DataFrame, p: Flow = Flow()) -> tuple[float, float]:
@@ -98,28 +83,43 @@ def thresholds(cols: DataFrame, p: Flow = Flow()) -> tuple[float, float]:
     return (max(p.j_on, q["q"][0]), min(p.j_off, q["q"][1])) if q["n"] >= p.quantile_rows else (p.j_on, p.j_off)
 
 
+def score_thresholds(cols: DataFrame, p: Flow = Flow()) -> tuple[float, float]:
+    """(on, off) of the score: at its upper and lower quartile over the whole history, at least the fixed ones."""
+    if p.variant == "classic":
+        return p.score_on, p.score_off
+    q = cols.agg(F.count("score").alias("n"), F.percentile("score", [0.75, 0.25]).alias("q")).first()
+    return (max(p.score_on, q["q"][0]), min(p.score_off, q["q"][1])) if q["n"] >= p.quantile_rows else (p.score_on, p.score_off)
+
+
 def _or(value: Column, missing: bool) -> Column:
     return F.coalesce(value, F.lit(missing))
 
 
 def with_stability_trend(cols: DataFrame, p: Flow) -> DataFrame:
-    """``s_slope`` (fast less slow mean of the stability) and ``s_z``, its size in robust deviations: one pass a series."""
+    """``s_slope`` (fast less slow mean of the stability) and ``s_z``, its size in robust deviations: one pass a series.
+
+    Columns ``fast, slow, z_win`` of a search stand before the parameters.
+    """
+    asked = {k: k in cols.columns for k in ("fast", "slow", "z_win")}
+    fixed = {k: getattr(p.stab, k) for k in asked}
 
     def fold(pdf: pd.DataFrame) -> dict:
-        slope = ema_values(pdf["stability"], p.stab.fast) - ema_values(pdf["stability"], p.stab.slow)
-        return {"s_slope": slope, "s_z": slope / mad_values(slope, p.stab.z_win)}
+        fast, slow, z_win = (int(pdf[k].iloc[0]) if held else fixed[k] for k, held in asked.items())
+        slope = ema_values(pdf["stability"], fast) - ema_values(pdf["stability"], slow)
+        return {"s_slope": slope, "s_z": slope / mad_values(slope, z_win)}
 
     return _nulls(per_series(cols, fold, {"s_slope": "double", "s_z": "double"}), "s_slope", "s_z")
 
 
 def with_ratio_timing(cols: DataFrame, p: Flow) -> DataFrame:
     """EXP: the smoothed ratio of diffusion to drift, its fast less slow mean ``st``, the step and its deviation."""
+    lam, win = p.exp.lam, p.exp.win
 
     def fold(pdf: pd.DataFrame) -> dict:
-        raw = pdf["diffusion"] / (pdf["v_pc1"].fillna(0).abs() + 1e-6)
+        raw = pdf["diffusion"] / (lam * pdf["v_pc1"].fillna(0).abs() + 1e-6)
         ratio = raw.ewm(alpha=0.5, adjust=False, ignore_na=True).mean()
         st = ema_values(ratio.fillna(0), 3) - ema_values(ratio.fillna(0), 10)
-        return {"ratio": ratio, "st": st, "d_st": st.diff(), "st_before": st.shift(), "st_sigma": mad_values(st, 63)}
+        return {"ratio": ratio, "st": st, "d_st": st.diff(), "st_before": st.shift(), "st_sigma": mad_values(st, win)}
 
     out = dict.fromkeys(("ratio", "st", "d_st", "st_before", "st_sigma"), "double")
     return _nulls(per_series(cols, fold, out), *out)
@@ -142,13 +142,15 @@ def conditions(cols: DataFrame, on: float, off: float, p: Flow = Flow()) -> Data
     booster, exp_ok, exp_off = F.lit(False), F.lit(True), F.lit(False)
     if p.variant == "exp":
         sigma = F.col("st_sigma")
-        scale = F.when(mm >= p.mm_hi, 1.25).otherwise(1.0)
+        x = p.exp
+        scale = F.when(mm >= p.mm_hi, x.high_scale).otherwise(1.0)
+        day0 = F.when(mm >= p.mm_hi, F.col("day0_both")).otherwise(F.col("day0")) if x.both_when_high else F.col("day0")
         booster = ~bear & _or(F.col("pair_corr") >= 0.50, False) & ((breadth >= 0.55) | _or(combo >= 0.05, False))
-        timed = _or((F.col("st") > scale * 0.75 * F.coalesce(sigma, F.lit(0.0))) & (F.col("d_st") > 0) & (F.col("ratio") > 0), False) | sigma.isNull()
+        timed = _or((F.col("st") > scale * x.on_k * F.coalesce(sigma, F.lit(0.0))) & (F.col("d_st") > 0) & (F.col("ratio") > 0), False) | sigma.isNull()
         cross = _or((F.col("st_before") <= 0) & (F.col("st") > 0) & (F.col("d_st") > 0), False)
-        wide = F.when(mm >= p.mm_hi, breadth >= 0.55).otherwise(True)
-        exp_ok = (_or(F.col("ratio") >= 1.20, True) & F.col("day0") & wide & timed) | (F.col("day0") & (cross | booster))
-        exp_off = _or(F.col("ratio") <= -1.10, False) | _or((F.col("st") < -scale * 0.50 * F.coalesce(sigma, F.lit(0.0))) & (F.col("d_st") < 0) & (F.col("ratio") < 0), False)
+        wide = F.when(mm >= p.mm_hi, breadth >= x.breadth).otherwise(True)
+        exp_ok = (_or(F.col("ratio") >= x.r_on, True) & day0 & wide & timed) | (day0 & (cross | booster))
+        exp_off = _or(F.col("ratio") <= x.r_off, False) | _or((F.col("st") < -scale * x.off_k * F.coalesce(sigma, F.lit(0.0))) & (F.col("d_st") < 0) & (F.col("ratio") < 0), False)
     agree = _or(pcon >= p.pcon_on, True) | (diff >= high + 0.07) | booster
     strict = ~bear | ((diff >= high + 0.05) & _or(pcon >= 0.65, True) & _or(F.col("apdf") >= 0, True) & _or(combo >= 0.10, True))
     main = (diff >= high) & agree & _or(F.col("apdf") >= -0.05, True) & strict & (guard < 0.95) & (mm < p.mm_off) & (breadth >= 0.30) & exp_ok
@@ -165,7 +167,7 @@ def conditions(cols: DataFrame, on: float, off: float, p: Flow = Flow()) -> Data
     easy = (F.coalesce("flux_slope", F.lit(0.0)) > 0) & (F.coalesce("mm_trend", F.lit(0.0)) <= 0)
     confirm = F.when(strong, 1).when(tense, 3).when(_or(pcon >= 0.68, False) | easy, 1).otherwise(2)
     if p.variant == "exp":
-        confirm = F.when(_or(F.col("st") >= 1.5 * 0.75 * F.col("st_sigma"), False), 1).when(cross, F.greatest(F.lit(1), confirm - 1)).otherwise(confirm)
+        confirm = F.when(_or(F.col("st") >= x.strong_k * x.on_k * F.col("st_sigma"), False), 1).when(cross, F.greatest(F.lit(1), confirm - 1)).otherwise(confirm)
     d = with_streak(with_streak(d, F.col("__drift"), "__drift_run"), ~F.col("__drift"), "__calm_run")
     epoch = F.when(F.col("__drift_run") >= p.drift_days, 1).when(F.col("__calm_run") >= p.drift_cool, 0)
     d = d.withColumns({"raw_on": raw_on, "raw_off": raw_off, "confirm": confirm, "drift": F.coalesce(F.last(epoch, ignorenulls=True).over(so_far(series(U))), F.lit(0)) == 1})
@@ -205,8 +207,12 @@ def states(flagged: DataFrame, p: Flow = Flow()) -> DataFrame:
         return {"state": decide(*(pdf[c].tolist() for c in ("raw_on", "raw_off", "confirm", "need_off", "drift", "flat")), lean)}
 
     d = per_series(flagged, fold, {"state": "int"})
-    g = F.col("guard")
-    return d.withColumns({"executed": executed("state", series(U)), "fragile": (F.col("state") >= 0) & (g >= 0.88) & (g < 0.98)})
+    return d.withColumns({"executed": executed("state", series(U)), "fragile": fragile("state", "guard")})
+
+
+def fragile(state: str, guard: str) -> Column:
+    """A day that is not off while its guard (1 where unknown) is high."""
+    return (F.col(state) >= 0) & (F.coalesce(guard, F.lit(1.0)) >= 0.88)
 
 
 def flow(panel: DataFrame, window: int = 30, p: Flow = Flow(), at: tuple[float, float] | None = None) -> DataFrame:
@@ -220,9 +226,11 @@ def flow(panel: DataFrame, window: int = 30, p: Flow = Flow(), at: tuple[float,
     return states(flagged.select(*(c for c in flagged.columns if not c.startswith("__"))), p)
 
 
-def plain_state(cols: DataFrame, on: float, off: float) -> DataFrame:
+def plain_state(cols: DataFrame, on: float, off: float, score_on: float = 0.60, score_off: float = 0.40) -> DataFrame:
     """The rule without memory: score, flux, breadth and guard."""
     s, j, c, g = F.col("score"), F.col("j"), F.coalesce("combo", F.lit(0.0)), F.coalesce("guard", F.lit(1.0))
-    up = (s >= 0.60) & (j >= on) & (c > -0.005) & (F.coalesce("breadth", F.lit(0.0)) >= 0.5) & (g < 0.90)
-    down = (s <= 0.40) | (j <= off) | (c <= -0.03) | (F.col("mm") >= 0.96) | (g >= 1)
-    return cols.withColumn("state", F.when(up, 1).when(down, -1).otherwise(0))
+    up = (s >= score_on) & (j >= on) & (c > -0.005) & (F.coalesce("breadth", F.lit(0.0)) >= 0.5) & (g < 0.90)
+    down = (s <= score_off) | (j <= off) | (c <= -0.03) | (F.col("mm") >= 0.96) | (g >= 1)
+    state = F.when(up, 1).when(down, -1).otherwise(0)
+    weak = F.when(up, g >= 0.55).when(~down, (g >= 0.80) & (j >= 0) & (c >= -0.02)).otherwise(False)
+    return cols.withColumns({"state": state, "fragile": F.coalesce(weak, F.lit(False))})

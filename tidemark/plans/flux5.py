@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,46 +10,57 @@ from pyspark.sql import functions as F
 from tidemark.operators.folds import per_series
 from tidemark.operators.islands import executed
 from tidemark.operators.rolling import series
+from tidemark.plans import frame
+from tidemark.plans.records import cell
 
 U = "universe"
+INPUTS = ("down_all", "flux_norm", "diffusion", "kappa", "pcon", "mm_six", "v_six", "pair_corr", "spy_tlt", "bench20")
 
 
-def inputs(cols: DataFrame, corr: DataFrame) -> DataFrame:
-    """``flow.columns`` with the pair SPY-TLT, and the drift and lock triggers of each day."""
-    st = corr.filter(F.col("s1").isin("SPY", "TLT") & F.col("s2").isin("SPY", "TLT")).select(U, "idx", F.col("corr").alias("spy_tlt"))
-    d = cols.join(st, [U, "idx"])
-    mm = F.coalesce("mm", F.lit(0.0))
-    drift = (F.coalesce(F.col("down_all") >= 0.60, F.lit(False)) & (F.col("j") <= 0)) | ((mm >= 0.90) & F.coalesce(F.col("bench20") <= 0, F.lit(True)))
-    lock = F.coalesce((F.col("pair_corr") >= 0.50) & (F.col("spy_tlt") >= -0.10), F.lit(False)) & (mm >= 0.90)
-    kappa = F.abs("diffusion") / (F.abs("diffusion") + F.abs("v_pc1") + 1e-6)
-    score = 0.70 * F.greatest(F.lit(0.0), F.col("pair_corr")) + 0.30 * F.col("safe_negative")
-    return d.withColumns({"drift_now": drift, "lock_now": lock, "kappa": kappa, "flux_score": score})
+def inputs(panel: DataFrame, window: int = 30) -> DataFrame:
+    """The daily frame with what the engine looks at; absorption and velocity are those of all six symbols."""
+    w = series(U)
+    d = frame.daily(panel, window, six=True).withColumns({"flux_norm": F.tanh(F.coalesce("flux_raw", F.lit(0.0)) / 0.25), "pcon": F.coalesce("pcon", F.lit(0.0)), "spy_tlt": F.col(cell("SPY", "TLT"))})
+    step = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
+    known = [F.col(f"z_{s}") for s in ("IWM", "SPY", "TLT", "GLD", "BTC_USD")]
+    down = sum((F.when(z < 0, 1.0).otherwise(0.0) for z in known), F.lit(0.0))
+    n = sum((z.isNotNull().cast("double") for z in known), F.lit(0.0))
+    diffusion = F.col("flux_norm") - 0.5 * F.greatest(F.lit(0.0), step("mm_six")) - 0.15 * F.greatest(F.lit(0.0), -step("flux_norm"))
+    d = d.withColumns({"down_all": F.coalesce(F.try_divide(down, n), F.lit(0.0)), "diffusion": diffusion})
+    kappa = F.abs("diffusion") / (F.abs("diffusion") + F.abs(F.coalesce("v_six", F.lit(0.0))) + 1e-6)
+    score = 0.70 * F.greatest(F.lit(0.0), F.coalesce("pair_corr", F.lit(0.0))) + 0.30 * F.col("safe_negative")
+    return d.withColumns({"kappa": kappa, "flux_score": score})
 
 
-def fold(pdf: pd.DataFrame, j_on: float = 0.10, j_off: float = -0.08, kappa_on: float = 0.60, pcon_on: float = 0.55, pcon_off: float = 0.40, v_on: float = 0.05, v_off: float = -0.05, mm_hi: float = 0.90, mm_off: float = 0.96, lock_days: int = 5, drift_days: int = 3, drift_cool: int = 2, off_days: int = 3) -> dict:
-    """The sticky state of each day; state moves: drift epoch, lock countdown, days off, re-entry armed once after a drift."""
+def fold(pdf: pd.DataFrame, j_on: float = 0.10, j_off: float = -0.08, k_on: float = 0.60, pcon_on: float = 0.55, pcon_off: float = 0.40, v_on: float = 0.05, v_off: float = -0.05, mm_hi: float = 0.90, mm_off: float = 0.96, down_all: float = 0.60, lock_days: float = 5, drift_days: float = 3, drift_cool: float = 2, off_days: float = 3) -> list[int]:
+    """The sticky state of each day, in order: drift epoch, lock countdown, days off, a re-entry armed once after a drift."""
+    x = {c: pdf[c].to_numpy(float) for c in INPUTS}
+    mm, v = np.nan_to_num(x["mm_six"]), np.nan_to_num(x["v_six"])
+    with np.errstate(invalid="ignore"):
+        drifts = ((x["down_all"] >= down_all) & (x["flux_norm"] <= 0)) | ((mm >= mm_hi) & ~(x["bench20"] > 0))
+        locks = (x["pair_corr"] >= 0.50) & (x["spy_tlt"] >= -0.10) & (mm >= mm_hi)
+        likes = (x["kappa"] >= k_on) & (x["pcon"] >= pcon_on) & (mm < mm_off) & (v >= v_on)
+        fears = ((v <= v_off) & (abs(v) >= 0.05)) | ((x["diffusion"] <= j_off) & (x["kappa"] < 0.55)) | (x["pcon"] <= pcon_off) | (mm >= mm_off) | ((mm >= mm_hi) & (v <= 0))
     state, drift_run, calm_run, epoch, lock, on_run, days_off, armed = 0, 0, 0, False, 0, 0, 0, False
     out = []
-    for r in pdf.itertuples():
-        drift_run, calm_run = (drift_run + 1, 0) if r.drift_now else (0, calm_run + 1)
-        epoch = drift_run >= drift_days or (epoch and calm_run < drift_cool)
-        lock = max((lock_days if r.lock_now else lock) - 1, 0)
+    for drift, locked, like, fear, diffusion in zip(drifts.tolist(), locks.tolist(), likes.tolist(), fears.tolist(), x["diffusion"].tolist()):
+        drift_run, calm_run = (drift_run + 1, 0) if drift else (0, calm_run + 1)
+        epoch = (epoch or drift_run >= drift_days) and calm_run < drift_cool
+        lock = max((lock_days if locked else lock) - 1, 0)
         armed = armed or (not epoch and calm_run == 1)
-        allowed = not epoch and not lock and days_off >= off_days
-        on = allowed and r.diffusion >= j_on + 0.05 * armed and r.kappa >= kappa_on and r.pcon >= pcon_on and r.mm < mm_off and r.v_pc1 >= v_on
-        off = r.v_pc1 <= v_off or (r.diffusion <= j_off and r.kappa < 0.55) or r.pcon <= pcon_off or r.mm >= mm_off or epoch or lock > 0 or (r.mm >= mm_hi and r.v_pc1 <= 0)
+        on = like and not epoch and not lock and days_off >= off_days and diffusion >= j_on + 0.05 * armed
         on_run = on_run + 1 if on else 0
-        if epoch or (off and state >= 0):
+        if epoch or ((fear or lock > 0) and state >= 0):
             state = -1
         elif state < 1 and on_run >= 2:
             state = 1
         days_off = days_off + 1 if state == -1 else 0
         armed = armed and state != 1
         out.append(state)
-    return {"state": out}
+    return out
 
 
-def flux5(cols: DataFrame, corr: DataFrame, **parameters: float) -> DataFrame:
-    """``cols`` with ``state`` and ``executed``."""
-    d = per_series(inputs(cols, corr), lambda p: fold(p, **parameters), {"state": "int"})
+def flux5(rows: DataFrame, **parameters: float) -> DataFrame:
+    """``inputs`` with ``state`` and ``executed``."""
+    d = per_series(rows, lambda p: {"state": fold(p, **parameters)}, {"state": "int"})
     return d.withColumn("executed", executed("state", series(U)))

@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import month_day, percent, signed, state_text, tsv
+from tidemark.config import Newgate, Stab
+from tidemark.operators.folds import ema_values, opened, per_series, upper_mad_values
+from tidemark.operators.islands import executed
+from tidemark.operators.rolling import series
+from tidemark.functions.text import fixed, month_day, percent, state_text, tsv
 
 U = "universe"
 
 
-def narrative(last: DataFrame) -> DataFrame:
-    """``label, text`` from ``state, position, gate, delta`` (change of the position since the row before)."""
-    s, p, g, dx = F.col("state"), F.col("position"), F.coalesce("gate", F.lit("none")), F.coalesce("delta", F.lit(0.0))
-    label = (
-        F.when((s > 0) & (g == "none") & (dx >= 0), "advance").when((s > 0) & (g == "none"), "advance, slowing").when(s > 0, "advance under caps")
-        .when((s < 0) & (dx < 0), "retreat").when(s < 0, "retreat, easing").when((g != "none") & (p < 0.3), "defence").when(dx > 0.05, "turning up").when(dx < -0.05, "turning down").otherwise("waiting")
+def label() -> Column:
+    """One of nine labels from ``state, position, delta, gated, deep, z_r, z_dr, shocked, safe_negative, stock_crypto, traditional``."""
+    zero, holds = lambda c: F.coalesce(c, F.lit(0.0)), lambda c: F.coalesce(c, F.lit(False))
+    s, pos, delta, safe, coin, plain = (F.col(c) for c in ("state", "position", "delta", "safe_negative", "stock_crypto", "traditional"))
+    gated, joined = holds(F.col("gated")), holds((zero("z_r") >= 0.90) | (zero("z_dr") >= 1.00))
+    apart = holds(((coin > 0) & (plain < 0)) | ((plain > 0) & (coin < 0))) & F.coalesce(F.abs(safe) < 0.3, F.lit(True))
+    up = F.when(holds(pos >= 0.70) & (zero(delta) > 0.01) & ~gated & (zero(safe) <= 0), "momentum breakout").when(holds(pos >= 0.50) & (zero(delta) > 0) & (gated | joined), "rise with setbacks").otherwise("gentle rise")
+    flat = F.when(holds(F.abs(delta) < 0.005) & ~apart, "coiling range").when(apart, "rotating range").otherwise("uncertain range")
+    down = F.when(holds(F.col("shocked")) | (holds(F.col("deep")) & joined), "cascade risk").when((zero(safe) > 0.30) & (zero(coin) < 0) & (zero(plain) < 0), "defensive decline").otherwise("gentle decline")
+    return F.when(s > 0, up).when(F.coalesce(s, F.lit(0)) == 0, flat).otherwise(down)
+
+
+def market(last: DataFrame, p: Newgate) -> DataFrame:
+    """``label, text`` of the last row of ``newgate`` joined with the smoothed record."""
+    caps = {"cap_ew": F.when(F.col("ew_hits") >= 2, p.g1).otherwise(1.0), "cap_dr": F.when(F.col("dr_hits") >= 2, p.g2).otherwise(1.0), "cap_cr": F.when(F.col("cr_held") > 0, p.g3).otherwise(1.0)}
+    d = last.withColumns(caps).withColumn("cap", F.least("shock", *caps))
+    d = d.withColumns({"gated": F.col("cap") < 1, "deep": F.col("cap_dr") < 1, "shocked": F.col("shock") < 1})
+    two = lambda c: fixed(c, 2)
+    bound = F.when(F.col("cap") >= 0.95, "free").when(F.col("cap") >= 0.60, "partly bound").otherwise("strongly bound")
+    moved = F.when(F.col("position") >= 0.70, "strong momentum").when(F.col("position") >= 0.50, "gentle momentum").otherwise("weak momentum")
+    slope = F.when(F.col("delta") > 0, "rising").when(F.col("delta") < 0, "falling").otherwise("level")
+    odd = F.concat_ws("; ", *(F.when(F.coalesce(c, F.lit(False)), t) for c, t in (
+        ((F.col("state") > 0) & ((F.col("cap") < 0.95) | (F.col("z_r") >= 0.9) | (F.col("z_dr") >= 1.0) | (F.col("fqi") < 0)), "rising under gates or coupling"),
+        ((F.col("state") < 0) & (((F.col("w_trend") >= 0.60) & (F.col("delta") > 0)) | (F.col("fqi") > 0.10) | (F.col("z_eta") < -0.4)), "weak with signs of recovery"),
+    )))
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("- Reading: "), label()),
+        F.concat(F.lit("- Gates: cap "), two("cap"), F.format_string(", EW %d/5 (%s), DR %d/4 (%s), CR %d/5 (%s), shock ", "ew_hits", two("cap_ew"), "dr_hits", two("cap_dr"), "cr_hits", two("cap_cr")), F.when(F.col("shocked"), "on").otherwise("off")),
+        F.concat(F.lit("- Trend: smoothed "), two("smoothed"), F.lit(", delta "), two("delta"), F.lit(", position "), fixed("position", 3), F.lit(", trend weight "), two("w_trend")),
+        F.concat(F.lit("- Money: stock-crypto "), two("stock_crypto"), F.lit(", traditional "), two("traditional"), F.lit(", Safe-NEG "), two("safe_negative")),
+        F.concat(F.lit("- In words: "), bound, F.lit(", "), moved, F.lit(", coupling "), slope), F.when(odd != "", F.concat(F.lit("- Odd: "), odd)),
     )
-    text = F.format_string("%s: %s, position %s (%s)%s", F.date_format("d", "yyyy-MM-dd"), label, percent("position", 0), signed("delta"), F.when(g == "none", "").otherwise(F.concat(F.lit(", gate "), g)))
-    return last.select(U, "d", label.alias("label"), text.alias("text"))
+    return d.select(U, "d", label().alias("label"), lines.alias("text"))
 
 
 def gate_summary(last: DataFrame) -> DataFrame:
@@ -33,14 +63,24 @@ def transition_lines(changes: DataFrame) -> DataFrame:
     return changes.select(F.col("rank").cast("long").alias("number"), tsv(month_day("d"), F.concat(state_text("prev_state"), F.lit(" > "), state_text("state")), percent(F.col("return_pct") / 100), hit).alias("line"))
 
 
-def guarded(flow_states: DataFrame, n_lead: int = 6, n_hazard: int = 5, level: float = 0.40, drop: float = 0.03) -> DataFrame:
-    """Flow states with two overrides: a hazard (stability touched ``level``, is below, fell by ``drop``) is off,
-    an up-lead (stability slope strongly up within ``n_lead`` rows) lifts neutral to on."""
-    from tidemark.operators.rolling import frame, series
+def guarded(rows: DataFrame, stab: Stab = Stab()) -> DataFrame:
+    """States with two overrides from the slope of the stability; ``rows`` has ``universe, idx, state, stability, ret5``.
+
+    A fall that lasted ``lag_down`` rows opens a grace and, once that is over, a hazard: an on day within it becomes
+    neutral.  A rise that lasted ``lag_up`` rows opens a lead: an off day within it becomes on if the base rose over five rows.
+    """
+    spans = {"up_lead": stab.lead_on, "grace": stab.down_grace, "hazard": stab.hazard}
+
+    def fold(pdf: pd.DataFrame) -> dict:
+        slope = ema_values(pdf["stability"], stab.fast) - ema_values(pdf["stability"], stab.slow)
+        with np.errstate(invalid="ignore"):
+            z = slope.to_numpy() / upper_mad_values(slope, stab.z_win)
+            rise, fall = (z >= stab.z_up) & (slope >= stab.slope_min), (z <= -stab.z_down) & (slope <= -stab.slope_min)
+        lasted = lambda flag, n: pd.Series(flag).astype(int).rolling(n).sum().eq(n).to_numpy()
+        return opened(lasted(rise, stab.lag_up), lasted(fall, stab.lag_down), **spans)
 
-    w = series(U)
-    peak = F.max("stability").over(frame(w, n_hazard + 1))
-    hazard = (peak >= level) & (F.col("stability") < level) & (F.lag("stability", n_hazard).over(w) - F.col("stability") >= drop)
-    lead = F.max(F.coalesce((F.col("s_z") >= 2.5) & (F.col("s_slope") > 0), F.lit(False)).cast("int")).over(frame(w, n_lead)) == 1
-    state = F.when(F.coalesce(hazard, F.lit(False)), -1).when(lead & (F.col("state") == 0), 1).otherwise(F.col("state"))
-    return flow_states.withColumn("guarded", state)
+    d = per_series(rows, fold, dict.fromkeys(("up_lead", "hazard"), "int"))
+    s = F.col("state")
+    state = F.when((s > 0) & (F.col("hazard") == 1), 0).when((s < 0) & (F.col("up_lead") == 1) & (F.coalesce("ret5", F.lit(0.0)) > 0), 1).otherwise(s)
+    d = d.withColumn("guarded", state)
+    return d.withColumn("guarded_executed", executed("guarded", series(U)))

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.config import BASE, NEWGATE, SIGNALS, Newgate
+from tidemark.config import BASE, NEWGATE, SIGNALS, Newgate, pairs
 from tidemark.functions.numeric import clamp, clamp01, hits, mean_of, ratio, sigmoid
 from tidemark.operators import eigen
 from tidemark.operators.folds import held_cap, per_series
 from tidemark.operators.islands import executed, latch
-from tidemark.operators.rolling import correlation, frame, information_ratio, mean, percentile_rank, rolling_correlation, series, simple_return, so_far, std, with_rsi, with_slope, zscore
+from tidemark.operators.rolling import correlation, frame, information_ratio, mean, percentile_rank, series, simple_return, so_far, std, with_rsi, with_slope, zscore
 from tidemark.plans import records as R
+from tidemark.plans.frame import triangle
 from tidemark.plans.records import name
 
 U = "universe"
@@ -41,11 +42,10 @@ def flow_columns(panel: DataFrame, n: int = 63) -> DataFrame:
     return d.withColumn("j", (F.col("mu_up") - F.col("d_up") * side(F.col("g"))) - (F.col("mu_down") - F.col("d_down") * side(-F.col("g"))))
 
 
-def absorption_ratio(panel: DataFrame, n: int = 63) -> DataFrame:
-    """``idx, r``: share of the first component of the signals' correlations over ``n`` log returns."""
-    wide = R.with_returns(R.wide_aligned(panel))
-    corr = rolling_correlation(R.pairs_of(wide, "r", SIGNALS), n)
-    return eigen.upper_triangles(corr, SIGNALS).select(U, "idx", eigen.absorption("upper").alias("r"))
+def with_absorption(d: DataFrame, n: int = 63) -> DataFrame:
+    """``r``: share of the first component of the signals' correlations over ``n`` log returns."""
+    cells = [R.cell(a, b) for a, b in pairs(SIGNALS)]
+    return R.with_correlations(d, n, SIGNALS).withColumn("r", eigen.absorption(triangle(SIGNALS))).drop(*cells)
 
 
 def stress(d: DataFrame, p: Newgate) -> DataFrame:
@@ -105,13 +105,21 @@ def gates(d: DataFrame, p: Newgate) -> DataFrame:
 
 
 def decided(d: DataFrame, p: Newgate) -> DataFrame:
-    """``position``, ``state``, ``executed``.  Off gates use ``classic_state`` and ``stab_state`` where a preset asks."""
+    """``position``, ``state``, ``executed``.
+
+    Where a preset asks, the off gate uses ``classic_state``, and the stability overlay the flow engine's ``flow_mm``,
+    ``flow_j`` and ``flow_guard``; days that the flow engine does not know are not capped.
+    """
     caps = [F.col("shock"), F.when(F.col("ew_hits") >= 2, p.g1).otherwise(1.0), F.when(F.col("dr_hits") >= 2, p.g2).otherwise(1.0), F.when(F.col("cr_held") > 0, p.g3).otherwise(1.0)]
     off = lambda c, cap: F.when(F.col(c) == -1, cap).otherwise(1.0)
     caps += [off("classic_state", p.off_cap)] if p.classic_off_gate else []
     caps += [off("flow_state", p.off_cap)] if p.flow_off_gate else []
-    caps += [off("stab_state", p.stab_off_cap)] if p.stab_off_gate else []
-    caps += [off("stab_state", p.stab_soft_cap)] if p.stab_soft_cap is not None else []
+    weak, broken = p.stab_mm
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    if p.stab_off_cap is not None:
+        caps.append(F.when(holds(F.col("flow_mm") >= broken) | holds(F.col("flow_j") <= p.stab_j_off), p.stab_off_cap).otherwise(1.0))
+    if p.stab_soft_cap is not None:
+        caps.append(F.when(holds((F.col("flow_mm") >= weak) & (F.col("flow_mm") < broken)) | holds(F.col("flow_guard") >= p.stab_guard), p.stab_soft_cap).otherwise(1.0))
     low, high = p.band
     d = d.withColumn("position", clamp01(F.col("pos_mix") * F.least(*caps)))
     v = F.col("position")
@@ -120,9 +128,17 @@ def decided(d: DataFrame, p: Newgate) -> DataFrame:
 
 
 def newgate(panel: DataFrame, preset: str | Newgate = "aggressive_plus", extra: DataFrame | None = None) -> DataFrame:
-    """The engine end to end; ``extra`` may bring ``classic_state`` or ``stab_state`` by ``universe, idx``."""
+    """The engine end to end; ``extra`` may bring ``classic_state, flow_mm, flow_j, flow_guard`` by ``universe, idx``."""
     p = NEWGATE[preset] if isinstance(preset, str) else preset
-    d = flow_columns(panel, p.window).join(absorption_ratio(panel, p.window), [U, "idx"], "left")
+    return from_inputs(stress_inputs(panel, p.window), p, extra)
+
+
+def stress_inputs(panel: DataFrame, window: int = 63) -> DataFrame:
+    """What no preset changes but for its window: flow columns and the absorption ratio."""
+    return with_absorption(flow_columns(panel, window), window)
+
+
+def from_inputs(d: DataFrame, p: Newgate, extra: DataFrame | None = None) -> DataFrame:
     d = d if extra is None else d.join(extra, [U, "idx"], "left")
     return decided(gates(mixed(trend(stress(d, p)), p), p), p)
 

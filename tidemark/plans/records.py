@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import CATEGORY, SIGNALS, SYMBOLS
+from tidemark.config import CATEGORY, CLUSTER, SIGNALS, SYMBOLS, pair_kind, pairs
 from tidemark.functions.numeric import pair_weight
 from tidemark.operators import eigen
 from tidemark.operators.align import U, pair_rows
 from tidemark.operators.folds import with_ema
-from tidemark.operators.rolling import log_return, rolling_correlation, series, simple_return
+from tidemark.operators.rolling import correlation, frame, log_return, rolling_correlation, series, simple_return
 
 
 def name(symbol: str) -> str:
@@ -42,13 +42,38 @@ def pairs_of(wide: DataFrame, prefix: str, symbols: tuple[str, ...] = SYMBOLS) -
     return pair_rows(wide.select(U, "idx", "d", *(F.col(f"{prefix}_{name(s)}").alias(s) for s in symbols)), symbols)
 
 
+def cell(a: str, b: str) -> str:
+    """The column of the correlation of two symbols, in universe order."""
+    return f"k_{name(a)}_{name(b)}"
+
+
+def with_correlations(wide: DataFrame, window: int = 30, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:
+    """``k_*`` of every pair from the log returns of full frames; NULL before."""
+    f = frame(series(U), window)
+
+    def corr(a: str, b: str) -> Column:
+        x, y = f"r_{name(a)}", f"r_{name(b)}"
+        both = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(f)
+        return F.when(both >= window, correlation(x, y, f))
+
+    return wide.withColumns({cell(a, b): corr(a, b) for a, b in pairs(symbols)})
+
+
 def correlations(panel: DataFrame, window: int = 30, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:
     """``universe, s1, s2, kind, idx, d, corr`` of ``window`` log returns, for full frames.
 
-    ``symbols`` picks the pairs; the calendar is always that of the whole universe.
+    ``symbols`` picks the pairs; the calendar is always that of the whole universe.  The correlations are windows of
+    the day's row and become pair rows last, so pairs are never shuffled.
     """
-    wide = with_returns(wide_aligned(panel))
-    return rolling_correlation(pairs_of(wide, "r", symbols), window).drop("x", "y")
+    wide = with_correlations(with_returns(wide_aligned(panel)), window, symbols)
+    entries = []
+    for a, b in pairs(symbols):
+        kind = pair_kind(a, b)
+        first, second = (b, a) if kind == "cross" and CLUSTER[a] == "safe" else (a, b)
+        entries.append(F.struct(F.lit(first).alias("s1"), F.lit(second).alias("s2"), F.lit(kind).alias("kind"), F.col(cell(a, b)).alias("corr")))
+    return wide.select(U, "idx", "d", F.inline(F.array(*entries))).filter("corr is not null")
+
+
 
 
 def pair_view(panel: DataFrame, window: int = 30, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:
@@ -97,8 +122,15 @@ def absorption(corr: DataFrame, symbols: tuple[str, ...] = SIGNALS) -> DataFrame
     return upper.withColumn("mm", eigen.absorption("upper"))
 
 
-def full_records(panel: DataFrame, window: int = 30) -> DataFrame:
-    """Records with smoothing, absorption and all closes and opens of the day."""
-    corr = correlations(panel, window, SYMBOLS)
-    rec = smoothed(daily(corr)).join(absorption(corr).select(U, "idx", "mm", "upper"), [U, "idx"])
-    return rec.join(wide_aligned(panel).drop("d"), [U, "idx"])
+def stability_by_cluster(corr: DataFrame) -> DataFrame:
+    """``universe, idx, stability``: the mean of absolute correlations in which pairs across clusters weigh double."""
+    w = F.when(F.col("kind") == "cross", 2.0).otherwise(1.0)
+    return corr.groupBy(U, "idx").agg((F.sum(w * F.abs("corr")) / F.sum(w)).alias("stability"))
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """One row a universe: mean of the last 180 records, mean of the last 10 steps, quantiles of the stability."""
+    w = series(U)
+    d = records.withColumns({"__step": F.col("stability") - F.lag("stability").over(w), "__n": F.row_number().over(w.orderBy(F.desc("idx")))})
+    last = lambda c, k: F.avg(F.when(F.col("__n") <= k, F.col(c)))
+    return d.groupBy(U).agg(last("stability", 180).alias("average180"), last("__step", 10).alias("slope10"), F.percentile("stability", 0.3).alias("q30"), F.percentile("stability", 0.7).alias("q70"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,22 +78,25 @@ def fit_bayes(rows: DataFrame, eps: float = 1e-6) -> DataFrame:
     )
 
 
-def fit_platt(scored: DataFrame, steps: int = 200, rate: float = 0.1) -> tuple[float, float]:
+def fit_platt(scored: DataFrame, steps: int = 200, rate: float = 0.1, bins: int = 100_000) -> tuple[float, float]:
     """(A, B) by gradient descent from (1, 0) on ``scored(p, y)``.
 
-    Equal scores are merged first; each step is one aggregation, so only two sums reach the driver.
+    One aggregation counts rows and outcomes of each score, rounded to a part of ``bins``; the descent over
+    those bounded counts is one small task, so one row reaches the driver.
     """
-    z = F.ln(F.col("p") / (1 - F.col("p")))
-    rows = scored.withColumn("p", F.least(F.greatest("p", F.lit(1e-5)), F.lit(1 - 1e-5))).withColumn("z", z).groupBy("z").agg(F.count("*").alias("n"), F.sum("y").alias("y")).persist()
-    a, b = 1.0, 0.0
-    try:
+    p = F.least(F.greatest("p", F.lit(1e-5)), F.lit(1 - 1e-5))
+    counts = scored.select(F.round(p * bins).alias("bin"), p.alias("p"), "y").groupBy("bin").agg(F.avg("p").alias("p"), F.count("*").alias("n"), F.sum("y").alias("y"))
+
+    def descend(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, n, y = np.log(pdf["p"] / (1 - pdf["p"])).to_numpy(), pdf["n"].to_numpy(), pdf["y"].to_numpy()
+        a, b = 1.0, 0.0
         for _ in range(steps):
-            away = F.col("n") * sigmoid(F.lit(a) * F.col("z") + F.lit(b)) - F.col("y")
-            g = rows.agg((F.sum(away * F.col("z")) / F.sum("n")).alias("a"), (F.sum(away) / F.sum("n")).alias("b")).first()
-            a, b = a - rate * g["a"], b - rate * g["b"]
-    finally:
-        rows.unpersist()
-    return a, b
+            away = n / (1 + np.exp(-np.clip(a * z + b, -60, 60))) - y
+            a, b = a - rate * (away * z).sum() / n.sum(), b - rate * away.sum() / n.sum()
+        return pd.DataFrame({"a": [a], "b": [b]})
+
+    fitted = counts.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(descend, "a double, b double").first()
+    return (fitted["a"], fitted["b"]) if fitted else (1.0, 0.0)
 
 
 def drivers(features: DataFrame, model: DataFrame, floor: float = 1e-3) -> DataFrame:
@@ -121,35 +126,98 @@ def interval(p: Column, mean_effect: Column) -> tuple[Column, Column]:
 
 
 def headline(p: Column) -> Column:
-    return F.when(p >= 0.65, "Strong upside bias").when(p >= 0.55, "Mild upside bias").when(p >= 0.45, "Balanced").otherwise("Downside bias")
+    return F.when(p >= 0.65, "Strong upside bias").when(p >= 0.55, "Mild upside bias").when(p > 0.45, "Balanced").otherwise("Downside bias")
 
 
-def divergences(features: DataFrame) -> DataFrame:
-    """``rule`` of each divergence between breadth, highs and volatility."""
+def divergences(days: DataFrame) -> DataFrame:
+    """``days(p_up, rv20, adr, spr_10y_3m)`` with ``rules``: what speaks against the probability, in a fixed order."""
+    p, here = F.col("p_up"), lambda c: F.coalesce(c, F.lit(False))
+    rules = (
+        (here((p >= 0.60) & (F.col("rv20") > 0.35)), "upside with high short-term volatility"), (here((p <= 0.40) & (F.col("adr") > 1.8)), "downside with broad participation"),
+        (here((F.col("spr_10y_3m") < 0) & (p >= 0.55)), "upside against an inverted curve"),
+    )
+    found = F.filter(F.array(*(F.when(when, text) for when, text in rules)), lambda r: r.isNotNull())
+    return days.withColumn("rules", found)
+
+
+def summary_lines(days: DataFrame, top: DataFrame, features: DataFrame, by: str = "idx") -> DataFrame:
+    """``number, line`` of each day's text: headline, the three strongest drivers, macro cues, breadth."""
+    named = top.filter("rank <= 3").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "llr"))), lambda x: F.format_string("%s(%+.3f)", x["feature"], x["llr"])), ", ").alias("drivers"))
     at = lambda f: F.max(F.when(F.col("feature") == f, F.col("x")))
-    one = features.agg(at("ADR").alias("adr"), at("Pct>MA50").alias("p50"), at("Pct>MA200").alias("p200"), at("NH/NL").alias("nh"), at("RV20").alias("rv20"), at("RV60").alias("rv60"))
-    rules = F.array(
-        F.when((F.col("adr") > 1.2) & (F.col("p50") < 0.45), "advancers without trend"), F.when((F.col("nh") > 1) & (F.col("p200") < 0.5), "new highs without breadth"), F.when(F.col("rv20") > 1.25 * F.col("rv60"), "volatility rising"),
+    x = features.groupBy(by).agg(*(at(f).alias(f) for f in FEATURES))
+    shown = lambda form, f, scale=1: F.when(F.col(f"`{f}`").isNotNull(), F.format_string(form, F.col(f"`{f}`") * scale))
+    cues = F.concat_ws(", ", shown("10Y-2Y=%+.2f", "SPR_10Y_2Y"), shown("10Y-3M=%+.2f", "SPR_10Y_3M"), shown("Curve=%+.2f", "CURVATURE"), shown("RV20=%.3f", "RV20"))
+    parts = F.concat_ws(", ", shown("ADR=%.2f", "ADR"), shown("%%>MA50=%.2f%%", "Pct>MA50", 100), shown("%%>MA200=%.2f%%", "Pct>MA200", 100), shown("NH/NL=%.2f", "NH/NL"))
+    known = lambda c, missing: F.when(c == "", missing).otherwise(c)
+    d = days.join(named, by, "left").join(x, by, "left")
+    lines = F.array(
+        F.format_string("- Conclusion: %s, P(up)=%.1f%%", headline(F.col("p_up")), F.col("p_up") * 100), F.concat(F.lit("- Drivers: "), F.coalesce("drivers", F.lit("none"))),
+        F.concat(F.lit("- Macro: "), known(cues, "no macro cues")), F.concat(F.lit("- Breadth: "), known(parts, "unknown")),
+    )
+    return d.select(by, F.posexplode(lines).alias("number", "line"))
+
+
+def driver_notes(top: DataFrame, days: DataFrame, by: str = "idx") -> DataFrame:
+    """``rank, note``: a sentence for each driver with a value, by its kind, and one (rank 99) where probability and breadth disagree."""
+    f, x, llr = F.col("feature"), F.col("x"), F.col("llr")
+    high = BOUNDS["NH/NL"][1]
+    tell = lambda form, *args: F.format_string(form, *args)
+    note = (
+        F.when((f == "NH/NL") & (x >= high), tell(f"NH/NL=%.2f is at or above the model's bound {high}: an overheated market, LLR %+.3f", x, llr))
+        .when((f == "NH/NL") & (llr < 0), tell("NH/NL=%.2f: new highs fade against new lows, LLR %+.3f", x, llr)).when(f == "NH/NL", tell("NH/NL=%.2f: new highs stay strong, LLR %+.3f", x, llr))
+        .when(f.isin("RV20", "RV60") & (llr < 0), tell("%s=%.3f: volatility rose, LLR %+.3f", f, x, llr)).when(f.isin("RV20", "RV60"), tell("%s=%.3f: volatility is calm, LLR %+.3f", f, x, llr))
+        .when(f == "ADR", tell("ADR=%.2f: participation, LLR %+.3f", x, llr)).when(f.startswith("Pct>MA"), tell("%s=%.1f%%: share above its mean, LLR %+.3f", f, x * 100, llr)).otherwise(tell("%s=%.3f: LLR %+.3f", f, x, llr))
     )
-    return one.select(F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    each = top.filter("x is not null").select(by, "rank", note.alias("note"))
+    p, adr = F.col("p_up"), F.col("adr")
+    odd = F.when((p < 0.4) & (adr > 1.5), tell("P(up)=%.1f%% is low though ADR=%.2f is above 1.5: participation lives", p * 100, adr)).when((p > 0.6) & (adr < 1.0), tell("P(up)=%.1f%% is high though ADR=%.2f is below 1: a narrow rise", p * 100, adr))
+    return each.unionByName(days.select(by, F.lit(99).alias("rank"), odd.alias("note")).filter("note is not null"))
+
 
+def features_of(breadth_row: DataFrame, rv: DataFrame, curve_row: DataFrame, by: tuple[str, ...] = (U,)) -> DataFrame:
+    """``feature, x`` in model order from breadth, both volatilities (``rv20, rv60``) and the curve: one row each a universe."""
+    d = breadth_row.join(rv, list(by), "full_outer").join(curve_row, list(by), "full_outer")
+    columns = ("adr", "pct50", "pct200", "nh_nl", "rv20", "rv60", "spr_10y_3m", "spr_10y_2y", "curvature")
+    entries = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(f).alias("feature"), F.col(c).cast("double").alias("x")) for i, (f, c) in enumerate(zip(FEATURES, columns))))
+    return d.select(*by, F.inline(entries))
 
-def driver_notes(top: DataFrame) -> DataFrame:
-    """A sentence for each driver."""
-    side = F.when(F.col("llr") > 0, "supports").when(F.col("llr") < 0, "weighs on").otherwise("leaves open")
-    return top.select("rank", F.format_string("%s at %.3f %s the upside (%+.3f)", "feature", F.coalesce("x", F.lit(0.0)), side, "llr").alias("note"))
 
+def report_of(features: DataFrame, model: DataFrame, a: float = 1.0, b: float = 0.0, k: int = 5, by: tuple[str, ...] = (U,)) -> tuple[DataFrame, DataFrame]:
+    """(``p_raw, p_up`` and bounds of each universe, its ``k`` strongest drivers); without a model the probability is one half."""
+    filled = clamped(features).withColumn("x", F.coalesce("x", F.lit(0.0)))
+    scored = drivers(filled, model)
+    first = posterior(scored, a, b, by)
+    effect = scored.groupBy(*by).agg(F.avg(F.abs("llr")).alias("__effect"))
+    known = features.select(*by).distinct().join(first, list(by), "left").join(effect, list(by), "left").fillna({"p_raw": 0.5, "p_up": 0.5, "__effect": 0.0})
+    low, high = interval(F.col("p_up"), F.col("__effect"))
+    return known.select(*by, "p_raw", "p_up", low.alias("low"), high.alias("high")), top_drivers(scored, k, by)
 
-def sectors(rows: DataFrame) -> DataFrame:
-    """``sector, change`` sorted best first by ``rank``; text percentages parsed, large ones scaled."""
+
+def sectors(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``sector, change`` sorted best first by ``rank`` within each snapshot ``by``; text percentages parsed, large ones scaled.
+
+    A snapshot has a row a sector, so its order is a small one; many snapshots are ordered apart.
+    """
     x = F.regexp_replace("change", r"[%+\s]", "").try_cast("double")
-    d = rows.select("sector", F.when(F.abs(x) > 5, x / 100).otherwise(x).alias("change")).filter("change is not null")
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("change"), "sector")))
+    d = rows.select(*by, "sector", F.when(F.abs(x) > 5, x / 100).otherwise(x).alias("change")).filter("change is not null")
+    keys = by or (F.lit(0),)
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("change"), "sector")))
 
 
 def calendar(events: DataFrame, k: int = 8) -> DataFrame:
-    """The next ``k`` events."""
-    return events.orderBy("d", "event").limit(k)
+    """The first ``k`` events of ``date, event, actual, forecast, impact``, each under any of its known names; ``-`` where missing."""
+    names = {"date": ("date", "publishedDate"), "event": ("event", "name", "title"), "actual": ("actual",), "forecast": ("forecast", "consensus"), "impact": ("impact", "importance")}
+    pick = lambda found, missing: F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in found), F.lit(missing))
+    columns = {out: pick([c for c in aliases if c in events.columns], "" if out == "date" else "-") for out, aliases in names.items()}
+    return events.select(*(c.alias(out) for out, c in columns.items())).orderBy("date", "event").limit(k)
+
+
+def curve_rows(raw: DataFrame) -> DataFrame:
+    """``d, month3, year2, year10, year30`` from a table that has them under any of their known names, in capitals or not."""
+    names = {"d": ("d", "date"), "month3": ("3m", "month3", "threemonth", "m3"), "year2": ("2y", "year2", "y2", "2year"), "year10": ("10y", "year10", "y10", "10year"), "year30": ("30y", "year30", "y30", "30year")}
+    have = {c.lower(): c for c in raw.columns}
+    pick = lambda aliases: next((F.col(f"`{have[a]}`") for a in aliases if a in have), F.lit(None))
+    return raw.select(pick(names["d"]).alias("d"), *(pick(names[c]).cast("double").alias(c) for c in list(names)[1:])).dropna()
 
 
 def probability_backtest(predicted: DataFrame, horizon: int = 5, by: tuple[str, ...] = (U,)) -> DataFrame:
@@ -163,3 +231,9 @@ def model_rows(spark: SparkSession, model: dict) -> DataFrame:
     """The stored model (arrays in feature order) as one row a feature."""
     rows = list(zip(FEATURES, model["mu_up"], model["var_up"], model["mu_dn"], model["var_dn"], [model["prior_up"]] * len(FEATURES)))
     return spark.createDataFrame(rows, "feature string, mu_up double, var_up double, mu_dn double, var_dn double, prior_up double")
+
+
+def accuracy(tested: DataFrame, by: tuple[str, ...] = (U,)) -> DataFrame:
+    """``n, accuracy, up_share`` of ``probability_backtest``: rows with a known future only."""
+    known = F.col("right").isNotNull()
+    return tested.groupBy(*by).agg(F.count(F.when(known, 1)).alias("n"), F.avg(F.col("right").cast("double")).alias("accuracy"), F.avg(F.when(known, (F.col("future") > 0).cast("double"))).alias("up_share"))

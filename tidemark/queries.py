@@ -17,7 +17,7 @@ from tidemark.functions import text as TX
 from tidemark.operators import align, eigen, filters, folds, islands
 from tidemark.operators import rolling as W
 from tidemark.plans import backtest as B
-from tidemark.plans import engines, flow, flux5, narrative, newgate, report, search
+from tidemark.plans import engines, flow, flux5, frame, narrative, newgate, report, search, sections
 from tidemark.plans import records as R
 from tidemark.sources import ingest, panel, shared, sinks
 from tidemark.streaming import quotes as stream
@@ -120,13 +120,12 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str, bucket: str = "day", window: int = 30) -> DataFrame:
-    return R.daily(R.correlations(bars(spark, sf_dir, bucket), window, SIGNALS))
+    return frame.records(bars(spark, sf_dir, bucket), window).select(U, "idx", "d", "stability", "stock_crypto", "traditional", "safe_negative", "pair_corr")
 
 
 def traded(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
-    """Classic states with the base symbol's prices."""
-    prices = R.wide_aligned(bars(spark, sf_dir, bucket)).select(U, "idx", F.col("o_QQQ").alias("open"), F.col("c_QQQ").alias("close"))
-    return engines.classic(records(spark, sf_dir, bucket)).select(U, "idx", "d", "stability", "score", "state").join(prices, [U, "idx"])
+    """Classic states with the base symbol's prices, which the record's row holds."""
+    return engines.classic(frame.records(bars(spark, sf_dir, bucket))).select(U, "idx", "d", "stability", "score", "state", F.col("o_QQQ").alias("open"), F.col("c_QQQ").alias("close"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,24 +209,31 @@ def p03_last_rows(spark, sf_dir):
     return ingest.filtered(align.align(bars(spark, sf_dir)), 90, by=("symbol",)).select("symbol", "d", *_log("close"))
 
 
-@query(_with((_panel_sql(),), "SELECT symbol, greatest(max(d) + 1, DATE '1998-12-01') AS start FROM panel GROUP BY 1 HAVING greatest(max(d) + 1, DATE '1998-12-01') <= DATE '1999-06-01'"))
+@query(_with((_panel_sql(),), "SELECT symbol, greatest(max(d) + 1, DATE '1998-12-01') AS start FROM panel WHERE d < CASE symbol WHEN 'GLD' THEN DATE '1999-07-01' WHEN 'TLT' THEN DATE '1999-01-15' ELSE DATE '1998-06-01' END GROUP BY 1 HAVING greatest(max(d) + 1, DATE '1998-12-01') <= DATE '1999-06-01'"))
 def p14_fetch_window(spark, sf_dir):
-    return ingest.fetch_window(bars(spark, sf_dir), F.lit("1998-12-01").cast("date"), F.lit("1999-06-01").cast("date"))
+    """Some symbols end before the cutoff, one between it and today; what ends later is not fetched."""
+    ends = F.when(F.col("symbol") == "GLD", "1999-07-01").when(F.col("symbol") == "TLT", "1999-01-15").otherwise("1998-06-01").cast("date")
+    return ingest.fetch_window(bars(spark, sf_dir).filter(F.col("d") < ends), F.lit("1998-12-01").cast("date"), F.lit("1999-06-01").cast("date"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * coalesce(l_discount / nullif(l_tax, 0), 1), 6) + 0 AS open, l_tax + 0 AS close FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS n FROM lineitem) WHERE n = 1")
+@query("""WITH v AS (SELECT CAST(l_orderkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS d, l_extendedprice AS o, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS c, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * (1 - l_discount) END AS a, l_tax AS p, l_linenumber AS n FROM lineitem),
+w AS (SELECT *, coalesce(a, c, p) AS x, row_number() OVER (PARTITION BY symbol, d ORDER BY n DESC) AS k FROM v WHERE coalesce(a, c, p) IS NOT NULL)
+SELECT symbol, d, round(o * coalesce(a / nullif(c, 0), 1), 6) + 0 AS open, round(x, 6) + 0 AS close FROM w WHERE k = 1""")
 def s03_vendor_bars(spark, sf_dir):
-    """One row a key, the last wins; the open follows the adjustment of the close."""
-    li = table(spark, sf_dir, "lineitem")
-    last = align.last_wins(li, ["l_orderkey"], "l_linenumber")
-    return last.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.coalesce(N.ratio("l_discount", "l_tax"), F.lit(1.0))).alias("open"), F.col("l_tax").alias("close"))
+    """Bars of vendor rows: adjusted close, else close, else price; the open follows the adjustment; the last row of a day wins."""
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_extendedprice").alias("open"), F.when(n % 3 != 0, F.col("l_quantity")).alias("close"),
+        F.when(n % 2 == 0, F.col("l_quantity") * (1 - F.col("l_discount"))).alias("adjClose"), F.col("l_tax").alias("price"), n.alias("seq"),
+    )
+    return ingest.vendor_bars(rows).select("symbol", "d", "open", "close")
 
 
-@query("SELECT s_suppkey, upper(s_name) AS t0, 1 AS n FROM supplier")
+@query("SELECT s_suppkey, 'S' || s_suppkey || ',' || 'N' || s_nationkey AS tickers, 2 AS n FROM supplier")
 def s16_tickers(spark, sf_dir):
-    """Symbols of a text; supplier names are one symbol each where they are short enough."""
-    d = ingest.tickers(table(spark, sf_dir, "supplier").withColumn("value", F.regexp_replace("s_name", "#", "")))
-    return d.select("s_suppkey", F.upper("s_name").alias("t0"), F.lit(1).alias("n"))
+    """Symbols of a text: the supplier's name is too long for one, the other two stay, each once."""
+    d = ingest.tickers(table(spark, sf_dir, "supplier").withColumn("value", F.concat_ws(", ", "s_name", F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("S"), "s_suppkey"))))
+    return d.select("s_suppkey", F.array_join("tickers", ",").alias("tickers"), F.size("tickers").alias("n"))
 
 
 @query("""WITH v AS (SELECT p_partkey, upper(concat_ws(' ', p_name, array_to_string(list_transform(range(p_partkey % 40), lambda i: 's' || CAST((p_partkey + i * i) % 29 AS VARCHAR)), ', '), 'toolongsymbol1,brk.b')) AS v FROM part),
@@ -398,8 +404,7 @@ def w38_levered(spark, sf_dir):
 
 @query(_with(_TO_Q, f"SELECT idx, {_r('ln(lead(open) OVER (ORDER BY idx))', 'next_open')}, {_r('ln(lead(close) OVER (ORDER BY idx))', 'next_close')} FROM q"))
 def w39_next_prices(spark, sf_dir):
-    w = W.series(U)
-    return base(spark, sf_dir).select("idx", F.ln(F.lead("open").over(w)).alias("next_open"), F.ln(F.lead("close").over(w)).alias("next_close"))
+    return W.with_next(base(spark, sf_dir), "open", "close").select("idx", *_log("next_open", "next_close"))
 
 
 # ---------------------------------------------------------------- records, engines, backtests
@@ -410,18 +415,13 @@ def a08_records(spark, sf_dir):
 
 @query(_with(_TO_CO, f"SELECT idx, {_r('sum(CASE WHEN kind = $$cross$$ THEN 2 ELSE 1 END * abs(corr)) / sum(CASE WHEN kind = $$cross$$ THEN 2 ELSE 1 END)', 'stability')} FROM co WHERE s1 <> 'QQQ' AND s2 <> 'QQQ' GROUP BY idx"))
 def a09_stability_by_cluster(spark, sf_dir):
-    w = F.when(F.col("kind") == "cross", 2.0).otherwise(1.0)
-    c = R.correlations(bars(spark, sf_dir), 30, SIGNALS)
-    return c.groupBy("idx").agg((F.sum(w * F.abs("corr")) / F.sum(w)).alias("stability"))
+    return R.stability_by_cluster(R.correlations(bars(spark, sf_dir), 30, SIGNALS)).select("idx", "stability")
 
 
 @query(_with(_TO_REC, f"SELECT {_r('avg(stability) FILTER (WHERE n <= 180)', 'average180')}, {_r('avg(stability - s) FILTER (WHERE n <= 10)', 'slope10')}, {_r('quantile_cont(stability, 0.3)', 'q30')}, {_r('quantile_cont(stability, 0.7)', 'q70')} FROM (SELECT *, row_number() OVER (ORDER BY idx DESC) AS n, lag(stability) OVER (ORDER BY idx) AS s FROM rec)"))
 def a11_summary(spark, sf_dir):
     """Mean of the last 180 records, mean of the last 10 steps, quantiles."""
-    w = W.series(U)
-    d = records(spark, sf_dir).withColumns({"step": F.col("stability") - F.lag("stability").over(w), "n": F.row_number().over(w.orderBy(F.desc("idx")))})
-    last = lambda c, k: F.avg(F.when(F.col("n") <= k, F.col(c)))
-    return d.agg(last("stability", 180).alias("average180"), last("step", 10).alias("slope10"), F.percentile("stability", 0.3).alias("q30"), F.percentile("stability", 0.7).alias("q70"))
+    return R.summary(records(spark, sf_dir))
 
 
 @query(_with((*_TO_REC, _CLASSIC), f"SELECT idx, d, {_rounds('score')}, state FROM cl"))
@@ -440,9 +440,13 @@ _FIT = """th AS (SELECT quantile_cont(pair_corr, 0.3) AS c0, quantile_cont(pair_
 cf AS (SELECT universe, idx, d, CASE WHEN pair_corr >= c1 THEN 1 WHEN pair_corr <= c0 OR score <= s0 THEN -1 WHEN score >= s1 AND pair_corr >= (c0 + c1) / 2 THEN 1 ELSE 0 END AS state FROM cl, th)"""
 
 
+def fitted_rows(spark, sf_dir):
+    rec = frame.records(settled_bars(spark, sf_dir))
+    return engines.classic(rec, engines.fitted(rec))
+
+
 def fitted_states(spark, sf_dir):
-    rec = records(spark, sf_dir)
-    return engines.classic(rec, engines.fitted(rec)).select(U, "idx", "d", "state")
+    return fitted_rows(spark, sf_dir).select(U, "idx", "d", "state")
 
 
 @query(_with((*_TO_REC, _CLASSIC, _FIT), "SELECT idx, d, state FROM cf"))
@@ -481,7 +485,7 @@ _FITTED_TR = (*_TO_REC, _CLASSIC, _FIT, _QQQ, "tr AS (SELECT c.idx, c.d, c.state
 
 
 def fitted_traded(spark, sf_dir):
-    return fitted_states(spark, sf_dir).join(base(spark, sf_dir).select(U, "idx", "open", "close"), [U, "idx"])
+    return fitted_rows(spark, sf_dir).select(U, "idx", "d", "state", F.col("o_QQQ").alias("open"), F.col("c_QQQ").alias("close"))
 
 
 def _bt(tested: DataFrame) -> DataFrame:
@@ -570,7 +574,7 @@ def r18_fusion(spark, sf_dir):
 
 @query()
 def r02_enhanced(spark, sf_dir):
-    return engines.enhanced(R.full_records(settled_bars(spark, sf_dir))).select("idx", "d", "blend", "guard", "state", "fragile")
+    return engines.enhanced(frame.daily(settled_bars(spark, sf_dir))).select("idx", "d", "blend", "guard", "state", "fragile")
 
 
 def _flow(variant: str):
@@ -609,8 +613,7 @@ def r29_newgate_diagnostics(spark, sf_dir):
 
 @query()
 def r30_flux5(spark, sf_dir):
-    p = settled_bars(spark, sf_dir)
-    return flux5.flux5(flow.columns(p), R.correlations(p, 30, SIGNALS)).select("idx", "d", "flux_score", "kappa", "state", "executed")
+    return flux5.flux5(flux5.inputs(settled_bars(spark, sf_dir))).select("idx", "d", "flux_score", "kappa", "state", "executed")
 
 
 @query()
@@ -620,17 +623,17 @@ def n01_absorption(spark, sf_dir):
 
 @query()
 def b11_grid(spark, sf_dir):
-    """864 candidates of ClassicFlux5, best first equity."""
-    p = settled_bars(spark, sf_dir, "week")
-    rows = flux5.inputs(flow.columns(p, 20), R.correlations(p, 20, SIGNALS))
-    g = search.grid(spark, j_on=[0.05, 0.08, 0.10, 0.12], j_off=[-0.12, -0.08, -0.05], kappa_on=[0.5, 0.6, 0.7], pcon_on=[0.5, 0.55, 0.6], v_on=[0.0, 0.05], lock_days=[3, 5], drift_days=[3, 5])
-    return search.search_flux5(rows, g, EXECUTIONS["flux5"]).drop("churn")
+    """864 candidates of ClassicFlux5."""
+    rows = shared.settled(flux5.inputs(settled_bars(spark, sf_dir, "week"), 20), "flux5")
+    return search.search_flux5(rows, search.grid(**search.FLUX5_GRID))
 
 
 @query()
 def b12_flow_search(spark, sf_dir):
-    cols = shared.settled(flow.columns(settled_bars(spark, sf_dir, "week"), 20), "flow")
-    return search.objective(search.search_flow(cols, [(a, b) for a in (0.65, 0.715) for b in (0.2, 0.244)], Flow("exp"), EXECUTIONS["close"]))
+    """Eight candidates of the exp variant on a train and a test part; the best is chosen by the train part's objective."""
+    parts = search.in_parts(settled_bars(spark, sf_dir, "week"), {"train": ("1992-01-01", "1996-12-31"), "test": ("1997-01-01", "1999-12-31")})
+    cols = shared.settled(flow.columns(parts, 20), "flow")
+    return search.objective_exp(search.search_flow(cols, search.grid(**search.EXP_GRID), Flow("exp"), Execution("close_close", neutral_weight=1.0, neutral_leverage=1.0)))
 
 
 _PROB = "pb AS (SELECT idx, 1 / (1 + exp(-r * 20)) AS p, lead(close, 5) OVER (ORDER BY idx) / close - 1 AS future FROM q WHERE r IS NOT NULL)"
@@ -707,30 +710,29 @@ def m07_sectors(spark, sf_dir):
     return report.sectors(rows.select("sector", F.concat(F.lit("+"), F.greatest("s", F.lit(6)).cast("string"), F.lit("%")).alias("change")))
 
 
-@query("SELECT event_id, user_id, value, CASE WHEN value > 50 THEN 'Risk-On' WHEN value < 10 THEN 'Risk-Off' ELSE 'Neutral' END AS label, CASE WHEN hour(ts) * 60 + minute(ts) - 300 < 0 THEN 'late' ELSE 'day' END AS part FROM events")
+@query("SELECT event_id, user_id, value, CASE WHEN value > 50 THEN 'Risk-On' WHEN value < 10 THEN 'Risk-Off' ELSE 'Neutral' END AS label, CASE WHEN (hour(ts) * 60 + minute(ts) + 1140) % 1440 < 570 THEN 'pre' WHEN (hour(ts) * 60 + minute(ts) + 1140) % 1440 >= 960 THEN 'post' ELSE 'regular' END AS part FROM events")
 def q09_labels(spark, sf_dir):
+    """Labels of states, and the trading session of a time: all events are in January, five hours behind UTC."""
     s = F.when(F.col("value") > 50, 1).when(F.col("value") < 10, -1).otherwise(0)
-    part = F.when(F.hour("ts") * 60 + F.minute("ts") < 300, "late").otherwise("day")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "value", N.label_state(s).alias("label"), part.alias("part"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "value", N.label_state(s).alias("label"), N.session_of("ts").alias("part"))
 
 
-@query(_with((*_FITTED_TR, *_test_sql(_CLOSE, 1, 1.0)), "SELECT strftime(d, '%Y-%m-%d') AS date, state AS regime, executed, printf('%.8f', ret) AS ret_bench FROM bt"))
+@query(_with((*_FITTED_TR, *_test_sql(_CLOSE, 1, 1.0)), "SELECT strftime(d, '%Y-%m-%d') AS date, state AS regime, executed, printf('%.8f', ret) AS ret_bench, printf('%.8f', ret_strategy) AS ret_strategy, printf('%.8f', open) AS price_qqq FROM bt"))
 def k04_csv(spark, sf_dir):
     t = sinks.backtest_csv(B.backtest(fitted_traded(spark, sf_dir), EXECUTIONS["golden"]))
-    return t.select("date", "regime", "executed", "ret_bench")
+    return t.select("date", "regime", "executed", "ret_bench", "ret_strategy", "price_qqq")  # equities as text lie on rounding edges: k04_equities
 
 
 @query(_with((*_TO_CO, "l AS (SELECT max(idx) AS i FROM co)"), f"SELECT s1, s2, {_rounds('corr')}, CASE WHEN corr < 0.3 THEN 'red' WHEN corr < 0.4 THEN 'yellow' ELSE 'green' END AS band FROM co, l WHERE idx = i"))
 def v02_heatmap(spark, sf_dir):
-    c = R.correlations(bars(spark, sf_dir))
-    last = c.groupBy("s1", "s2").agg(F.max_by("corr", "idx").alias("corr"))
-    return last.select("s1", "s2", "corr", F.when(F.col("corr") < 0.3, "red").when(F.col("corr") < 0.4, "yellow").otherwise("green").alias("band"))
+    return sections.heatmap(R.correlations(bars(spark, sf_dir)))
 
 
-@query(_with((*_TO_REC, _CLASSIC), "SELECT CAST(row_number() OVER (ORDER BY d) AS BIGINT) AS number, concat_ws(chr(9), strftime(d, '%m/%d'), printf('%.4f', stability), CASE WHEN state > 0 THEN 'Risk-On' WHEN state < 0 THEN 'Risk-Off' ELSE 'Neutral' END) AS line FROM cl"))
+@query(_with((*_TO_REC, _CLASSIC), "SELECT 0 AS section, CAST(-1 AS BIGINT) AS number, '[score table]' AS line UNION ALL SELECT 0, CAST(row_number() OVER (ORDER BY d) AS BIGINT) AS number, concat_ws(chr(9), strftime(d, '%m/%d'), printf('%.4f', stability), CASE WHEN state > 0 THEN 'Risk-On' WHEN state < 0 THEN 'Risk-Off' ELSE 'Neutral' END) AS line FROM cl"))
 def q17_report_lines(spark, sf_dir):
     c = engines.classic(records(spark, sf_dir))
-    return c.select(F.row_number().over(W.series(U, order="d")).cast("long").alias("number"), TX.tsv(TX.month_day("d"), TX.fixed("stability"), TX.state_text("state")).alias("line"))
+    lines = c.select(F.row_number().over(W.series(U, order="d")).cast("long").alias("number"), TX.tsv(TX.month_day("d"), TX.fixed("stability"), TX.state_text("state")).alias("line"))
+    return sinks.report_lines(score_table=lines)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) + 0 AS total FROM events GROUP BY 1, 2")
@@ -785,22 +787,3 @@ def r32_directional_index(spark, sf_dir):
              "SELECT row_number() OVER (ORDER BY segment DESC) AS number, concat_ws(chr(9), strftime(d, '%m/%d'), CASE WHEN ps > 0 THEN 'Risk-On' WHEN ps < 0 THEN 'Risk-Off' ELSE 'Neutral' END || ' > ' || CASE WHEN state > 0 THEN 'Risk-On' WHEN state < 0 THEN 'Risk-Off' ELSE 'Neutral' END, printf('%.2f%%', (pe / p0 - 1) * 100), CASE WHEN CASE WHEN state > 0 THEN pe > p0 WHEN state < 0 THEN pe < p0 ELSE pe >= p0 END THEN 'hit' ELSE 'miss' END) AS line FROM nx WHERE ps IS NOT NULL ORDER BY segment DESC LIMIT 10"))
 def q10_transition_lines(spark, sf_dir):
     return narrative.transition_lines(islands.transitions(latched(spark, sf_dir), "state", "close"))
-
-
-@query()
-def m09_narrative(spark, sf_dir):
-    p = NEWGATE["base"]
-    done = newgate.newgate(settled_bars(spark, sf_dir), p)
-    moved = done.groupBy(U).agg(F.max_by(F.col("position"), "idx").alias("position"), F.max_by("state", "idx").alias("state"))
-    last = newgate.diagnostics(done, p).select(U, "d", "gate", "ew_hits", "dr_hits", "cr_hits").join(moved, U).withColumn("delta", F.lit(0.0))
-    return narrative.narrative(last).join(narrative.gate_summary(last).select(U, "risk", F.col("text").alias("gates")), U)
-
-
-@query()
-def r17_guarded(spark, sf_dir):
-    return narrative.guarded(flow.flow(settled_bars(spark, sf_dir))).select("idx", "state", "guarded")
-
-
-@query()
-def r16_plain_flow(spark, sf_dir):
-    return flow.plain_state(flow.columns(settled_bars(spark, sf_dir)), 0.10, -0.08).select("idx", "score", "j", "state")

@@ -153,3 +153,44 @@ def filtered(rows: DataFrame, last: int | None = None, start: Column | None = No
         return rows if end is None else rows.filter(F.col("d") <= end)
     w = Window.partitionBy(*by).orderBy(F.desc("d"))
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= last).drop("__n")
+
+
+def with_row_before(rows: DataFrame, last: int | None = None, start: Column | None = None, end: Column | None = None, by: tuple[str, ...] = ("universe",)) -> DataFrame:
+    """As ``filtered``, and the row before the first one kept, so that its return is known."""
+    kept = filtered(rows, last, start, end, by)
+    first = kept.groupBy(*by).agg(F.min("d").alias("__first"))
+    before = rows.join(first, list(by)).filter(F.col("d") < F.col("__first")).groupBy(*by).agg(F.max("d").alias("d"))
+    return rows.join(before, [*by, "d"], "left_semi").unionByName(kept)
+
+
+def session_overrides(first: DataFrame, second: DataFrame, session: Column) -> DataFrame:
+    """``symbol, price, source`` outside trading hours, from ``symbol, pre, post`` of two sources.
+
+    The price of the session if it is above 0; the second source counts only if the first has none at all.
+    """
+    price = F.when(session == "pre", F.col("pre")).when(session == "post", F.col("post"))
+    side = lambda rows, n: rows.select(F.upper("symbol").alias("symbol"), price.alias("price"), F.lit(n).alias("source")).filter("price > 0")
+    one = side(first, 1)
+    none = one.agg((F.count("*") == 0).alias("__none"))
+    two = side(second, 2).join(F.broadcast(none), F.col("__none")).drop("__none")
+    return one.unionByName(two)
+
+
+def sector_rows(raw: DataFrame) -> DataFrame:
+    """``sector, change`` from JSON objects whose fields go by any of their known names."""
+    m = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    pick = lambda *names: F.coalesce(*(F.element_at("m", n) for n in names))
+    return raw.select(m.alias("m")).select(pick("sector", "name").alias("sector"), pick("changesPercentage", "changePercentage", "change").alias("change")).filter("sector is not null")
+
+
+def holder_rows(raw: DataFrame) -> DataFrame:
+    """``symbol, position`` of holders as JSON objects, under any of the known names; ``position`` is the row's place ``n``."""
+    m = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    return raw.select(m.alias("m"), F.col("n").alias("position")).select(F.coalesce(*(F.element_at("m", n) for n in ("assetSymbol", "symbol", "asset", "ticker"))).alias("symbol"), "position").filter("symbol is not null")
+
+
+def report(spark: SparkSession, path: str) -> DataFrame:
+    """A stored report: ``p_up, p_raw, drivers, features``; drivers are arrays of a name and a number, read as text."""
+    return spark.read.schema("prob struct<p_up:double,p_up_raw:double>, drivers array<array<string>>, features map<string,double>, markdown string").json(path, multiLine=True).select(
+        F.col("prob.p_up").alias("p_up"), F.col("prob.p_up_raw").alias("p_raw"), F.transform("drivers", lambda x: F.struct(F.get(x, F.lit(0)).alias("feature"), F.get(x, F.lit(1)).try_cast("double").alias("llr"))).alias("drivers"), "features", "markdown",
+    )
