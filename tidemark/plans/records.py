@@ -134,3 +134,10 @@ def summary(records: DataFrame) -> DataFrame:
     d = records.withColumns({"__step": F.col("stability") - F.lag("stability").over(w), "__n": F.row_number().over(w.orderBy(F.desc("idx")))})
     last = lambda c, k: F.avg(F.when(F.col("__n") <= k, F.col(c)))
     return d.groupBy(U).agg(last("stability", 180).alias("average180"), last("__step", 10).alias("slope10"), F.percentile("stability", 0.3).alias("q30"), F.percentile("stability", 0.7).alias("q70"))
+
+
+def full_records(panel: DataFrame, window: int = 30) -> DataFrame:
+    """The daily frame: records with smoothing, absorption and all closes and opens of the day."""
+    from tidemark.plans import frame
+
+    return frame.daily(panel, window)
