@@ -1,15 +1,17 @@
 """Secret scan with DataFrame and ML functions only: candidates by pattern, false positives out by a random forest.
 
 A candidate is a long run of key characters with a digit or a known prefix, or the value behind a word such as ``password``.
-Its features are its length, the changes between character classes, the shares of digits, capitals
+Its features are the logarithm of its length, the changes between character classes, the shares of digits, capitals
 and hexadecimal digits, the share covered by dictionary words, whether the path (the ``source`` column,
 where there is one) looks like tests or examples, and the words before it.  The forest is trained from
 labelled findings: ``labelled_findings`` derives a fixed number of them from a rule, and a table of one's
 own with the same columns can be given instead.
 
+A name and its value may have up to 100 blanks on either side of the sign: a look-behind of the pattern needs a
+bound.  Nothing else is bounded: keys, values and texts of any length count whole.
+
 Defined cases: null and empty text have no findings; overlapping candidates can't occur; repeated rows
-report once for each ``doc_id`` and text; null ``doc_id`` and null ``source`` are allowed; very long runs
-count whole; ``redact`` keeps every row and every column, null text stays null.
+report once for each ``doc_id`` and text; null ``doc_id`` and null ``source`` are allowed; ``redact`` keeps every row and every column, null text stays null.
 """
 
 from __future__ import annotations
@@ -73,8 +75,8 @@ def featured(found: DataFrame) -> DataFrame:
     changes = F.regexp_count(t, F.lit(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return found.withColumns({
-        "length": F.least(n, F.lit(200)).cast("double"), "transitions": changes / F.greatest(n, F.lit(1)), "digits": _share(t, "[0-9]"), "capitals": _share(t, "[A-Z]"), "hexes": _share(t, "[0-9a-f]"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(t, 1, 200), ""))) / F.greatest(F.least(n, F.lit(200)), F.lit(1)), "dictionary": 1 - F.char_length(covered) / F.greatest(n, F.lit(1)),
+        "length": F.log2(F.greatest(n, F.lit(1)).cast("double")), "transitions": changes / F.greatest(n, F.lit(1)), "digits": _share(t, "[0-9]"), "capitals": _share(t, "[A-Z]"), "hexes": _share(t, "[0-9a-f]"),
+        "distinct": F.size(F.array_distinct(F.split(t, ""))) / F.greatest(n, F.lit(1)), "dictionary": 1 - F.char_length(covered) / F.greatest(n, F.lit(1)),
         "path": flag(F.col("source").rlike(PATHS)), "spoken_for": flag(F.col("before").rlike(FOR)), "spoken_against": flag(F.col("before").rlike(AGAINST)),
         "prefix": flag(t.rlike(PREFIX)), "only_digits": flag(t.rlike("^[0-9_+/=-]+$")), "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")),
     })
@@ -121,12 +123,13 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
 
     Only documents with a candidate meet the findings; all others pass without a shuffle.
     """
-    bad = scan(docs, model, threshold).filter("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("number").alias("__numbers"))
+    bad = scan(docs, model, threshold).filter("is_secret").groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("numbers"))
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), "text")  # no name of ``docs`` clashes
     has = has_candidate(F.col("text"))
-    some = docs.filter(has)
-    met = some.join(bad, some["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(some["text"]) == bad["__hash"]), "left")
+    some = whole.filter(has).withColumn("hash", F.xxhash64("text"))
+    met = some.join(bad, some["id"].eqNullSafe(bad["doc_id"]) & (some["hash"] == bad["text_hash"]), "left")
     tokens, pieces = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
-    shown = F.transform(tokens, lambda t, i: F.when(F.array_contains("__numbers", i), mask).otherwise(t))
+    shown = F.transform(tokens, lambda t, i: F.when(F.array_contains("numbers", i), mask).otherwise(t))
     text = F.array_join(F.flatten(F.zip_with(pieces, shown, lambda p, t: F.array(p, F.coalesce(t, F.lit(""))))), "")
-    met = met.withColumn("text", F.when(F.col("__numbers").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
-    return docs.filter(~has).unionByName(met)
+    met = met.select(F.when(F.col("numbers").isNull(), F.col("doc")).otherwise(F.col("doc").withField("text", text)).alias("doc"))
+    return whole.filter(~has).select("doc").unionByName(met).select("doc.*")
