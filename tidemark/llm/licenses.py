@@ -10,7 +10,11 @@ Everything after the frequency count is one projection over the texts: no shuffl
 
 Defined cases: null and empty text have no words, no places, empty labels and score 0; places may overlap
 and all count; a word that occurs nowhere in the corpus has the highest IDF; equal IDF goes by
-alphabetical order; null ``doc_id`` and repeated rows pass through; other columns are ignored.
+alphabetical order; null ``doc_id``, repeated rows and very long texts are scanned like any other; columns of the
+input pass through ``scan``, but for those named ``words``, ``n_words`` or ``places``.
+
+Texts are split into words twice, once for the frequencies and once for the scan: keeping the words between
+the two would write more than it saves to read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -69,7 +74,8 @@ TEMPLATES = (
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text, A to Z as small letters."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), CAPITALS, CAPITALS.lower()), F.lit(WORD), F.lit(0))
 
 
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
