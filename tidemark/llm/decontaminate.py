@@ -20,7 +20,8 @@ Defined cases: words are runs of letters and digits in lower case, so punctuatio
 null and empty documents match nothing; null and empty items match nothing; an item with fewer than five
 words is one run; repeated items each report; repeated rows report once for each ``doc_id``; null ``doc_id``
 is a document of its own; an item that occurs several times in a document reports its best, then first,
-start over all windows; ``size`` counts the window's words; other columns are ignored.
+start over all windows; ``size`` counts the window's words; very long texts are searched whole; ``leaks`` ignores other
+columns, ``clean`` passes them through.
 """
 
 from __future__ import annotations
@@ -32,13 +33,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import workspace
 from tidemark.llm.fingerprints import BITS
-from tidemark.llm.licenses import words
+from tidemark.llm.licenses import WORD
 
 RUN = 5
 #: A radius of so many bits or more would cut the fingerprints into blocks that most windows share.
 TABLES = 16
 
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
 def _runs(w: Column, size: int) -> Column:
     """Array of structs of ``size`` neighbouring words, as many as fit."""
     n = F.greatest(F.size(w) - size + 1, F.lit(0))
@@ -109,7 +114,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float, broadcast_rows:
     starts = F.array_distinct(F.transform(ends, lambda x: F.greatest(x - runs_of + 1, F.lit(0))))
     near = near.filter(F.col("n") >= need).select("doc_id", "text_hash", "size", only.alias("only"), starts.alias("starts")).filter(F.size("starts") > 0)
     near = workspace.written(near, "anchors")
-    few = near.count() <= broadcast_rows // 10
+    few = (near.agg(F.sum(F.size("starts"))).first()[0] or 0) <= broadcast_rows  # windows, of some 30 bytes each
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     starts = near.select("doc_id", "text_hash", "size", "only", F.explode("starts").alias("start")).distinct()
     starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "only")).alias("windows"))
@@ -135,6 +140,6 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float, broadcast_rows:
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` without the documents in which an item is found: all rows of their ``doc_id``, or of their text where it is null."""
     own = lambda h: F.when(F.col("doc_id").isNull(), h)
-    bad = _found(docs, benchmark, least, broadcast_rows).select(F.col("doc_id").alias("__bad"), own(F.col("text_hash")).alias("__text")).distinct()
-    keyed = docs.withColumn("__own", own(F.xxhash64("text")))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__bad"]) & keyed["__own"].eqNullSafe(bad["__text"]), "left_anti").drop("__own")
+    bad = _found(docs, benchmark, least, broadcast_rows).select(F.col("doc_id").alias("bad_id"), own(F.col("text_hash")).alias("bad_text")).distinct()
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), own(F.xxhash64("text")).alias("own"))  # no name of ``docs`` clashes
+    return whole.join(bad, whole["id"].eqNullSafe(bad["bad_id"]) & whole["own"].eqNullSafe(bad["bad_text"]), "left_anti").select("doc.*")
