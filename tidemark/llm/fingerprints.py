@@ -12,7 +12,7 @@ misses none.
 
 Defined cases: null text counts as empty; a text without words has the fingerprint of zeros, likeness 1
 to another such text and 0 to any other; null ``doc_id`` sorts first; rows with equal ``doc_id`` are
-ordered by their text's hash; the only document is its own next; an empty table gives no rows; other
+ordered by their text's hash; very long texts are read whole; the only document is its own next; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -28,7 +28,7 @@ BITS, _LANE = 64, 0x0000000100000001
 
 
 def _ranges(docs: DataFrame, rows_per_range: int, most: int) -> DataFrame:
-    """``docs`` with ``range``: a number that ascends with ``doc_id``, about ``rows_per_range`` rows each."""
+    """``docs(doc_id, text_hash)`` with ``range``: a number that ascends with ``doc_id``, about ``rows_per_range`` rows each."""
     n = docs.select("doc_id").count()
     k = max(1, min(most, n // rows_per_range))
     cuts = docs.select(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 else []
@@ -38,23 +38,25 @@ def _ranges(docs: DataFrame, rows_per_range: int, most: int) -> DataFrame:
         out = Bucketizer(splits=splits, inputCol="__id", outputCol="range", handleInvalid="keep").transform(out)
     else:
         out = out.withColumn("range", F.lit(0))
-    out = out.drop("__id")
-    return out.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range")).cast("int"))
+    # Rows without an id come first, in 1024 ranges of their text's hash.
+    unnamed = F.shiftright("text_hash", 54) - 513
+    return out.drop("__id").withColumn("range", F.when(F.col("doc_id").isNull(), unnamed).otherwise(F.col("range")).cast("int"))
 
 
 def _ordered() -> Window:
     return Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text_hash")
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 10_000) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 100_000) -> DataFrame:
     """``doc_id, text, next_text`` and the columns ``range, extra, text_hash`` that hold the order.
 
     Texts are dealt by ranges of ``doc_id`` once.  The first row of each range is repeated behind the range
     before it (``extra`` 1), so the next document is a neighbour within the range; the last range gets the
-    very first row.  At most ``most_ranges`` first rows exist, and only they are broadcast, without texts.
+    very first row.  At most ``most_ranges`` first rows (and 1024 without an id) exist, and only they are broadcast,
+    without texts.  Beyond ``most_ranges * rows_per_range`` rows the ranges grow, not their number.
     """
-    rows = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows_per_range, most_ranges)
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = _ranges(rows, rows_per_range, most_ranges)
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash")
     heads = rows.groupBy("range").agg(F.min(key).alias("head"))
     before = Window.orderBy("range")
