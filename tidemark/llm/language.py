@@ -11,7 +11,8 @@ reads every byte of every text and needs no shuffle.
 Defined cases: null text, empty text and text without a letter give ``und`` with score 0 and are not
 ambiguous; with no labelled rows at all every document is ``und``; equal losses go to the language first
 in alphabetical order; null ``lang`` is unlabelled; rows with null ``doc_id`` are scored but not learned
-from; repeated rows give repeated results; further columns are ignored.
+from; repeated rows give repeated results; very long texts are read whole; further columns pass through, but for those
+named as the three of the result.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.hashing import LETTERED, LOWER, chunks
 
 BUCKETS, ORDERS = 1 << 12, (2, 3, 4)
+_LETTER = "language: has a letter"
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -181,18 +184,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` but clashing ones, with ``lang_pred, score, ambiguous``."""
     if model is None:
         return docs.drop("lang_pred", "score", "ambiguous").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "ambiguous": F.lit(False)})
-    names = pa.array([*model.languages, "und"])
-    kept = docs.drop("lang_pred", "score", "ambiguous", "__letter").withColumn("__letter", has_letter())
+    mine = docs.drop("lang_pred", "score", "ambiguous")
+    passed, names = mine.columns, pa.array([*model.languages, "und"])
+    kept = mine.withColumn(_LETTER, has_letter())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch):
                 part = batch.slice(a, b - a)
                 best, score, near = model.predict(data, offsets)
-                ok = part.column("__letter").to_numpy(zero_copy_only=False)
-                cols = [c for c, name in zip(part.columns, part.schema.names) if name != "__letter"]
+                ok = part.column(_LETTER).to_numpy(zero_copy_only=False)
+                cols = [part.column(c) for c in passed]
                 cols += [names.take(pa.array(np.where(ok, best, len(names) - 1))), pa.array(np.where(ok, score, 0.0)), pa.array(near & ok)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(n for n in part.schema.names if n != "__letter"), "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*passed, "lang_pred", "score", "ambiguous"])
 
-    schema = kept.drop("__letter").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = StructType(mine.schema.fields).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     return kept.mapInArrow(run, schema)
