@@ -1,6 +1,6 @@
 """Token-id files: ORC stripes with run-length-encoded ids, row indexes and Bloom filters on ``doc_id``.
 
-Layout of a directory: one ORC file per range of ``doc_id`` (and per ``rows_per_file`` rows), rows in
+Layout of a directory: one ORC file per range of ``doc_id``, about ``part_mb`` of text each, rows in
 ascending ``doc_id`` order.  ORC encodes the integer columns with run-length encoding (v2), keeps
 minimum and maximum of every column per stripe and per ``row_stride`` rows, and a Bloom filter on
 ``doc_id``, so a reader takes stripes in parallel and skips those that can't hold a document.
@@ -10,7 +10,8 @@ Columns: ``doc_id, part, part_start, n_tokens, ids``; ``part`` numbers the range
 
 Defined cases: null or empty text gives only the end id; null ``doc_id`` sorts first; rows with equal
 ``doc_id`` are ordered by their text's hash and each keeps its own ids; an empty table gives an empty
-directory that reads back as no rows; other columns of the input are ignored.
+directory that reads back as no rows; very long texts are encoded whole; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import tokens
+from tidemark.llm import tokens, workspace
 from tidemark.llm.hashing import chunks
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, parts: int | None = None, stripe_mb: int = 32, row_stride: int = 1000, false_positives: float = 0.01) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, part_mb: int = 256, stripe_mb: int = 32, row_stride: int = 1000, false_positives: float = 0.01) -> None:
     """Encode ``docs(doc_id, text)`` and write the directory ``path``.
 
     One shuffle: texts are dealt by ranges of ``doc_id`` and sorted inside each range, then encoded and
@@ -37,7 +38,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """
     tokenizer = tokenizer or tokens.default_path()
     spark = docs.sparkSession
-    parts = parts or max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = workspace.parts_for(total, part_mb << 20, spark.sparkContext.defaultParallelism * 2)
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
