@@ -5,13 +5,15 @@ the distinct words of a text minimises the class-prior-corrected risk
 ``prior * R+(P) + max(0, R-(U) - prior * R-(P))``; where the second part turns negative its gradient is
 reversed, so the classifier can't pay for a good fit of the positives with a negative risk of the rest.
 
-Fitting uses a bounded sample: about ``max_positive`` positives and ``max_unlabelled`` texts, taken by a
-hash of ``doc_id``; the class prior and the shares behind the sample are counted over all rows.  Scoring
+Fitting uses a bounded sample: about ``max_positive`` positives and ``max_unlabelled`` texts, fewer where they would
+have more than ``max_bytes`` of text together, taken by a hash of ``doc_id``; the class prior and the shares behind
+the sample are counted over all rows.  Scoring
 reads every word of every text and needs no shuffle.
 
 Defined cases: null and empty text get the score of a text without words; a document labelled more than
 once is toxic if any label says so; null labels and null ``doc_id`` teach nothing; without positives every
-score is 0; repeated rows give repeated results; further columns are ignored.
+score is 0; repeated rows give repeated results; very long texts are read whole; further columns pass through, but for
+one named ``score``.
 """
 
 from __future__ import annotations
@@ -55,14 +57,17 @@ def _draw(share: float):
     return F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, n_words: int = 512, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, max_bytes: int = 32 << 20, n_words: int = 512, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.agg(F.count("*").alias("all"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("toxic")).first()
     if not n["toxic"]:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -60.0)
     rows = docs.filter("doc_id is not null").select("doc_id", "text")
-    total = rows.select("doc_id").count()
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    total = size["rows"]
+    fits = max_bytes / 2 / max(size["bytes"] / max(total, 1), 1)  # texts of the mean size in half of max_bytes
+    max_positive, max_unlabelled = min(max_positive, fits), min(max_unlabelled, fits)
     confirmed = marks.filter("toxic = 1").filter(_draw(max_positive / n["toxic"])).select("doc_id")  # about max_positive ids
     positive = rows.join(F.broadcast(confirmed), "doc_id", "left_semi").withColumn("positive", F.lit(True))
     unlabelled = rows.filter(_draw(max_unlabelled / max(total, 1))).withColumn("positive", F.lit(False))
