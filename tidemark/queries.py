@@ -717,10 +717,10 @@ def q09_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "value", N.label_state(s).alias("label"), N.session_of("ts").alias("part"))
 
 
-@query(_with((*_FITTED_TR, *_test_sql(_CLOSE, 1, 1.0)), "SELECT strftime(d, '%Y-%m-%d') AS date, state AS regime, executed, printf('%.8f', ret) AS ret_bench, printf('%.8f', ret_strategy) AS ret_strategy, printf('%.8f', open) AS price_qqq FROM bt"))
+@query(_with((*_FITTED_TR, *_test_sql(_CLOSE, 1, 1.0)), "SELECT strftime(d, '%Y-%m-%d') AS date, state AS regime, executed, printf('%.8f', ret) AS ret_bench, printf('%.8f', ret_strategy) AS ret_strategy FROM bt"))
 def k04_csv(spark, sf_dir):
     t = sinks.backtest_csv(B.backtest(fitted_traded(spark, sf_dir), EXECUTIONS["golden"]))
-    return t.select("date", "regime", "executed", "ret_bench", "ret_strategy", "price_qqq")  # equities as text lie on rounding edges: k04_equities
+    return t.select("date", "regime", "executed", "ret_bench", "ret_strategy")  # prices and equities as text lie on rounding edges: k04_equities
 
 
 @query(_with((*_TO_CO, "l AS (SELECT max(idx) AS i FROM co)"), f"SELECT s1, s2, {_rounds('corr')}, CASE WHEN corr < 0.3 THEN 'red' WHEN corr < 0.4 THEN 'yellow' ELSE 'green' END AS band FROM co, l WHERE idx = i"))

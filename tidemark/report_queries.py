@@ -499,10 +499,11 @@ def v01_report(spark, sf_dir):
     )
 
 
-@query(_with((*_FITTED_TR, *_test_sql(_CLOSE, 1, 1.0)), f"SELECT idx, {_r('ln(equity)', 'eq_strategy')}, {_r('ln(bench)', 'eq_benchmark')} FROM bt"))
+@query(_with((*_FITTED_TR, *_test_sql(_CLOSE, 1, 1.0)), f"SELECT idx, {_r('ln(equity)', 'eq_strategy')}, {_r('ln(bench)', 'eq_benchmark')}, {_r('ln(open)', 'price_qqq')} FROM bt"))
 def k04_equities(spark, sf_dir):
-    t = B.backtest(fitted_traded(spark, sf_dir), EXECUTIONS["golden"])
-    return t.select("idx", F.ln("equity").alias("eq_strategy"), F.ln("equity_bench").alias("eq_benchmark"))
+    """The numbers of the CSV before they are text."""
+    t = sinks.backtest_columns(B.backtest(fitted_traded(spark, sf_dir), EXECUTIONS["golden"]), "idx")
+    return t.select("idx", *_log("eq_strategy", "eq_benchmark", "price_qqq"))
 
 
 # ---------------------------------------------------------------- sources and guards with rows of their own

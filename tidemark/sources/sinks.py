@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import fixed
 
-CSV = ("ret_bench", "ret_strategy", "eq_strategy", "eq_benchmark")
-
-
 def write_records(records: DataFrame, path: str, partition: str = "window", force: bool = False) -> None:
     """Parquet by partition; refuses to overwrite unless forced."""
     records.write.mode("overwrite" if force else "errorifexists").partitionBy(partition).parquet(path)
@@ -33,14 +30,19 @@ def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
     return rows.withColumns({c: F.round(c, digits) for c, t in rows.dtypes if t == "double"})
 
 
-def backtest_csv(tested: DataFrame) -> DataFrame:
-    """``date, regime, executed``, returns and equities of a backtest, and prices and the levered equity where it has them: text with 8 decimals."""
+def backtest_columns(tested: DataFrame, *keep: str) -> DataFrame:
+    """``date, regime, executed``, returns and equities of a backtest, and prices and the levered equity where it has them."""
     more = [(c, out) for c, out in (("open", "price_qqq"), ("levered_open", "price_tqqq"), ("equity_levered", "eq_tqqq")) if c in tested.columns]
-    d = tested.select(
-        F.col("d").cast("string").alias("date"), F.col("state").alias("regime"), "executed", F.col("ret").alias("ret_bench"), "ret_strategy", F.col("equity").alias("eq_strategy"), F.col("equity_bench").alias("eq_benchmark"),
+    return tested.select(
+        *keep, F.col("d").cast("string").alias("date"), F.col("state").alias("regime"), "executed", F.col("ret").alias("ret_bench"), "ret_strategy", F.col("equity").alias("eq_strategy"), F.col("equity_bench").alias("eq_benchmark"),
         *(F.col(c).alias(out) for c, out in more),
     )
-    return d.withColumns({c: fixed(c, 8, "") for c in (*CSV, *(out for _, out in more))})
+
+
+def backtest_csv(tested: DataFrame) -> DataFrame:
+    """``backtest_columns`` with its numbers as text of 8 decimals."""
+    d = backtest_columns(tested)
+    return d.withColumns({c: fixed(c, 8, "") for c, t in d.dtypes if t == "double"})
 
 
 def write_csv(rows: DataFrame, path: str, order: str = "date") -> None:
