@@ -209,6 +209,17 @@ def test_snapshot_of_a_report(spark):
     assert {r.universe for r in snapshot.complete_universes(p, ("QQQ", "IWM")).collect()} == {"a"}
 
 
+def test_required_symbols_and_vendor_tables(spark, tmp_path):
+    (tmp_path / "h.json").write_text('{"assets": [{"symbol": "A", "dates": ["2024-01-01"], "prices": [1.0], "opens": [1.0]}]}')
+    assert ingest.history(spark, str(tmp_path / "h.json"), required=("A",)).count() == 1
+    with pytest.raises(ValueError, match="no rows of B"):
+        ingest.history(spark, str(tmp_path / "h.json"), required=("A", "B"))
+    holders = spark.createDataFrame([('{"assetSymbol": "x"}', 1), ('{"ticker": "Y"}', 2), ('{"other": "z"}', 3)], "value string, n int")
+    assert {(r.symbol, r.basket, r.position) for r in ingest.holdings(ingest.holder_rows(holders)).collect()} == {("X", 0, 1), ("Y", 0, 2)}
+    c = report.curve_rows(spark.createDataFrame([("2024-01-01", "5", "4", "3", "2"), ("2024-01-02", "5", None, "3", "2")], "DATE string, `3M` string, YEAR2 string, `10Y` string, Y30 string")).collect()
+    assert [(r.d, r.month3, r.year2, r.year10, r.year30) for r in c] == [("2024-01-01", 5.0, 4.0, 3.0, 2.0)]
+
+
 def test_stream_falls_back_and_forgets(spark, tmp_path):
     old = spark.createDataFrame([("A", 1.0)], "symbol string, price double")
     path = str(tmp_path / "snap")

@@ -67,6 +67,12 @@ def right_wins(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(r, on, "full_outer").select(*on, *(F.coalesce(f"__{c}", c).alias(c) for c in values))
 
 
+def levered_prices(made: DataFrame, real: DataFrame, on: tuple[str, ...] = (U, "d")) -> DataFrame:
+    """``made(levered)`` with the real levered asset's ``close`` where it has one that day."""
+    known = real.select(*on, F.col("close").alias("__real")).filter("__real is not null")
+    return made.join(known, list(on), "left").withColumn("levered", F.coalesce("__real", "levered")).drop("__real")
+
+
 def upsert(panel: DataFrame, quotes: DataFrame) -> DataFrame:
     """The panel with the close of each quote's day replaced or added."""
     new = quotes.select(U, "symbol", "d", F.lit(None).cast("double").alias("open"), F.col("price").alias("close"), F.lit(1).alias("__p"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Newgate, Stab
+from tidemark.operators.align import as_of
 from tidemark.operators.folds import ema_values, opened, per_series, upper_mad_values
 from tidemark.operators.islands import executed
 from tidemark.operators.rolling import series
@@ -63,6 +64,19 @@ def transition_lines(changes: DataFrame) -> DataFrame:
     return changes.select(F.col("rank").cast("long").alias("number"), tsv(month_day("d"), F.concat(state_text("prev_state"), F.lit(" > "), state_text("state")), percent(F.col("return_pct") / 100), hit).alias("line"))
 
 
+def scored_lines(changes: DataFrame, scores: DataFrame, state: DataFrame) -> DataFrame:
+    """``number, line``: the state of today first (0), then the changes, newest first, each with the last score and weight known on its day.
+
+    ``scores`` has ``universe, d, score, w_trend``; ``state`` has ``universe, d, state``, a row a universe.
+    """
+    both = F.struct("score", "w_trend").alias("__s")
+    day = lambda rows: as_of(rows, scores.select(U, "d", both), [U], "__s")
+    known = F.concat(F.lit("score "), fixed(F.col("__s.score"), 3), F.lit(", trend "), fixed(F.col("__s.w_trend"), 2))
+    now = day(state).select(F.lit(0).cast("long").alias("number"), tsv(month_day("d"), F.concat(F.lit("now "), state_text("state")), known).alias("line"))
+    then = day(changes).select(F.col("rank").cast("long").alias("number"), tsv(month_day("d"), F.concat(state_text("prev_state"), F.lit(" > "), state_text("state")), percent(F.col("return_pct") / 100), known).alias("line"))
+    return now.unionByName(then)
+
+
 def guarded(rows: DataFrame, stab: Stab = Stab()) -> DataFrame:
     """States with two overrides from the slope of the stability; ``rows`` has ``universe, idx, state, stability, ret5``.
 

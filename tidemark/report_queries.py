@@ -422,8 +422,7 @@ def m07_sector_snapshots(spark, sf_dir):
     """Several snapshots, from JSON rows whose fields go by other names."""
     n = table(spark, sf_dir, "nation")
     raw = n.select("n_regionkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.format_string("%+.1f%%", F.col("n_nationkey") - F.lit(12.5)).alias("changesPercentage"))).alias("value"))
-    parsed = raw.select("n_regionkey", F.from_json("value", "map<string,string>").alias("m")).select(F.col("n_regionkey").alias("snapshot"), F.col("m")["name"].alias("sector"), F.col("m")["changesPercentage"].alias("change"))
-    return report.sectors(parsed, ("snapshot",))
+    return report.sectors(ingest.sector_rows(raw.withColumnRenamed("n_regionkey", "snapshot")), ("snapshot",))
 
 
 _PROB2 = "pb AS (SELECT idx, 1 / (1 + exp(-r * 20)) AS p, lead(close, 5) OVER (ORDER BY idx) / close - 1 AS future FROM q WHERE r IS NOT NULL), pr AS (SELECT *, CASE WHEN future IS NOT NULL THEN CAST((p >= 0.5 AND future > 0) OR (p < 0.5 AND future <= 0) AS INT) END AS ok FROM pb)"
@@ -623,3 +622,30 @@ def a28_platt(spark, sf_dir):
 def a32_interval(spark, sf_dir):
     low, high = report.interval(F.col("o_totalprice") / 512345.678, F.col("o_custkey") / 1000)
     return table(spark, sf_dir, "orders").select("o_orderkey", low.alias("low"), high.alias("high"))
+
+
+@query(_with(_TO_Q, f"SELECT idx, {_r('CASE WHEN idx % 5 = 2 THEN idx ELSE exp(ln(first_value(close) OVER w) + sum(ln(1 + CASE WHEN sr IS NULL THEN 0 ELSE least(greatest(0.5 * sr, -0.99), 5) END)) OVER w) / 1000 END', 'levered')} FROM q WINDOW w AS (ORDER BY idx ROWS UNBOUNDED PRECEDING)"))
+def j12_levered_prices(spark, sf_dir):
+    """The levered asset's price: the real one every fifth day, the compounded one on the others."""
+    a = align.align(bars(spark, sf_dir))
+    made = folds.synthetic_levered(a, leverage=0.5).withColumn("levered", F.col("levered") / 1000)
+    real = a.filter("symbol = 'QQQ' and idx % 5 in (2, 3)").withColumn("close", F.when(F.col("idx") % 5 == 2, F.col("idx").cast("double")))
+    return align.levered_prices(made, real).select("idx", "levered")
+
+
+@query(_with((_panel_sql(), "lr AS (SELECT d, ln(close / lag(close) OVER (ORDER BY d)) AS r, row_number() OVER (ORDER BY d DESC) AS n FROM panel WHERE symbol = 'IWM')"), f"SELECT {_r('stddev_pop(r) * sqrt(252)', 'rv')} FROM lr WHERE n <= 60"))
+def a26_population_volatility(spark, sf_dir):
+    return report.realized_volatility(bars(spark, sf_dir), "IWM", 60, population=True).select("rv")
+
+
+@query(_with((*_TO_Q, _LATCH, _SEG, "runs AS (SELECT segment, any_value(state) AS state, min(d) AS d, arg_min(close, idx) AS p0, arg_max(close, idx) AS p1 FROM sg GROUP BY segment)", "nx AS (SELECT segment, state, d, p0, lag(state) OVER o AS ps, coalesce(lead(p0) OVER o, p1) AS pe FROM runs WINDOW o AS (ORDER BY segment))",
+              "sc AS (SELECT d, idx / 10000.0 AS score, idx / 20000.0 AS w FROM q WHERE idx % 7 = 0)", "lb AS (SELECT -1 AS s, 'Risk-Off' AS l UNION ALL SELECT 0, 'Neutral' UNION ALL SELECT 1, 'Risk-On')",
+              "ln AS (SELECT row_number() OVER (ORDER BY segment DESC) AS number, d, ps, state, pe / p0 - 1 AS r FROM nx WHERE ps IS NOT NULL ORDER BY segment DESC LIMIT 10)",
+              "al2 AS (SELECT number, d, strftime(d, '%m/%d') || chr(9) || a.l || ' > ' || b.l || chr(9) || printf('%.2f%%', r * 100) AS h FROM ln JOIN lb a ON a.s = ps JOIN lb b ON b.s = state UNION ALL SELECT 0, d, strftime(d, '%m/%d') || chr(9) || 'now ' || l FROM la JOIN lb ON s = state WHERE idx = (SELECT max(idx) FROM la))"),
+             "SELECT CAST(number AS BIGINT) AS number, h || chr(9) || 'score ' || printf('%.3f', (SELECT arg_max(score, sc.d) FROM sc WHERE sc.d <= al2.d)) || ', trend ' || printf('%.2f', (SELECT arg_max(w, sc.d) FROM sc WHERE sc.d <= al2.d)) AS line FROM al2"))
+def q10_scored_lines(spark, sf_dir):
+    """The state of today and the last ten changes, each with the score known on its day: scores come every seventh row."""
+    la = latched(spark, sf_dir)
+    scores = la.filter("idx % 7 = 0").select(U, "d", (F.col("idx") / 10000).alias("score"), (F.col("idx") / 20000).alias("w_trend"))
+    last = la.groupBy(U).agg(F.max("d").alias("d"), F.max_by("state", "idx").alias("state"))
+    return narrative.scored_lines(islands.transitions(la, "state", "close"), scores, last)

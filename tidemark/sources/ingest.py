@@ -17,10 +17,16 @@ MODEL = "mu_up array<double>, var_up array<double>, mu_dn array<double>, var_dn
 TICKER = r"^[A-Z0-9.\-]{1,10}$"
 
 
-def history(spark: SparkSession, path: str, symbols: tuple[str, ...] | None = None) -> DataFrame:
-    """Panel rows of a history file; an asset whose dates and prices differ in length is dropped."""
-    raw = spark.read.schema(HISTORY).json(path, multiLine=True)
-    return history_rows(raw, symbols)
+def history(spark: SparkSession, path: str, symbols: tuple[str, ...] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """Panel rows of a history file; an asset whose dates and prices differ in length is dropped.
+
+    Raises where a required symbol has no rows.
+    """
+    rows = history_rows(spark.read.schema(HISTORY).json(path, multiLine=True), symbols)
+    missing = [s for s in required if s not in {r["symbol"] for r in rows.select("symbol").filter(F.col("symbol").isin(*required)).distinct().collect()}]
+    if missing:
+        raise ValueError(f"{path}: no rows of {', '.join(missing)}")
+    return rows
 
 
 def history_rows(raw: DataFrame, symbols: tuple[str, ...] | None = None) -> DataFrame:
@@ -180,7 +186,8 @@ def sector_rows(raw: DataFrame) -> DataFrame:
     """``sector, change`` from JSON objects whose fields go by any of their known names."""
     m = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     pick = lambda *names: F.coalesce(*(F.element_at("m", n) for n in names))
-    return raw.select(m.alias("m")).select(pick("sector", "name").alias("sector"), pick("changesPercentage", "changePercentage", "change").alias("change")).filter("sector is not null")
+    rest = [c for c in raw.columns if c != "value"]
+    return raw.select(*rest, m.alias("m")).select(*rest, pick("sector", "name").alias("sector"), pick("changesPercentage", "changePercentage", "change").alias("change")).filter("sector is not null")
 
 
 def holder_rows(raw: DataFrame) -> DataFrame:
