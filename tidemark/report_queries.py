@@ -624,13 +624,13 @@ def a32_interval(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", low.alias("low"), high.alias("high"))
 
 
-@query(_with(_TO_Q, f"SELECT idx, {_r('CASE WHEN idx % 5 = 2 THEN idx ELSE exp(ln(first_value(close) OVER w) + sum(ln(1 + CASE WHEN sr IS NULL THEN 0 ELSE least(greatest(0.5 * sr, -0.99), 5) END)) OVER w) / 1000 END', 'levered')} FROM q WINDOW w AS (ORDER BY idx ROWS UNBOUNDED PRECEDING)"))
+@query(_with(_TO_Q, f"SELECT idx, {_r('CASE WHEN idx % 5 = 2 THEN ln(idx) ELSE ln(first_value(close) OVER w) + sum(ln(1 + CASE WHEN sr IS NULL THEN 0 ELSE least(greatest(0.5 * sr, -0.99), 5) END)) OVER w - ln(1000) END', 'levered')} FROM q WINDOW w AS (ORDER BY idx ROWS UNBOUNDED PRECEDING)"))
 def j12_levered_prices(spark, sf_dir):
     """The levered asset's price: the real one every fifth day, the compounded one on the others."""
     a = align.align(bars(spark, sf_dir))
     made = folds.synthetic_levered(a, leverage=0.5).withColumn("levered", F.col("levered") / 1000)
     real = a.filter("symbol = 'QQQ' and idx % 5 in (2, 3)").withColumn("close", F.when(F.col("idx") % 5 == 2, F.col("idx").cast("double")))
-    return align.levered_prices(made, real).select("idx", "levered")
+    return align.levered_prices(made, real).select("idx", *_log("levered"))
 
 
 @query(_with((_panel_sql(), "lr AS (SELECT d, ln(close / lag(close) OVER (ORDER BY d)) AS r, row_number() OVER (ORDER BY d DESC) AS n FROM panel WHERE symbol = 'IWM')"), f"SELECT {_r('stddev_pop(r) * sqrt(252)', 'rv')} FROM lr WHERE n <= 60"))
