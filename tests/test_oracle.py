@@ -42,3 +42,20 @@ def test_top_drivers_of_every_day_equal_sql(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = queries.QUERIES["m01_top_drivers_by_day"](spark, sf).toPandas()
     assert got["idx"].nunique() > 1000 and plain(got) == plain(con.execute(queries.ORACLE_SQL["m01_top_drivers_by_day"]).fetchdf())
+
+
+MORE = ["r03_fragile", "m04_divergences", "m08_calendar", "m09_labels", "q11_previous_row", "p13_effective_row", "p19_matrix", "s03_vendor_bars", "s05_first_source", "s05_second_source", "s06_chart_rows", "s11_text_table", "s14_overrides", "s15_holdings", "s16_tickers", "b15_windows", "l03_allocation", "n05_ramps", "a32_interval", "p14_fetch_window"]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+@pytest.mark.parametrize("key", MORE)
+def test_made_rows_equal_sql(spark, key):
+    """Queries over made rows of all tables."""
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("lineitem", "part", "events", "orders", "supplier", "customer", "nation", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got = entry.queries()[key](spark, SF).toPandas()
+    assert len(got) and plain(got) == plain(con.execute(entry.oracle_sql()[key]).fetchdf())
