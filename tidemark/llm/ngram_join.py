@@ -389,5 +389,6 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFram
     crowd = crowd.groupBy("row").agg(F.max(F.col("row") == F.col("first")).alias("stays")).select(F.col("row.doc_id").alias("crowd_id"), F.col("row.text_hash").alias("crowd_hash"), "stays")
     crowd = workspace.written(crowd, "crowd")
     whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))  # no name of ``docs`` clashes
-    met = whole.join(crowd, F.col("id").eqNullSafe(F.col("crowd_id")) & (F.col("hash") == F.col("crowd_hash")), "left")
+    # The crowd grows with the documents, so they always meet by a shuffle: one plan at every size.
+    met = whole.join(crowd.hint("merge"), F.col("id").eqNullSafe(F.col("crowd_id")) & (F.col("hash") == F.col("crowd_hash")), "left")
     return met.filter("stays is null").unionByName(met.filter("stays").dropDuplicates(["id", "hash"])).select("doc.*")
