@@ -114,7 +114,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float, broadcast_rows:
     starts = F.array_distinct(F.transform(ends, lambda x: F.greatest(x - runs_of + 1, F.lit(0))))
     near = near.filter(F.col("n") >= need).select("doc_id", "text_hash", "size", only.alias("only"), starts.alias("starts")).filter(F.size("starts") > 0)
     near = workspace.written(near, "anchors")
-    few = (near.agg(F.sum(F.size("starts"))).first()[0] or 0) <= broadcast_rows  # windows, of some 30 bytes each
+    n_windows = near.agg(F.sum(F.size("starts"))).first()[0] or 0
+    few = n_windows <= broadcast_rows  # of some 30 bytes each
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     starts = near.select("doc_id", "text_hash", "size", "only", F.explode("starts").alias("start")).distinct()
     starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "only")).alias("windows"))
@@ -122,10 +123,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float, broadcast_rows:
     owned = owned.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
     windows = owned.select("doc_id", "text_hash", "x.start", "x.size", "x.only", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
     windows = workspace.written(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
+    dealt = windows.repartition(workspace.parts_for(n_windows, 2000, 2))  # by number, since a window costs much more than it weighs
     run = F.least(F.col("size"), F.lit(RUN))
     keyed = lambda df, key, out: df.select(key, "size", radius.alias("radius"), only_of[key].alias("only"), _sketch(_counted(F.col("words"), run)).alias(out)).select(key, "size", "radius", out, F.explode(_entries(out)).alias("b"))
     only_of = {"window": F.col("only"), "item": only}
-    marked, known = keyed(windows, "window", "w_bits"), keyed(items, "item", "i_bits").drop("radius")
+    marked, known = keyed(dealt, "window", "w_bits"), keyed(items, "item", "i_bits").drop("radius")
     known = known.select("item", "size", "i_bits", "b.table", "b.block")
     pairs = marked.select("window", "size", "radius", "w_bits", "b.table", "b.block").join(F.broadcast(known) if small else known, ["size", "table", "block"])
     pairs = pairs.withColumn("distance", F.bit_count(F.col("w_bits").bitwiseXOR(F.col("i_bits")))).filter(F.col("distance") <= F.col("radius"))
