@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprints, language, licenses, merkle, ngram_join, packing, resampling, secrets, substring_dedup, token_files, toxicity, workspace
+from tidemark.llm import decontaminate, fingerprints, language, licenses, merkle, ngram_join, packing, quality, resampling, secrets, substring_dedup, token_files, toxicity, workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.manifest(_docs(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_licenses, op4_decontamination, op5_ngram_join, op6_language, op7_secrets, op8_substring_dedup, op9_toxicity, op10_packing, op11_resampling, op12_merkle_manifest)}
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.score(docs, quality.fit(docs.filter(~quality.held_out()), labels.filter(~quality.held_out())))
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_licenses, op4_decontamination, op5_ngram_join, op6_language, op7_secrets, op8_substring_dedup, op9_toxicity, op10_packing, op11_resampling, op12_merkle_manifest, op13_quality)}
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
