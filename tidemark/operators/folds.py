@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -18,17 +20,24 @@ from tidemark.operators.rolling import log_return, series, simple_return, so_far
 U = "universe"
 
 
-def per_series(df: DataFrame, fold, out: dict[str, str], by: tuple[str, ...] = (U,)) -> DataFrame:
-    """``fold(rows in idx order) -> {column: values}`` for each series."""
+def per_series(df: DataFrame, fold, out: dict[str, str], by: tuple[str, ...] = (U,), using: tuple[str, ...] | None = None) -> DataFrame:
+    """``fold(rows in idx order) -> {column: values}`` for each series; nan becomes NULL.
+
+    The fold sees the columns ``using`` (all, if not given) as pandas; the others pass by as they are.
+    """
     kinds = {"double": DoubleType(), "int": IntegerType()}
-    names = list(df.columns)
-    schema = StructType([*df.schema.fields, *(StructField(c, kinds[t]) for c, t in out.items())])
+    arrow = {"double": pa.float64(), "int": pa.int32()}
+    kept = df.drop(*out)
+    schema = StructType([*kept.schema.fields, *(StructField(c, kinds[t]) for c, t in out.items())])
+    names, seen = kept.columns, list(df.columns if using is None else using)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
-        return pdf[names].assign(**fold(pdf))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table.column("idx")))
+        found = fold(table.select(seen).to_pandas())
+        new = [pa.array(np.asarray(found[c], float), from_pandas=True).cast(arrow[t]) if t == "double" else pa.array(np.asarray(found[c]), arrow[t]) for c, t in out.items()]
+        return pa.Table.from_arrays([*(table.column(c) for c in names), *new], names=[*names, *out])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return df.groupBy(*by).applyInArrow(run, schema)
 
 
 def ema_values(x: pd.Series, n: int) -> pd.Series:
@@ -38,30 +47,21 @@ def ema_values(x: pd.Series, n: int) -> pd.Series:
 
 def mad_values(x: pd.Series, n: int, least: int = 5) -> np.ndarray:
     """As ``rolling.mad_sigma`` for a whole series at once: frames of the last ``n`` rows, missing values left out."""
-    padded = np.concatenate([np.full(n - 1, np.nan), x.to_numpy(float)])
-    frames = np.lib.stride_tricks.sliding_window_view(padded, n)
-    known = (~np.isnan(frames)).sum(1)
-    out = np.full(len(x), np.nan)
-    at = np.flatnonzero(known >= least)
-    middle = np.nanmedian(frames[at], axis=1, keepdims=True)
-    out[at] = 1.4826 * np.nanmedian(np.abs(frames[at] - middle), axis=1)
-    return np.where(out > 0, out, np.nan)
+    from tidemark.operators.order import deviations
+
+    return deviations(x.to_numpy(float), n, least)
 
 
 def upper_mad_values(x: pd.Series, n: int, least: int = 5) -> np.ndarray:
     """As ``mad_values`` with the upper of the two middle values for a median."""
-    values, out = x.to_numpy(float), np.full(len(x), np.nan)
-    for i in range(len(values)):
-        held = np.sort(values[max(0, i - n + 1) : i + 1])
-        held = held[~np.isnan(held)]
-        if len(held) >= least:
-            out[i] = 1.4826 * np.sort(np.abs(held - held[len(held) // 2]))[len(held) // 2]
-    return np.where(out > 0, out, np.nan)
+    from tidemark.operators.order import deviations
+
+    return deviations(x.to_numpy(float), n, least, upper=True)
 
 
 def with_ema(df: DataFrame, spec: dict[str, tuple[str, int]], by: tuple[str, ...] = (U,)) -> DataFrame:
     """``spec``: {new column: (column, span)}; all in one pass."""
-    return per_series(df, lambda p: {c: ema_values(p[x].astype(float), n) for c, (x, n) in spec.items()}, dict.fromkeys(spec, "double"), by)
+    return per_series(df, lambda p: {c: ema_values(p[x].astype(float), n) for c, (x, n) in spec.items()}, dict.fromkeys(spec, "double"), by, tuple({x for x, _ in spec.values()}))
 
 
 def bear_damp(panel: DataFrame, symbols: tuple[str, ...] = ("QQQ", "IWM", "BTC-USD"), span: int = 60) -> DataFrame:

@@ -128,6 +128,25 @@ def information_ratio(x: C, w: WindowSpec, n: int = 63, least: int = 30) -> Colu
     return F.when(F.count(col(x)).over(f) >= least, ratio(F.avg(col(x)).over(f), F.stddev_samp(col(x)).over(f)))
 
 
+def with_skill(df: DataFrame, spec: dict[str, tuple[str, str]], n: int, m: int | None = None, by: tuple[str, ...] = (U,)) -> DataFrame:
+    """``hit*, ic*`` of ``n`` rows, and with ``m`` also ``ir*`` of ``m``, for each ending of ``spec`` and its (prediction, return): one pass over a series.
+
+    The same as ``hit_rate``, ``information`` and ``information_ratio`` (at least 30 values) of columns without gaps.
+    """
+    from tidemark.operators import moments as M
+
+    made, wanted, out = {}, {}, {}
+    for k, (p, r) in spec.items():
+        earned = F.col(p) * F.col(r)
+        made |= {f"__won{k}": F.when(earned > 0, 1.0).otherwise(0.0), f"__spoke{k}": F.when(F.col(p) != 0, 1.0).otherwise(0.0), f"__earned{k}": earned.cast("double")}
+        wanted |= {f"__mw{k}": M.Mean(f"__won{k}", n), f"__ms{k}": M.Mean(f"__spoke{k}", n), f"__me{k}": M.Mean(f"__earned{k}", n), f"__sr{k}": M.Deviation(r, n, 0, 1)}
+        out |= {f"hit{k}": F.coalesce(ratio(f"__mw{k}", f"__ms{k}"), F.lit(0.5)), f"ic{k}": F.col(f"__me{k}") / F.sqrt(F.greatest(F.lit(1e-12), F.pow(f"__sr{k}", 2)))}
+        if m:
+            wanted |= {f"__rm{k}": M.Mean(f"__earned{k}", m, 30), f"__rs{k}": M.Deviation(f"__earned{k}", m, 1, 30)}
+            out[f"ir{k}"] = ratio(f"__rm{k}", f"__rs{k}")
+    return M.with_moments(df.withColumns(made), wanted, by).withColumns(out).drop(*made, *wanted)
+
+
 def correlation(x: C, y: C, over: WindowSpec | None = None, zero: float | None = 0.0) -> Column:
     """Pairwise correlation within [-1, 1]; ``zero`` where a variance is 0."""
     known = col(x).isNotNull() & col(y).isNotNull()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CLUSTER, SIGNALS, Thresholds
 from tidemark.functions.numeric import clamp01, mean_of, normalize_range, softmax2
 from tidemark.operators.islands import executed
-from tidemark.operators.rolling import hit_rate, information, series
+from tidemark.operators.rolling import series, with_skill
 from tidemark.plans.records import name
 
 U = "universe"
@@ -70,8 +70,9 @@ def fusion(two: DataFrame, win: int = 40, lam: float = 0.5, tau: float = 4.0, fl
     """
     w = series(U)
     d = two.withColumns({"p_c": executed("state_c", w), "p_f": executed("state_f", w), "r": F.coalesce("ret", F.lit(0.0))})
-    skill = lambda p: lam * (hit_rate(p, "r", w, win) - 0.5) + (1 - lam) * information(p, "r", w, win)
-    d = d.withColumns({"skill_c": skill("p_c"), "skill_f": skill("p_f")})
+    d = with_skill(d, {"_c": ("p_c", "r"), "_f": ("p_f", "r")}, win)
+    skill = lambda k: lam * (F.col(f"hit_{k}") - 0.5) + (1 - lam) * F.col(f"ic_{k}")
+    d = d.withColumns({"skill_c": skill("c"), "skill_f": skill("f")}).drop("hit_c", "hit_f", "ic_c", "ic_f")
     w_c, w_f = softmax2("skill_c", "skill_f", tau, floor)
     d = d.withColumns({"w_c": w_c, "w_f": w_f})
     d = d.withColumn("fused", F.col("w_c") * F.col("state_c") + F.col("w_f") * F.col("state_f"))

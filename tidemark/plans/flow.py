@@ -108,7 +108,8 @@ def with_stability_trend(cols: DataFrame, p: Flow) -> DataFrame:
         slope = ema_values(pdf["stability"], fast) - ema_values(pdf["stability"], slow)
         return {"s_slope": slope, "s_z": slope / mad_values(slope, z_win)}
 
-    return _nulls(per_series(cols, fold, {"s_slope": "double", "s_z": "double"}), "s_slope", "s_z")
+    used = ("stability", *(k for k in asked if asked[k]))
+    return _nulls(per_series(cols, fold, {"s_slope": "double", "s_z": "double"}, using=used), "s_slope", "s_z")
 
 
 def with_ratio_timing(cols: DataFrame, p: Flow) -> DataFrame:
@@ -122,7 +123,7 @@ def with_ratio_timing(cols: DataFrame, p: Flow) -> DataFrame:
         return {"ratio": ratio, "st": st, "d_st": st.diff(), "st_before": st.shift(), "st_sigma": mad_values(st, win)}
 
     out = dict.fromkeys(("ratio", "st", "d_st", "st_before", "st_sigma"), "double")
-    return _nulls(per_series(cols, fold, out), *out)
+    return _nulls(per_series(cols, fold, out, using=("diffusion", "v_pc1")), *out)
 
 
 def _nulls(df: DataFrame, *names: str) -> DataFrame:
@@ -206,7 +207,7 @@ def states(flagged: DataFrame, p: Flow = Flow()) -> DataFrame:
         lean = pdf["j"].fillna(0).apply(lambda x: (x > 0) - (x < 0)) if p.variant == "exp" else None
         return {"state": decide(*(pdf[c].tolist() for c in ("raw_on", "raw_off", "confirm", "need_off", "drift", "flat")), lean)}
 
-    d = per_series(flagged, fold, {"state": "int"})
+    d = per_series(flagged, fold, {"state": "int"}, using=("raw_on", "raw_off", "confirm", "need_off", "drift", "flat", *(["j"] if p.variant == "exp" else [])))
     return d.withColumns({"executed": executed("state", series(U)), "fragile": fragile("state", "guard")})
 
 

@@ -1,7 +1,7 @@
 """The daily frame: one row a day with returns, the rolling correlation of every pair, momenta and record columns.
 
-A pair is a column, not a row: all of it is windows of one series or expressions of its row, so a universe is
-shuffled once and nothing is joined.  ``records`` has the same values with a row a pair, for queries that want them.
+A pair is a column, not a row: correlations and deviations of all of them come from one pass over a series with running
+sums (``operators/moments.py``), the rest is expressions of the row and its neighbours, so nothing is joined.  ``records`` has the same values with a row a pair, for queries that want them.
 """
 
 from __future__ import annotations
@@ -13,21 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import BASE, CATEGORY, CLUSTER, SIGNALS, SYMBOLS, pair_kind, pairs
-from tidemark.functions.numeric import clamp01, finite, mean_of, weighted_mean_of
-from tidemark.operators import eigen
+from tidemark.functions.numeric import clamp01, finite, mean_of, ratio, weighted_mean_of
+from tidemark.operators import eigen, moments
 from tidemark.operators.folds import ema_values, per_series
-from tidemark.operators.rolling import log_return, series, simple_return, z_momentum
-from tidemark.plans.records import cell, name, wide_aligned, with_correlations
+from tidemark.operators.rolling import log_return, series, simple_return
+from tidemark.plans.records import cell, correlation_spec, name, wide_aligned
 
 U = "universe"
 DAMPED = (BASE, "IWM", "BTC-USD")
 
 
 def with_returns(wide: DataFrame) -> DataFrame:
-    """Log returns ``r_*``, simple returns ``s_*`` and z-momentum ``z_*`` of every symbol."""
+    """Log returns ``r_*`` and simple returns ``s_*`` of every symbol."""
     w = series(U)
-    d = wide.withColumns({f"r_{name(s)}": log_return(f"c_{name(s)}", w) for s in SYMBOLS} | {f"s_{name(s)}": simple_return(f"c_{name(s)}", w) for s in SYMBOLS})
-    return d.withColumns({f"z_{name(s)}": z_momentum(f"c_{name(s)}", w, f"s_{name(s)}") for s in SYMBOLS})
+    return wide.withColumns({f"r_{name(s)}": log_return(f"c_{name(s)}", w) for s in SYMBOLS} | {f"s_{name(s)}": simple_return(f"c_{name(s)}", w) for s in SYMBOLS})
+
+
+def with_moments(d: DataFrame, window: int, k: int = 10, v: int = 20, saturation: float = 2.0) -> DataFrame:
+    """In one pass the correlation ``k_*`` of every pair and the deviation of the last ``v`` simple returns; z-momentum ``z_*`` from it."""
+    spread = {f"__sd_{name(s)}": moments.Deviation(f"s_{name(s)}", v, 1, 2, v) for s in SYMBOLS}
+    d = moments.with_moments(d, correlation_spec((window,)) | spread)
+    z = {f"z_{name(s)}": F.tanh(ratio(simple_return(f"c_{name(s)}", series(U), k), F.col(f"__sd_{name(s)}")) / saturation) for s in SYMBOLS}
+    return d.withColumns(z).drop(*spread)
 
 
 def triangle(symbols: tuple[str, ...]) -> Column:
@@ -55,7 +62,7 @@ def with_record(d: DataFrame) -> DataFrame:
 
 def records(panel: DataFrame, window: int = 30) -> DataFrame:
     """The record of every day with its prices and returns, without what only the flow engines need."""
-    return with_record(with_correlations(with_returns(wide_aligned(panel)), window)).filter("stability is not null")
+    return with_record(with_moments(with_returns(wide_aligned(panel)), window)).filter("stability is not null")
 
 
 def with_flux(d: DataFrame) -> DataFrame:
@@ -111,7 +118,8 @@ def with_means(d: DataFrame, span: int = 60) -> DataFrame:
         z = ((frob - held.mean()) / held.std(ddof=1).replace(0, float("nan"))).reindex(pdf.index)
         return {"smoothed": e10, "delta": e3 - e10, "bear_ratio": pd.concat(worst, axis=1).max(axis=1), "frob_z": z}
 
-    return per_series(d, fold, dict.fromkeys(("smoothed", "delta", "bear_ratio", "frob_z"), "double")).withColumns({c: finite(c) for c in ("smoothed", "delta", "bear_ratio", "frob_z")})
+    used = ("stability", "frob", *(f"r_{name(s)}" for s in DAMPED))
+    return per_series(d, fold, dict.fromkeys(("smoothed", "delta", "bear_ratio", "frob_z"), "double"), using=used).withColumns({c: finite(c) for c in ("smoothed", "delta", "bear_ratio", "frob_z")})
 
 
 def daily(panel: DataFrame, window: int = 30, six: bool = False) -> DataFrame:
@@ -122,7 +130,7 @@ def daily(panel: DataFrame, window: int = 30, six: bool = False) -> DataFrame:
     symbols over 3, 5, 10 and 20 rows where engines use them.
     """
     w = series(U)
-    d = with_flux(with_record(with_correlations(with_returns(wide_aligned(panel)), window)))
+    d = with_flux(with_record(with_moments(with_returns(wide_aligned(panel)), window)))
     ret = lambda s, k: simple_return(f"c_{name(s)}", w, k)
     d = d.withColumns(
         {f"ret5_{name(s)}": ret(s, 5) for s in SIGNALS} | {f"ret3_{name(s)}": ret(s, 3) for s in SIGNALS if CLUSTER[s] == "risk"}

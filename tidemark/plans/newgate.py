@@ -1,7 +1,7 @@
 """Fusion-Newgate: a trend state and a flow state mixed by a stress weight, then capped by gates.
 
-All steps are window functions over one row a day, except the correlation matrices of the absorption ratio
-(pair rows and a batched eigenvalue) and the held cap (a fold over two flags).
+All steps are window functions over one row a day, but for the rolling moments and ranks (passes over a series with
+running sums and a sliding sorted window), the batched eigenvalue of the absorption ratio and the held cap (a fold over two flags).
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.config import BASE, NEWGATE, SIGNALS, Newgate, pairs
 from tidemark.functions.numeric import clamp, clamp01, hits, mean_of, ratio, sigmoid
-from tidemark.operators import eigen
+from tidemark.operators import eigen, moments, order
 from tidemark.operators.folds import held_cap, per_series
 from tidemark.operators.islands import executed, latch
-from tidemark.operators.rolling import correlation, frame, information_ratio, mean, percentile_rank, series, simple_return, so_far, std, with_rsi, with_slope, zscore
+from tidemark.operators.rolling import frame, series, simple_return, so_far, with_rsi, with_slope
 from tidemark.plans import records as R
 from tidemark.plans.frame import triangle
 from tidemark.plans.records import name
@@ -30,7 +30,7 @@ def _w() -> WindowSpec:
 def flow_columns(panel: DataFrame, n: int = 63) -> DataFrame:
     """Flow, its running sum ``x``, gradient ``g``, one-sided sizes ``d_up, d_down`` and balance ``j``."""
     wide = R.with_returns(R.wide_aligned(panel))
-    d = wide.withColumns({f"z_{name(s)}": zscore(f"r_{name(s)}", _w()) for s in SIGNALS})
+    d = moments.with_moments(wide, {f"z_{name(s)}": moments.ZScore(f"r_{name(s)}", 252, first=251) for s in SIGNALS})
     up, down = mean_of("z_IWM", "z_SPY", "z_BTC_USD"), mean_of("z_TLT", "z_GLD")
     d = d.withColumn("flow", F.when(up.isNotNull() | down.isNotNull(), F.coalesce(up, F.lit(0.0)) - F.coalesce(down, F.lit(0.0))))
     d = d.withColumns({"x": F.when(F.col("flow").isNotNull(), F.sum("flow").over(so_far(_w()))), "g": F.coalesce(F.col("flow") - F.lag("flow").over(_w()), F.lit(0.0))})
@@ -52,20 +52,21 @@ def stress(d: DataFrame, p: Newgate) -> DataFrame:
     """z-scores of the stress measures, their mix ``s`` and the weight of the trend state."""
     total = F.col("d_up") + F.col("d_down")
     d = d.withColumns({"chi": total / (F.col("mu_up") + F.col("mu_down") + 1e-8), "eta": F.abs(F.col("d_up") - F.col("d_down")) / (total + 1e-8), "dr": F.abs(F.col("r") - F.lag("r").over(_w())), "tilt": (F.col("d_down") - F.col("d_up")) / (total + 1e-8)})
-    d = d.withColumns({f"z_{c}": zscore(c, _w()) for c in ("chi", "eta", "r", "dr", "tilt", "j")} | {"__size": F.abs("g")})
+    scored = {"z_chi": "chi", "z_eta": "eta", "z_r": "r", "z_dr": "dr", "z_tilt": "tilt", "z_j": "j", "__z_size": "__size"}
+    d = moments.with_moments(d.withColumn("__size", F.abs("g")), {z: moments.ZScore(c, 252, first=251) for z, c in scored.items()})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     d = d.withColumn("s", p.a_chi * zero("z_chi") + p.b_eta * zero("z_eta") + p.c_r * zero("z_r") + p.d_dr * zero("z_dr"))
-    shock = F.when((zscore("__size", _w()) > p.shock_z) & (F.col("g") < 0), 1 / 3).otherwise(1.0)
-    return d.withColumns({"w_trend": clamp(sigmoid(F.col("s") - p.theta, p.kappa), p.w_min, p.w_max), "shock": shock}).drop("__size")
+    shock = F.when((F.col("__z_size") > p.shock_z) & (F.col("g") < 0), 1 / 3).otherwise(1.0)
+    return d.withColumns({"w_trend": clamp(sigmoid(F.col("s") - p.theta, p.kappa), p.w_min, p.w_max), "shock": shock}).drop("__size", "__z_size")
 
 
 def trend(d: DataFrame, base: str = f"c_{BASE}") -> DataFrame:
     """``ta_score``: long mean and slope rank, strength ramp, calm rank; the mean of what is known."""
-    d = with_rsi(d, base, (U,)).withColumns({"sma50": mean(base, _w(), 50), "__rv": std(f"r_{BASE}", _w(), 20), "__up": F.when(F.col(base) > mean(base, _w(), 200), 1.0).otherwise(0.0)})
-    d = with_slope(d, "sma50", (U,), 20, 10, "__slope")
-    d = d.withColumns({"slope_rank": percentile_rank("__slope", _w()), "vol_rank": percentile_rank("__rv", _w())})
+    d = moments.with_moments(with_rsi(d, base, (U,)), {"sma50": moments.Mean(base, 50), "__sma200": moments.Mean(base, 200), "__rv": moments.Deviation(f"r_{BASE}", 20, first=19)})
+    d = with_slope(d.withColumn("__up", F.when(F.col(base) > F.col("__sma200"), 1.0).otherwise(0.0)), "sma50", (U,), 20, 10, "__slope")
+    d = order.with_order(d, {"slope_rank": order.Rank("__slope"), "vol_rank": order.Rank("__rv")})
     score = mean_of(0.6 * F.col("__up") + 0.4 * F.coalesce("slope_rank", F.lit(0.0)), clamp01((F.col("rsi") - 30) / 40), 1 - F.col("vol_rank"))
-    return d.withColumn("ta_score", score).drop("__rv", "__up", "__slope")
+    return d.withColumn("ta_score", score).drop("__rv", "__up", "__slope", "__sma200")
 
 
 def _position(state: Column) -> Column:
@@ -81,9 +82,9 @@ def mixed(d: DataFrame, p: Newgate) -> DataFrame:
     d = d.withColumns({"ta_state": latch("ta_score", 0.60, 0.40, _w()), "flow_state": latch("z_j", p.on_thr, p.off_thr, _w()), "ret": simple_return(f"c_{BASE}", _w(), 1, 0.0)})
     d = d.withColumns({"pos_ta": _position(F.col("ta_state")), "pos_flow": _position(F.col("flow_state"))})
     d = d.withColumns({"pos_mix": clamp01(F.col("w_trend") * F.col("pos_ta") + (1 - F.col("w_trend")) * F.col("pos_flow")), "__pt": pnl("pos_ta", "ret"), "__pf": pnl("pos_flow", "ret"), "__j1": F.lag("j").over(_w())})
-    f = frame(_w(), 63)
-    known = F.count(F.when(F.col("__j1").isNotNull() & F.col("ret").isNotNull(), 1)).over(f)
-    d = d.withColumns({"tqi": information_ratio("__pt", _w()), "ffqi": information_ratio("__pf", _w()), "fqi": F.when(known >= 30, correlation("__j1", "ret", f))})
+    quality = {f"{k}{c}": m(f"__p{c}") for c in "tf" for k, m in (("__m", lambda x: moments.Mean(x, 63, 30)), ("__s", lambda x: moments.Deviation(x, 63, 1, 30)))}
+    d = moments.with_moments(d, quality | {"fqi": moments.Correlation("__j1", "ret", 63, 30)})
+    d = d.withColumns({"tqi": ratio("__mt", "__st"), "ffqi": ratio("__mf", "__sf")}).drop(*quality)
     d = d.withColumn("spread", F.coalesce("tqi", F.lit(0.0)) - F.coalesce("ffqi", F.lit(0.0)))
     return d.withColumn("dt", F.col("spread") - F.coalesce(F.lag("spread", 10).over(_w()), F.lit(0.0))).drop("__pt", "__pf", "__j1")
 
@@ -98,7 +99,7 @@ def gates(d: DataFrame, p: Newgate) -> DataFrame:
     crisis = hits(dr >= c["dr"], either, fqi <= c["fqi"], F.col("z_r") >= c["zr"], F.col("rsi") <= c["rsi"])
     d = d.withColumns({"ew_hits": ew, "dr_hits": deep, "cr_hits": crisis, "__calm": F.coalesce((chi < 0) & (dr < 0) & (tilt < 0), F.lit(False))})
     if p.cr_enabled:
-        d = per_series(d, lambda x: {"cr_held": held_cap((x["cr_hits"] >= 3).to_numpy(), x["__calm"].to_numpy(), p.cr_hold)}, {"cr_held": "int"})
+        d = per_series(d, lambda x: {"cr_held": held_cap((x["cr_hits"] >= 3).to_numpy(), x["__calm"].to_numpy(), p.cr_hold)}, {"cr_held": "int"}, using=("cr_hits", "__calm"))
     else:
         d = d.withColumn("cr_held", F.lit(0))
     return d.drop("__calm")

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import CATEGORY, CLUSTER, SIGNALS, SYMBOLS, pair_kind, pairs
+from tidemark.config import CATEGORY, CLUSTER, SIGNALS, SYMBOLS, WINDOWS, pair_kind, pairs
 from tidemark.functions.numeric import pair_weight
-from tidemark.operators import eigen
+from tidemark.operators import eigen, moments
 from tidemark.operators.align import U, pair_rows
 from tidemark.operators.folds import with_ema
-from tidemark.operators.rolling import correlation, frame, log_return, rolling_correlation, series, simple_return
+from tidemark.operators.rolling import log_return, rolling_correlation, series, simple_return
 
 
 def name(symbol: str) -> str:
@@ -47,33 +47,43 @@ def cell(a: str, b: str) -> str:
     return f"k_{name(a)}_{name(b)}"
 
 
+def correlation_spec(windows: tuple[int, ...], symbols: tuple[str, ...] = SYMBOLS) -> dict[str, moments.Moment]:
+    """The moments ``k_*`` of every pair of log returns; with several windows the name ends with the window."""
+    named = lambda a, b, n: cell(a, b) if len(windows) == 1 else f"{cell(a, b)}__{n}"
+    return {named(a, b, n): moments.Correlation(f"r_{name(a)}", f"r_{name(b)}", n) for a, b in pairs(symbols) for n in windows}
+
+
 def with_correlations(wide: DataFrame, window: int = 30, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:
     """``k_*`` of every pair from the log returns of full frames; NULL before."""
-    f = frame(series(U), window)
+    return moments.with_moments(wide, correlation_spec((window,), symbols))
+
+
+def _pair_rows(wide: DataFrame, symbols: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
+    """A row a day and pair: ``s1, s2, kind`` and for each of ``columns`` the pair's value, whose name ends as given."""
+    entries = []
+    for a, b in pairs(symbols):
+        kind = pair_kind(a, b)
+        first, second = (b, a) if kind == "cross" and CLUSTER[a] == "safe" else (a, b)
+        entries.append(F.struct(F.lit(first).alias("s1"), F.lit(second).alias("s2"), F.lit(kind).alias("kind"), *(F.col(cell(a, b) + end).alias(c) for c, end in columns.items())))
+    return wide.select(U, "idx", "d", F.inline(F.array(*entries)))
 
-    def corr(a: str, b: str) -> Column:
-        x, y = f"r_{name(a)}", f"r_{name(b)}"
-        both = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(f)
-        return F.when(both >= window, correlation(x, y, f))
 
-    return wide.withColumns({cell(a, b): corr(a, b) for a, b in pairs(symbols)})
+def correlations_over(panel: DataFrame, windows: tuple[int, ...] = WINDOWS, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:
+    """``universe, s1, s2, kind, idx, d, window, corr``: the correlations of all ``windows`` from one pass over each universe."""
+    wide = moments.with_moments(with_returns(wide_aligned(panel)), {k if len(windows) > 1 else f"{k}__{windows[0]}": m for k, m in correlation_spec(windows, symbols).items()})
+    rows = _pair_rows(wide, symbols, {f"c{n}": f"__{n}" for n in windows})
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("window"), F.col(f"c{n}").alias("corr")) for n in windows)))
+    return rows.select(U, "s1", "s2", "kind", "idx", "d", each).filter("corr is not null")
 
 
 def correlations(panel: DataFrame, window: int = 30, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:
     """``universe, s1, s2, kind, idx, d, corr`` of ``window`` log returns, for full frames.
 
-    ``symbols`` picks the pairs; the calendar is always that of the whole universe.  The correlations are windows of
+    ``symbols`` picks the pairs; the calendar is always that of the whole universe.  The correlations are columns of
     the day's row and become pair rows last, so pairs are never shuffled.
     """
     wide = with_correlations(with_returns(wide_aligned(panel)), window, symbols)
-    entries = []
-    for a, b in pairs(symbols):
-        kind = pair_kind(a, b)
-        first, second = (b, a) if kind == "cross" and CLUSTER[a] == "safe" else (a, b)
-        entries.append(F.struct(F.lit(first).alias("s1"), F.lit(second).alias("s2"), F.lit(kind).alias("kind"), F.col(cell(a, b)).alias("corr")))
-    return wide.select(U, "idx", "d", F.inline(F.array(*entries))).filter("corr is not null")
-
-
+    return _pair_rows(wide, symbols, {"corr": ""}).filter("corr is not null")
 
 
 def pair_view(panel: DataFrame, window: int = 30, symbols: tuple[str, ...] = SYMBOLS) -> DataFrame:

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import EXECUTIONS, NEWGATE, SIGNALS, Execution, Flow
+from tidemark.config import EXECUTIONS, NEWGATE, SIGNALS, WINDOWS, Execution, Flow
 from tidemark.functions import numeric as N
 from tidemark.functions import text as TX
-from tidemark.operators import align, eigen, filters, folds, islands
+from tidemark.operators import align, eigen, filters, folds, islands, moments, order
 from tidemark.operators import rolling as W
 from tidemark.plans import backtest as B
 from tidemark.plans import engines, flow, flux5, frame, narrative, newgate, report, search, sections
@@ -268,6 +268,16 @@ def w04_rolling_corr(spark, sf_dir):
     return R.correlations(bars(spark, sf_dir)).select("s1", "s2", "idx", "d", "corr")
 
 
+def _windows_sql(n: int) -> str:
+    return f"SELECT s1, s2, idx, d, {n} AS window, corr FROM (SELECT *, count(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 1 END) OVER f AS n, coalesce(covar_pop(x, y) OVER f / nullif(stddev_pop(x) OVER f * stddev_pop(y) OVER f, 0), 0) AS corr FROM pr WINDOW f AS (PARTITION BY universe, s1, s2 ORDER BY idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) WHERE n = {n}"
+
+
+@query(_with((*_TO_RET, _DIM, _PR), f"SELECT s1, s2, idx, d, CAST(\"window\" AS INT) AS \"window\", {_rounds('corr')} FROM ({' UNION ALL '.join(_windows_sql(n).replace(' AS window', ' AS \"window\"') for n in WINDOWS)})"))
+def w04_three_windows(spark, sf_dir):
+    """The correlations of 20, 30 and 60 returns, all from one pass."""
+    return R.correlations_over(bars(spark, sf_dir)).select("s1", "s2", "idx", "d", "window", "corr")
+
+
 @query(_with((*_TO_RET, _DIM, _PR), f"SELECT s1, s2, idx, {_rounds('corr')}, {_logs('price_a', 'price_b')} FROM (SELECT s1, s2, idx, px AS price_a, py AS price_b, covar_pop(sx, sy) OVER f / nullif(stddev_pop(sx) OVER f * stddev_pop(sy) OVER f, 0) AS corr FROM pr WINDOW f AS (PARTITION BY s1, s2 ORDER BY idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE idx >= 29"))
 def w05_pair_view(spark, sf_dir):
     return R.pair_view(bars(spark, sf_dir)).select("s1", "s2", "idx", "corr", *_log("price_a", "price_b"))
@@ -293,13 +303,13 @@ def _over(n: int) -> str:
 
 @query(_with(_TO_Q, f"SELECT idx, {_r(f'avg(r) {_over(20)}', 'm')}, {_r(f'CASE WHEN idx >= 19 AND count(r) {_over(20)} > 1 THEN stddev_pop(r) {_over(20)} END', 'sd')}, {_r(f'CASE WHEN idx >= 251 THEN (r - avg(r) {_over(252)}) / nullif(stddev_pop(r) {_over(252)}, 0) END', 'z')}, {_r(f'CASE WHEN count(r) {_over(63)} >= 2 THEN (r - avg(r) {_over(63)}) / nullif(stddev_samp(r) {_over(63)}, 0) END', 'zs')} FROM q"))
 def w11_zscore(spark, sf_dir):
-    w = W.series(U)
-    return base(spark, sf_dir).select("idx", W.mean("r", w, 20).alias("m"), W.std("r", w, 20).alias("sd"), W.zscore("r", w).alias("z"), W.zscore_sample("r", w, 63).alias("zs"))
+    spec = {"m": moments.Mean("r", 20), "sd": moments.Deviation("r", 20, first=19), "z": moments.ZScore("r", 252, first=251), "zs": moments.ZScore("r", 63, 1)}
+    return moments.with_moments(base(spark, sf_dir), spec).select("idx", *spec)
 
 
 @query(_with(_TO_Q, f"SELECT idx, {_r('CASE WHEN r IS NOT NULL AND len(h) >= 63 THEN (len(list_filter(h, lambda v: v <= r)) - 1) / (len(h) - 1) END', 'rank')} FROM (SELECT idx, r, list(r) FILTER (WHERE r IS NOT NULL) {_over(252)} AS h FROM q)"))
 def w13_percentile_rank(spark, sf_dir):
-    return base(spark, sf_dir).select("idx", W.percentile_rank("r", W.series(U)).alias("rank"))
+    return order.with_order(base(spark, sf_dir), {"rank": order.Rank("r")}).select("idx", "rank")
 
 
 @query(_with((*_TO_Q, "st AS (SELECT idx, close - lag(close) OVER (ORDER BY idx) AS s FROM q)"), f"SELECT idx, {_r(f'CASE WHEN count(s) {_over(14)} = 14 THEN CASE WHEN avg(greatest(-s, 0)) {_over(14)} <= 1e-12 THEN 100 ELSE 100 - 100 / (1 + avg(greatest(s, 0)) {_over(14)} / avg(greatest(-s, 0)) {_over(14)}) END END', 'rsi')} FROM (SELECT * FROM st WHERE s IS NOT NULL) UNION ALL SELECT idx, NULL FROM st WHERE s IS NULL"))
@@ -321,7 +331,7 @@ def w18_z_momentum(spark, sf_dir):
 
 @query(_with(_TO_Q, f"SELECT idx, {_r('CASE WHEN len(h) >= 5 THEN nullif(1.4826 * list_median(list_transform(h, lambda v: abs(v - list_median(h)))), 0) END', 'sigma')} FROM (SELECT idx, list(r) FILTER (WHERE r IS NOT NULL) {_over(126)} AS h FROM q)"))
 def w19_mad(spark, sf_dir):
-    return base(spark, sf_dir).select("idx", W.mad_sigma("r", W.series(U), 126).alias("sigma"))
+    return order.with_order(base(spark, sf_dir), {"sigma": order.Robust("r", 126)}).select("idx", "sigma")
 
 
 _PRED = "p AS (SELECT idx, coalesce(r, 0) AS r, coalesce(lag(CAST(sign(r) AS INT)) OVER (ORDER BY idx), 0) AS pred FROM q)"
@@ -330,8 +340,8 @@ _PRED = "p AS (SELECT idx, coalesce(r, 0) AS r, coalesce(lag(CAST(sign(r) AS INT
 @query(_with((*_TO_Q, _PRED), f"SELECT idx, {_r(f'coalesce(sum(CASE WHEN pred * r > 0 THEN 1 ELSE 0 END) {_over(40)} / nullif(sum(abs(pred)) {_over(40)}, 0), 0.5)', 'hit')}, {_r(f'avg(pred * r) {_over(40)} / sqrt(greatest(1e-12, var_pop(r) {_over(40)}))', 'ic')}, {_r(f'avg(pred * r) {_over(63)} / nullif(stddev_samp(pred * r) {_over(63)}, 0)', 'ir')} FROM p QUALIFY count(*) {_over(63)} >= 30"))
 def w20_hit_ic_ir(spark, sf_dir):
     w = W.series(U)
-    d = base(spark, sf_dir).withColumns({"pred": F.coalesce(F.lag(F.signum("r").cast("int")).over(w), F.lit(0)), "r": F.coalesce("r", F.lit(0.0))}).withColumn("pnl", F.col("pred") * F.col("r"))
-    return d.select("idx", W.hit_rate("pred", "r", w, 40).alias("hit"), W.information("pred", "r", w, 40).alias("ic"), W.information_ratio("pnl", w).alias("ir")).filter("idx >= 29")
+    d = base(spark, sf_dir).withColumns({"pred": F.coalesce(F.lag(F.signum("r").cast("int")).over(w), F.lit(0)), "r": F.coalesce("r", F.lit(0.0))})
+    return W.with_skill(d, {"": ("pred", "r")}, 40, 63).select("idx", "hit", "ic", "ir").filter("idx >= 29")
 
 
 _FLOW = """zs AS (SELECT symbol, idx, CASE WHEN idx >= 251 THEN (r - avg(r) OVER f) / nullif(stddev_pop(r) OVER f, 0) END AS z FROM ret WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
