@@ -2,8 +2,10 @@
 
 import math
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,26 +20,11 @@ from test_units import panel
 
 U = "universe"
 
-# Runs of states (state x rows) and daily returns of the benchmark, 2025-05-05 to 2025-10-31.
-GOLDEN_RUNS = "1x6 -1x1 0x7 1x1 0x2 -1x12 1x10 -1x11 1x17 0x1 1x1 -1x1 1x1 -1x2 0x3 -1x8 1x1 0x1 1x2 -1x1 0x1 -1x8 1x10 0x1 1x11 0x1 1x12 0x2 -1x1 0x1 1x1 -1x19 1x4 -1x3 1x16"
-GOLDEN_RETURNS = """
--0.00930175 0.00392597 0.01032485 -0.00065535 0.00000000 0.00000000 0.04074021 0.01524072 0.00599313 0.00109894 0.00435243 0.00000000 0.00000000 0.00095875 -0.00333327 -0.01389663 0.00187120 -0.00926070 0.00000000 0.00000000
-0.00000000 0.02352525 -0.00443191 0.00196566 -0.00157714 0.00000000 0.00000000 0.00789813 0.00781713 0.00278779 -0.00752690 0.00977534 0.00000000 0.00000000 0.00147192 0.00661391 -0.00336946 0.00234781 -0.01255481 0.00000000
-0.00000000 0.01390997 -0.00975126 -0.00017011 0.00000000 -0.00408325 0.00000000 0.00000000 0.00914906 0.01529202 0.00255660 0.00935028 0.00342353 0.00000000 0.00000000 0.00647704 -0.00842941 0.00696539 0.00984023 0.00000000
-0.00000000 0.00000000 -0.00753299 0.00056156 0.00707897 -0.00143820 -0.00225043 0.00000000 0.00000000 0.00362685 0.00091692 0.00102385 0.00809273 -0.00096120 0.00000000 0.00000000 0.00518476 -0.00517574 0.00456125 0.00212838
-0.00240704 0.00000000 0.00000000 0.00312517 -0.00154891 0.00133977 -0.00529911 -0.01969877 0.00000000 0.00000000 0.01845165 -0.00678958 0.01258322 0.00338433 0.00932823 0.00000000 0.00000000 -0.00295884 0.01256874 0.00049996
--0.00077541 -0.00439739 0.00000000 0.00000000 -0.00039838 -0.01356760 -0.00593732 -0.00462979 0.01542750 0.00000000 0.00000000 -0.00288477 0.00401529 0.00153682 0.00625992 -0.01157552 0.00000000 0.00000000 0.00000000 -0.00838008
-0.00786747 0.00905152 0.00144290 0.00000000 0.00000000 0.00487796 0.00283311 0.00032730 0.00582056 0.00441720 0.00000000 0.00000000 0.00855692 -0.00084505 -0.00199601 0.00901695 0.00676947 0.00000000 0.00000000 0.00475515
--0.00664231 -0.00351053 -0.00431136 0.00411100 0.00000000 0.00000000 0.00463111 0.00273913 0.00479704 0.00411107 -0.00420980 0.00000000 0.00000000 0.00751020 -0.00526567 0.01146383 -0.00121026 -0.03471426 0.00000000 0.00000000
-0.02122137 -0.00666102 0.00705686 -0.00370297 0.00656678 0.00000000 0.00000000 0.01260080 -0.00026163 -0.00963394 0.00840641 0.01067837 0.00000000 0.00000000 0.01780911 0.00768998 0.00450294 -0.01528855 0.00460027 0.00000000
-"""
-
-
 def test_golden_backtest(spark):
     """The shipped backtest: states a row late, 3 x, 1 x and 0 of the return, equities, drawdowns, counts."""
-    state = [int(s) for run in GOLDEN_RUNS.split() for s, n in [run.split("x")] for _ in range(int(n))]
-    ret = [float(x) for x in GOLDEN_RETURNS.split()]
-    assert len(state) == len(ret) == 180
+    shipped = pd.read_csv(Path(__file__).parent / "golden_backtest.csv", comment="#")
+    state, ret = shipped["regime"].tolist(), shipped["ret_bench"].tolist()
+    assert len(state) == len(ret) == 180 and shipped["date"].iloc[[0, -1]].tolist() == ["2025-05-05", "2025-10-31"]
     close = np.cumprod([1.0, *(1 + r for r in ret)]).tolist()
     # A neutral day before the first one gives the first return its base.
     rows = [("core", i, date(2025, 5, 4) + timedelta(i), s, c, c) for i, (s, c) in enumerate(zip([0, *state], close))]

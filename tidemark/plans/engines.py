@@ -5,11 +5,14 @@ A state is 1 (Risk-On), 0 (Neutral) or -1 (Risk-Off).
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CLUSTER, SIGNALS, Thresholds
 from tidemark.functions.numeric import clamp01, mean_of, normalize_range, softmax2
+from tidemark.operators import quantiles
 from tidemark.operators.islands import executed
 from tidemark.operators.rolling import series, with_skill
 from tidemark.plans.records import name
@@ -31,16 +34,32 @@ def classic(records: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return scored.withColumn("state", case_state(c >= t.pair_on, (c <= t.pair_off) | (s <= t.score_off), (s >= t.score_on) & (c >= t.pair_min)))
 
 
-def fitted(records: DataFrame, low: float = 0.3, high: float = 0.7) -> Thresholds:
-    """Thresholds at quantiles of the pair correlation and score: one aggregate row for the whole history.
+def fit(records: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """``universe`` and the fields of ``Thresholds``: at quantiles of the universe's pair correlation and score, a row a universe.
 
-    This looks at all days, so it is a fit of its own and never part of an engine.  Without records the
-    thresholds are the fixed ones.
+    This looks at all days, so it is a fit of its own and never part of an engine; the table can be kept for later days.
     """
-    q = classic(records).agg(F.percentile("pair_corr", [low, high]).alias("c"), F.percentile("score", [low, high]).alias("s")).first()
-    if q["c"] is None:
-        return Thresholds()
-    return Thresholds(q["c"][1], q["c"][0], q["s"][1], q["s"][0], (q["c"][0] + q["c"][1]) / 2)
+    scored = classic(records)
+    c, s = (quantiles.exact(scored, x, [low, high], (U,)).select(U, F.get("q", F.lit(0)).alias(f"{x}_low"), F.get("q", F.lit(1)).alias(f"{x}_high")) for x in ("pair_corr", "score"))
+    q = c.join(s, U)
+    middle = (F.col("pair_corr_low") + F.col("pair_corr_high")) / 2
+    return q.select(U, F.col("pair_corr_high").alias("pair_on"), F.col("pair_corr_low").alias("pair_off"), F.col("score_high").alias("score_on"), F.col("score_low").alias("score_off"), middle.alias("pair_min"))
+
+
+def classic_fitted(records: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
+    """``classic`` with the thresholds of the day's universe, those of ``fit`` if none are given; the fixed ones where it is unknown."""
+    names = [f.name for f in fields(Thresholds)]
+    found = (fit(records) if fitted is None else fitted).select(U, *(F.col(n).alias(f"__{n}") for n in names))
+    met = records.join(found, U, "left").withColumns({f"__{n}": F.coalesce(f"__{n}", F.lit(getattr(Thresholds(), n))) for n in names})
+    return classic(met, Thresholds(**{n: F.col(f"__{n}") for n in names})).drop(*(f"__{n}" for n in names))
+
+
+def fitted(records: DataFrame, low: float = 0.3, high: float = 0.7) -> Thresholds:
+    """The fit of a table of one universe as plain numbers to freeze; the fixed ones without records."""
+    rows = fit(records, low, high).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("several universes: use fit")
+    return Thresholds(**{f.name: rows[0][f.name] for f in fields(Thresholds)}) if rows else Thresholds()
 
 
 def enhanced(rec: DataFrame) -> DataFrame:

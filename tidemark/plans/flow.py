@@ -1,6 +1,6 @@
 """Flow regime: how momentum moves between risk and safe assets along their correlations.
 
-``columns`` makes every input as plain columns; ``thresholds`` is the fit (it looks at all days);
+``columns`` makes every input as plain columns; ``fit`` gives each universe its thresholds (it looks at all its days);
 ``conditions`` turns both into boolean columns and streaks; only the last sticky decision is a fold over
 a few flags a day.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import BASE, CLUSTER, SIGNALS, Flow
 from tidemark.functions.numeric import clamp01, finite, mean_of, normalize_range, sigmoid, weighted_mean_of
+from tidemark.operators import quantiles
 from tidemark.operators.folds import ema_values, mad_values, per_series
 from tidemark.operators.islands import executed, with_streak
 from tidemark.operators.rolling import series, so_far, z_momentum
@@ -75,20 +76,48 @@ def columns(panel: DataFrame, window: int = 30) -> DataFrame:
     return d.withColumns({"score": score, "diffusion": diff, "far": F.when(F.col("mm") > 0, F.abs("j") / (F.col("mm") + 1e-9))})
 
 
+def fit(cols: DataFrame, p: Flow = Flow()) -> DataFrame:
+    """``universe, on, off, score_on, score_off``: thresholds of the flux and of the score, a row a universe.
+
+    They lie at quantiles of the universe's whole history (on and off of the flux, quartiles of the score), but no nearer than
+    the fixed ones; universes with fewer than ``quantile_rows`` values, and the classic variant, take the fixed ones.  The
+    table can be kept and joined to later days by ``with_thresholds``.
+    """
+    fixed = {"on": p.j_on, "off": p.j_off, "score_on": p.score_on, "score_off": p.score_off}
+    out = cols.select(U).distinct()
+    if p.variant != "classic":
+        for x, shares, names in (("j", [p.q_on, p.q_off], ("on", "off")), ("score", [0.75, 0.25], ("score_on", "score_off"))):
+            q = quantiles.exact(cols, x, shares, (U,)).filter(F.col("n") >= p.quantile_rows)
+            out = out.join(q.select(U, F.greatest(F.lit(fixed[names[0]]), F.get("q", F.lit(0))).alias(names[0]), F.least(F.lit(fixed[names[1]]), F.get("q", F.lit(1))).alias(names[1])), U, "left")
+    return out.select(U, *(F.coalesce(F.col(c), F.lit(x)).alias(c) if c in out.columns else F.lit(x).alias(c) for c, x in fixed.items()))
+
+
+def with_thresholds(cols: DataFrame, fitted: DataFrame | tuple[float, float], p: Flow = Flow()) -> DataFrame:
+    """``cols`` with ``on, off, score_on, score_off`` of its universe; the fixed ones where ``fitted`` does not know it, a pair for all."""
+    if not isinstance(fitted, DataFrame):
+        return cols.withColumns({"on": F.lit(float(fitted[0])), "off": F.lit(float(fitted[1])), "score_on": F.lit(p.score_on), "score_off": F.lit(p.score_off)})
+    fixed = {"on": p.j_on, "off": p.j_off, "score_on": p.score_on, "score_off": p.score_off}
+    return cols.join(fitted.select(U, *fixed), U, "left").withColumns({c: F.coalesce(F.col(c), F.lit(x)) for c, x in fixed.items()})
+
+
+def _of_one(cols: DataFrame, p: Flow) -> dict:
+    """The fit of a table of one universe."""
+    rows = fit(cols if U in cols.columns else cols.withColumn(U, F.lit("core")).withColumns({c: F.lit(None).cast("double") for c in ("j", "score") if c not in cols.columns}), p).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("several universes: use fit")
+    return rows[0].asDict() if rows else {"on": p.j_on, "off": p.j_off, "score_on": p.score_on, "score_off": p.score_off}
+
+
 def thresholds(cols: DataFrame, p: Flow = Flow()) -> tuple[float, float]:
-    """(on, off) of the flux: at its quantiles over the whole history, at least the fixed ones."""
-    if p.variant == "classic":
-        return p.j_on, p.j_off
-    q = cols.agg(F.count("j").alias("n"), F.percentile("j", [p.q_on, p.q_off]).alias("q")).first()
-    return (max(p.j_on, q["q"][0]), min(p.j_off, q["q"][1])) if q["n"] >= p.quantile_rows else (p.j_on, p.j_off)
+    """(on, off) of the flux of a table of one universe, as plain numbers to freeze."""
+    f = _of_one(cols, p)
+    return f["on"], f["off"]
 
 
 def score_thresholds(cols: DataFrame, p: Flow = Flow()) -> tuple[float, float]:
-    """(on, off) of the score: at its upper and lower quartile over the whole history, at least the fixed ones."""
-    if p.variant == "classic":
-        return p.score_on, p.score_off
-    q = cols.agg(F.count("score").alias("n"), F.percentile("score", [0.75, 0.25]).alias("q")).first()
-    return (max(p.score_on, q["q"][0]), min(p.score_off, q["q"][1])) if q["n"] >= p.quantile_rows else (p.score_on, p.score_off)
+    """(on, off) of the score of a table of one universe."""
+    f = _of_one(cols, p)
+    return f["score_on"], f["score_off"]
 
 
 def _or(value: Column, missing: bool) -> Column:
@@ -130,8 +159,8 @@ def _nulls(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: finite(c) for c in names})
 
 
-def conditions(cols: DataFrame, on: float, off: float, p: Flow = Flow()) -> DataFrame:
-    """``raw_on, raw_off, confirm, clamp_run, drift, lead, need_off`` of every day."""
+def conditions(cols: DataFrame, on: float | Column, off: float | Column, p: Flow = Flow()) -> DataFrame:
+    """``raw_on, raw_off, confirm, drift, need_off, flat`` of every day; ``on`` and ``off`` are numbers or the day's own thresholds."""
     d = with_stability_trend(cols, p) if p.variant == "stab" else with_ratio_timing(cols, p) if p.variant == "exp" else cols
     mm, j, diff, pcon, combo, guard, v = (F.coalesce(c, F.lit(x)) if x is not None else F.col(c) for c, x in (("mm", 0.0), ("j", 0.0), ("diffusion", 0.0), ("pcon", None), ("combo", None), ("guard", 1.0), ("v_pc1", 0.0)))
     breadth = F.coalesce("breadth", F.lit(0.0))
@@ -216,19 +245,22 @@ def fragile(state: str, guard: str) -> Column:
     return (F.col(state) >= 0) & (F.coalesce(guard, F.lit(1.0)) >= 0.88)
 
 
-def flow(panel: DataFrame, window: int = 30, p: Flow = Flow(), at: tuple[float, float] | None = None) -> DataFrame:
-    """The engine end to end.  ``at`` freezes the thresholds; without it they are fitted on this panel.
+def decided(cols: DataFrame, p: Flow = Flow(), at: DataFrame | tuple[float, float] | None = None) -> DataFrame:
+    """``states`` of ``columns``; without ``at`` the thresholds of each universe are fitted on it."""
+    flagged = conditions(with_thresholds(cols, fit(cols, p) if at is None else at, p), F.col("on"), F.col("off"), p)
+    return states(flagged.select(*(c for c in flagged.columns if not c.startswith("__"))), p)
+
+
+def flow(panel: DataFrame, window: int = 30, p: Flow = Flow(), at: DataFrame | tuple[float, float] | None = None) -> DataFrame:
+    """The engine end to end.  ``at`` freezes the thresholds: a table of ``fit``, or (on, off) for all; without it they are fitted on this panel.
 
     The daily columns are written once: the fit and the decision both read them.
     """
-    cols = shared.settled(columns(panel, window), "flow")
-    on, off = at or thresholds(cols, p)
-    flagged = conditions(cols, on, off, p)
-    return states(flagged.select(*(c for c in flagged.columns if not c.startswith("__"))), p)
+    return decided(shared.settled(columns(panel, window), "flow"), p, at)
 
 
-def plain_state(cols: DataFrame, on: float, off: float, score_on: float = 0.60, score_off: float = 0.40) -> DataFrame:
-    """The rule without memory: score, flux, breadth and guard."""
+def plain_state(cols: DataFrame, on: float | Column, off: float | Column, score_on: float | Column = 0.60, score_off: float | Column = 0.40) -> DataFrame:
+    """The rule without memory: score, flux, breadth and guard; thresholds as ``conditions`` has them."""
     s, j, c, g = F.col("score"), F.col("j"), F.coalesce("combo", F.lit(0.0)), F.coalesce("guard", F.lit(1.0))
     up = (s >= score_on) & (j >= on) & (c > -0.005) & (F.coalesce("breadth", F.lit(0.0)) >= 0.5) & (g < 0.90)
     down = (s <= score_off) | (j <= off) | (c <= -0.03) | (F.col("mm") >= 0.96) | (g >= 1)

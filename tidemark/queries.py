@@ -452,7 +452,7 @@ cf AS (SELECT universe, idx, d, CASE WHEN pair_corr >= c1 THEN 1 WHEN pair_corr
 
 def fitted_rows(spark, sf_dir):
     rec = frame.records(settled_bars(spark, sf_dir))
-    return engines.classic(rec, engines.fitted(rec))
+    return engines.classic_fitted(rec)
 
 
 def fitted_states(spark, sf_dir):
@@ -465,6 +465,36 @@ def r01_classic_fitted(spark, sf_dir):
     return fitted_states(spark, sf_dir)
 
 
+_BY_FLAG = (_panel_sql("CAST(date_trunc('week', l_shipdate) AS DATE)", "l_returnflag"), _DAYS, _AL, _RET, _DIM, _PR, _corr_sql(20))
+_FIT_BY = "th AS (SELECT universe, quantile_cont(pair_corr, 0.3) AS c0, quantile_cont(pair_corr, 0.7) AS c1, quantile_cont(score, 0.3) AS s0, quantile_cont(score, 0.7) AS s1 FROM cl GROUP BY 1)"
+
+
+@query(_with((*_BY_FLAG, _REC, _CLASSIC, _FIT_BY), f"SELECT universe AS flag, {_r('c1', 'pair_on')}, {_r('c0', 'pair_off')}, {_r('s1', 'score_on')}, {_r('s0', 'score_off')}, {_r('(c0 + c1) / 2', 'pair_min')} FROM th"))
+def a12_thresholds(spark, sf_dir):
+    """The fitted thresholds of three universes, one per return flag: a row each."""
+    return engines.fit(frame.records(panel.from_line_items(spark, sf_dir, "week", "l_returnflag"), 20)).withColumn("flag", F.col(U))
+
+
+@query(_with((*_BY_FLAG, _REC, _CLASSIC, _FIT_BY), f"SELECT universe AS flag, idx, {_rounds('score')}, CASE WHEN pair_corr >= c1 THEN 1 WHEN pair_corr <= c0 OR score <= s0 THEN -1 WHEN score >= s1 AND pair_corr >= (c0 + c1) / 2 THEN 1 ELSE 0 END AS state FROM cl JOIN th USING (universe)"))
+def r01_fitted_by_universe(spark, sf_dir):
+    """Three universes, each with its own thresholds."""
+    rec = shared.settled(frame.records(panel.from_line_items(spark, sf_dir, "week", "l_returnflag"), 20), "records")
+    return engines.classic_fitted(rec).select(F.col(U).alias("flag"), "idx", "score", "state")
+
+
+_FLUX_BY = """zm AS (SELECT universe, symbol, idx, coalesce(tanh((close / lag(close, 10) OVER s - 1) / nullif(CASE WHEN idx >= 20 THEN stddev_samp(sr) OVER f END, 0) / 2), 0) AS z FROM ret WINDOW s AS (PARTITION BY universe, symbol ORDER BY idx), f AS (PARTITION BY universe, symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+fj AS (SELECT universe, idx, tanh(sum(w * (a - b)) / sum(w) / 0.25) AS j FROM (SELECT co.universe, co.idx, abs(corr) ** 1.5 AS w, a.z AS a, b.z AS b FROM co JOIN zm a ON a.universe = co.universe AND a.symbol = s1 AND a.idx = co.idx JOIN zm b ON b.universe = co.universe AND b.symbol = s2 AND b.idx = co.idx WHERE kind = 'cross') GROUP BY 1, 2)"""
+
+
+@query(_with((*_BY_FLAG, _FLUX_BY), f"SELECT universe AS flag, count(*) AS n, {_r('greatest(0.10, quantile_cont(j, 0.715))', 'on')}, {_r('least(-0.08, quantile_cont(j, 0.244))', 'off')} FROM fj GROUP BY 1".replace("AS on", 'AS "on"')))
+def r12_thresholds(spark, sf_dir):
+    """Thresholds of the flux of three universes at the quantiles of their own histories."""
+    p = panel.from_line_items(spark, sf_dir, "week", "l_returnflag")
+    cols = flow.pair_flux(R.correlations(p, 20, SIGNALS), flow.momenta(p)).select(U, F.tanh(F.col("flux_raw") / 0.25).alias("j"), F.lit(None).cast("double").alias("score"))
+    cols = shared.settled(cols, "flux")
+    return flow.fit(cols).join(cols.groupBy(U).agg(F.count("*").alias("n")), U).select(F.col(U).alias("flag"), "n", "on", "off")
+
+
 _FLUX = """zm AS (SELECT symbol, idx, coalesce(tanh((close / lag(close, 10) OVER s - 1) / nullif(CASE WHEN idx >= 20 THEN stddev_samp(sr) OVER f END, 0) / 2), 0) AS z FROM ret WINDOW s AS (PARTITION BY symbol ORDER BY idx), f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 fx AS (SELECT co.idx, co.d, kind, corr, abs(corr) ** 1.5 AS w, a.z AS a, b.z AS b, corr - lag(corr) OVER (PARTITION BY s1, s2 ORDER BY co.idx) AS dc FROM co JOIN zm a ON a.symbol = s1 AND a.idx = co.idx JOIN zm b ON b.symbol = s2 AND b.idx = co.idx WHERE s1 <> 'QQQ' AND s2 <> 'QQQ')"""
 

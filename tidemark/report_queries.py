@@ -63,7 +63,8 @@ def r17_guarded(spark, sf_dir):
 @query()
 def r16_plain_flow(spark, sf_dir):
     p, cols = Flow("stab"), shared.settled(flow.columns(settled_bars(spark, sf_dir)), "flow")
-    return flow.plain_state(cols, *flow.thresholds(cols, p), *flow.score_thresholds(cols, p)).select("idx", "score", "j", "state", "fragile")
+    met = flow.with_thresholds(cols, flow.fit(cols, p), p)
+    return flow.plain_state(met, *(F.col(c) for c in ("on", "off", "score_on", "score_off"))).select("idx", "score", "j", "state", "fragile")
 
 
 @query()
@@ -122,7 +123,7 @@ def b10_stab_profiles(spark, sf_dir):
     out = None
     for name, stab in (("current", Stab()), ("tuned", STAB_ASYMMETRIC)):
         q = Flow("stab", stab=stab)
-        done = flow.states(flow.conditions(cols, *flow.thresholds(cols, q), q).select(U, "idx", "d", "j", "guard", "o_QQQ", "c_QQQ", "raw_on", "raw_off", "confirm", "need_off", "drift", "flat"), q)
+        done = flow.decided(cols, q)
         row = B.statistics(B.backtest(done.withColumnsRenamed({"o_QQQ": "open", "c_QQQ": "close"}), EXECUTIONS["compare_runner"])).select("log_equity", "cagr", "max_drawdown", "hit_rate").withColumn("profile", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
@@ -139,7 +140,7 @@ def b09_classic_flux5(spark, sf_dir):
 def b02_five_engines(spark, sf_dir):
     """Classic, Enhanced and the three flow variants, traded from open to open."""
     cols = shared.settled(flow.columns(settled_bars(spark, sf_dir)), "flow")
-    states = {"classic": engines.classic(cols), "enhanced": engines.enhanced(cols)} | {f"flow_{v}": flow.states(flow.conditions(cols, *flow.thresholds(cols, Flow(v)), Flow(v)).select(U, "idx", "d", "j", "guard", "o_QQQ", "c_QQQ", "raw_on", "raw_off", "confirm", "need_off", "drift", "flat"), Flow(v)) for v in ("classic", "exp", "stab")}
+    states = {"classic": engines.classic(cols), "enhanced": engines.enhanced(cols)} | {f"flow_{v}": flow.decided(cols, Flow(v)) for v in ("classic", "exp", "stab")}
     rows = None
     for name, s in states.items():
         one = s.select(U, "idx", "d", "state", F.col("o_QQQ").alias("open"), F.col("c_QQQ").alias("close"), F.lit(name).alias("engine"))
