@@ -229,3 +229,31 @@ def test_clean_rows_without_id_stay(spark, prose):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = decontaminate.clean(d, b)
     assert kept.columns == d.columns and sorted(str(r.text) for r in kept.collect()) == sorted(str(t) for _, t in docs[1:])
+
+
+@pytest.mark.parametrize("size", [4, 15, 30, 45, 60, 200])
+def test_blocks_tell_windows_apart_and_lose_none(spark, size):
+    """Random windows and items of one length share a block in fewer than 2 of 100 pairs; every variant within the radius of an item is found."""
+    rng = random.Random(size)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [text(size) for _ in range(40)]
+    windows = [text(size) for _ in range(150)]
+    for i, item in enumerate(items):  # variants: some words changed, some taken out at an end, some repeated
+        w = list(item)
+        for _ in range(rng.randrange(0, 1 + size // 20)):
+            w[rng.randrange(size)] = "changed"
+        windows.append(w[: size - rng.randrange(0, 1 + size // 8)] if i % 2 else w)
+    as_table = lambda rows, key: decontaminate.counted(spark.createDataFrame([(k, size, w) for k, w in enumerate(rows)], f"{key} long, size int, words array<string>"), key)
+    prints = {key: decontaminate.fingerprinted(as_table(rows, key), key, 0.75).persist() for key, rows in (("window", windows), ("item", items))}
+    met = decontaminate.indexed(prints["window"], "window", True).join(decontaminate.indexed(prints["item"], "item", False), ["size", "block", "v"]).filter("window < 150")
+    assert met.count() < 0.02 * 150 * 40
+    got = {(r.window, r.item): r.distance for r in decontaminate.near(prints["window"], prints["item"], True).collect()}
+    run = min(size, 5)
+    runs = lambda w: Counter(tuple(w[i : i + run]) for i in range(max(len(w) - run + 1, 1)))
+    for i, w in enumerate(windows):
+        for k, item in enumerate(items):
+            a, b = runs(w), runs(item)
+            if 4 * sum((a & b).values()) >= 3 * sum((a | b).values()):
+                differ = sum(a[x] != b[x] for x in {*a, *b})
+                assert (i, k) in got and got[i, k] <= differ, (i, k)
+    assert len(got) >= 20

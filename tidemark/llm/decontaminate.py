@@ -5,11 +5,13 @@
    Each hit proposes the item-sized window whose last run it is, if enough hits are in it: the first of the
    best windows ends with a hit, or begins the document, so it is among them, also where the document
    cuts the item. A document shorter than the item is one window.
-2. Each proposed window gets a fingerprint of its five-word runs, 64 parities, in which it differs from an item
-   in no more bits than in runs. So ``least`` and the item's length give a radius that loses nothing.
-3. Multi-index Hamming: 64 bits are cut into ``radius + 1`` blocks, so any two fingerprints within the
-   radius agree on one block; windows meet items of the length they were proposed for that share a block,
-   and those within the radius stay. Items so long that blocks tell nothing meet their own windows.
+2. Each proposed window gets a fingerprint of its five-word runs: blocks of 64 parities.  A run belongs to one block, by
+   its hash, so two windows differ in no more blocks than in runs, and ``least`` and the item's length give a
+   radius, in blocks, that loses nothing.  A fingerprint has ``SPARE`` blocks and more beyond the radius, so it widens with the
+   item, and a block holds some three runs at every length.
+3. Multi-index Hamming: fingerprints within the radius agree on more blocks than are spared, so windows meet items
+   of the length they were proposed for that share an indexed block.  Of an item all blocks with a run are indexed, and of
+   its empty ones, which tell little, only those beyond the spare ones.  Pairs within the radius stay.
 4. The exact weighted similarity of the five-word runs verifies: the sum of the lesser counts over the sum
    of the greater counts, at least ``least``.
 
@@ -26,56 +28,72 @@ columns, ``clean`` passes them through.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import workspace
-from tidemark.llm.fingerprints import BITS
 from tidemark.llm.licenses import WORD
 
-RUN = 5
-#: A radius of so many bits or more would cut the fingerprints into blocks that most windows share.
-TABLES = 16
+RUN, SPARE = 5, 1
+#: Tasks that fingerprint windows at most; beyond, a task gets more windows.
+MOST_PARTS = 20_000
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _runs(w: Column, size: int) -> Column:
-    """Array of structs of ``size`` neighbouring words, as many as fit."""
-    n = F.greatest(F.size(w) - size + 1, F.lit(0))
-    return F.arrays_zip(*(F.slice(w, k + 1, n).alias(f"w{k}") for k in range(size)))
+def _runs_of(df: DataFrame, w: str, sizes: list[int], *keep: str) -> DataFrame:
+    """``keep, at, run, hash``: every run of each size at every word of ``w``, in one pass over the texts."""
+    n = F.size(w)
+    zipped = F.arrays_zip(*(F.slice(w, k + 1, F.greatest(n - k, F.lit(0))).alias(f"w{k}") for k in range(max(sizes))))
+    each = df.select(*keep, F.posexplode(zipped).alias("at", "r"))
+    one = lambda s: F.struct(F.lit(s).alias("run"), F.when(F.col(f"r.w{s - 1}").isNotNull(), F.xxhash64(F.lit(s), *(F.col(f"r.w{k}") for k in range(s)))).alias("hash"))
+    return each.select(*keep, "at", F.inline(F.array(*map(one, sizes)))).filter("hash is not null")
 
 
-def _run_hash(run: str, size: int) -> Column:
-    return F.xxhash64(F.lit(size), *(F.col(run).getField(f"w{k}") for k in range(size)))
+def _radius(size: Column, least: float) -> tuple[Column, Column]:
+    """For an item's length: in how many runs windows alike enough may differ, and how many blocks are spared."""
+    runs = F.greatest(size - RUN + 1, F.lit(1))
+    return F.floor(2 * runs * ((1 - least) / (1 + least)) + 1e-6).cast("int"), (SPARE + F.floor(runs / 32)).cast("int")
 
 
-def _counted(w: Column, size: Column) -> Column:
-    """The multiset of run hashes of words ``w`` as a set: each hash with its running number."""
-    n = F.greatest(F.size(w) - size + 1, F.lit(1))
-    runs = F.array_sort(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, size))))
-    return F.transform(runs, lambda x, i: F.struct(x.alias("h"), (i - F.array_position(runs, x)).alias("k")))
+def counted(df: DataFrame, key: str) -> DataFrame:
+    """``key, size, h, c``: the runs of ``df(key, size, words)`` and how often each stands; a text without a whole run is one run."""
+    run, n = F.least(F.col("size"), F.lit(RUN)), F.size("words")
+    starts = F.sequence(F.lit(1), F.greatest(n - run + 1, F.lit(1)))
+    each = df.select(key, "size", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, run)))).alias("h"))
+    return each.groupBy(key, "size", "h").agg(F.count("*").alias("c"))
 
 
-def _sketch(counted: Column) -> Column:
-    """64 cells, each the parity of the runs that hash to it: sketches differ in at most as many bits as the multisets in runs."""
-    cell = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x["h"], x["k"]), F.lit(BITS)).cast("int"))
-    return F.aggregate(counted, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(cell(x)))
+def fingerprinted(runs: DataFrame, key: str, least: float) -> DataFrame:
+    """``key, size, radius, spare, blocks`` of ``counted`` rows; each block is the parities of its runs, 0 without any."""
+    radius, spare = _radius(F.col("size"), least)
+    n = radius + spare + 1
+    filled = runs.select(key, "size", F.pmod("h", n).cast("int").alias("block"), F.xxhash64("h", "c").alias("v"))
+    empty = runs.select(key, "size", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), F.lit(0).cast("long").alias("v"))
+    cells = filled.unionByName(empty.distinct()).groupBy(key, "size", "block").agg(F.bit_xor("v").alias("v"))
+    whole = cells.groupBy(key, "size").agg(F.array_sort(F.collect_list(F.struct("block", "v"))).alias("cells"))
+    return whole.select(key, "size", radius.alias("radius"), spare.alias("spare"), F.col("cells.v").alias("blocks"))
 
 
-def _blocks(fp: str, radius: int) -> Column:
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("table"), F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if edges[i + 1] - edges[i] < BITS else -1)).alias("block")) for i in range(radius + 1)))
+def indexed(prints: DataFrame, key: str, all_blocks: bool) -> DataFrame:
+    """``key, size, block, v``: rows of the block tables; of an item (not ``all_blocks``) without as many empty blocks as are spared."""
+    each = prints.select(key, "size", "spare", F.col("blocks"), F.posexplode("blocks").alias("block", "v"))
+    if all_blocks:
+        return each.select(key, "size", "block", "v")
+    before = F.size(F.filter(F.slice("blocks", 1, F.col("block")), lambda v: v == 0))  # empty blocks before this one
+    return each.filter((F.col("v") != 0) | (before >= F.col("spare"))).select(key, "size", "block", "v")
 
 
-def _entries(fp: str) -> Column:
-    """The tables of ``fp`` for the column ``radius``; beyond ``TABLES`` blocks that tell nothing, the item itself is the block."""
-    by_item = F.array(F.struct(F.lit(-1).alias("table"), F.col("only").alias("block")))
-    return reduce(lambda c, r: c.when(F.col("radius") == r, _blocks(fp, r)), range(TABLES), F.when(F.col("radius") >= TABLES, by_item))
+def near(windows: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """``window, item, distance`` of fingerprints that differ in ``radius`` blocks or fewer: both tables are ``fingerprinted``."""
+    known = indexed(items, "item", False)
+    met = indexed(windows, "window", True).join(F.broadcast(known) if small else known, ["size", "block", "v"]).select("window", "item").distinct()
+    prints = items.select("item", F.col("blocks").alias("item_blocks"))
+    both = met.join(windows.select("window", "radius", "blocks"), "window").join(F.broadcast(prints) if small else prints, "item")
+    differ = F.size(F.filter(F.zip_with("blocks", "item_blocks", lambda a, b: a != b), lambda x: x))
+    return both.select("window", "item", differ.alias("distance"), "radius").filter("distance <= radius").drop("radius")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -90,53 +108,46 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float, broadcast_rows:
     items = items.withColumns({"item": F.monotonically_increasing_id(), "size": F.size("words")}).withColumn("run", F.least(F.col("size"), F.lit(RUN)))
     items = workspace.written(items, "items")
     sizes = sorted(r["run"] for r in items.select("run").distinct().collect())  # of 1 to 5
+    if not sizes:
+        return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).selectExpr("doc_id", "0L as text_hash", "0L as item", "item_id", "0 as start", "0 as size", "0 as distance", "0D as similarity")
     n_runs = items.agg(F.sum("size")).first()[0] or 0
     small = n_runs <= broadcast_rows
-
-    def of(df: DataFrame, w: str, size: int, *keep: str) -> DataFrame:
-        return df.select(*keep, F.posexplode(_runs(F.col(w), size)).alias("at", "r")).select(*keep, "at", _run_hash("r", size).alias("hash"))
-
     texts = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    hits = None
-    for size in sizes:
-        own = of(items.filter(F.col("run") == size), "words", size, "item", "size").withColumnRenamed("at", "item_at")
-        found = of(texts.select("doc_id", "text_hash", words(F.col("text")).alias("w")), "w", size, "doc_id", "text_hash")
-        met = found.join(F.broadcast(own) if small else own, "hash").drop("hash")
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
-        return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).selectExpr("doc_id", "0L as text_hash", "0L as item", "item_id", "0 as start", "0 as size", "0 as distance", "0D as similarity")
+    own = _runs_of(items.withColumnRenamed("run", "own_run"), "words", sizes, "item", "size", "own_run").filter("run = own_run").select("item", "size", "hash", F.col("at").alias("item_at"))
+    hits = _runs_of(texts.select("doc_id", "text_hash", words(F.col("text")).alias("w")), "w", sizes, "doc_id", "text_hash").drop("run").join(F.broadcast(own) if small else own, "hash").drop("hash")
     runs_of = F.greatest(F.col("size") - RUN + 1, F.lit(1))
-    radius = F.floor(2 * runs_of * ((1 - least) / (1 + least)) + 1e-6).cast("int")  # runs that differ in windows alike enough
-    only = F.when(radius >= TABLES, F.col("item"))
     need = F.ceil(runs_of * least).cast("int")
-    near = hits.groupBy("doc_id", "text_hash", "item", "size").agg(F.count_distinct("item_at").alias("n"), F.array_sort(F.collect_set("at")).alias("at"))
+    proposed = hits.groupBy("doc_id", "text_hash", "item", "size").agg(F.count_distinct("item_at").alias("n"), F.array_sort(F.collect_set("at")).alias("at"))
     ends = F.filter("at", lambda x, i: F.get("at", i - need + 1) >= x - runs_of + 1)  # enough hits in the window that ends with this one
     starts = F.array_distinct(F.transform(ends, lambda x: F.greatest(x - runs_of + 1, F.lit(0))))
-    near = near.filter(F.col("n") >= need).select("doc_id", "text_hash", "size", only.alias("only"), starts.alias("starts")).filter(F.size("starts") > 0)
-    near = workspace.written(near, "anchors")
-    n_windows = near.agg(F.sum(F.size("starts"))).first()[0] or 0
+    proposed = proposed.filter(F.col("n") >= need).select("doc_id", "text_hash", "size", starts.alias("starts")).filter(F.size("starts") > 0)
+    proposed = workspace.written(proposed, "anchors")
+    n_windows = proposed.agg(F.sum(F.size("starts"))).first()[0] or 0
     few = n_windows <= broadcast_rows  # of some 30 bytes each
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    starts = near.select("doc_id", "text_hash", "size", "only", F.explode("starts").alias("start")).distinct()
-    starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "only")).alias("windows"))
+    starts = proposed.select("doc_id", "text_hash", "size", F.explode("starts").alias("start")).distinct()
+    starts = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("windows"))
     owned = texts.join(F.broadcast(starts) if few else starts, same(texts, starts)).select(texts["doc_id"], texts["text_hash"], "text", "windows")
     owned = owned.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
-    windows = owned.select("doc_id", "text_hash", "x.start", "x.size", "x.only", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
+    windows = owned.select("doc_id", "text_hash", "x.start", "x.size", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
     windows = workspace.written(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
-    dealt = windows.repartition(workspace.parts_for(n_windows, 2000, 2))  # by number, since a window costs much more than it weighs
-    run = F.least(F.col("size"), F.lit(RUN))
-    keyed = lambda df, key, out: df.select(key, "size", radius.alias("radius"), only_of[key].alias("only"), _sketch(_counted(F.col("words"), run)).alias(out)).select(key, "size", "radius", out, F.explode(_entries(out)).alias("b"))
-    only_of = {"window": F.col("only"), "item": only}
-    marked, known = keyed(dealt, "window", "w_bits"), keyed(items, "item", "i_bits").drop("radius")
-    known = known.select("item", "size", "i_bits", "b.table", "b.block")
-    pairs = marked.select("window", "size", "radius", "w_bits", "b.table", "b.block").join(F.broadcast(known) if small else known, ["size", "table", "block"])
-    pairs = pairs.withColumn("distance", F.bit_count(F.col("w_bits").bitwiseXOR(F.col("i_bits")))).filter(F.col("distance") <= F.col("radius"))
-    pairs = pairs.select("window", "item", "distance").distinct()
-    both = pairs.join(windows, "window").join(items.select("item", "item_id", "run", F.col("words").alias("item_words")), "item")
-    a, b = _counted(F.col("words"), F.col("run")), _counted(F.col("item_words"), F.col("run"))
-    both = both.select("doc_id", "text_hash", "item", "item_id", "start", F.size("words").alias("size"), "distance", a.alias("a"), b.alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).filter(F.col("similarity") >= least)
+    dealt = windows.repartition(min(MOST_PARTS, workspace.parts_for(n_windows, 2000, 2)), "window")  # by number, since a window costs much more than it weighs
+    runs = workspace.written(counted(dealt, "window"), "runs")
+    item_runs = workspace.written(counted(items, "item"), "item-runs")
+    pairs = near(fingerprinted(runs, "window", least), fingerprinted(item_runs, "item", least), small)
+    return _verified(pairs, runs, item_runs, windows, items, least)
+
+
+def _verified(pairs: DataFrame, runs: DataFrame, item_runs: DataFrame, windows: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """The pairs whose exact weighted similarity is at least ``least``: their runs meet by hash."""
+    sizes = lambda df, key, out: df.groupBy(key).agg(F.sum("c").alias(out))
+    theirs = item_runs.select("item", "h", F.col("c").alias("ic"))
+    met = pairs.join(runs.select("window", "h", "c"), "window").join(theirs, ["item", "h"])
+    shared = met.groupBy("window", "item", "distance").agg(F.sum(F.least("c", "ic")).alias("shared"))
+    known = shared.join(sizes(runs, "window", "a"), "window").join(sizes(item_runs, "item", "b"), "item")
+    alike = known.withColumn("similarity", F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).filter(F.col("similarity") >= least)
+    placed = windows.select("window", "doc_id", "text_hash", "start", F.size("words").alias("size"))
+    return alike.join(placed, "window").join(items.select("item", "item_id"), "item").select("doc_id", "text_hash", "item", "item_id", "start", "size", "distance", "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
