@@ -1,14 +1,15 @@
 """Secret scan with DataFrame and ML functions only: candidates by pattern, false positives out by a random forest.
 
-A candidate is a long run of key characters with a digit or a known prefix, or the value behind a word such as ``password``.
+A candidate is a long run of key characters with a digit or a known prefix, or the value behind a word such as ``password``
+and a sign, or behind the word and ``is``, if it has a digit or a mark.
 Its features are the logarithm of its length, the changes between character classes, the shares of digits, capitals
 and hexadecimal digits, the share covered by dictionary words, whether the path (the ``source`` column,
 where there is one) looks like tests or examples, and the words before it.  The forest is trained from
 labelled findings: ``labelled_findings`` derives a fixed number of them from a rule, and a table of one's
 own with the same columns can be given instead.
 
-A name and its value may have up to 100 blanks on either side of the sign: a look-behind of the pattern needs a
-bound.  Nothing else is bounded: keys, values and texts of any length count whole.
+A name and its value may have any number of blanks on either side of the sign; keys, values and texts of any length count
+whole.  The words before a candidate are the last ``CONTEXT`` characters, blanks taken together.
 
 Defined cases: null and empty text have no findings; overlapping candidates can't occur; repeated rows
 report once for each ``doc_id`` and text; null ``doc_id`` and null ``source`` are allowed; ``redact`` keeps every row and every column, null text stays null.
@@ -25,14 +26,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Words whose values are candidates, words that speak for and against a secret, dictionary words.
-NAMES = r"password|passwd|pwd|secret|token|auth|(?:api|access|secret|private|signing|encryption)[_-]?key"
+NAMES = r"passw(?:or)?d|passphrase|passcode|(?<![A-Za-z])pass|pwd|secret|token|auth(?:orization)?|credentials?|(?:api|access|secret|private|signing|encryption)[_-]?key"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|rk_live_|AIza|glpat-|npm_|eyJ"
-# A name, perhaps quoted or in brackets, and its sign; look-behinds need a bound, 100 blanks on either side.
-SIGN = rf"(?i:{NAMES})[\"']?\]?\s{{0,100}}[=:]"
-# The short look-behinds spare most words the long one.
-CANDIDATE = rf"(?<![A-Za-z0-9_+/-])(?={PREFIXES}|[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}|(?<=[=:\s\"'])(?<![^=:\s]\s)(?<![^=:\s][\"'])(?<![^=:\s]\s[\"'])(?<={SIGN}\s{{0,100}}[\"']?)[^\s\"',;]{{6,}}+"
-# Every candidate holds one of these; they are cheap, so most texts never meet the candidate pattern.
-RUN, NAMED = r"[A-Za-z0-9_+/-]{16}", rf"[=:](?<={SIGN})"
+NAME = f"(?i:{NAMES})"
+CLOSED, OPENED = r"[\"']?\]?\s*+[=:]", r"\s*+(?:(?i:bearer|basic)\s++)?+[\"']?"
+# A long run of key characters; and what a value may be: such a run, else what ends with a blank, quote or comma.
+KEY = rf"(?={PREFIXES}|[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}"
+VALUE = rf"(?!{NAME}{CLOSED})({KEY}|[^\s\"',;]{{6,}}+)"
+# Group 1 is a run, group 2 the value where the run ends with a name, groups 3 and 4 the values of a name alone; a value ends its match.
+MATCH = (
+    rf"(?<![A-Za-z0-9_+/-])({KEY})(?:(?:(?<={NAME}){CLOSED}|(?<={NAME}={{1,2}})){OPENED}{VALUE})?"
+    rf"|{NAME}(?:{CLOSED}{OPENED}{VALUE}|\s++(?i:is)\s++[\"']?(?=[^\s\"',;]*[0-9!@#$%^&*])([^\s\"',;]{{6,}}+))"
+)
+GROUPS = 4
+# Every candidate holds one of these; they are cheap, so most texts never meet the whole pattern.
+RUN, SIGNED, NAMED = r"[A-Za-z0-9_+/-]{16}", r"[=:]|\s(?i:is)\s", rf"{NAME}(?:{CLOSED}|\s++(?i:is)\s)"
+CONTEXT = 40
 FOR = r"(?i)(password|passwd|pwd|secret|token|(api|access|secret|private|signing|encryption).?key|auth|bearer|credential|aws)\W*$"
 AGAINST = r"(?i)(sha\d*|md5|commit|uuid|checksum|digest|hash|revision|card|phone|serial|order|isbn|example|version)\W*$"
 PREFIX = rf"^({PREFIXES})"
@@ -43,22 +52,37 @@ FEATURES = ("length", "transitions", "digits", "capitals", "hexes", "distinct",
 
 def has_candidate(text: Column) -> Column:
     """Whether a candidate is in the text; false for null."""
-    return F.coalesce((text.rlike(RUN) | text.rlike(NAMED)) & text.rlike(CANDIDATE), F.lit(False))
+    return F.coalesce((text.rlike(RUN) | (text.rlike(SIGNED) & text.rlike(NAMED))) & text.rlike(MATCH), F.lit(False))
+
+
+def _matches(text: str) -> Column:
+    """In order, with the text up to each match: ``piece, whole, run, value``; run and value are empty where there is none."""
+    group = lambda k: F.regexp_extract_all(text, F.lit(MATCH), F.lit(k))
+    values = [group(k) for k in range(2, GROUPS + 1)]
+    value = values[0]
+    for other in values[1:]:
+        value = F.zip_with(value, other, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))  # one of them at most has signs
+    return F.arrays_zip(F.split(text, MATCH, -1).alias("piece"), group(0).alias("whole"), group(1).alias("run"), value.alias("value"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, source, number, start, token, before`` of every candidate; ``start`` counts code points."""
+    """``doc_id, text_hash, source, number, start, token, before`` of every candidate; ``start`` counts code points.
+
+    A match has two numbers: an even one for its run, the odd one after it for its value.
+    """
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.filter(has_candidate(F.col("text"))).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), path.alias("source"),
-        F.split("text", CANDIDATE, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("tokens"),
+    rows = docs.filter(has_candidate(F.col("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), path.alias("source"), _matches("text").alias("matches"))
+    rows = rows.select("doc_id", "text_hash", "source", F.posexplode("matches").alias("i", "m")).select("doc_id", "text_hash", "source", "i", "m.*").filter("whole is not null").dropDuplicates(["doc_id", "text_hash", "i"])
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("i")
+    rows = rows.withColumn("from", F.sum((F.char_length("piece") + F.coalesce(F.char_length(F.lag("whole").over(order)), F.lit(0))).cast("long")).over(order))
+    cut = F.char_length("whole") - F.char_length("value")
+    near = F.right("piece", F.lit(300))
+    both = F.array(
+        F.struct((2 * F.col("i")).alias("number"), F.col("from").alias("start"), F.col("run").alias("token"), near.alias("before")),
+        F.struct((2 * F.col("i") + 1).alias("number"), (F.col("from") + cut).alias("start"), F.col("value").alias("token"), F.concat(near, F.substr("whole", F.lit(1), cut)).alias("before")),
     )
-    rows = rows.select("doc_id", "text_hash", "source", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("pieces").alias("piece"))).alias("number", "z"))
-    rows = rows.select("doc_id", "text_hash", "source", "number", "z.token", "z.piece").filter("token is not null").dropDuplicates(["doc_id", "text_hash", "number"])
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("number")
-    step = F.char_length("piece") + F.coalesce(F.char_length(F.lag("token").over(order)), F.lit(0))
-    rows = rows.withColumn("step", step.cast("long")).withColumn("start", F.sum("step").over(order))
-    return rows.select("doc_id", "text_hash", "source", "number", "start", "token", F.right(F.regexp_replace(F.right("piece", F.lit(300)), r"\s+", " "), F.lit(40)).alias("before"))
+    each = rows.select("doc_id", "text_hash", "source", F.inline(both)).filter("token != ''")
+    return each.withColumn("before", F.right(F.regexp_replace("before", r"\s+", " "), F.lit(CONTEXT)))
 
 
 def _share(token: Column, pattern: str) -> Column:
@@ -128,8 +152,13 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     has = has_candidate(F.col("text"))
     some = whole.filter(has).withColumn("hash", F.xxhash64("text"))
     met = some.join(bad, some["id"].eqNullSafe(bad["doc_id"]) & (some["hash"] == bad["text_hash"]), "left")
-    tokens, pieces = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
-    shown = F.transform(tokens, lambda t, i: F.when(F.array_contains("numbers", i), mask).otherwise(t))
-    text = F.array_join(F.flatten(F.zip_with(pieces, shown, lambda p, t: F.array(p, F.coalesce(t, F.lit(""))))), "")
+    hidden = lambda t, n: F.when((t != "") & F.array_contains("numbers", n), mask).otherwise(t)
+
+    def shown(m: Column, i: Column) -> Column:
+        run, whole, value = m["run"], m["whole"], m["value"]
+        between = F.substr(whole, F.char_length(run) + 1, F.char_length(whole) - F.char_length(run) - F.char_length(value))
+        return F.concat(m["piece"], F.when(whole.isNull(), F.lit("")).otherwise(F.concat(hidden(run, 2 * i), between, hidden(value, 2 * i + 1))))
+
+    text = F.array_join(F.transform(_matches("text"), shown), "")
     met = met.select(F.when(F.col("numbers").isNull(), F.col("doc")).otherwise(F.col("doc").withField("text", text)).alias("doc"))
     return whole.filter(~has).select("doc").unionByName(met).select("doc.*")
