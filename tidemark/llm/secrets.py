@@ -39,8 +39,10 @@ MATCH = (
     rf"|{NAME}(?:{CLOSED}{OPENED}{VALUE}|\s++(?i:is)\s++[\"']?(?=[^\s\"',;]*[0-9!@#$%^&*])([^\s\"',;]{{6,}}+))"
 )
 GROUPS = 4
-# Every candidate holds one of these; they are cheap, so most texts never meet the whole pattern.
-RUN, SIGNED, NAMED = r"[A-Za-z0-9_+/-]{16}", r"[=:]|\s(?i:is)\s", rf"{NAME}(?:{CLOSED}|\s++(?i:is)\s)"
+# A text with a candidate has a run, which KEYED makes sure of, or a sign (or "is") behind a name or a blank, after which MATCH decides.
+# Both look at few places of a text, so most texts never meet the whole pattern.
+RUN, KEYED = r"[A-Za-z0-9_+/-]{16}", rf"(?<![A-Za-z0-9_+/-])(?={PREFIXES}|[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16}}"
+NAMED = rf"[=:](?<=(?:{NAME}[\"']?\]?|\s)[=:])|\s(?i:is)\s(?<=(?:{NAME}|\s)\s(?i:is)\s)"
 CONTEXT = 40
 FOR = r"(?i)(password|passwd|pwd|secret|token|(api|access|secret|private|signing|encryption).?key|auth|bearer|credential|aws)\W*$"
 AGAINST = r"(?i)(sha\d*|md5|commit|uuid|checksum|digest|hash|revision|card|phone|serial|order|isbn|example|version)\W*$"
@@ -52,7 +54,7 @@ FEATURES = ("length", "transitions", "digits", "capitals", "hexes", "distinct",
 
 def has_candidate(text: Column) -> Column:
     """Whether a candidate is in the text; false for null."""
-    return F.coalesce((text.rlike(RUN) | (text.rlike(SIGNED) & text.rlike(NAMED))) & text.rlike(MATCH), F.lit(False))
+    return F.coalesce((text.rlike(RUN) & text.rlike(KEYED)) | (text.rlike(NAMED) & text.rlike(MATCH)), F.lit(False))
 
 
 def _matches(text: str) -> Column:
