@@ -55,25 +55,33 @@ def pair_flux(corr: DataFrame, momentum: DataFrame) -> DataFrame:
     return g.withColumns({"apdf": F.tanh(F.coalesce("apdf", F.lit(0.0)) / 0.25), "rb": F.tanh(F.coalesce("rb", F.lit(0.0)) / 0.25), "pcon": clamp01("pcon")})
 
 
-def columns(panel: DataFrame, window: int = 30) -> DataFrame:
-    """Every input of the engine, one row a day: the daily frame and expressions of its rows."""
-    w = series(U)
-    d = daily_frame.daily(panel, window)
+def day_columns(d: DataFrame) -> DataFrame:
+    """What follows from a day's row of ``frame.inputs`` alone."""
     zs, risk = [_z(s) for s in SIGNALS], [_z(s) for s in RISK]
     share = lambda cols, test: F.try_divide(sum((F.coalesce(test(c), F.lit(False)).cast("double") for c in cols), F.lit(0.0)), sum((c.isNotNull().cast("double") for c in cols), F.lit(0.0)))
-    d = d.withColumn("j", F.tanh(F.coalesce("flux_raw", F.lit(0.0)) / 0.25) * F.col("damp"))
-    d = d.withColumns({
-        "flux_slope": F.col("j") - F.lag("j").over(w), "mm_trend": F.col("mm") - F.lag("mm").over(w),
+    return d.withColumns({
         "down_all": share(zs, lambda c: c < 0), "combo": mean_of(*risk), "breadth": share(risk, lambda c: c > 0), "ret": F.col(f"s_{BASE}"),
         "risk3": mean_of(*(f"ret3_{name(s)}" for s in RISK)),
         "day0": F.coalesce(F.col(f"s_{BASE}") > 0, F.lit(False)) | F.coalesce(F.col("s_IWM") > 0, F.lit(False)),
         "day0_both": F.coalesce(F.col(f"s_{BASE}") > 0, F.lit(False)) & F.coalesce(F.col("s_IWM") > 0, F.lit(False)),
     })
+
+
+def guarded_columns(d: DataFrame) -> DataFrame:
+    """``guard, score, far`` of rows that have the means, the flux ``j`` and ``day_columns``."""
     guard = 0.4 * normalize_range("mm", 0.85, 0.97) + 0.2 * normalize_range("safe_negative", 0.35, 0.60) + 0.2 * normalize_range(F.greatest(F.lit(0.0), -F.col("delta")), 0.015, 0.05) + 0.2 * F.coalesce(sigmoid("frob_z", 0.85), F.lit(1.0))
     d = d.withColumn("guard", guard)
-    diff = F.col("j") - 0.5 * F.greatest(F.lit(0.0), F.coalesce("mm_trend", F.lit(0.0))) - 0.15 * F.greatest(F.lit(0.0), -F.coalesce("flux_slope", F.lit(0.0)))
     score = weighted_mean_of(((1 + F.col("j")) / 2, 0.5), (clamp01((F.col("combo") + 1) / 2), 0.2), (clamp01("breadth"), 0.2), (clamp01(1 - F.col("guard")), 0.1))
-    return d.withColumns({"score": score, "diffusion": diff, "far": F.when(F.col("mm") > 0, F.abs("j") / (F.col("mm") + 1e-9))})
+    return d.withColumns({"score": score, "far": F.when(F.col("mm") > 0, F.abs("j") / (F.col("mm") + 1e-9))})
+
+
+def columns(panel: DataFrame, window: int = 30) -> DataFrame:
+    """Every input of the engine, one row a day: the daily frame and expressions of its rows."""
+    w = series(U)
+    d = daily_frame.daily(panel, window)
+    d = d.withColumn("j", F.tanh(F.coalesce("flux_raw", F.lit(0.0)) / 0.25) * F.col("damp"))
+    d = guarded_columns(day_columns(d.withColumns({"flux_slope": F.col("j") - F.lag("j").over(w), "mm_trend": F.col("mm") - F.lag("mm").over(w)})))
+    return d.withColumn("diffusion", F.col("j") - 0.5 * F.greatest(F.lit(0.0), F.coalesce("mm_trend", F.lit(0.0))) - 0.15 * F.greatest(F.lit(0.0), -F.coalesce("flux_slope", F.lit(0.0))))
 
 
 def fit(cols: DataFrame, p: Flow = Flow()) -> DataFrame:
@@ -159,9 +167,10 @@ def _nulls(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: finite(c) for c in names})
 
 
-def conditions(cols: DataFrame, on: float | Column, off: float | Column, p: Flow = Flow()) -> DataFrame:
-    """``raw_on, raw_off, confirm, drift, need_off, flat`` of every day; ``on`` and ``off`` are numbers or the day's own thresholds."""
-    d = with_stability_trend(cols, p) if p.variant == "stab" else with_ratio_timing(cols, p) if p.variant == "exp" else cols
+def signals(d: DataFrame, on: float | Column, off: float | Column, p: Flow = Flow()) -> DataFrame:
+    """What a day's row says alone: ``raw_on, confirm`` and the flags ``__off, __guard, __need, __drift`` (and those of the
+    stability overlay) from which streaks and the state follow.  No neighbours are looked at, so it runs on streams too.
+    """
     mm, j, diff, pcon, combo, guard, v = (F.coalesce(c, F.lit(x)) if x is not None else F.col(c) for c, x in (("mm", 0.0), ("j", 0.0), ("diffusion", 0.0), ("pcon", None), ("combo", None), ("guard", 1.0), ("v_pc1", 0.0)))
     breadth = F.coalesce("breadth", F.lit(0.0))
     kappa = F.abs(diff) / (F.abs(diff) + p.kappa_lambda * F.abs(v) + 1e-6)
@@ -190,25 +199,36 @@ def conditions(cols: DataFrame, on: float | Column, off: float | Column, p: Flow
     broken = j <= off
     guard_only = ((guard >= 0.98) | (mm >= p.mm_off)) & ~broken
     support = (j >= on - 0.03) & (breadth >= 0.25) & _or(combo >= 0, True)
-    d = with_streak(d.withColumns({"__guard": guard_only, "__need": F.when((mm >= 0.92) & support, 3).otherwise(2)}), F.col("__guard"), "__guard_run")
     by_rel = (v <= -0.05) | ((diff <= off) & (kappa < 0.55)) | exp_off
-    raw_off = by_rel | broken | (F.col("__guard") & (F.col("__guard_run") >= F.col("__need"))) | (_or(pcon <= p.pcon_off, False) & (mm >= 0.92)) | drift
+    off_now = by_rel | broken | (_or(pcon <= p.pcon_off, False) & (mm >= 0.92)) | drift
     tense = (mm >= p.mm_hi) | (F.coalesce("mm_trend", F.lit(0.0)) > 0.005) | (F.coalesce("frob_z", F.lit(0.0)) >= 1.5)
     easy = (F.coalesce("flux_slope", F.lit(0.0)) > 0) & (F.coalesce("mm_trend", F.lit(0.0)) <= 0)
     confirm = F.when(strong, 1).when(tense, 3).when(_or(pcon >= 0.68, False) | easy, 1).otherwise(2)
     if p.variant == "exp":
         confirm = F.when(_or(F.col("st") >= x.strong_k * x.on_k * F.col("st_sigma"), False), 1).when(cross, F.greatest(F.lit(1), confirm - 1)).otherwise(confirm)
+    flags = {"raw_on": raw_on, "confirm": confirm, "__off": off_now, "__guard": guard_only, "__need": F.when((mm >= 0.92) & support, 3).otherwise(2)}
+    if p.variant == "stab":
+        s, slope, z = p.stab, F.col("s_slope"), F.col("s_z")
+        flags |= {
+            "__down": _or(slope < -s.slope_min, False), "__up": _or((z >= s.z_up) & (slope >= s.slope_min), False), "__up_need": F.lit(s.up_confirm_off),
+            "__flat": F.col("stability").between(s.neutral_lo, s.neutral_hi) & _or(F.abs(slope) < 0.005, False) & (F.abs("j") < 0.03), "__rising": _or(slope > 0, False), "__plunge": _or((z <= -s.z_down) & (slope < 0), False),
+        }
+    return d.withColumns(flags)
+
+
+def conditions(cols: DataFrame, on: float | Column, off: float | Column, p: Flow = Flow()) -> DataFrame:
+    """``raw_on, raw_off, confirm, drift, need_off, flat`` of every day; ``on`` and ``off`` are numbers or the day's own thresholds."""
+    d = with_stability_trend(cols, p) if p.variant == "stab" else with_ratio_timing(cols, p) if p.variant == "exp" else cols
+    d = with_streak(signals(d, on, off, p), F.col("__guard"), "__guard_run")
+    raw_off = F.col("__off") | (F.col("__guard") & (F.col("__guard_run") >= F.col("__need")))
     d = with_streak(with_streak(d, F.col("__drift"), "__drift_run"), ~F.col("__drift"), "__calm_run")
     epoch = F.when(F.col("__drift_run") >= p.drift_days, 1).when(F.col("__calm_run") >= p.drift_cool, 0)
-    d = d.withColumns({"raw_on": raw_on, "raw_off": raw_off, "confirm": confirm, "drift": F.coalesce(F.last(epoch, ignorenulls=True).over(so_far(series(U))), F.lit(0)) == 1})
+    d = d.withColumns({"raw_off": raw_off, "drift": F.coalesce(F.last(epoch, ignorenulls=True).over(so_far(series(U))), F.lit(0)) == 1})
     if p.variant == "stab":
-        s, slope, z = p.stab, F.col("s_slope"), F.col("s_z")
-        d = with_streak(with_streak(d, slope < -s.slope_min, "__down_run"), (z >= s.z_up) & (slope >= s.slope_min), "__up_run")
-        flat = F.col("stability").between(s.neutral_lo, s.neutral_hi) & (F.abs(slope) < 0.005) & (F.abs("j") < 0.03)
-        d = with_streak(d, flat, "__flat_run")
-        rising, plunge = _or(slope > 0, False), _or((z <= -s.z_down) & (slope < 0), False)
-        off_now = F.when(plunge, True).when(rising, False).otherwise(F.col("raw_off") | (F.col("__down_run") >= s.lag_down))
-        return d.withColumns({"raw_off": off_now, "need_off": F.when(F.col("__up_run") >= s.lag_up, s.up_confirm_off).otherwise(1), "flat": F.col("__flat_run") >= 2})
+        s = p.stab
+        d = with_streak(with_streak(with_streak(d, F.col("__down"), "__down_run"), F.col("__up"), "__up_run"), F.col("__flat"), "__flat_run")
+        later = F.when(F.col("__plunge"), True).when(F.col("__rising"), False).otherwise(F.col("raw_off") | (F.col("__down_run") >= s.lag_down))
+        return d.withColumns({"raw_off": later, "need_off": F.when(F.col("__up_run") >= s.lag_up, F.col("__up_need")).otherwise(1), "flat": F.col("__flat_run") >= 2})
     return d.withColumns({"need_off": F.lit(1), "flat": F.lit(False)})
 
 

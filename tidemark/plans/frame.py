@@ -122,13 +122,8 @@ def with_means(d: DataFrame, span: int = 60) -> DataFrame:
     return per_series(d, fold, dict.fromkeys(("smoothed", "delta", "bear_ratio", "frob_z"), "double"), using=used).withColumns({c: finite(c) for c in ("smoothed", "delta", "bear_ratio", "frob_z")})
 
 
-def daily(panel: DataFrame, window: int = 30, six: bool = False) -> DataFrame:
-    """The frame of all days with full correlations.
-
-    Columns: prices ``c_*, o_*``, returns ``r_*, s_*``, momenta ``z_*``, correlations ``k_*``, the record, ``mm`` and ``v_pc1`` of
-    the signals (with ``six`` also ``mm_six, v_six`` of all symbols), flux columns, means, and returns of the
-    symbols over 3, 5, 10 and 20 rows where engines use them.
-    """
+def inputs(panel: DataFrame, window: int = 30, six: bool = False) -> DataFrame:
+    """All of ``daily`` that a bounded number of rows before gives (no exponential means), for every day, also without full correlations."""
     w = series(U)
     d = with_flux(with_record(with_moments(with_returns(wide_aligned(panel)), window)))
     ret = lambda s, k: simple_return(f"c_{name(s)}", w, k)
@@ -140,6 +135,19 @@ def daily(panel: DataFrame, window: int = 30, six: bool = False) -> DataFrame:
     d = d.withColumns({f"upper{k}": triangle(s) for k, s in matrices.items()})
     d = d.withColumns({f"mm{k}": eigen.absorption(f"upper{k}") for k in matrices} | {f"pc1{k}": eigen.first_component(f"upper{k}") for k in matrices})
     d = d.withColumns({"v_six" if k else "v_pc1": velocity(f"pc1{k}", s) for k, s in matrices.items()})
-    d = with_means(d.drop(*(f"{c}{k}" for k in matrices for c in ("upper", "pc1"))))
-    damp = F.greatest(F.lit(0.5), 1 / (1 + 0.5 * F.greatest(F.lit(0.0), F.coalesce("bear_ratio", F.lit(1.0)) - 1.2)))
-    return d.withColumn("damp", damp).drop("bear_ratio").filter("stability is not null")
+    return d.drop(*(f"{c}{k}" for k in matrices for c in ("upper", "pc1")))
+
+
+def damp(bear_ratio: Column) -> Column:
+    return F.greatest(F.lit(0.5), 1 / (1 + 0.5 * F.greatest(F.lit(0.0), F.coalesce(bear_ratio, F.lit(1.0)) - 1.2)))
+
+
+def daily(panel: DataFrame, window: int = 30, six: bool = False) -> DataFrame:
+    """The frame of all days with full correlations.
+
+    Columns: prices ``c_*, o_*``, returns ``r_*, s_*``, momenta ``z_*``, correlations ``k_*``, the record, ``mm`` and ``v_pc1`` of
+    the signals (with ``six`` also ``mm_six, v_six`` of all symbols), flux columns, means, and returns of the
+    symbols over 3, 5, 10 and 20 rows where engines use them.
+    """
+    d = with_means(inputs(panel, window, six))
+    return d.withColumn("damp", damp(F.col("bear_ratio"))).drop("bear_ratio").filter("stability is not null")
