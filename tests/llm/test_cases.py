@@ -290,7 +290,7 @@ def test_pipeline_equals_brute_force(spark, prose, tmp_path):
 
 
 def test_queries_have_their_columns(spark, corpus, tmp_path):
-    """Extra columns of the table change no query's columns; an empty table gives no rows."""
+    """Every query takes an empty table with further columns and gives no rows."""
     corpus[1].limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

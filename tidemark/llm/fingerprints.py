@@ -1,7 +1,7 @@
 """SimHash fingerprints with DataFrame functions only.
 
-The terms of a text are its neighbouring word pairs; a term's weight grows with the length of its words,
-and every occurrence votes with that weight on each of the 64 bits of the term's hash.  Two bits share
+The terms of a text are its neighbouring word pairs; a term's weight is the bytes of its two words, 24 at most
+(longer pairs, such as two links, would outvote a text's prose), and every occurrence votes with that weight on each of the 64 bits of the term's hash.  Two bits share
 one long sum (32 bits each), so 32 sums hold all votes and the partial sums of a text, made where it is
 read, are all that is shuffled.
 

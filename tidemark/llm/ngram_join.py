@@ -22,7 +22,7 @@ components; nothing is collected.
 
 Defined cases: null and empty text and text without words have no shingles and link with nothing; a text
 with fewer than five words is one shingle; equal rows link; a null ``doc_id`` is never a component's
-name unless no other is there; an empty table gives no rows; other columns are ignored.
+name unless no other is there; very long texts are compared whole, a large set's rows split; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

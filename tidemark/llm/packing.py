@@ -10,7 +10,8 @@ sequence cut at powers of two, so the whole corpus ends without padding there.
 Output, one row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
 
 Defined cases: null or empty text is a document of one id (the end id); null ``doc_id`` and repeated
-rows are packed like any row; an empty table gives no rows; further columns are ignored.
+rows are packed like any row; a text longer than a window is cut into pieces, however long; of open
+sequences that fit a piece equally well the first slot is taken; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
