@@ -44,7 +44,7 @@ def test_top_drivers_of_every_day_equal_sql(spark):
     assert got["idx"].nunique() > 1000 and plain(got) == plain(con.execute(queries.ORACLE_SQL["m01_top_drivers_by_day"]).fetchdf())
 
 
-MORE = ["r03_fragile", "m04_divergences", "m08_calendar", "m09_labels", "q11_previous_row", "p13_effective_row", "p19_matrix", "s03_vendor_bars", "s05_first_source", "s05_second_source", "s06_chart_rows", "s11_text_table", "s14_overrides", "s15_holdings", "s16_tickers", "b15_windows", "l03_allocation", "n05_ramps", "a32_interval", "p14_fetch_window"]
+MORE = ["w04_three_windows", "a12_thresholds", "r01_fitted_by_universe", "r12_thresholds", "w13_percentile_rank", "w20_hit_ic_ir", "r03_fragile", "m04_divergences", "m08_calendar", "m09_labels", "q11_previous_row", "p13_effective_row", "p19_matrix", "s03_vendor_bars", "s05_first_source", "s05_second_source", "s06_chart_rows", "s11_text_table", "s14_overrides", "s15_holdings", "s16_tickers", "b15_windows", "l03_allocation", "n05_ramps", "a32_interval", "p14_fetch_window"]
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")

@@ -17,6 +17,13 @@ def days(spark):
     return p, flow.day_columns(frame.inputs(p, 20)).persist()
 
 
+@pytest.fixture(autouse=True)
+def store(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", engine.PROVIDER)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def loose(variant):
     """Parameters with which made-up prices reach all states."""
     return Flow(variant, q_on=0.6, q_off=0.4, j_on=0.0, j_off=0.0, stab=Stab(fast=3, slow=10, z_win=40, z_up=1.0, z_down=1.0, slope_min=0.001, lag_up=2, lag_down=2))
@@ -26,7 +33,6 @@ def loose(variant):
 def test_stream_equals_batch(spark, days, tmp_path, variant):
     """Ten micro-batches of days, the query started anew for each two, the last batch read twice."""
     p = loose(variant)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", engine.PROVIDER)
     cols = flow.columns(days[0], 20).persist()
     fitted = flow.fit(cols, p).persist()
     want = {(r[U], r.idx): (r.state, r.executed, round(r.j, 9), round(r.guard, 9)) for r in flow.decided(cols, p, fitted).collect()}
@@ -67,7 +73,6 @@ def test_state_of_a_silent_universe_is_forgotten(spark, days, tmp_path):
     import time
 
     p = loose("classic")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", engine.PROVIDER)
     source, rows = str(tmp_path / "days"), days[1].filter(f"{U} = 'a' and idx < 40").coalesce(1)
     rows.write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
