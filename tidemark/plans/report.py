@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import YEAR
-from tidemark.functions.numeric import gaussian_log_density, platt, ratio, sigmoid
+from tidemark.functions.numeric import finite, gaussian_log_density, platt, ratio, sigmoid
 from tidemark.operators.rolling import frame, log_return, series
 
 U = "universe"
@@ -65,9 +65,10 @@ def clamped(features: DataFrame) -> DataFrame:
     return features.withColumn("x", F.when(x.isNull() | F.isnan(x), None).when(low.isNull(), x).otherwise(F.least(F.greatest(x, low), high)))
 
 
-def preferred(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One value a feature: of ``left`` where it has one, else of ``right``."""
-    return left.join(right.withColumnRenamed("x", "__x"), "feature", "full_outer").select("feature", F.coalesce("x", "__x").alias("x"))
+def preferred(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One value a feature (and ``by``): of ``left`` where it has a finite one, else of ``right``, else none."""
+    keys = [*by, "feature"]
+    return left.join(right.withColumnRenamed("x", "__x"), keys, "full_outer").select(*keys, F.coalesce(finite("x"), finite("__x")).alias("x"))
 
 
 def fit_bayes(rows: DataFrame, eps: float = 1e-6) -> DataFrame:

@@ -193,6 +193,14 @@ def j10_pairs(spark, sf_dir):
     return R.pairs_of(R.with_returns(R.wide_aligned(bars(spark, sf_dir))), "r").select("idx", "s1", "s2", "kind", "x", "y")
 
 
+@query(_with((*_TO_AL, "l AS (SELECT d, symbol, CASE WHEN idx % 5 > 0 THEN ln(open) END AS x FROM al WHERE idx % 3 > 0)", "r AS (SELECT d, symbol, ln(close) AS x FROM al WHERE idx % 2 = 0)"), f"SELECT d, symbol AS feature, {_r('coalesce(l.x, r.x)', 'x')} FROM l FULL OUTER JOIN r USING (d, symbol)"))
+def j13_preferred(spark, sf_dir):
+    """Two vectors of features a day: the first where it has a finite value, else the second."""
+    a = align.align(bars(spark, sf_dir)).withColumnRenamed("symbol", "feature")
+    left = a.filter("idx % 3 > 0").select("d", "feature", F.when(F.col("idx") % 5 > 0, F.ln("open")).otherwise(F.lit(float("nan"))).alias("x"))
+    return report.preferred(left, a.filter("idx % 2 = 0").select("d", "feature", F.ln("close").alias("x")), ("d",))
+
+
 @query(_with((_panel_sql(), _DIM), "SELECT symbol FROM (SELECT symbol FROM dim UNION ALL SELECT 'TQQQ') WHERE symbol NOT IN (SELECT symbol FROM panel)"))
 def p07_missing_symbols(spark, sf_dir):
     wanted = spark.createDataFrame([(s,) for s in ("QQQ", *SIGNALS, "TQQQ")], "symbol string")
