@@ -58,13 +58,17 @@ def has_candidate(text: Column) -> Column:
 
 
 def _matches(text: str) -> Column:
-    """In order, with the text up to each match: ``piece, whole, run, value``; run and value are empty where there is none."""
-    group = lambda k: F.regexp_extract_all(text, F.lit(MATCH), F.lit(k))
-    values = [group(k) for k in range(2, GROUPS + 1)]
-    value = values[0]
-    for other in values[1:]:
-        value = F.zip_with(value, other, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))  # one of them at most has signs
-    return F.arrays_zip(F.split(text, MATCH, -1).alias("piece"), group(0).alias("whole"), group(1).alias("run"), value.alias("value"))
+    """In order, with the text up to each match: ``piece, whole, run, value``; run and value are empty where there is none.
+
+    The text is searched for whole matches only; a match, a short text, is then taken apart.
+    """
+    def parts(m: Column) -> Column:
+        whole = F.coalesce(m["whole"], F.lit(""))
+        group = lambda k: F.regexp_extract(whole, MATCH, k)
+        value = F.concat(*map(group, range(2, GROUPS + 1)))  # one of them at most has signs
+        return F.struct(m["piece"].alias("piece"), m["whole"].alias("whole"), group(1).alias("run"), value.alias("value"))
+
+    return F.transform(F.arrays_zip(F.split(text, MATCH, -1).alias("piece"), F.regexp_extract_all(text, F.lit(MATCH), F.lit(0)).alias("whole")), parts)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
