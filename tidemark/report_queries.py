@@ -101,17 +101,17 @@ def _exp_segments(spark, sf_dir):
 
 @query()
 def b13_exp_random(spark, sf_dir):
-    """Forty drawn candidates of the exp variant over four segments, by the segment objective."""
-    stats = search.search_flow(_exp_segments(spark, sf_dir), search.drawn_exp(40), Flow("exp"), Execution("close_close", neutral_weight=1.0, neutral_leverage=1.0))
+    """The published number of drawn candidates, 120, of the exp variant over four segments, by the segment objective."""
+    stats = search.search_flow(_exp_segments(spark, sf_dir), search.drawn_exp(120), Flow("exp"), Execution("close_close", neutral_weight=1.0, neutral_leverage=1.0))
     return search.objective_segments(stats)
 
 
 @query()
 def b14_stab_random(spark, sf_dir):
-    """Sixty drawn overlays over three splits, by the mean blended objective."""
+    """The published number of drawn overlays, 200, over three splits, by the mean blended objective."""
     parts = search.in_parts(settled_bars(spark, sf_dir, "week"), {"s1": ("1992-01-01", "1994-06-30"), "s2": ("1994-07-01", "1996-12-31"), "s3": ("1997-01-01", "1999-12-31")})
     cols = shared.settled(flow.columns(parts, 20), "flow")
-    stats = search.objective_blended(search.search_flow(cols, search.drawn_stab(60, 42), Flow("stab"), EXECUTIONS["compare_runner"]))
+    stats = search.objective_blended(search.search_flow(cols, search.drawn_stab(200, 42), Flow("stab"), EXECUTIONS["compare_runner"]))
     return stats.groupBy("candidate").agg(F.avg("objective").alias("objective"), F.min("max_drawdown").alias("max_drawdown"))
 
 
