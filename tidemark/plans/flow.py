@@ -216,10 +216,17 @@ def signals(d: DataFrame, on: float | Column, off: float | Column, p: Flow = Flo
     return d.withColumns(flags)
 
 
-def conditions(cols: DataFrame, on: float | Column, off: float | Column, p: Flow = Flow()) -> DataFrame:
-    """``raw_on, raw_off, confirm, drift, need_off, flat`` of every day; ``on`` and ``off`` are numbers or the day's own thresholds."""
-    d = with_stability_trend(cols, p) if p.variant == "stab" else with_ratio_timing(cols, p) if p.variant == "exp" else cols
-    d = with_streak(signals(d, on, off, p), F.col("__guard"), "__guard_run")
+def timed(cols: DataFrame, p: Flow = Flow()) -> DataFrame:
+    """``cols`` with the columns of the variant's own timing; no threshold is looked at."""
+    return with_stability_trend(cols, p) if p.variant == "stab" else with_ratio_timing(cols, p) if p.variant == "exp" else cols
+
+
+def conditions(cols: DataFrame, on: float | Column, off: float | Column, p: Flow = Flow(), made: bool = False) -> DataFrame:
+    """``raw_on, raw_off, confirm, drift, need_off, flat`` of every day; ``on`` and ``off`` are numbers or the day's own thresholds.
+
+    ``made``: ``cols`` come from ``timed``.
+    """
+    d = with_streak(signals(cols if made else timed(cols, p), on, off, p), F.col("__guard"), "__guard_run")
     raw_off = F.col("__off") | (F.col("__guard") & (F.col("__guard_run") >= F.col("__need")))
     d = with_streak(with_streak(d, F.col("__drift"), "__drift_run"), ~F.col("__drift"), "__calm_run")
     epoch = F.when(F.col("__drift_run") >= p.drift_days, 1).when(F.col("__calm_run") >= p.drift_cool, 0)

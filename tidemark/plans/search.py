@@ -3,18 +3,25 @@
 Daily columns that no candidate changes are made once.  ClassicFlux5 hands a history to one task per block of
 candidates, which tries them one after the other.  The flow engine's flags are columns, so its candidates
 are rows beside the days of a history; a day of a history has as many rows as there are candidates, and
-candidates are a list of bounded length that travels in the plan.  Parts of the history (train and test,
-segments, splits) are universes of their own, cut from the panel before anything is fitted.
+candidates are a list of bounded length that travels in the plan.  What no candidate changes is made before, only the columns
+that rules read are multiplied, and candidates that differ in nothing the engine reads are run once.  Parts of the history
+(train and test, segments, splits) are universes of their own, cut from the panel before anything is fitted.  ``budgeted``
+spends a count and a time: parts are rounds, candidates of a round are dealt in blocks, and the poorer ones drop out after it.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import replace
 from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +31,7 @@ from tidemark.plans import flow as flow_plan
 from tidemark.plans.backtest import backtest, statistics
 from tidemark.plans.flux5 import INPUTS
 from tidemark.plans.flux5 import fold as flux5_fold
+from tidemark.sources import shared
 
 U = "universe"
 # Axes of the searches and bounds of their draws.
@@ -31,6 +39,12 @@ FLUX5_GRID = {"v_on": [0.05, 0.10], "v_off": [-0.05, 0.0], "pcon_on": [0.55, 0.6
 EXP_GRID = {"macro_on": [0.45], "macro_off": [0.35], "q_on": [0.70, 0.72], "q_off": [0.18], "a_s": [0.20, 0.25], "confirm_off": [1, 2], "hazard_drop": [0.03]}
 EXP_BOUNDS = {"macro_on": (0.44, 0.52), "macro_off": (0.28, 0.38), "q_on": (0.65, 0.80), "q_off": (0.10, 0.25), "a_s": (0.10, 0.35), "a_j": (0.05, 0.15), "b_s": (0.10, 0.30), "b_j": (0.05, 0.15), "hazard_drop": (0.02, 0.05)}
 
+# Parameters and columns of a day that the flow engine's rules read.
+READ = ("q_on", "q_off", "fast", "slow", "z_win", "z_up", "z_down", "slope_min", "neutral_lo", "neutral_hi", "lag_up", "lag_down", "up_confirm_off")
+DAY = (
+    "mm", "j", "diffusion", "pcon", "combo", "guard", "v_pc1", "breadth", "bench10", "bench20", "down_all", "day0", "day0_both", "pair_corr", "apdf", "rb", "risk3", "mm_trend", "frob_z", "flux_slope", "stability", "o_QQQ", "c_QQQ",
+)
+
 
 def grid(**values: list[float]) -> list[dict[str, float]]:
     """Every combination, as ``candidate`` and its parameters."""
@@ -131,20 +145,104 @@ def quantile_thresholds(rows: DataFrame, p: Flow) -> DataFrame:
     return rows.select(U, "j", "q_on", "q_off").groupBy(U).applyInPandas(run, f"{U} string, on double, off double")
 
 
+def _alike(candidates: list[dict[str, float]]) -> tuple[list[dict[str, float]], dict[int, int]]:
+    """One candidate for each set of values that the engine reads, and for every candidate the one that is run for it."""
+    first, leader = {}, {}
+    for c in candidates:
+        leader[c["candidate"]] = first.setdefault(tuple(c.get(k) for k in READ), c)["candidate"]
+    return list(first.values()), leader
+
+
 def search_flow(cols: DataFrame, candidates: list[dict[str, float]], p: Flow, e: Execution) -> DataFrame:
     """Statistics of the flow engine for candidates of ``q_on, q_off`` or of its stability overlay.
 
     ``cols`` is ``flow.columns`` of a panel from ``in_parts``.
     """
-    rows = _beside(cols, candidates)
-    if "q_on" not in candidates[0]:
+    run, leader = _alike(candidates)
+    used = [c for c in DAY if c in cols.columns]
+    before = not {"fast", "slow", "z_win"} & set(run[0])
+    days = flow_plan.timed(cols.select(U, "idx", "d", *used), p) if before else cols.select(U, "idx", "d", *used)
+    rows = _beside(days, [{k: v for k, v in c.items() if k == "candidate" or k in READ} for c in run])
+    if "q_on" not in run[0]:
         rows = rows.withColumns({"q_on": F.lit(p.q_on), "q_off": F.lit(p.q_off)})
     rows = rows.join(quantile_thresholds(rows, p), U)
-    stab = {k: F.col(k) for k in ("z_up", "z_down", "slope_min", "neutral_lo", "neutral_hi", "lag_up", "lag_down", "up_confirm_off") if k in candidates[0]}
+    stab = {k: F.col(k) for k in ("z_up", "z_down", "slope_min", "neutral_lo", "neutral_hi", "lag_up", "lag_down", "up_confirm_off") if k in run[0]}
     q = p.with_(stab=replace(p.stab, **stab)) if stab else p
-    flagged = flow_plan.conditions(rows, F.col("on"), F.col("off"), q)
+    flagged = flow_plan.conditions(rows, F.col("on"), F.col("off"), q, made=before)
     kept = flagged.select(U, "idx", "d", "j", "guard", "o_QQQ", "c_QQQ", "raw_on", "raw_off", "confirm", "need_off", "drift", "flat")
-    return _tested(flow_plan.states(kept, p), e)
+    done = _tested(flow_plan.states(kept, p), e)
+    if len(run) == len(candidates):
+        return done
+    names = done.columns
+    followers = done.sparkSession.createDataFrame([(v, k) for k, v in leader.items()], "__leader long, candidate long")
+    return done.withColumnRenamed("candidate", "__leader").join(followers, "__leader").select(names)
+
+
+# ---------------------------------------------------------------- rounds under a budget
+def _written(jobs: dict[str, DataFrame], until: float | None, at_once: int) -> list[str]:
+    """Write every table of ``jobs`` (path, rows), some at once; what is not done at ``until`` is cancelled by its tag and left out."""
+    if not jobs:
+        return []
+    spark = next(iter(jobs.values())).sparkSession
+    sc, tag = spark.sparkContext, f"search-{uuid.uuid4().hex}"
+    over = lambda: until is not None and time.monotonic() >= until
+
+    def one(path: str, rows: DataFrame) -> str | None:
+        if over():
+            return None
+        sc.addJobTag(tag)
+        try:
+            rows.write.parquet(path)
+            return path
+        except Exception:
+            if over():
+                return None
+            raise
+        finally:
+            sc.removeJobTag(tag)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(one), *job) for job in jobs.items()]
+        running = wait(runs, None if until is None else max(0.0, until - time.monotonic())).not_done
+        while running:  # a table may take several jobs
+            sc.cancelJobsWithTag(tag)
+            running = wait(running, 0.2).not_done
+    return [r.result() for r in runs if r.result()]
+
+
+def budgeted(
+    spark: SparkSession, evaluate: Callable[[list[dict[str, float]], str], DataFrame], objective: Callable[[DataFrame], DataFrame], candidates: list[dict[str, float]], parts: list[str],
+    count: int | None = None, seconds: float | None = None, keep: float = 0.5, block: int = 50, at_once: int = 4,
+) -> DataFrame:
+    """``candidate, rounds, objective, place``: the search under a count and a time.
+
+    The first ``count`` candidates are tried.  Every part is a round: ``evaluate(block, part)`` gives the statistics of a block of
+    candidates, written as a table of its own; ``objective(statistics)`` gives ``candidate, objective`` over the parts
+    so far.  The share ``keep`` with the best objectives goes on (at least one; ties to the smaller number), so with 1.0 this is the full search and with less
+    it may lose a candidate that is poor in early parts.  After ``seconds`` no block starts, running ones are cancelled, and
+    candidates keep what was measured.  ``place`` orders by rounds, objective and number; candidates without a
+    measured part stand last, their objective is NULL.  The driver holds one number a candidate.
+    """
+    until = None if seconds is None else time.monotonic() + seconds
+    tried = candidates if count is None else candidates[:count]
+    alive, rounds, found, paths = list(tried), {c["candidate"]: 0 for c in tried}, {}, []
+    for part in parts:
+        if not alive or (until is not None and time.monotonic() >= until):
+            break
+        blocks = [alive[i : i + block] for i in range(0, len(alive), block)]
+        names = {f"{shared.folder(spark)}/search-{uuid.uuid4().hex}": b for b in blocks}
+        done = _written({path: evaluate(b, part) for path, b in names.items()}, until, at_once)
+        paths += done
+        scored = {c["candidate"] for path in done for c in names[path]}
+        if scored:
+            found |= {r["candidate"]: r["objective"] for r in objective(spark.read.parquet(*paths)).select("candidate", "objective").collect() if r["candidate"] in scored}
+        rounds |= {c: rounds[c] + 1 for c in scored}
+        if len(done) < len(blocks):
+            break
+        ranked = sorted(alive, key=lambda c: (found.get(c["candidate"]) is None, -(found.get(c["candidate"]) or 0.0), c["candidate"]))
+        alive = ranked[: max(1, int(np.ceil(keep * len(ranked))))]
+    order = sorted(rounds, key=lambda c: (-rounds[c], found.get(c) is None, -(found.get(c) or 0.0), c))
+    return spark.createDataFrame([(c, rounds[c], found.get(c), i + 1) for i, c in enumerate(order)], "candidate long, rounds int, objective double, place int")
 
 
 # ---------------------------------------------------------------- objectives

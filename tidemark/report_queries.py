@@ -95,8 +95,13 @@ def a31_objectives(spark, sf_dir):
 
 
 def _exp_segments(spark, sf_dir):
-    parts = search.in_parts(settled_bars(spark, sf_dir, "week"), {"s1": ("1992-01-01", "1993-12-31"), "s2": ("1994-01-01", "1995-12-31"), "s3": ("1996-01-01", "1997-12-31"), "s4": ("1998-01-01", "1999-12-31")})
-    return shared.settled(flow.columns(parts, 20), "flow")
+    parts = search.in_parts(settled_bars(spark, sf_dir), {"s1": ("1992-01-01", "1993-12-31"), "s2": ("1994-01-01", "1995-12-31"), "s3": ("1996-01-01", "1997-12-31"), "s4": ("1998-01-01", "1999-12-31")})
+    return shared.settled(flow.columns(parts, 30), "flow")
+
+
+def _stab_splits(spark, sf_dir):
+    parts = search.in_parts(settled_bars(spark, sf_dir), {"s1": ("1992-01-01", "1994-06-30"), "s2": ("1994-07-01", "1996-12-31"), "s3": ("1997-01-01", "1999-12-31")})
+    return shared.settled(flow.columns(parts, 30), "flow")
 
 
 @query()
@@ -109,12 +114,19 @@ def b13_exp_random(spark, sf_dir):
 @query()
 def b14_stab_random(spark, sf_dir):
     """The published number of drawn overlays, 200, over three splits, by the mean blended objective."""
-    parts = search.in_parts(settled_bars(spark, sf_dir, "week"), {"s1": ("1992-01-01", "1994-06-30"), "s2": ("1994-07-01", "1996-12-31"), "s3": ("1997-01-01", "1999-12-31")})
-    cols = shared.settled(flow.columns(parts, 20), "flow")
-    stats = search.objective_blended(search.search_flow(cols, search.drawn_stab(200, 42), Flow("stab"), EXECUTIONS["compare_runner"]))
+    stats = search.objective_blended(search.search_flow(_stab_splits(spark, sf_dir), search.drawn_stab(200, 42), Flow("stab"), EXECUTIONS["compare_runner"]))
     return stats.groupBy("candidate").agg(F.avg("objective").alias("objective"), F.min("max_drawdown").alias("max_drawdown"))
 
 
+@query()
+def b14_stab_budgeted(spark, sf_dir):
+    """The same draws under a count of 200: after each split the better half goes on."""
+    cols = _stab_splits(spark, sf_dir)
+    evaluate = lambda block, part: search.search_flow(cols.filter(search.part_of() == part), block, Flow("stab"), EXECUTIONS["compare_runner"])
+    mean = lambda stats: search.objective_blended(stats).groupBy("candidate").agg(F.avg("objective").alias("objective"))
+    return search.budgeted(spark, evaluate, mean, search.drawn_stab(200, 42), ["s1", "s2", "s3"], count=200)
+
+
 @query()
 def b10_stab_profiles(spark, sf_dir):
     """The overlay and a tuned one, traded from open to open."""
