@@ -12,7 +12,7 @@ from tidemark.operators.align import as_of
 from tidemark.operators.folds import ema_values, opened, per_series, upper_mad_values
 from tidemark.operators.islands import executed
 from tidemark.operators.rolling import series
-from tidemark.functions.text import fixed, month_day, percent, state_text, tsv
+from tidemark.functions.text import fixed, month_day, percent_points, state_text, tsv
 
 U = "universe"
 
@@ -61,7 +61,7 @@ def gate_summary(last: DataFrame) -> DataFrame:
 def transition_lines(changes: DataFrame) -> DataFrame:
     """``number, line`` of ``islands.transitions``: day, states, return and whether it hit."""
     hit = F.when(F.col("hit"), "hit").otherwise("miss")
-    return changes.select(F.col("rank").cast("long").alias("number"), tsv(month_day("d"), F.concat(state_text("prev_state"), F.lit(" > "), state_text("state")), percent(F.col("return_pct") / 100), hit).alias("line"))
+    return changes.select(F.col("rank").cast("long").alias("number"), tsv(month_day("d"), F.concat(state_text("prev_state"), F.lit(" > "), state_text("state")), percent_points("return_pct"), hit).alias("line"))
 
 
 def scored_lines(changes: DataFrame, scores: DataFrame, state: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def scored_lines(changes: DataFrame, scores: DataFrame, state: DataFrame) -> Dat
     day = lambda rows: as_of(rows, scores.select(U, "d", both), [U], "__s")
     known = F.concat(F.lit("score "), fixed(F.col("__s.score"), 3), F.lit(", trend "), fixed(F.col("__s.w_trend"), 2))
     now = day(state).select(F.lit(0).cast("long").alias("number"), tsv(month_day("d"), F.concat(F.lit("now "), state_text("state")), known).alias("line"))
-    then = day(changes).select(F.col("rank").cast("long").alias("number"), tsv(month_day("d"), F.concat(state_text("prev_state"), F.lit(" > "), state_text("state")), percent(F.col("return_pct") / 100), known).alias("line"))
+    then = day(changes).select(F.col("rank").cast("long").alias("number"), tsv(month_day("d"), F.concat(state_text("prev_state"), F.lit(" > "), state_text("state")), percent_points("return_pct"), known).alias("line"))
     return now.unionByName(then)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import YEAR
 from tidemark.functions.numeric import finite, gaussian_log_density, platt, ratio, sigmoid
+from tidemark.functions.text import printf
 from tidemark.operators.rolling import frame, log_return, series
 
 U = "universe"
@@ -143,16 +144,16 @@ def divergences(days: DataFrame) -> DataFrame:
 
 def summary_lines(days: DataFrame, top: DataFrame, features: DataFrame, by: str = "idx") -> DataFrame:
     """``number, line`` of each day's text: headline, the three strongest drivers, macro cues, breadth."""
-    named = top.filter("rank <= 3").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "llr"))), lambda x: F.format_string("%s(%+.3f)", x["feature"], x["llr"])), ", ").alias("drivers"))
+    named = top.filter("rank <= 3").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "llr"))), lambda x: printf("%s(%+.3f)", x["feature"], x["llr"])), ", ").alias("drivers"))
     at = lambda f: F.max(F.when(F.col("feature") == f, F.col("x")))
     x = features.groupBy(by).agg(*(at(f).alias(f) for f in FEATURES))
-    shown = lambda form, f, scale=1: F.when(F.col(f"`{f}`").isNotNull(), F.format_string(form, F.col(f"`{f}`") * scale))
+    shown = lambda form, f, scale=1: F.when(F.col(f"`{f}`").isNotNull(), printf(form, F.col(f"`{f}`") * scale))
     cues = F.concat_ws(", ", shown("10Y-2Y=%+.2f", "SPR_10Y_2Y"), shown("10Y-3M=%+.2f", "SPR_10Y_3M"), shown("Curve=%+.2f", "CURVATURE"), shown("RV20=%.3f", "RV20"))
     parts = F.concat_ws(", ", shown("ADR=%.2f", "ADR"), shown("%%>MA50=%.2f%%", "Pct>MA50", 100), shown("%%>MA200=%.2f%%", "Pct>MA200", 100), shown("NH/NL=%.2f", "NH/NL"))
     known = lambda c, missing: F.when(c == "", missing).otherwise(c)
     d = days.join(named, by, "left").join(x, by, "left")
     lines = F.array(
-        F.format_string("- Conclusion: %s, P(up)=%.1f%%", headline(F.col("p_up")), F.col("p_up") * 100), F.concat(F.lit("- Drivers: "), F.coalesce("drivers", F.lit("none"))),
+        printf("- Conclusion: %s, P(up)=%.1f%%", headline(F.col("p_up")), F.col("p_up") * 100), F.concat(F.lit("- Drivers: "), F.coalesce("drivers", F.lit("none"))),
         F.concat(F.lit("- Macro: "), known(cues, "no macro cues")), F.concat(F.lit("- Breadth: "), known(parts, "unknown")),
     )
     return d.select(by, F.posexplode(lines).alias("number", "line"))
@@ -162,16 +163,15 @@ def driver_notes(top: DataFrame, days: DataFrame, by: str = "idx") -> DataFrame:
     """``rank, note``: a sentence for each driver with a value, by its kind, and one (rank 99) where probability and breadth disagree."""
     f, x, llr = F.col("feature"), F.col("x"), F.col("llr")
     high = BOUNDS["NH/NL"][1]
-    tell = lambda form, *args: F.format_string(form, *args)
     note = (
-        F.when((f == "NH/NL") & (x >= high), tell(f"NH/NL=%.2f is at or above the model's bound {high}: an overheated market, LLR %+.3f", x, llr))
-        .when((f == "NH/NL") & (llr < 0), tell("NH/NL=%.2f: new highs fade against new lows, LLR %+.3f", x, llr)).when(f == "NH/NL", tell("NH/NL=%.2f: new highs stay strong, LLR %+.3f", x, llr))
-        .when(f.isin("RV20", "RV60") & (llr < 0), tell("%s=%.3f: volatility rose, LLR %+.3f", f, x, llr)).when(f.isin("RV20", "RV60"), tell("%s=%.3f: volatility is calm, LLR %+.3f", f, x, llr))
-        .when(f == "ADR", tell("ADR=%.2f: participation, LLR %+.3f", x, llr)).when(f.startswith("Pct>MA"), tell("%s=%.1f%%: share above its mean, LLR %+.3f", f, x * 100, llr)).otherwise(tell("%s=%.3f: LLR %+.3f", f, x, llr))
+        F.when((f == "NH/NL") & (x >= high), printf(f"NH/NL=%.2f is at or above the model's bound {high}: an overheated market, LLR %+.3f", x, llr))
+        .when((f == "NH/NL") & (llr < 0), printf("NH/NL=%.2f: new highs fade against new lows, LLR %+.3f", x, llr)).when(f == "NH/NL", printf("NH/NL=%.2f: new highs stay strong, LLR %+.3f", x, llr))
+        .when(f.isin("RV20", "RV60") & (llr < 0), printf("%s=%.3f: volatility rose, LLR %+.3f", f, x, llr)).when(f.isin("RV20", "RV60"), printf("%s=%.3f: volatility is calm, LLR %+.3f", f, x, llr))
+        .when(f == "ADR", printf("ADR=%.2f: participation, LLR %+.3f", x, llr)).when(f.startswith("Pct>MA"), printf("%s=%.1f%%: share above its mean, LLR %+.3f", f, x * 100, llr)).otherwise(printf("%s=%.3f: LLR %+.3f", f, x, llr))
     )
     each = top.filter("x is not null").select(by, "rank", note.alias("note"))
     p, adr = F.col("p_up"), F.col("adr")
-    odd = F.when((p < 0.4) & (adr > 1.5), tell("P(up)=%.1f%% is low though ADR=%.2f is above 1.5: participation lives", p * 100, adr)).when((p > 0.6) & (adr < 1.0), tell("P(up)=%.1f%% is high though ADR=%.2f is below 1: a narrow rise", p * 100, adr))
+    odd = F.when((p < 0.4) & (adr > 1.5), printf("P(up)=%.1f%% is low though ADR=%.2f is above 1.5: participation lives", p * 100, adr)).when((p > 0.6) & (adr < 1.0), printf("P(up)=%.1f%% is high though ADR=%.2f is below 1: a narrow rise", p * 100, adr))
     return each.unionByName(days.select(by, F.lit(99).alias("rank"), odd.alias("note")).filter("note is not null"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import fixed
+from tidemark.functions.text import fixed, printf
 
 def write_records(records: DataFrame, path: str, partition: str = "window", force: bool = False) -> None:
     """Parquet by partition; refuses to overwrite unless forced."""
@@ -92,8 +92,8 @@ def write_tuning(parameters: DataFrame, path: str) -> None:
 
 def report_summary(report: DataFrame, top: DataFrame, k: int = 5) -> DataFrame:
     """``universe, number, line``: the probability in percent and the ``k`` strongest drivers."""
-    named = top.filter(F.col("rank") <= k).groupBy("universe").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "llr"))), lambda x: F.format_string("%s:%+.3f", x["feature"], x["llr"])), ", ").alias("drivers"))
-    lines = F.array(F.format_string("Upward probability: %.2f%%", F.col("p_up") * 100), F.concat(F.lit("Top drivers: "), F.coalesce("drivers", F.lit(""))))
+    named = top.filter(F.col("rank") <= k).groupBy("universe").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "llr"))), lambda x: printf("%s:%+.3f", x["feature"], x["llr"])), ", ").alias("drivers"))
+    lines = F.array(printf("Upward probability: %.2f%%", F.col("p_up") * 100), F.concat(F.lit("Top drivers: "), F.coalesce("drivers", F.lit(""))))
     return report.join(named, "universe", "left").select("universe", F.posexplode(lines).alias("number", "line"))
 
 
