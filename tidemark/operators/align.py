@@ -14,9 +14,9 @@ from tidemark.config import SYMBOLS, pair_kind, pairs
 U = "universe"
 
 
-def last_wins(rows: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
-    """One row per key: the last by ``order``."""
-    w = Window.partitionBy(*keys).orderBy((F.col(order) if isinstance(order, str) else order).desc())
+def last_wins(rows: DataFrame, keys: list[str], order: str | Column, *ties: str) -> DataFrame:
+    """One row per key: the last by ``order``, of equal ones the first by ``ties``."""
+    w = Window.partitionBy(*keys).orderBy((F.col(order) if isinstance(order, str) else order).desc(), *ties)
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 

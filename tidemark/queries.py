@@ -228,13 +228,17 @@ def p14_fetch_window(spark, sf_dir):
 w AS (SELECT *, coalesce(a, c, p) AS x, row_number() OVER (PARTITION BY symbol, d ORDER BY n DESC) AS k FROM v WHERE coalesce(a, c, p) IS NOT NULL)
 SELECT symbol, d, round(o * coalesce(a / nullif(c, 0), 1), 6) + 0 AS open, round(x, 6) + 0 AS close FROM w WHERE k = 1""")
 def s03_vendor_bars(spark, sf_dir):
-    """Bars of vendor rows: adjusted close, else close, else price; the open follows the adjustment; the last row of a day wins."""
+    """Bars of vendor rows: adjusted close, else close, else price; the open follows the adjustment; the last row of a day wins.
+
+    Some orders have a line number twice on a day; of such rows the first of the file wins.
+    """
     n = F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_extendedprice").alias("open"), F.when(n % 3 != 0, F.col("l_quantity")).alias("close"),
         F.when(n % 2 == 0, F.col("l_quantity") * (1 - F.col("l_discount"))).alias("adjClose"), F.col("l_tax").alias("price"), n.alias("seq"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
     )
-    return ingest.vendor_bars(rows).select("symbol", "d", "open", "close")
+    return ingest.vendor_bars(rows, "file", "at").select("symbol", "d", "open", "close")
 
 
 @query("SELECT s_suppkey, 'S' || s_suppkey || ',' || 'N' || s_nationkey AS tickers, 2 AS n FROM supplier")

@@ -44,15 +44,17 @@ def trimmed(rows: DataFrame, start: Column | None = None, end: Column | None = N
     return kept.withColumn("open", F.coalesce("open", "close"))
 
 
-def vendor_bars(rows: DataFrame) -> DataFrame:
+def vendor_bars(rows: DataFrame, *ties: str) -> DataFrame:
     """Panel rows from ``symbol, date, open, close, adjClose, price`` and a running ``seq``: the last row of a day wins.
 
+    Where ``seq`` repeats within a day, the first row by the columns ``ties`` wins.
+
     Close is the adjusted close, else close, else price; the open is adjusted by the same factor.
     """
     close = F.coalesce(finite("adjClose"), finite("close"), finite("price"))
     factor = F.coalesce(F.try_divide(finite("adjClose"), finite("close")), F.lit(1.0))
-    d = rows.select(F.lit("core").alias("universe"), "symbol", F.to_date("date").alias("d"), (finite("open") * factor).alias("open"), close.alias("close"), "seq")
-    return last_wins(d.filter("d is not null and close is not null"), ["universe", "symbol", "d"], "seq").drop("seq")
+    d = rows.select(F.lit("core").alias("universe"), "symbol", F.to_date("date").alias("d"), (finite("open") * factor).alias("open"), close.alias("close"), "seq", *ties)
+    return last_wins(d.filter("d is not null and close is not null"), ["universe", "symbol", "d"], "seq", *ties).drop("seq", *ties)
 
 
 def chart_rows(raw: DataFrame) -> DataFrame:
