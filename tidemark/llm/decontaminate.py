@@ -134,7 +134,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float, broadcast_rows:
     dealt = windows.repartition(min(MOST_PARTS, workspace.parts_for(n_windows, 2000, 2)), "window")  # by number, since a window costs much more than it weighs
     runs = workspace.written(counted(dealt, "window"), "runs")
     item_runs = workspace.written(counted(items, "item"), "item-runs")
-    pairs = near(fingerprinted(runs, "window", least), fingerprinted(item_runs, "item", least), small)
+    # written, as the plan of all three steps at once takes much of a driver's memory
+    pairs = workspace.written(near(fingerprinted(runs, "window", least), fingerprinted(item_runs, "item", least), small), "pairs")
     return _verified(pairs, runs, item_runs, windows, items, least)
 
 
@@ -154,5 +155,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, broadcast_
     """``docs`` without the documents in which an item is found: all rows of their ``doc_id``, or of their text where it is null."""
     own = lambda h: F.when(F.col("doc_id").isNull(), h)
     bad = _found(docs, benchmark, least, broadcast_rows).select(F.col("doc_id").alias("bad_id"), own(F.col("text_hash")).alias("bad_text")).distinct()
+    bad = workspace.written(bad, "bad")
     whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), own(F.xxhash64("text")).alias("own"))  # no name of ``docs`` clashes
     return whole.join(bad, whole["id"].eqNullSafe(bad["bad_id"]) & whole["own"].eqNullSafe(bad["bad_text"]), "left_anti").select("doc.*")
