@@ -1,5 +1,6 @@
 """op1 and op10 against the tokenizers library, piece by piece."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -78,5 +79,23 @@ def test_packing_holds_each_id_once(corpus, encode):
     assert padding / pieces["length"].sum() < 0.2
 
 
+def test_open_sequences_hold_their_own_ids_only():
+    """Before, a piece was a slice that kept the ids of its whole chunk, for as long as its sequence was open."""
+    packer = packing.Packer(0, 2048, 64, 64)
+    for k in range(20):
+        packer.add(k, 0, np.ones(1 << 16, np.uint32)[:300], 300)
+    assert sum((p[2] if p[2].base is None else p[2].base).nbytes for pieces in packer.held for p in pieces) == 20 * 300 * 4
+
+
+def test_packing_encodes_in_bounded_memory():
+    """The arrays of a chunk: some 70 MB for the 1 MB of text before."""
+    enc, text = tokens.encoder(tokens.default_path()), np.frombuffer(b"some words, one number 17. " * (packing.CHUNK // 27), np.uint8)
+    tracemalloc.start()
+    enc.encode_chunk_with_end(text, np.array([0, len(text)]), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).count() == 0

@@ -39,6 +39,9 @@ from tidemark.llm.hashing import LOWER, SPACED, Words, chunks, mix, window_hashe
 
 _SETS = "h1 long, h2 long, gid long, comp long, n long, tokens array<long>"
 
+#: Bytes of text taken apart at once: its arrays take some 70 times as much, in every worker.
+CHUNK = 1 << 18
+
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, document after document and ascending; how many of each document)."""
@@ -137,12 +140,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
     """``(rows, sets)``: per row of ``docs`` ``doc_id, text_hash, n_shingles, candidate, h1, h2``; per set of the candidates ``h1, h2, root``."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    bitmap = sketch.repeated(texts.select("text"), sketch.of_texts(lambda data, offsets: shingles(data, offsets, size)[0]), sketch.bits_for(texts, most_bits=28))
+    bitmap = sketch.repeated(texts.select("text"), sketch.of_texts(lambda data, offsets: shingles(data, offsets, size)[0], CHUNK), sketch.bits_for(texts, most_bits=28))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for a, b, data, offsets in chunks(batch, most=1 << 20):
+            for a, b, data, offsets in chunks(batch, most=CHUNK):
                 flat, n = shingles(data, offsets, size)
                 at = np.concatenate([[0], np.cumsum(n)])
                 hit = np.concatenate([[0], np.cumsum(bitmap.value.may_repeat(flat))])

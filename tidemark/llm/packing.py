@@ -29,6 +29,15 @@ from tidemark.llm.hashing import chunks
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 _PIECE = SCHEMA + ", open boolean, task long"
 
+#: Bytes of text encoded at once: its arrays take some 70 times as much, in every worker.
+CHUNK = 1 << 18
+
+
+def _own(piece: tuple) -> tuple:
+    """A piece with its own ids: an open sequence that holds a slice keeps the whole chunk in memory."""
+    doc, start, ids, total = piece
+    return doc, start, ids.copy(), total
+
 
 class Packer:
     """Best fit with a bounded number of open sequences.  A piece is (doc_id, start, ids, doc_tokens)."""
@@ -47,7 +56,7 @@ class Packer:
         self.next_id += 1
 
     def place(self, k: int, piece: tuple) -> None:
-        self.held[k].append(piece)
+        self.held[k].append(_own(piece))
         self.free[k] -= len(piece[2])
         if not self.free[k]:
             self.release(k)
@@ -74,7 +83,7 @@ class Packer:
                 start, ids = start + gap, ids[gap:]
             else:
                 self.release(k)
-        self.held.append([(doc, start, ids, total)])
+        self.held.append([_own((doc, start, ids, total))])
         self.free = np.append(self.free, self.size - len(ids))
 
     def leave_open(self) -> None:
@@ -126,7 +135,7 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id
         enc, task = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         packer = Packer(task << 32, size, open_windows, top_up)
         for batch in batches:
-            for a, b, data, offsets in chunks(batch, most=1 << 20):
+            for a, b, data, offsets in chunks(batch, most=CHUNK):
                 flat, n = enc.encode_chunk_with_end(data, offsets, end_id)
                 at = 0
                 for doc, length in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), n.tolist()):

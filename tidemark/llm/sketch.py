@@ -68,11 +68,11 @@ def bits_for(texts: DataFrame, bytes_per_hash: float = 6.0, most_bits: int = MOS
     return int(np.clip(np.ceil(np.log2(max(8 * total / bytes_per_hash, 1))), 16, most_bits))
 
 
-def of_texts(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
-    """For ``repeated``: the hashes of a ``text`` column; ``hashes(bytes, offsets)`` gives those of a chunk of texts."""
+def of_texts(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 20) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    """For ``repeated``: the hashes of a ``text`` column; ``hashes(bytes, offsets)`` gives those of a chunk of texts, ``most`` bytes or one text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in chunks(batch, most=1 << 20):
+        for _, _, data, offsets in chunks(batch, most=most):
             yield hashes(data, offsets)
 
     return run

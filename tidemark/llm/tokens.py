@@ -94,7 +94,7 @@ class Encoder:
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
         self.quick = bool(lower and suffix)
         if self.quick:
-            self.pieces = Tokenizer.from_file(path)
+            self.pieces = Tokenizer(self.full.model)  # both read one vocabulary
             self.pieces.normalizer = normalizers.Sequence([])
             self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocab = spec["model"]["vocab"]
