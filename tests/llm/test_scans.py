@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tidemark.llm import language, licenses, secrets, toxicity
@@ -123,3 +125,15 @@ def test_training_holds_no_whole_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_language_predicts_in_bounded_memory():
+    """The arrays of a chunk: some 60 MB for the 2 MB of text before."""
+    code = language.codewords(4)
+    model = language.Model(("aa", "bb", "cc", "dd"), code, np.ones((code.shape[1], language.BUCKETS * len(language.ORDERS))), np.zeros(code.shape[1]), 1.0)
+    text = np.frombuffer(b"some words, one number 17. " * (language.CHUNK // 27), np.uint8)
+    tracemalloc.start()
+    model.predict(text, np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6

@@ -30,6 +30,8 @@ from tidemark.llm.hashing import LETTERED, LOWER, chunks
 
 BUCKETS, ORDERS = 1 << 12, (2, 3, 4)
 _LETTER = "language: has a letter"
+#: Bytes of text taken apart at once; results are of each document, its arrays are in every worker.
+CHUNK = 1 << 18
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -129,7 +131,7 @@ def fit(labelled: DataFrame, max_train: int = 4000, steps: int = 150, rate: floa
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch):
+            for a, b, data, offsets in chunks(batch, most=CHUNK):
                 cols: list[list] = [[], []]
                 grams = list(_grams(data, offsets))
                 for i in range(b - a):
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch):
+            for a, b, data, offsets in chunks(batch, most=CHUNK):
                 part = batch.slice(a, b - a)
                 best, score, near = model.predict(data, offsets)
                 ok = part.column(_LETTER).to_numpy(zero_copy_only=False)
