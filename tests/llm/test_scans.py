@@ -7,6 +7,8 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import language, licenses, secrets, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,6 +64,34 @@ def test_secrets_of_every_form(spark):
     assert {1, 2, 3, 4} <= {r.doc_id for r in found if r.is_secret}
 
 
+def test_prefilter_keeps_every_candidate(spark):
+    """Random texts of run characters, blanks, names and signs: the prefilter says what the whole pattern says of runs, and loses no value."""
+    rng = random.Random(6)
+    parts = [*"aZ_/+-09 \n=:.", "é", "IA", "xox", "AKIA", "ASIA", "ghp_", "github_pat_", "xoxb-", "sk-", "rk_live_", "AIza", "glpat-", "npm_", "eyJ", "abcdefg", "abcdefghijklmno", "1234567", "password", "Token", "api_key", " is ", "IS\t", "hunter2x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    texts += ["a" * k + "7" + "b" * (15 - k) for k in range(16)] + ["a" * k + "7" + "b" * (14 - k) for k in range(15)]
+    run = rf"(?<![A-Za-z0-9_+/-]){secrets.KEY}"
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", secrets.has_candidate(F.col("text")).alias("has"), F.col("text").rlike(run).alias("keyed"), F.col("text").rlike(secrets.MATCH).alias("any")).collect()
+    assert [r.text for r in got if r.any != r.has] == [] and 500 < sum(r.keyed for r in got) < sum(r.any for r in got) < 5500
+
+
+def test_redact_searches_documents_twice(spark):
+    """Once for those with a candidate, which are written, once for the others; before, three times in the plan of a result alone and its shuffle."""
+    df = spark.createDataFrame([(1, f"the key is {KEY}"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    out = secrets.redact(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "the key is <secret>"), (2, "nothing"), (3, None)]
+
+
+def test_only_texts_with_a_candidate_are_matched(spark):
+    """The whole pattern splits a text in one place of the plan; before, in a filter on the exploded matches too, which Spark works out for every text."""
+    df = spark.createDataFrame([(1, f"the key is {KEY}"), (2, "nothing")], "doc_id long, text string")
+    found = secrets.candidates(df)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [(r.doc_id, r.token) for r in found.collect()] == [(1, KEY)]
+
+
 def made_language(rng, letters):
     words = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(60)]
     return lambda: " ".join(rng.choice(words) for _ in range(40))
