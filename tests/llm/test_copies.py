@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprints, ngram_join, substring_dedup
+from tidemark.llm import decontaminate, fingerprints, ngram_join, sketch, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -257,3 +257,15 @@ def test_blocks_tell_windows_apart_and_lose_none(spark, size):
                 differ = sum(a[x] != b[x] for x in {*a, *b})
                 assert (i, k) in got and got[i, k] <= differ, (i, k)
     assert len(got) >= 20
+
+
+def test_a_corpus_larger_than_a_sketch_leaves_few_candidates(spark, prose, monkeypatch):
+    """300 unlike texts and 10 near copies, with 2**16 cells at most: before, the cells were full and every text went through the matrix."""
+    monkeypatch.setattr(sketch, "bits_for", lambda *a, **k: 16)
+    rows = [(i, prose(1000)) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " and more") for i in range(10)] + [(400 + i, rows[i][1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, _ = ngram_join.links(df)
+    assert {r["doc_id"] for r in found.filter("candidate").collect()} == {*range(10), *range(300, 310), *range(400, 403)}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(df).collect()}
+    assert got == {d: d if d < 300 else d - 300 if d < 400 else d - 400 for d, _ in rows}

@@ -1,10 +1,11 @@
 """Exact Jaccard join of documents on word 5-shingles by a token-group matrix, and its components.
 
-1. A count-min sketch of all shingles marks those that may occur in two documents.  A document links with
-   another only if at least ``least`` percent of its shingles do, so all others are done.  Documents with the
-   same shingle set are one set from here on, and a second sketch, over the sets, takes out the shingles
-   that no other set has: they count for a set's size but match nothing.  Sets left with too few shared
-   shingles are done too: this is the matrix with one group, everything else.
+1. The least third of a document's shingles, by hash, are dealt by hash and counted.  Two linked documents have
+   ``1 + need // 8`` of them in common at least, so documents with fewer that another one has are done: this test is a
+   shuffle, with no sketch that a large corpus fills.  The others, and one row of each of their shingle sets, are
+   marked in two bitmaps over documents.  Documents with the same set are one set from here on, and a
+   count-min sketch, over the sets, takes out the shingles that no other set has: they count for a set's size but
+   match nothing.  Sets left with too few shared shingles are done too: this is the matrix with one group, everything else.
 2. Sets are put into groups by their first shared shingle in one global order (frequent shingles last), which
    similar sets share as likely as they are similar; a set that its frequent shingles alone could link goes
    by the least of those, so that a crowd is a few groups.  Groups above a size are split into blocks.
@@ -76,6 +77,18 @@ def _need(n, percent: int):
     return -(-percent * n // 100)
 
 
+def _least(n, percent: int):
+    """How many of the least shingles of a set of size ``n`` are compared first: two linked sets share ``1 + need // 8`` of them, by the smaller need."""
+    need = _need(n, percent)
+    return np.minimum(n - need + 1 + need // 8, n)
+
+
+def _names(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set of shingles."""
+    x, y = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat, s), dtype=np.uint64)]) for s in (21, 22))
+    return mix(x[at[1:]] - x[at[:-1]]).view(np.int64), mix(y[at[1:]] - y[at[:-1]]).view(np.int64)
+
+
 class Order:
     """The global order of tokens: light ones by hash, then heavy ones by count and hash."""
 
@@ -140,7 +153,24 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
     """``(rows, sets)``: per row of ``docs`` ``doc_id, text_hash, n_shingles, candidate, h1, h2``; per set of the candidates ``h1, h2, root``."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    bitmap = sketch.repeated(texts.select("text"), sketch.of_texts(lambda data, offsets: shingles(data, offsets, size)[0], CHUNK), sketch.bits_for(texts, most_bits=28))
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text_hash"))
+    n_bytes, n_rows = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+
+    def least(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for a, b, data, offsets in chunks(batch, most=CHUNK):
+            flat, n = shingles(data, offsets, size)
+            at, m = np.concatenate([[0], np.cumsum(n)]), _least(n, percent)
+            picked = flat[np.arange(int(m.sum())) + np.repeat(at[:-1] - (np.cumsum(m) - m), m)]
+            some = n > 0
+            # A linked set has ``need`` shingles at least, so its own share of the least ones may be that much smaller.
+            must = 1 + _need(_need(n, percent), percent) // 8
+            yield mix(picked, 25), m[some], must[some], _names(flat, at)[0][some], batch.column("row").slice(a, b - a).to_numpy()[some]
+
+    with workspace.Scratch(spark) as scratch:
+        found = sketch.met(texts.select("text", "row"), least, int((n_bytes or 0) / 6 * (1 - percent * 7 / 800)))
+        found = scratch.written(found.groupBy("key").agg(F.min("row").alias("row")), "met")
+        bits = int(np.clip(np.ceil(np.log2(max(16 * n_rows, 1))), 16, 28))
+        bitmap, first = (sketch.repeated(found.select(c), lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)]), bits, least=1) for c in ("key", "row"))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -148,12 +178,11 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
             for a, b, data, offsets in chunks(batch, most=CHUNK):
                 flat, n = shingles(data, offsets, size)
                 at = np.concatenate([[0], np.cumsum(n)])
-                hit = np.concatenate([[0], np.cumsum(bitmap.value.may_repeat(flat))])
-                candidate = (n > 0) & (100 * (hit[at[1:]] - hit[at[:-1]]) >= percent * n)
-                x, y = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat, s), dtype=np.uint64)]) for s in (21, 22))
-                h1, h2 = mix(x[at[1:]] - x[at[:-1]]).view(np.int64), mix(y[at[1:]] - y[at[:-1]]).view(np.int64)
+                h1, h2 = _names(flat, at)
+                candidate = (n > 0) & bitmap.value.may_repeat(h1.view(np.uint64))
+                shown = candidate & first.value.may_repeat(batch.column("row").slice(a, b - a).to_numpy().view(np.uint64))
                 kept, mask = [], np.ones(b - a, bool)
-                for i in np.flatnonzero(candidate).tolist():
+                for i in np.flatnonzero(shown).tolist():
                     pair = (int(h1[i]), int(h2[i]))
                     if pair not in seen:
                         if len(seen) >= 200_000:
@@ -168,6 +197,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, group_tokens: int =
 
     rows = workspace.written(texts.mapInArrow(first_pass, "doc_id long, text_hash long, n_shingles long, candidate boolean, h1 long, h2 long, tokens array<long>"), "sets")
     bitmap.destroy()
+    first.destroy()
     with workspace.Scratch(spark) as scratch:
         sets, order, buckets = _grouped(rows, scratch, percent, group_tokens)
     labels = sets.select(F.col("comp").alias("node"), F.col("comp").alias("root")).distinct()

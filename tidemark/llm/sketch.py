@@ -5,6 +5,9 @@ sketch; a slice's lists are merged into a bitmap of the cells seen at least twic
 falls below the true count, so no repeated hash is lost.  The merged bitmap is broadcast compressed; its size is
 ``2**bits`` bits and never above ``2**MOST_BITS`` (128 MB; a caller may set less), whatever the corpus.  With more hashes
 than cells more of them are estimated repeated, and the exact pass that follows does more work.
+
+Where hashes outgrow any such bitmap, ``met`` counts for every set how many of its hashes are in another set as well: the hashes
+are dealt by slices, each slice tells which of them it has twice, and only the sets come back, a few bits for each.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +52,7 @@ class Bitmap:
 
 
 def pack_deltas(sorted_values: np.ndarray) -> bytes:
-    """Distinct ascending integers as bytes: each 255 adds 255, any other byte ends a value."""
+    """Ascending integers as bytes: each 255 adds 255, any other byte ends a value."""
     d = np.diff(sorted_values.astype(np.int64), prepend=0)
     q = d // 255
     ends = np.cumsum(q + 1)
@@ -78,8 +82,75 @@ def of_texts(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int =
     return run
 
 
-def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, slices: int | None = None):
-    """A broadcast ``Bitmap`` of ``2**bits`` cells: set where at least two of the hashes of ``rows`` fall.
+def met(rows: DataFrame, sets: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]], n_hashes: int) -> DataFrame:
+    """``key, row`` of the sets with enough hashes that another set has too; of some more, since a hash counts by 32 bits and its slice's.
+
+    ``sets`` gives (hashes, how many of each set, how many must be met, ``key``, ``row``) of some sets at a time; ``n_hashes`` is about how many there are.
+    A block of sets sends its hashes to slices of about a million, with the set of each; its keys go along with one of them.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(n_hashes / 1e6, 1))), 4, 12))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        block = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            h, n, least, key, row = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            part = (h >> np.uint64(64 - bits)).astype(np.uint16)
+            by = np.argsort(part, kind="stable")  # sets ascend within a slice
+            at = np.searchsorted(part[by], np.arange((1 << bits) + 1))
+            cells, owner = (h >> np.uint64(32 - bits)).astype(np.uint32)[by], np.repeat(np.arange(len(n), dtype=np.int32), n)[by]
+            home = block % (1 << bits)
+            own = lambda x: pa.array([x.astype(np.int64).tobytes() if i == home else None for i in range(1 << bits)], pa.binary())
+            return pa.RecordBatch.from_pydict({
+                "slice": pa.array(np.arange(1 << bits, dtype=np.int32)), "block": pa.array(np.full(1 << bits, block)),
+                "cells": pa.array([cells[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                "owners": pa.array([pack_deltas(owner[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                "least": own(least), "keys": own(key), "sets": own(row),
+            })
+
+        for batch in batches:
+            for found in sets(batch):
+                held.append(found)
+                if sum(len(x[0]) for x in held) >= FLUSH // 2:
+                    yield flush()
+                    block += 1
+        if held:
+            yield flush()
+
+    def twice(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for batch in batches for row in batch.select(["block", "cells", "owners", "least", "keys", "sets"]).to_pylist()]
+        cells = np.concatenate([np.frombuffer(r["cells"], np.uint32) for r in held])
+        by = np.argsort(cells)
+        same = np.zeros(len(cells) + 1, bool)
+        same[1:-1] = cells[by][1:] == cells[by][:-1]
+        hit = np.empty(len(cells), bool)
+        hit[by] = same[1:] | same[:-1]
+        ends = np.cumsum([0, *(len(r["cells"]) // 4 for r in held)])
+        for k in range(0, len(held), 100):
+            some = range(k, min(k + 100, len(held)))
+            owners = [pack_deltas(unpack_deltas(held[i]["owners"])[hit[ends[i] : ends[i + 1]]]) for i in some]
+            rest = {c: pa.array([held[i][c] for i in some], pa.binary()) for c in ("least", "keys", "sets")}
+            yield pa.RecordBatch.from_pydict({"block": pa.array([held[i]["block"] for i in some], pa.int64()), "owners": pa.array(owners, pa.binary()), **rest})
+
+    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, home = [np.zeros(0, np.int64)], {}
+        for batch in batches:
+            owners += [unpack_deltas(x.as_py()) for x in batch.column("owners")]
+            for row in batch.filter(batch.column("keys").is_valid()).select(["least", "keys", "sets"]).to_pylist():
+                home = {c: np.frombuffer(x, np.int64) for c, x in row.items()}
+        enough = np.bincount(np.concatenate(owners), minlength=len(home["least"])) >= home["least"]
+        yield pa.RecordBatch.from_pydict({"key": pa.array(home["keys"][enough]), "row": pa.array(home["sets"][enough])})
+
+    binary = "least binary, keys binary, sets binary"
+    dealt = rows.mapInArrow(deal, f"slice int, block long, cells binary, owners binary, {binary}")
+    hits = dealt.groupBy("slice").applyInArrow(twice, f"block long, owners binary, {binary}")
+    return hits.groupBy("block").applyInArrow(count, "key long, row long")
+
+
+def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, slices: int | None = None, least: int = 2):
+    """A broadcast ``Bitmap`` of ``2**bits`` cells: set where at least two of the hashes of ``rows`` fall; with ``least`` 1, where one does.
 
     The caller destroys it after the last action that uses it.
     """
@@ -121,7 +192,7 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
                 twice[cells[once[cells]]] = True
                 once[cells] = True
                 twice[unpack_deltas(b.as_py())] = True
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([pa.compress(np.packbits(twice, bitorder="little").tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([pa.compress(np.packbits(twice if least == 2 else once, bitorder="little").tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     parts = rows.mapInArrow(fill, "slice int, once binary, twice binary").groupBy("slice").applyInArrow(merge, "slice int, bitmap binary")
     empty = pa.compress(bytes(width // 8), codec="zstd", asbytes=True)
